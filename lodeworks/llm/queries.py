@@ -30,6 +30,33 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch_path
+    from .sharding import shard_documents
+
+    found = shard_documents(_documents(spark, sf_dir), scratch_path(spark, "shards")).read()
+    return found.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    found = archive_pages(_pages(spark, sf_dir))
+    return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .langid import identify, learn, vocabulary
+
+    docs = _documents(spark, sf_dir)
+    fold = (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
+    model = learn(docs.where(~fold), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    found = identify(docs, model)
+    return found.select(F.col("id").alias("doc_id"), ((F.crc32(F.col("id").cast("string")) % 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +74,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+OP2_SQL = """
+SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
 OP8_SQL = """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
@@ -59,6 +90,9 @@ FROM t JOIN g ON t.body = g.body
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_sharding": op2_sharding,
+        "op3_warc": op3_warc,
+        "op4_language_id": op4_language_id,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
@@ -66,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_sharding": OP2_SQL, "op8_exact_dedup": OP8_SQL}
