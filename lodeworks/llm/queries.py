@@ -57,6 +57,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), ((F.crc32(F.col("id").cast("string")) % 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+#: Fixed values of the query: action, host and path of each rule.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import judge_urls, rule_table
+
+    found = judge_urls(_pages(spark, sf_dir), rule_table(spark, URL_RULES))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,10 +91,32 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .orderminhash import edited_fingerprints
+
+    return edited_fingerprints(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 OP2_SQL = """
 SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
 """
 
+OP5_SQL = """
+WITH r(action, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), a AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a
+), f AS (
+  SELECT u.page_id, r.host || r.path AS rule, r.action,
+         row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
+  FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.action, 'allow') AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.k = 1
+"""
+
 OP8_SQL = """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
@@ -93,11 +132,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_warc": op3_warc,
         "op4_language_id": op4_language_id,
+        "op5_url_rules": op5_url_rules,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_sharding": OP2_SQL, "op5_url_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL}
