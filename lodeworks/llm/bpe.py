@@ -17,7 +17,7 @@ from .common import named
 
 #: The characters of the Unicode property White_Space, as a class body.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 250_000
 MEMO_LENGTH = 64
 
 
@@ -63,7 +63,8 @@ class TokenMonoid:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.stable = Memo(self._stable)
-        self.short = Memo(self._halves, length=8)
+        self.short = Memo(self._halves, length=16)
+        self.windows = Memo(self.merge, length=32)
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE of a window: the lowest-ranked, leftmost pair merges first."""
@@ -99,7 +100,7 @@ class TokenMonoid:
             return left + right
         take_l = take_r = 1
         while True:
-            window = self.merge(self.decode(left[-take_l:] + right[:take_r]))
+            window = self.windows[self.decode(left[-take_l:] + right[:take_r])]
             calm_l = take_l == len(left) or self.stable[left[-take_l - 1], window[0]]
             calm_r = take_r == len(right) or self.stable[window[-1], right[take_r]]
             if calm_l and calm_r:
@@ -140,12 +141,17 @@ class TextCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.monoid = TokenMonoid(ranks)
         self.split = split_pattern(pattern)
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, entries=2 * MEMO_ENTRIES)
+        self.matches = Memo(self._match)
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = [i for piece in self.split.findall(chunk) for i in self.monoid.encode(piece.encode())]
+    def _match(self, match: str) -> tuple[bytes, bytes]:
+        ids = self.monoid.encode(match.encode())
         return b" ".join([b"%d" % i for i in ids]), self.monoid.decode(ids)
 
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        parts = list(map(self.matches.__getitem__, self.split.findall(chunk)))
+        return parts[0] if len(parts) == 1 else (b" ".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
+
     def pieces(self, text: str) -> list[tuple[bytes, bytes]]:
         """(decimal ids, decoded bytes) of consecutive parts of a text."""
         if not text:
