@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import kept_in_worker, named
 
 #: The characters of the Unicode property White_Space, as a class body.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -141,8 +141,8 @@ class TextCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.monoid = TokenMonoid(ranks)
         self.split = split_pattern(pattern)
-        self.chunks = Memo(self._chunk, entries=2 * MEMO_ENTRIES)
-        self.matches = Memo(self._match)
+        self.chunks = Memo(self._chunk, entries=3 * MEMO_ENTRIES)
+        self.matches = Memo(self._match, entries=2 * MEMO_ENTRIES)
 
     def _match(self, match: str) -> tuple[bytes, bytes]:
         ids = self.monoid.encode(match.encode())
@@ -170,7 +170,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TextCodec(ranks.value, pattern)
+        codec = kept_in_worker(("codec", hash(frozenset(ranks.value.items())), pattern), lambda: TextCodec(ranks.value, pattern))
         for batch in batches:
             ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
@@ -200,7 +200,7 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TextCodec(ranks.value, pattern)
+        codec = kept_in_worker(("codec", hash(frozenset(ranks.value.items())), pattern), lambda: TextCodec(ranks.value, pattern))
         for batch in batches:
             counts, ids_sha, body_sha = [], [], []
             for text in batch.column(1).to_pylist():

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +55,15 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps between tasks, so that a table of words filled by one task serves the next.
+
+    A worker keeps one such object, the last one asked for; a new worker starts with none. Results never depend on it.
+    """
+    kept = sys.__dict__.setdefault("_lodeworks_kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]

@@ -13,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, named
+from .common import kept_in_worker, materialise, named
 
 CAPACITY = 2048
 ROUNDS = 1200
 RATE = 0.5
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 1_200_000
 MEMO_LENGTH = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -28,11 +28,14 @@ _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 class WordTokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes, remembered word by word.
 
-    The tokenizer normalises and splits at white space, so a text's ids are those of its words in turn. Texts with
-    separators on which libraries disagree are encoded whole.
+    The tokenizer normalises and splits at white space, so a text's ids are those of its words in turn; it also splits
+    letters and digits from the punctuation after them, and lower-cases. Texts with separators on which libraries
+    disagree are encoded whole.
     """
 
     _ODD = re.compile(r"[\x1c-\x1f]")
+    _MARKS = ".,;:!?"
+    _BETWEEN = "|"
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,28 +44,57 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.between = self.tokenizer.encode(self._BETWEEN, add_special_tokens=False).ids[0]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Encodes words together, a mark that none of them contains between each two."""
+        plain = [w for w in words if self._BETWEEN not in w]
+        out = {w: self.whole(w).tobytes() for w in words if self._BETWEEN in w}
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = self.whole(f" {self._BETWEEN} ".join(part))
+            cuts = [-1, *np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            body = ids.tobytes()
+            out.update(zip(part, [body[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        return out
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new words; a word is put together from its core and the punctuation at its end."""
+        known, split, wanted = self.known, {}, set()
+        for word in new:
+            core = word.rstrip(self._MARKS)
+            if core and core[-1].lower()[-1].isalnum():
+                tail, core = word[len(core) :], core.lower() if core.isascii() else core
+                split[word] = (core, tail)
+                wanted.add(core)
+                wanted.add(tail)
+            else:
+                wanted.add(word)
+        wanted.discard("")
+        found = self._encode([w for w in wanted if w not in known])
+        known.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_LENGTH)
+        get = lambda w: known[w] if w in known else found[w] if w else b""
+        ready = {word: get(core) + get(tail) for word, (core, tail) in split.items()}
+        known.update((w, ids) for w, ids in ready.items() if len(w) <= MEMO_LENGTH)
+        return found | ready
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if self._ODD.search(text):
-                yield self._encode([text])[0]
+                yield self.whole(text).tobytes()
                 continue
             words = text.split()
             known = self.known
-            if new := list(set(words).difference(known)):
+            if new := [w for w in words if w not in known]:
                 if len(known) > MEMO_ENTRIES:
                     known.clear()
-                    new = list(set(words))
-                long = {}
-                for at in range(0, len(new), 4096):
-                    part = new[at : at + 4096]
-                    for word, ids in zip(part, self._encode(part), strict=True):
-                        (known if len(word) <= MEMO_LENGTH else long)[word] = ids
-                if long:
-                    yield b"".join([known[w] if w in known else long[w] for w in words])
+                    new = words
+                learnt = self._learn(set(new))
+                if any(len(w) > MEMO_LENGTH for w in learnt):
+                    yield b"".join([known[w] if w in known else learnt[w] for w in words])
                     continue
             yield b"".join(map(known.__getitem__, words))
 
@@ -78,7 +110,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     width = 4 * capacity
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(vocabulary.value)
+        words = kept_in_worker(("words", hash(vocabulary.value)), lambda: WordTokens(vocabulary.value))
         part = TaskContext.get().partitionId()
         placed: dict[int, int] = {}
         for batch in batches:

@@ -74,6 +74,12 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import identifier_digests
+
+    return identifier_digests(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -133,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_language_id": op4_language_id,
         "op5_url_rules": op5_url_rules,
+        "op6_pii": op6_pii,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
