@@ -7,17 +7,17 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, named, shuffle_width
+from .common import materialise, shuffle_width
 
 FIRST_DIGIT = 64
 WIDEN = 4
 MOST_BYTES = 32 << 20
 LEAST_BYTES = 64 << 10
 
-_LOCAL = "row_key long, rep_key long, id long, top_id long, top_key long, n long, body binary, sha string"
+_LOCAL = "row_key long, rep_key long, id long, top_id long, top_key long, n long, body binary, sha string, row long"
 _CLASS = "rep_key long, keep_id long, keep_key long, group_size long"
 
 
@@ -76,8 +76,9 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([size[i] if r else None for i, r in enumerate(is_rep)], pa.int64()),
                 pa.array([t if r else None for t, r in zip(texts, is_rep, strict=True)], pa.binary()),
                 pa.array([digests[f] for f in first], pa.string()),
+                batch.column(2),
             ],
-            names=["row_key", "rep_key", "id", "top_id", "top_key", "n", "body", "sha"],
+            names=["row_key", "rep_key", "id", "top_id", "top_key", "n", "body", "sha", "row"],
         )
 
 
@@ -120,10 +121,10 @@ def _finisher(start: int):
     return finish
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = FIRST_DIGIT, most_bytes: int = MOST_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None, first_digit: int = FIRST_DIGIT, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Classes of texts that are identical once A-Z are lower-cased.
 
-    Returns one row per input row: ``id, keep_id, group_size, kept, sha``. A null text counts as empty; empty texts
+    Returns one row per input row: ``id, keep_id, group_size, kept, sha`` and ``row``, the caller's number for it, if given. A null text counts as empty; empty texts
     are one class. Of a class the row with the largest id stays; a null id ranks below all others, and between rows
     with the same id exactly one is kept. An empty input gives an empty result. Columns other than the two named are
     not read.
@@ -135,7 +136,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    source = named(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    number = F.lit(None) if row is None else row
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), number.cast("long").alias("row"))
     rows = materialise(source.mapInArrow(_combine, _LOCAL), "radix")
     reps = rows.where("body IS NOT NULL").select("rep_key", "top_id", "top_key", "n", "body")
     done: list[DataFrame] = []
@@ -171,6 +173,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = done[0]
     for more in done[1:]:
         classes = classes.unionByName(more)
-    return rows.select("row_key", "rep_key", "id", "sha").join(classes, "rep_key").select(
-        "id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "sha"
+    return rows.select("row_key", "rep_key", "id", "sha", "row").join(classes, "rep_key").select(
+        "id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "sha", "row"
     )

@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import Memo
-from .common import named
 
 #: The bounded sample of labelled rows that a model is fitted on: rows per language, and distinct words per language.
 ROWS_PER_LANGUAGE = 1500
@@ -139,8 +139,8 @@ def learn(
     return fit_unigrams(counts, pieces)
 
 
-def identify(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, lang_pred, score)`` of every row, from the whole text.
+def identify(docs: DataFrame, model: Unigrams, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, ``lang_pred`` and ``score`` of every row, from the whole text.
 
     The score is the posterior probability of the predicted language under equal priors. A null text, one without a
     letter, or a model without languages gives ``und`` and 0. Ties go to the first language in alphabetical order.
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col:
         long = Memo(fitted.score, entries=10_000)
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 if not text or not fitted.languages or not any(map(str.isalpha, text[:64])) and not any(map(str.isalpha, text)):
                     names.append(UNDETERMINED)
                     scores.append(0.0)
@@ -174,7 +174,8 @@ def identify(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col:
                 best = int(total.argmax())
                 names.append(fitted.languages[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    source = named(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, lang_pred string, score double")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    out = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, out)

@@ -74,7 +74,7 @@ class _Lists:
 
     A list holds the distinct fingerprints that agree in all the bytes of one choice of positions, so a pair's tally
     of shared positional bytes is that number plus the equal bytes among the free positions. A list is at most
-    2 ** (8 * most_bits) long; in practice, and for two bits in proof, 65,536.
+    2 ** (8 * most_bits) long, which is 65,536 for two bits.
     """
 
     def __init__(self, most_bits: int):
@@ -103,6 +103,14 @@ class _Lists:
         m = len(fps)
         if m <= 64:
             a, b = np.triu_indices(m, 1)
+        elif m <= 2 * len(self.flips):
+            pieces = []
+            for i in range(0, m, rows := max(1, (1 << 22) // m)):
+                near = np.bitwise_count(fps[i : i + rows, None] ^ fps[None, :]) <= self.most
+                left, right = np.nonzero(near)
+                left += i
+                pieces.append((left[left < right], right[left < right]))
+            a, b = (np.concatenate(x) for x in zip(*pieces, strict=True))
         else:
             order = np.argsort(fps)
             fps = fps[order]
