@@ -271,15 +271,20 @@ def split_overlong(content: Column) -> Column:
     return F.when(F.length(content) <= 200, F.array(content)).when(F.size(good) > 0, good).otherwise(F.array(F.substring(content, 1, 200)))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates ``value`` once; an expression named inside a lambda would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sliding_windows(items: Column, size: int, stride: int) -> Column:
-    last = F.greatest(F.lit(0), F.size(items) - size)
-    return F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.slice(items, i + 1, size))
+    starts = lambda v: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - size), F.lit(stride))
+    return let(items, lambda v: F.transform(starts(v), lambda i: F.slice(v, i + 1, size)))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-grams; fewer tokens than n give one gram of all."""
-    last = F.greatest(F.size(tokens) - n, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")))
+    starts = lambda v: F.sequence(F.lit(0), F.greatest(F.size(v) - n, F.lit(0)))
+    return F.array_distinct(let(tokens, lambda v: F.transform(starts(v), lambda i: F.array_join(F.slice(v, i + 1, n), " "))))
 
 
 def signature(content: Column, n: int = 4) -> Column:
@@ -318,6 +323,11 @@ def fact_score(sentence: Column) -> Column:
     return sentence.rlike("[0-9]").cast("int") * 2 + caps + stem + verb
 
 
+def capitalised(text: Column) -> Column:
+    """Capitalised ASCII words of at least four letters, with repeats."""
+    return F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-Z][a-z]{3,}$"))
+
+
 def content_type(content: Column) -> Column:
     """html, json, csv, xml, markdown or plain, in this order of tests, as a MIME type."""
     body = strip(content)
