@@ -12,13 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .bpe import Memo
+from .common import kept_in_worker
 
 #: The bounded sample of labelled rows that a model is fitted on: rows per language, and distinct words per language.
 ROWS_PER_LANGUAGE = 1500
 WORDS_PER_LANGUAGE = 40_000
 ROUNDS = 3
 MARK = "▁"
+BLOCK = 24
+GROUP = 256
+KNOWN_WORDS = 1_000_000
 UNDETERMINED = "und"
 
 
@@ -52,44 +55,62 @@ class Unigrams:
                     edges.append((start, end, -1))
         return edges
 
-    def word_logs(self, word: str) -> np.ndarray:
-        """Forward algorithm: per language the log of the summed probability of all segmentations of a word."""
-        marked = MARK + word
-        n, k = len(marked), len(self.languages)
-        rows = [[0.0] * k if i == 0 else None for i in range(n + 1)]
-        table, floor = self._exp, math.exp(self.other)
-        for start, end, piece in self.lattice(marked):
-            p = table[piece] if piece >= 0 else None
-            src, dst = rows[start], rows[end]
-            if start == 0:
-                add = p if p is not None else [floor] * k
-            elif p is None:
-                add = [x * floor for x in src]
-            else:
-                add = [x * y for x, y in zip(src, p, strict=True)]
-            rows[end] = list(add) if dst is None else [x + y for x, y in zip(dst, add, strict=True)]
-        return np.array([math.log(max(x, 1e-300)) for x in rows[n]])
-
-    def prepare(self) -> Unigrams:
-        self._exp = np.exp(self.logs).tolist()
-        return self
-
-    def score(self, word: str) -> np.ndarray:
-        """Words of any length: long ones are scored in blocks, so that probabilities stay above underflow."""
-        if len(word) <= 24:
-            return self.word_logs(word)
-        return sum(self.word_logs(word[i : i + 24]) for i in range(0, len(word), 24))
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Forward algorithm over many words of up to ``BLOCK`` characters.
+
+        Per word and language: the log of the summed probability of all segmentations.
+        """
+        get, longest = self.index.get, self.longest
+        owner, starts, ends, pieces = [], [], [], []
+        for at, word in enumerate(words):
+            marked = MARK + word
+            for end in range(1, len(marked) + 1):
+                for start in range(end - longest if end > longest else 0, end):
+                    if (piece := get(marked[start:end])) is not None:
+                        owner.append(at)
+                        starts.append(start)
+                        ends.append(end)
+                        pieces.append(piece)
+                if marked[end - 1] not in self.index:
+                    owner.append(at)
+                    starts.append(end - 1)
+                    ends.append(end)
+                    pieces.append(-1)
+        n, k = len(words), len(self.languages)
+        owner, starts, ends, pieces = (np.array(x, np.int64) for x in (owner, starts, ends, pieces))
+        order = np.argsort(ends, kind="stable")
+        owner, starts, ends, pieces = owner[order], starts[order], ends[order], pieces[order]
+        prob = np.concatenate([np.exp(self.logs), np.full((1, k), math.exp(self.other))])
+        ahead = np.zeros((n, BLOCK + 2, k))
+        ahead[:, 0] = 1.0
+        cuts = np.searchsorted(ends, np.arange(1, BLOCK + 3))
+        for end in range(1, BLOCK + 2):
+            part = slice(cuts[end - 1], cuts[end])
+            if part.start == part.stop:
+                break
+            gain = ahead[owner[part], starts[part]] * prob[pieces[part]]
+            for language in range(k):
+                ahead[:, end, language] = np.bincount(owner[part], weights=gain[:, language], minlength=n)
+        return np.log(np.maximum(ahead[np.arange(n), [len(w) + 1 for w in words]], 1e-300))
+
+
+def text_words(text: str) -> list[str]:
+    """Lower-case words; words of over ``BLOCK`` characters come in blocks, so that probabilities stay above underflow."""
+    words = text.lower().split()
+    if words and max(map(len, words)) > BLOCK:
+        return [w[i : i + BLOCK] for w in words for i in range(0, len(w), BLOCK)]
+    return words
 
 
 def fit_unigrams(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Unigrams:
     """Expectation maximisation: piece probabilities per language from word counts, over all segmentations."""
     index = {p: i for i, p in enumerate(pieces)}
-    longest = min(24, max(map(len, pieces)))
+    longest = min(16, max(map(len, pieces)))
     languages = sorted(counts)
     model = Unigrams(languages, index, np.zeros((len(pieces), 1)), math.log(1e-7), longest)
     columns = []
     for language in languages:
-        words = [(model.lattice(MARK + w), len(w) + 1, n) for w, n in counts[language].items() if len(w) <= 24]
+        words = [(model.lattice(MARK + w), len(w) + 1, n) for w, n in counts[language].items() if len(w) <= BLOCK]
         p = np.full(len(pieces), 1.0 / len(pieces))
         for _ in range(rounds):
             prob = p.tolist()
@@ -139,6 +160,43 @@ def learn(
     return fit_unigrams(counts, pieces)
 
 
+class WordTable:
+    """Scores of words met so far, and texts scored as sums of their words' scores."""
+
+    def __init__(self, model: Unigrams):
+        self.model = model
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((1 << 14, len(model.languages)))
+
+    def _learn(self, words: set[str]) -> None:
+        new = list(words.difference(self.place))
+        if len(self.place) + len(new) > KNOWN_WORDS:
+            self.place.clear()
+            new = list(words)
+        while len(self.table) < len(self.place) + len(new):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            first = len(self.place)
+            self.table[first : first + len(part)] = self.model.score_words(part)
+            self.place.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        model = self.model
+        lettered = [bool(t) and bool(model.languages) and (any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t))) for t in texts]
+        words = [text_words(t) if ok else [] for t, ok in zip(texts, lettered, strict=True)]
+        self._learn(set().union(*words))
+        out = []
+        for ok, ws in zip(lettered, words, strict=True):
+            if not ok:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = self.table[np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+            best = int(total.argmax())
+            out.append((model.languages[best], float(1.0 / np.exp(total - total[best]).sum())))
+        return out
+
+
 def identify(docs: DataFrame, model: Unigrams, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, ``lang_pred`` and ``score`` of every row, from the whole text.
 
@@ -148,32 +206,14 @@ def identify(docs: DataFrame, model: Unigrams, text_col: str = "text", keep: tup
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.index, model.logs, model.other, model.longest))
 
+    key = ("language", hash(tuple(model.languages)), model.logs.tobytes().__hash__())
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = Unigrams(*shared.value).prepare()
-        place: dict[str, int] = {}
-        table = np.zeros((1 << 12, len(fitted.languages)))
-        long = Memo(fitted.score, entries=10_000)
+        known = kept_in_worker(key, lambda: WordTable(Unigrams(*shared.value)))
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                if not text or not fitted.languages or not any(map(str.isalpha, text[:64])) and not any(map(str.isalpha, text)):
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                words = text.lower().split()
-                if new := set(words).difference(place):
-                    if len(place) + len(new) > 400_000:
-                        place.clear()
-                        new = set(words)
-                    if len(place) + len(new) > len(table):
-                        table = np.concatenate([table, np.zeros((max(len(table), len(new)), table.shape[1]))])
-                    for word in new:
-                        table[len(place)] = fitted.score(word) if len(word) <= 24 else long[word]
-                        place[word] = len(place)
-                total = table[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                best = int(total.argmax())
-                names.append(fitted.languages[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            found = [x for at in range(0, len(texts), GROUP) for x in known.classify(texts[at : at + GROUP])]
+            names, scores = ([x[i] for x in found] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
