@@ -126,7 +126,7 @@ def atom_score(content: Column, unique: Column | None = None) -> Column:
         fluff = content.rlike(r"(?i)\b(great|amazing|interesting|important)\b") & (p["factual_density"] < 0.3)
         bad = empty | fluff | (unique < 0.1) | ~T.has_verb(content, T.SCORING_VERBS)
         verdict = F.when(bad, "reject").when(total >= ACCEPT, "accept").when(total >= REPAIR, "repair").otherwise("reject")
-        return F.struct(F.round(total, 3).alias("score"), *[F.round(p[k], 3).alias(k) for k in ATOM_WEIGHTS], F.round(unique, 3).alias("redundancy"), verdict.alias("verdict"))
+        return F.struct(F.round(total + 1e-9, 3).alias("score"), *[F.round(p[k], 3).alias(k) for k in ATOM_WEIGHTS], F.round(unique, 3).alias("redundancy"), verdict.alias("verdict"))
 
     return F.element_at(F.transform(F.array(F.struct(*[c.alias(k) for k, c in parts.items()])), finish), 1)
 

@@ -76,8 +76,8 @@ def chronology(atoms: DataFrame, group: str, key: str, time: str) -> DataFrame:
 
 
 def support_rollup(atoms: DataFrame, key: str, entity: str, least: int = 2) -> DataFrame:
-    """Distinct atoms per entity, for entities with at least ``least``."""
-    return atoms.select(key, entity).dropDuplicates([key]).groupBy(entity).agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
+    """Distinct atoms per entity, for entities with at least ``least``; an atom under several counts for the smallest."""
+    return atoms.groupBy(key).agg(F.min(entity).alias(entity)).groupBy(entity).agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
 
 
 def conflict_rollup(atoms: DataFrame, flag: str, concept: str) -> DataFrame:

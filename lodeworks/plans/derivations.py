@@ -61,7 +61,7 @@ def drv_chronology(spark: SparkSession, sf: str) -> DataFrame:
     return D.chronology(_lines(spark, sf), "packet", "key", "time")
 
 
-@query("SELECT l_partkey AS entity, count(*) AS support FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY 1 HAVING count(*) >= 2")
+@query("SELECT entity, count(*) AS support FROM (SELECT min(l_partkey) AS entity FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY 1 HAVING count(*) >= 2")
 def drv_support(spark: SparkSession, sf: str) -> DataFrame:
     x = _lines(spark, sf).withColumn("cite", F.concat_ws("-", "packet", "key"))
     return D.support_rollup(x, "cite", "entity")

@@ -314,7 +314,7 @@ SCORED = f"""scored AS (SELECT *, clarity * 0.22 + density * 0.18 + specific * 0
 
 
 @query(
-    f"""WITH {ATOMS_SQL}, {SCORED} SELECT atom_id, round(total, 3) AS score, round(clarity, 3) AS clarity, round(density, 3) AS factual_density, round(trace, 3) AS evidence_traceability,
+    f"""WITH {ATOMS_SQL}, {SCORED} SELECT atom_id, round(total + 1e-9, 3) AS score, round(clarity, 3) AS clarity, round(density, 3) AS factual_density, round(trace, 3) AS evidence_traceability,
       CASE WHEN {_N} < 5 OR NOT regexp_matches(statement, '[A-Za-z]') OR ({sql_word('statement', 'great|amazing|interesting|important')} AND density < 0.3) OR NOT {_verb(T.SCORING_VERBS)} THEN 'reject'
         WHEN total >= 0.5 THEN 'accept' WHEN total >= 0.25 THEN 'repair' ELSE 'reject' END AS verdict FROM scored"""
 )
