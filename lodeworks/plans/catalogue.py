@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["relational", "texts", "derivations"]
+MODULES = ["relational", "texts", "derivations", "retrieval", "graphs"]
 
 
 def _modules() -> list:
