@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.sources.shared import shared_folder
+
 from .derivation import content_tokens
 
 SYMMETRIC = ["supports", "contradicts", "analogous_to"]
@@ -17,7 +17,7 @@ def settled(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration by a checkpoint in the folder that the session shares."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeworks-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

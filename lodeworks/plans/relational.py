@@ -10,6 +10,7 @@ from lodeworks.functions import text as T
 from lodeworks.operators import relational as R
 from lodeworks.sources import tables as A
 
+from .texts import _IMPORTANCE
 from .views import ATOMS_SQL, atoms, sql_any, sql_list, table
 
 QUERIES, SQL = {}, {}
@@ -216,17 +217,17 @@ def rel_recursive_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _END = "(statement LIKE '%.' OR statement LIKE '%!' OR statement LIKE '%?' OR statement LIKE '%)' OR statement LIKE '%.]')"
-_BROWSE = f"position % 2 = 0 AND NOT {sql_any('lower(statement)', T.BROWSE_NOISE)} AND length(statement) >= 40".replace("position", "pos")
+_BROWSE = f"{_IMPORTANCE} >= 0.11 AND NOT {sql_any('lower(statement)', T.BROWSE_NOISE)} AND length(statement) >= 40"
 
 
 @query(f"WITH {ATOMS_SQL} SELECT atom_id, topic_id FROM atoms WHERE {_BROWSE} AND {_END}")
 def rel_atom_browse_intended(spark: SparkSession, sf: str) -> DataFrame:
-    return browse(atoms(spark, sf), F.col("pos") % 2 == 0).select("atom_id", "topic_id")
+    return browse(atoms(spark, sf), S.importance(F.col("statement")) >= 0.11).select("atom_id", "topic_id")
 
 
 @query(f"WITH {ATOMS_SQL} SELECT atom_id, topic_id FROM atoms WHERE {_BROWSE} AND {_END.strip('()').replace(chr(39) + '%)', chr(39) + '%)')} AND topic_id = 'src1'")
 def rel_atom_browse_faithful(spark: SparkSession, sf: str) -> DataFrame:
-    return browse(atoms(spark, sf), F.col("pos") % 2 == 0, F.col("topic_id") == "src1", faithful=True).select("atom_id", "topic_id")
+    return browse(atoms(spark, sf), S.importance(F.col("statement")) >= 0.11, F.col("topic_id") == "src1", faithful=True).select("atom_id", "topic_id")
 
 
 def browse(found: DataFrame, *tests, faithful: bool = False) -> DataFrame:
@@ -284,11 +285,11 @@ def rel_trust_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""
     SELECT user_id, CASE WHEN list_contains(st, 'contested') THEN 'contested' WHEN list_contains(st, 'stale') THEN 'stale' WHEN list_contains(st, 'reusable') THEN 'reusable'
-      WHEN list_contains(st, 'synthesized') THEN 'synthesized' ELSE 'forming' END AS state FROM (SELECT user_id, list(DISTINCT {_STATE}) AS st FROM events WHERE event_id % 7 = 0 GROUP BY 1)
+      WHEN list_contains(st, 'synthesized') THEN 'synthesized' ELSE 'forming' END AS state FROM (SELECT user_id, list(DISTINCT {_STATE}) AS st FROM events GROUP BY 1)
     """
 )
 def score_trust_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    states = event_states(table(spark, sf, "events").where("event_id % 7 = 0"))
+    states = event_states(table(spark, sf, "events"))
     return states.groupBy("user_id").agg(S.aggregate_trust_state(F.collect_set("state")).alias("state"))
 
 
