@@ -133,9 +133,9 @@ def gra_remove_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return G.remove_nodes(_edges(spark, sf), _nodes(spark, sf).where("id % 5 = 0")).select("src", "dst", "relation")
 
 
-@query(f"WITH {_E} SELECT node, count(*) AS degree, round(sum(strength), 3) AS strength FROM nb GROUP BY 1")
+@query(f"WITH {_E} SELECT node, count(*) AS degree, round(sum(strength), 4) AS strength FROM nb GROUP BY 1")
 def gra_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return G.neighbours(_edges(spark, sf)).groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.round(F.sum("strength"), 3).alias("strength"))
+    return G.neighbours(_edges(spark, sf)).groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.round(F.sum("strength"), 4).alias("strength"))
 
 
 @query(

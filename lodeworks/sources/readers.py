@@ -258,4 +258,4 @@ def code_snippets(text: Column) -> Column:
 
 
 def _tag(kind: str):
-    return lambda c: F.struct(F.lit(kind).alias("kind"), F.trim(c).alias("code"))
+    return lambda c: F.struct(F.lit(kind).alias("kind"), T.strip(c).alias("code"))
