@@ -21,7 +21,7 @@ ROUNDS = 3
 MARK = "▁"
 BLOCK = 24
 GROUP = 256
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 700_000
 UNDETERMINED = "und"
 
 

@@ -18,7 +18,9 @@ from .common import kept_in_worker, materialise, named
 CAPACITY = 2048
 ROUNDS = 1200
 RATE = 0.5
-MEMO_ENTRIES = 1_200_000
+#: Powers of the length that weights per piece start from; the better of the rounded plans is taken.
+STARTS = (1.3, 2.0)
+MEMO_ENTRIES = 800_000
 MEMO_LENGTH = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -155,11 +157,11 @@ def best_configuration(prices: np.ndarray) -> list[tuple[int, int]]:
     return sorted(found.items(), reverse=True)
 
 
-def fractional_plan(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
+def fractional_plan(demand: dict[int, int], capacity: int, rounds: int = ROUNDS, start: float = STARTS[0]) -> dict[tuple, float]:
     """Approximately solves the configuration linear program by multiplicative weights.
 
-    Minimise the number of sequences such that every length is covered. The weight of a length starts at its share of
-    all tokens and falls exponentially as it gets covered; a round prices the best configuration under the weights per
+    Minimise the number of sequences such that every length is covered. The weight of a length starts a little above
+    its share of all tokens, the more so the longer it is, since long pieces are the harder to place. It falls exponentially as it gets covered; a round prices the best configuration under the weights per
     piece and uses it as far as half its scarcest length, and never beyond what is uncovered.
     """
     left = np.zeros(capacity + 1)
@@ -167,7 +169,7 @@ def fractional_plan(demand: dict[int, int], capacity: int, rounds: int = ROUNDS)
         left[n] = k
     need, cover = left.copy(), np.zeros(capacity + 1)
     present = need > 0
-    base = np.arange(capacity + 1) / capacity
+    base = (np.arange(capacity + 1) / capacity) ** start
     plan: dict[tuple, float] = {}
     for _ in range(rounds):
         prices = np.full(capacity + 1, -np.inf)
@@ -226,11 +228,12 @@ def round_plan(plan: dict[tuple, float], demand: dict[int, int], capacity: int)
 
 
 def plan_sequences(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple, int]]:
-    """Whole sequences first, then the linear program over the other lengths, then rounding."""
+    """Whole sequences first, then the linear program over the other lengths, then rounding; the better of two starts."""
     whole = demand.get(capacity, 0)
     rest = {n: k for n, k in demand.items() if n < capacity and k}
     out = [(((capacity, 1),), whole)] if whole else []
-    return out + (round_plan(fractional_plan(rest, capacity, rounds), rest, capacity) if rest else [])
+    plans = [round_plan(fractional_plan(rest, capacity, rounds, start), rest, capacity) for start in STARTS] if rest else [[]]
+    return out + min(plans, key=lambda p: sum(times for _, times in p))
 
 
 def pack_documents(
