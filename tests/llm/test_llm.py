@@ -120,6 +120,27 @@ def test_simhash_links_lose_nothing(spark, bits):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(roots))
 
 
+def test_similar_documents(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    rows, family = [], {}
+    for f in range(12):
+        base = [rng.choice(words) for _ in range(400)]
+        for c in range(6):
+            copy = list(base)
+            for _ in range(c):  # up to five words changed: a similarity of at least 0.88
+                copy[rng.randrange(400)] = rng.choice(words)
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 50, 400])))) for i in range(200)] + [(2000, None), (2001, " "), (2002, "")]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "n long, text string"), "n").collect()}
+    assert len(got) == len(rows) and all(got[i] == i for i in got if 1000 <= i < 2000) and got[2001] == got[2002] == 2000
+    together = [got[i] == min(j for j in family if family[j] == family[i]) for i in family]
+    assert sum(together) >= 0.95 * len(together)
+    assert all(family[got[i]] == family[i] for i in family)
+    assert simhash.similar_documents(spark.createDataFrame([], "n long, text string"), "n").count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 7), (10, 9), (9, 8), (8, -5)] + [(100, i) for i in range(101, 200)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.component_labels(edges).collect()}
