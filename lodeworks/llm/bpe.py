@@ -17,7 +17,7 @@ from .common import kept_in_worker, named
 
 #: The characters of the Unicode property White_Space, as a class body.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 300_000
 MEMO_LENGTH = 64
 
 
@@ -34,16 +34,20 @@ def split_pattern(pattern: str) -> regex.Pattern:
 
 
 class Memo(dict):
-    """A bounded table of a function's values; starts afresh when full. Long keys are not kept."""
+    """A bounded table of a function's values, in two generations: a full one becomes the older. Long keys are not kept."""
 
     def __init__(self, make: Callable, entries: int = MEMO_ENTRIES, length: int = MEMO_LENGTH):
         super().__init__()
-        self.make, self.entries, self.length = make, entries, length
+        self.make, self.entries, self.length = make, entries // 2, length
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.length:
             if len(self) >= self.entries:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -141,8 +145,8 @@ class TextCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.monoid = TokenMonoid(ranks)
         self.split = split_pattern(pattern)
-        self.chunks = Memo(self._chunk, entries=3 * MEMO_ENTRIES)
-        self.matches = Memo(self._match, entries=2 * MEMO_ENTRIES)
+        self.chunks = Memo(self._chunk, entries=2 * MEMO_ENTRIES)
+        self.matches = Memo(self._match)
 
     def _match(self, match: str) -> tuple[bytes, bytes]:
         ids = self.monoid.encode(match.encode())

@@ -20,7 +20,7 @@ ROUNDS = 1200
 RATE = 0.5
 #: Powers of the length that weights per piece start from; the better of the rounded plans is taken.
 STARTS = (1.3, 2.0)
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 400_000
 MEMO_LENGTH = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -45,7 +45,9 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        # Words met lately and those of the generation before; a word met again moves to the newer one.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.between = self.tokenizer.encode(self._BETWEEN, add_special_tokens=False).ids[0]
 
     def whole(self, text: str) -> np.ndarray:
@@ -65,8 +67,11 @@ class WordTokens:
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of new words; a word is put together from its core and the punctuation at its end."""
-        known, split, wanted = self.known, {}, set()
-        for word in new:
+        if len(self.known) > MEMO_ENTRIES:
+            self.older, self.known = self.known, {}
+        out = {w: self.older[w] for w in new if w in self.older}
+        split, wanted = {}, set()
+        for word in new.difference(out):
             core = word.rstrip(self._MARKS)
             if core and core[-1].lower()[-1].isalnum():
                 tail, core = word[len(core) :], core.lower() if core.isascii() else core
@@ -76,12 +81,14 @@ class WordTokens:
             else:
                 wanted.add(word)
         wanted.discard("")
-        found = self._encode([w for w in wanted if w not in known])
-        known.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_LENGTH)
-        get = lambda w: known[w] if w in known else found[w] if w else b""
-        ready = {word: get(core) + get(tail) for word, (core, tail) in split.items()}
-        known.update((w, ids) for w, ids in ready.items() if len(w) <= MEMO_LENGTH)
-        return found | ready
+        known, older = self.known, self.older
+        parts = {w: known.get(w) or older.get(w) for w in wanted}
+        parts |= self._encode([w for w, ids in parts.items() if ids is None])
+        parts[""] = b""
+        out |= parts
+        out |= {word: parts[core] + parts[tail] for word, (core, tail) in split.items()}
+        known.update((w, ids) for w, ids in out.items() if len(w) <= MEMO_LENGTH)
+        return out
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
@@ -89,16 +96,11 @@ class WordTokens:
                 yield self.whole(text).tobytes()
                 continue
             words = text.split()
-            known = self.known
-            if new := [w for w in words if w not in known]:
-                if len(known) > MEMO_ENTRIES:
-                    known.clear()
-                    new = words
-                learnt = self._learn(set(new))
-                if any(len(w) > MEMO_LENGTH for w in learnt):
-                    yield b"".join([known[w] if w in known else learnt[w] for w in words])
-                    continue
-            yield b"".join(map(known.__getitem__, words))
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                learnt = self._learn({w for w, i in zip(words, ids, strict=True) if i is None})
+                ids = [learnt[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            yield b"".join(ids)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
