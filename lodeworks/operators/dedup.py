@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.functions import text as T
+
 
 def content_hash(text: Column, head: int = 2000) -> Column:
     return F.sha2(F.substring(text, 1, head), 256)
@@ -15,38 +17,69 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+# Determiners, abstract endings, and words too generic to stand alone.
+DETERMINERS = "the|a|an|this|that|these|those|its|our|their|his|her|my|your"
+ENDINGS = "ing|tion|sion|ment|ence|ance|ity|ness|ology|graphy|metry"
+GENERIC = [
+    "the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "have",
+    "has", "had", "do", "does", "did", "will", "would", "can", "could", "may", "might", "shall", "should", "must", "need", "dare", "ought",
+    "used", "about", "above", "across", "after", "against", "along", "among", "around", "before", "behind", "below", "beneath", "beside",
+    "between", "beyond", "by", "down", "during", "except", "from", "into", "like", "near", "off", "onto", "out", "outside", "over", "past",
+    "since", "through", "till", "toward", "under", "until", "up", "upon", "with", "within", "without", "thing", "things", "stuff", "way",
+    "ways", "one", "ones", "part", "parts",
+]
+
+
 def canonical_entity(entity: Column) -> Column:
-    """Lower case, without leading determiners, the last word in the singular."""
-    bare = F.regexp_replace(F.lower(F.trim(entity)), r"^((the|a|an) )+", "")
+    """Without leading determiners, the last word naively in the singular."""
+    bare = F.regexp_replace(F.trim(entity), rf"(?i)^(({DETERMINERS})\s+)+", "")
+    low = F.lower(bare)
+    cut = lambda n: F.substring(bare, F.lit(1), F.length(bare) - n)
     return (
-        F.when(bare.rlike("[^ ]ies$"), F.regexp_replace(bare, "ies$", "y")).when(bare.rlike("[^ ]ses$"), F.regexp_replace(bare, "es$", "")).when(bare.rlike("[^ ]ches$"), F.regexp_replace(bare, "es$", ""))
-        .when(bare.rlike("[^ s]s$") & (F.length(bare) > 3), F.regexp_replace(bare, "s$", "")).otherwise(bare)
+        F.when(low.rlike(r"\S{2,}ies$"), F.concat(cut(3), F.lit("y"))).when(low.rlike(r"\S[^s\s]ses$"), cut(1)).when(low.rlike(r"\S{2,}ches$"), cut(2))
+        .when(low.rlike(r"\S{2,}[^s\s]s$"), cut(1)).otherwise(bare)
     )
 
 
 def structural_stability(entity: Column) -> Column:
-    """Word count, length and casing bonuses of an entity."""
-    n = F.size(F.split(entity, " +"))
+    """Bonuses and penalties for number of words, length, casing, hyphens, abstract endings and repetition."""
+    w = F.filter(F.split(entity, r"\s+"), lambda x: x != "")
+    n = F.size(w)
     upper = (F.upper(entity) == entity) & (F.lower(entity) != entity)
-    lead = entity.rlike("^[A-Z]")
+    capitals = F.length(F.regexp_replace(entity, "[^A-Z]", ""))
+    abstract = F.size(F.filter(w, lambda x: F.lower(x).rlike(f".{{2,}}({ENDINGS})$"))) * 0.5
+    repeated = F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / n < 0.7
     bonus = lambda t, v: F.when(t, v).otherwise(0.0)
-    return bonus(n >= 2, 2.0) + bonus(n >= 3, 1.0) + bonus(n > 6, -2.0) + bonus(F.length(entity) < 4, -2.0) + bonus(F.length(entity) > 100, -1.0) + bonus(lead & ~upper, 0.5) + bonus(upper, 0.3)
+    return (
+        bonus(n >= 2, 2.0) + bonus(n >= 3, 1.0) + bonus(n > 6, -2.0) + bonus(F.length(entity) < 4, -2.0) + bonus(F.length(entity) > 100, -1.0)
+        + bonus(entity.rlike("^[A-Z]") & ~upper, 0.5) + bonus(upper, -2.0) + bonus((F.length(entity) >= 3) & (capitals >= 2) & entity.rlike("[a-z]"), 1.5)
+        + bonus(F.size(F.filter(w, lambda x: ~x.rlike("^[A-Z]"))) == 0, 1.0) + bonus(entity.contains("-") & (n == 1), 1.0) + abstract + bonus((n > 1) & repeated, -1.0)
+    )
+
 
+def is_generic(entity: Column) -> Column:
+    return (F.size(F.split(F.trim(entity), r"\s+")) == 1) & ((F.length(F.trim(entity)) <= 3) | F.lower(F.trim(entity)).isin(GENERIC))
 
-def tier(frequency: Column, stability: Column) -> Column:
+
+def tier(entity: Column, frequency: Column, stability: Column) -> Column:
+    """expandable, contextual or noise; how often the canonical form occurs counts most."""
+    noise = T.is_artifact(entity) | is_generic(entity) | T.is_language_list(entity) | (F.length(entity) <= 2)
     return (
-        F.when(frequency >= 3, "expandable").when((frequency == 2) & (stability >= 2.0), "expandable").when((frequency <= 2) & (stability >= 3.0), "contextual").when(frequency == 2, "contextual").otherwise("noise")
-    )
+        F.when(noise, "noise").when(frequency >= 3, "expandable").when((frequency == 2) & (stability >= 2.0), "expandable").when(frequency == 2, "contextual")
+        .when(stability >= 3.0, "contextual").otherwise("noise")
+    )
 
 
 def tiered_entities(entities: DataFrame, entity: str, position: str) -> DataFrame:
-    """Per canonical form: frequency, the most stable spelling and its tier."""
+    """Per canonical form with an expandable spelling: frequency and the most stable such spelling, the earliest of equals."""
     x = entities.select(F.col(entity).alias("form"), canonical_entity(F.col(entity)).alias("canonical"), F.col(position).alias("pos"))
     # Spellings are counted before they are compared, so a frequent entity is one row per spelling.
     forms = x.groupBy("canonical", "form").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    scored = forms.withColumn("stability", structural_stability(F.col("form")))
-    totals = scored.groupBy("canonical").agg(F.sum("n").alias("frequency"), F.max(F.struct("stability", (-F.col("pos")).alias("early"), "form")).alias("best"))
-    return totals.select("canonical", "frequency", F.col("best.form").alias("form"), tier(F.col("frequency"), F.col("best.stability")).alias("tier"))
+    totals = forms.groupBy("canonical").agg(F.sum("n").alias("frequency"))
+    scored = forms.join(totals, "canonical").withColumn("stability", structural_stability(F.col("form")))
+    good = scored.where(tier(F.col("form"), F.col("frequency"), F.col("stability")) == "expandable")
+    best = good.groupBy("canonical", "frequency").agg(F.max(F.struct("stability", (-F.col("pos")).alias("early"), "form")).alias("best"))
+    return best.select("canonical", "frequency", F.col("best.form").alias("form"), F.lit("expandable").alias("tier"))
 
 
 def representative(forms: DataFrame, cluster: str, form: str) -> DataFrame:

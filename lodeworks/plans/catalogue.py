@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["relational", "texts", "derivations", "retrieval", "graphs", "validations", "streams", "readers", "knowledge"]
+MODULES = ["relational", "texts", "derivations", "retrieval", "graphs", "validations", "streams", "readers", "knowledge", "cognition"]
 
 
 def _modules() -> list:

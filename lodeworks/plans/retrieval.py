@@ -10,7 +10,7 @@ from lodeworks.functions import text as T
 from lodeworks.operators import dedup as G
 from lodeworks.operators import retrieval as R
 
-from .views import ATOMS_SQL, atoms, sql_words, table
+from .views import ATOMS_SQL, atoms, sql_any, sql_list, sql_words, table
 
 QUERIES, SQL = {}, {}
 QUERY = "what is the thing that they have"
@@ -164,13 +164,15 @@ def dup_content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return G.first_by(x, ["content_hash"], [F.asc("doc_id")])
 
 
-_CANON = """CASE WHEN regexp_matches(b, '[^ ]ies$') THEN regexp_replace(b, 'ies$', 'y') WHEN regexp_matches(b, '[^ ]ses$') THEN regexp_replace(b, 'es$', '') WHEN regexp_matches(b, '[^ ]ches$') THEN regexp_replace(b, 'es$', '')
-  WHEN regexp_matches(b, '[^ s]s$') AND length(b) > 3 THEN regexp_replace(b, 's$', '') ELSE b END"""
+_CANON = """CASE WHEN regexp_matches(b, '\\S{2,}ies$') THEN substr(form, 1, length(form) - 3) || 'y' WHEN regexp_matches(b, '\\S[^s\\s]ses$') THEN substr(form, 1, length(form) - 1)
+  WHEN regexp_matches(b, '\\S{2,}ches$') THEN substr(form, 1, length(form) - 2) WHEN regexp_matches(b, '\\S{2,}[^s\\s]s$') THEN substr(form, 1, length(form) - 1) ELSE form END"""
 
 
 @query(
     f"""WITH e AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{3,}}'))) AS form FROM documents),
-    x AS (SELECT form, doc_id, {_CANON} AS canonical FROM (SELECT *, lower(form) AS b FROM e)) SELECT canonical, count(*) AS frequency, CASE WHEN count(*) >= 3 THEN 'expandable' WHEN count(*) = 2 THEN 'contextual' ELSE 'noise' END AS tier FROM x GROUP BY 1"""
+    x AS (SELECT form, {_CANON} AS canonical FROM (SELECT *, lower(form) AS b FROM e)), f AS (SELECT *, count(*) OVER (PARTITION BY canonical) AS frequency FROM x),
+    t AS (SELECT *, NOT {sql_any('lower(form)', T.ARTIFACTS)} AND NOT list_contains({sql_list(G.GENERIC)}, lower(form)) AND (frequency >= 3 OR (frequency = 2 AND regexp_matches(lower(form), '.{{2,}}({G.ENDINGS})$'))) AS ok FROM f)
+    SELECT DISTINCT canonical, frequency, 'expandable' AS tier FROM t WHERE ok"""
 )
 def dup_entity_tiers(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.explode(T.capitalised(F.coalesce("text", F.lit("")))).alias("form"))

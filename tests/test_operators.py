@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import scores as S
 from lodeworks.functions import text as T
-from lodeworks.operators import dedup, derivation, graph, grounding, relational, retrieval, vectors
+from lodeworks.operators import cognition, dedup, derivation, graph, grounding, relational, retrieval, vectors
 from lodeworks.plans.extensions import Registry
-from lodeworks.sources import readers, tables
+from lodeworks.sources import readers, sinks, tables
 from lodeworks.streaming import pipelines
 
 
@@ -142,7 +142,7 @@ def test_greedy_and_nearest(spark):
 
 
 def test_entities(spark):
-    assert one(spark, dedup.canonical_entity(F.lit("The Studies"))) == "study"
+    assert one(spark, dedup.canonical_entity(F.lit("The Studies"))) == "Study"
     assert one(spark, dedup.canonical_entity(F.lit("batches"))) == "batch"
     assert one(spark, T.is_artifact(F.lit("10.12/abc"))) and one(spark, T.is_language_list(F.lit("English French German")))
     assert one(spark, T.is_noise_concept(F.lit(" Overview "))) and not one(spark, T.is_noise_concept(F.lit("kernel")))
@@ -193,3 +193,41 @@ def test_registry(spark):
         r.function("twice", "int")(twice)
     r.install(spark)
     assert spark.sql("SELECT twice(4) AS x").first()["x"] == 8
+
+
+def test_json_repair():
+    assert cognition.repair_json('text {"a": [1, 2') == '{"a": [1, 2]}'
+    assert cognition.repair_json('[{"x": "}"},] tail') == '{"atoms": [{"x": "}"}]}'
+    assert cognition.repair_json("none") is None
+
+
+def test_sinks(spark, tmp_path):
+    d = spark.createDataFrame([("t", "http://a.edu/x", "body")], "topic string, url string, content string")
+    sinks.write_raw(d, f"{tmp_path}/raw", "topic", "url", "content")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/raw").collect()] == ["<!-- Source: http://a.edu/x -->", "body"]
+    sinks.export(d, f"{tmp_path}/json", "json")
+    assert spark.read.json(f"{tmp_path}/json").count() == 1
+    with pytest.raises(ValueError):
+        sinks.export(d, f"{tmp_path}/x", "pdf")
+    assert sinks.static_search(d, "body nothing", "url", "content").first()["hits"] == 1
+    assert sinks.scraped(d, "url", "content").first()["academic"]
+
+
+def test_claims_merge_in_order(spark):
+    d = spark.createDataFrame([("t", 1, "the sky is very blue", 0.4), ("t", 2, "the sky is very very blue", 0.8), ("t", 3, "grass", 0.5)], "t string, o int, c string, f double")
+    got = sorted(map(tuple, cognition.merge_claims(d, "t", "o", "c", "f").collect()))
+    assert [(r[1], r[2], round(r[3], 3), r[4]) for r in got] == [("grass", 1, 0.5, 1), ("the sky is very blue", 2, 0.6, 2)]
+
+
+def test_next_action(spark):
+    d = spark.createDataFrame([("a", ["grounding", "verification"], 1), ("b", ["grounding"], 2), ("c", list(cognition.MODES), 0)], "n string, x array<string>, o int")
+    assert tuple(cognition.next_action(d, "n", "x", "o").first()) == ("b", "verification")
+
+
+def test_distil_small_and_large(spark):
+    small = "This is an informative sentence about things. " * 3
+    assert one(spark, cognition.distil(F.lit(small))) == [small.strip()]
+    large = " ".join(f"Sentence number {i} tells of one more thing to know." for i in range(200))
+    chunks = one(spark, cognition.distil(F.lit(large)))
+    assert len(chunks) == len(range(0, 191, 7)) and chunks[1].startswith("Sentence number 7 ")
+    assert one(spark, cognition.distil(F.lit(""))) == []
