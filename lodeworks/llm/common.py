@@ -67,3 +67,8 @@ def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
         kept.clear()
         kept[key] = make()
     return kept[key]
+
+
+def forget_kept() -> None:
+    """Frees what ``kept_in_worker`` holds; called by operators that need the memory for other things."""
+    sys.__dict__.get("_lodeworks_kept", {}).clear()

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_width
+from .common import forget_kept, materialise, shuffle_width
 
 FIRST_DIGIT = 64
 WIDEN = 4
@@ -51,6 +51,7 @@ def _rank(doc: int | None, key: int) -> tuple:
 
 def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map-side combine: one representative with its text for each class of equal texts of a batch."""
+    forget_kept()
     base = TaskContext.get().partitionId() << 40
     for batch in batches:
         ids = batch.column(0).to_pylist()

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, named, shuffle_width
+from .common import forget_kept, materialise, named, shuffle_width
 from .components import component_labels
 
 SEED = 42
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)`` of every row; fp is the fingerprint as a signed long. Null and blank texts have fingerprint 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             prints = [fingerprint((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["id", "fp"])
@@ -263,6 +264,7 @@ def similar_documents(
     most, least = bits_at(similarity, 64 * blocks), shared_bytes_at(similarity, positions)
 
     def prints_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             prints = [wide_fingerprint((t or "").encode(), shingle_words, blocks) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["id", "fp"])
