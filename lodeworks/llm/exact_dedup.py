@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import forget_kept, materialise, shuffle_width
 
@@ -17,7 +19,6 @@ WIDEN = 4
 MOST_BYTES = 32 << 20
 LEAST_BYTES = 64 << 10
 
-_LOCAL = "row_key long, rep_key long, id long, top_id long, top_key long, n long, body binary, sha string, row long"
 _CLASS = "rep_key long, keep_id long, keep_key long, group_size long"
 
 
@@ -50,37 +51,36 @@ def _rank(doc: int | None, key: int) -> tuple:
 
 
 def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map-side combine: one representative with its text for each class of equal texts of a batch."""
+    """Map-side combine: of each class of equal texts of a batch the best row stands for the others.
+
+    Columns in: id, text and whatever is carried. Only representatives keep their text and carried columns.
+    """
     forget_kept()
     base = TaskContext.get().partitionId() << 40
     for batch in batches:
         ids = batch.column(0).to_pylist()
         texts = [(t or "").encode().lower() for t in batch.column(1).to_pylist()]
-        first = radix_classes(texts)
         keys = [base + i for i in range(len(ids))]
         base += len(ids)
-        best: dict[int, tuple] = {}
-        size: dict[int, int] = {}
-        for i, f in enumerate(first):
-            mine = _rank(ids[i], keys[i])
-            best[f] = max(best.get(f, mine), mine)
-            size[f] = size.get(f, 0) + 1
-        digests = {f: hashlib.sha256(texts[f]).hexdigest() for f in best}
-        is_rep = [f == i for i, f in enumerate(first)]
+        members: dict[int, list[int]] = {}
+        for i, f in enumerate(radix_classes(texts)):
+            members.setdefault(f, []).append(i)
+        rep, size, digest = [0] * len(ids), [None] * len(ids), [""] * len(ids)
+        for group in members.values():
+            best = max(group, key=lambda i: _rank(ids[i], keys[i]))
+            size[best] = len(group)
+            name = hashlib.sha256(texts[best]).hexdigest()
+            for i in group:
+                rep[i], digest[i] = keys[best], name
+        stands = pa.array([n is not None for n in size])
+        kept = [pc.if_else(stands, c, pa.scalar(None, c.type)) for c in batch.columns[2:]]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(keys, pa.int64()),
-                pa.array([keys[f] for f in first], pa.int64()),
-                pa.array(ids, pa.int64()),
-                pa.array([best[i][1] if r and best[i][0] else None for i, r in enumerate(is_rep)], pa.int64()),
-                pa.array([best[i][2] if r else None for i, r in enumerate(is_rep)], pa.int64()),
-                pa.array([size[i] if r else None for i, r in enumerate(is_rep)], pa.int64()),
-                pa.array([t if r else None for t, r in zip(texts, is_rep, strict=True)], pa.binary()),
-                pa.array([digests[f] for f in first], pa.string()),
-                batch.column(2),
+                pa.array(keys, pa.int64()), pa.array(rep, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int64()),
+                pa.array([t if n is not None else None for t, n in zip(texts, size, strict=True)], pa.binary()), pa.array(digest, pa.string()), *kept,
             ],
-            names=["row_key", "rep_key", "id", "top_id", "top_key", "n", "body", "sha", "row"],
-        )
+            names=["row_key", "rep_key", "id", "n", "body", "sha", *batch.schema.names[2:]],
+        )
 
 
 def _finisher(start: int):
@@ -122,13 +122,15 @@ def _finisher(start: int):
     return finish
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None, first_digit: int = FIRST_DIGIT, most_bytes: int = MOST_BYTES) -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), first_digit: int = FIRST_DIGIT, most_bytes: int = MOST_BYTES,
+) -> DataFrame:
     """Classes of texts that are identical once A-Z are lower-cased.
 
-    Returns one row per input row: ``id, keep_id, group_size, kept, sha`` and ``row``, the caller's number for it, if given. A null text counts as empty; empty texts
-    are one class. Of a class the row with the largest id stays; a null id ranks below all others, and between rows
-    with the same id exactly one is kept. An empty input gives an empty result. Columns other than the two named are
-    not read.
+    Returns one row per input row: ``id, keep_id, group_size, kept, sha`` and each ``carry`` column as ``<name>__``,
+    null on some rows that are not kept. A null text counts as empty; empty texts are one class. Of a class the row with the
+    largest id stays; a null id ranks below all others, and between rows with the same id exactly one is kept. An
+    empty input gives an empty result. Columns not named are not read.
 
     Method: equal texts of one batch are combined first, so a hot group shrinks to one row per batch. Representatives
     are then dealt by their leading digit of ``first_digit`` bytes. Groups over a fair share of the data (at most
@@ -137,10 +139,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    number = F.lit(None) if row is None else row
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), number.cast("long").alias("row"))
-    rows = materialise(source.mapInArrow(_combine, _LOCAL), "radix")
-    reps = rows.where("body IS NOT NULL").select("rep_key", "top_id", "top_key", "n", "body")
+    carried = {c: f"__carry{i}" for i, c in enumerate(carry)}
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in carried.items()])
+    kinds = [StructField(n, k) for n, k in (("row_key", LongType()), ("rep_key", LongType()), ("id", LongType()), ("n", LongType()), ("body", BinaryType()), ("sha", StringType()))]
+    schema = StructType([*kinds, *[StructField(f.name, f.dataType) for f in source.schema.fields[2:]]])
+    rows = materialise(source.mapInArrow(_combine, schema), "radix")
+    reps = rows.where("n IS NOT NULL").select("rep_key", F.col("id").alias("top_id"), F.col("row_key").alias("top_key"), "n", "body")
     done: list[DataFrame] = []
     digit = first_digit
     total = None
@@ -150,10 +154,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if total is None:
             total = reps.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
             bound = max(LEAST_BYTES, min(most_bytes, total // (2 * width)))
-        # Groups of more than ``bound`` bytes: at most total / bound of them, a few per partition.
+        # Groups of more than ``bound`` bytes: at most total / bound of them. The planner sees the size of this table
+        # and broadcasts it if small; otherwise the join is by key, and a common prefix is a skewed side that it splits.
         big = materialise(sizes.where((F.col("rows") > 1) & (F.col("bytes") > bound)).select("prefix"), "radix-big")
         none_big = big.isEmpty()
-        small = level if none_big else level.join(F.broadcast(big), "prefix", "left_anti")
+        small = level if none_big else level.join(big, "prefix", "left_anti")
         done.append(
             small.select("prefix", "rep_key", "top_id", "top_key", "n", "body")
             .repartition(width, "prefix")
@@ -162,7 +167,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
         if none_big:
             break
-        large = level.join(F.broadcast(big), "prefix", "left_semi")
+        large = level.join(big, "prefix", "left_semi")
         ended = large.where(F.octet_length("body") <= digit)
         best = ended.groupBy("body").agg(F.max(F.struct("top_id", "top_key")).alias("top"), F.sum("n").alias("group_size"))
         done.append(
@@ -174,6 +179,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = done[0]
     for more in done[1:]:
         classes = classes.unionByName(more)
-    return rows.select("row_key", "rep_key", "id", "sha", "row").join(classes, "rep_key").select(
-        "id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "sha", "row"
-    )
+    found = rows.drop("n", "body").join(classes, "rep_key").withColumn("kept", F.col("row_key") == F.col("keep_key"))
+    return found.select("id", "keep_id", "group_size", "kept", "sha", *[F.col(a).alias(f"{c}__") for c, a in carried.items()])

@@ -149,7 +149,7 @@ def learn(
     rank = (F.xxhash64("text") if order is None else order).alias("rank")
     totals = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     # A first cut by a threshold on the hash leaves about twice the rows wanted, wherever a language is common.
-    near = rows.select("label", "text", rank).join(F.broadcast(totals), "label").where(F.pmod("rank", F.lit(1 << 20)) < F.lit(2.0 * rows_per_language * (1 << 20)) / F.col("n"))
+    near = rows.select("label", "text", rank).join(totals, "label").where(F.pmod("rank", F.lit(1 << 20)) < F.lit(2.0 * rows_per_language * (1 << 20)) / F.col("n"))
     best = Window.partitionBy("label").orderBy("rank", "text")
     sample = near.withColumn("at", F.row_number().over(best)).where(F.col("at") <= rows_per_language)
     words = sample.select("label", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
