@@ -90,5 +90,5 @@ def representative(forms: DataFrame, cluster: str, form: str) -> DataFrame:
 
 def emergent_topics(counts: DataFrame, concept: str, n: str, known: DataFrame, title: str, least: int = 5, most: int = 10) -> DataFrame:
     """Frequent concepts that are no part of a known title nor contain one; the top ones."""
-    apart = counts.where(F.col(n) >= least).join(F.broadcast(known.select(F.lower(title).alias("__t")).limit(10_000)), F.lower(concept).contains(F.col("__t")) | F.col("__t").contains(F.lower(concept)), "left_anti")
+    apart = counts.where(F.col(n) >= least).join(known.select(F.lower(title).alias("__t")), F.lower(concept).contains(F.col("__t")) | F.col("__t").contains(F.lower(concept)), "left_anti")
     return apart.orderBy(F.desc(n), concept).limit(most)

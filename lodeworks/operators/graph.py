@@ -98,9 +98,10 @@ def paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, targets: DataFr
         walk = walk.join(goal, walk["at"] == goal["goal"], "left_anti")
     n = F.size("strengths")
     geo = F.pow(F.aggregate("strengths", F.lit(1.0), lambda a, x: a * x), F.lit(1.0) / n)
-    each = done.withColumn("nid", F.monotonically_increasing_id()).select("nid", "nodes", geo.alias("geo"), n.alias("hops"))
-    authority = each.select("nid", F.explode("nodes").alias("id")).join(nodes.select("id", "authority"), "id").groupBy("nid").agg(F.avg("authority").alias("mean"))
-    scored = each.join(authority, "nid").withColumn("score", F.col("geo") * 0.5 + F.lit(0.2) / F.col("hops") + F.col("mean") * 0.3)
+    # A path's nodes are its key: each sequence of nodes arises once.
+    each = done.select("nodes", geo.alias("geo"), n.alias("hops"))
+    authority = each.select("nodes", F.explode("nodes").alias("id")).join(nodes.select("id", "authority"), "id").groupBy("nodes").agg(F.avg("authority").alias("mean"))
+    scored = each.join(authority, "nodes").withColumn("score", F.col("geo") * 0.5 + F.lit(0.2) / F.col("hops") + F.col("mean") * 0.3)
     return scored.select("nodes", "hops", "score")
 
 

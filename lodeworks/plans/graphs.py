@@ -146,22 +146,22 @@ def gra_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_E}, s AS (SELECT DISTINCT node, other FROM nb WHERE strength >= 0.3), h0 AS (SELECT id AS seed, id, 0 AS depth FROM n WHERE id % 25 = 0), h1 AS (SELECT seed, other AS id, 1 AS depth FROM h0 JOIN s ON s.node = h0.id),
+    f"""WITH {_E}, s AS (SELECT DISTINCT node, other FROM nb WHERE strength >= 0.3), h0 AS (SELECT id AS seed, id, 0 AS depth FROM n), h1 AS (SELECT seed, other AS id, 1 AS depth FROM h0 JOIN s ON s.node = h0.id),
     h2 AS (SELECT seed, other AS id, 2 AS depth FROM h1 JOIN s ON s.node = h1.id) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2"""
 )
 def gra_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return G.expand(_edges(spark, sf), _nodes(spark, sf).where("id % 25 = 0"), 2, 0.3)
+    return G.expand(_edges(spark, sf), _nodes(spark, sf), 2, 0.3)
 
 
 @query(
-    f"""WITH {_E}, s AS (SELECT node, other, max(strength) AS s FROM nb WHERE strength >= 0.2 GROUP BY 1, 2), t AS (SELECT id FROM n WHERE id % 10 = 1), p1 AS (SELECT other AS here, [id, other] AS nodes, [CAST(s AS DOUBLE)] AS st FROM n JOIN s ON s.node = id WHERE id % 10 = 0 AND other <> id),
+    f"""WITH {_E}, s AS (SELECT node, other, max(strength) AS s FROM nb WHERE strength >= 0.2 GROUP BY 1, 2), t AS (SELECT id FROM n WHERE authority >= 0.8), p1 AS (SELECT other AS here, [id, other] AS nodes, [CAST(s AS DOUBLE)] AS st FROM n JOIN s ON s.node = id WHERE pressure > 0.5 AND other <> id),
     p2 AS (SELECT other AS here, list_append(nodes, other) AS nodes, list_append(st, CAST(s AS DOUBLE)) AS st FROM p1 JOIN s ON s.node = p1.here WHERE NOT list_contains(nodes, other) AND p1.here NOT IN (SELECT id FROM t)),
     a AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), d AS (SELECT *, row_number() OVER () AS k FROM a WHERE here IN (SELECT id FROM t)), m AS (SELECT k, avg(authority) AS mean FROM (SELECT k, unnest(nodes) AS id FROM d) JOIN n USING (id) GROUP BY 1)
     SELECT array_to_string(nodes, '-') AS path, CAST(len(st) AS INTEGER) AS hops, round(pow(list_product(st), 1.0 / len(st)) * 0.5 + 0.2 / len(st) + mean * 0.3, 5) AS score FROM d JOIN m USING (k)"""
 )
 def gra_paths(spark: SparkSession, sf: str) -> DataFrame:
     n = _nodes(spark, sf)
-    p = G.paths(n, _edges(spark, sf), n.where("id % 10 = 0"), n.where("id % 10 = 1"), 2, 0.2)
+    p = G.paths(n, _edges(spark, sf), n.where("pressure > 0.5"), n.where("authority >= 0.8"), 2, 0.2)
     return p.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("path"), "hops", F.round("score", 5).alias("score"))
 
 

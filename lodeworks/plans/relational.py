@@ -58,10 +58,10 @@ def rel_upsert_lww(spark: SparkSession, sf: str) -> DataFrame:
     return A.upsert(base, rows, ["user_id"], "seq")
 
 
-@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 1000 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
 def rel_update_rows(spark: SparkSession, sf: str) -> DataFrame:
     base = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    return A.update(base, base.where("s_suppkey % 3 = 0").select("s_suppkey", F.lit(0.0).alias("s_acctbal")), "s_suppkey")
+    return A.update(base, base.where("s_acctbal < 1000").select("s_suppkey", F.lit(0.0).alias("s_acctbal")), "s_suppkey")
 
 
 @query("SELECT event_id, event_type FROM events WHERE NOT (event_type = 'error' AND user_id = 3)")
@@ -71,29 +71,26 @@ def rel_delete_where(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """
-    SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 5 <> 0
-    UNION ALL SELECT o_orderkey, 1, o_totalprice FROM orders WHERE o_orderkey % 5 = 0
+    SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+    UNION ALL SELECT o_orderkey, 1, o_totalprice FROM orders WHERE o_orderstatus = 'F'
     """
 )
 def rel_replace_children(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    parents = table(spark, sf, "orders").where("o_orderkey % 5 = 0")
-    rows = parents.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("o_totalprice").alias("l_quantity"))
-    return A.replace_children(lines, rows, "l_orderkey").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").unionByName(
-        lines.where("l_orderkey % 5 <> 0").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti")
-    )
+    parents = table(spark, sf, "orders").where("o_orderstatus = 'F'")
+    return A.replace_children(lines, parents.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("o_totalprice").alias("l_quantity")), "l_orderkey")
 
 
 @query(
     """
     WITH a AS (SELECT doc_id, lang, md5(text) AS content_hash, octet_length(encode(text)) AS bytes,
       row_number() OVER (PARTITION BY lang, md5(text) ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, lang, content_hash, bytes FROM a WHERE k = 1 AND content_hash NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 50 AND text IS NOT NULL)
+    SELECT doc_id, lang, content_hash, bytes FROM a WHERE k = 1 AND content_hash NOT IN (SELECT md5(text) FROM documents WHERE lang = 'de' AND text IS NOT NULL)
     """
 )
 def rel_ingest_sources(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "lang", F.md5("text").alias("content_hash"), F.octet_length("text").cast("long").alias("bytes"))
-    old = docs.where("doc_id < 50").select("content_hash").distinct()
+    old = docs.where("lang = 'de'").select("content_hash").distinct()
     fresh = A.ingest(docs.limit(0), docs, ["lang", "content_hash"], [F.asc("doc_id")])
     return fresh.join(old, "content_hash", "left_anti").select("doc_id", "lang", "content_hash", "bytes")
 
@@ -182,10 +179,10 @@ def rel_not_in_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return R.null_aware_gaps(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id"), "doc_id", "doc_id")
 
 
-@query("SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages v WHERE v.page_id < 100 AND v.url = p.url) AND url <> ''")
+@query("SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages v WHERE starts_with(v.url, 'https') AND v.url = p.url) AND url <> ''")
 def rel_anti_visited(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
-    return pages.where("url <> ''").join(pages.where("page_id < 100").select("url").distinct(), "url", "left_anti").select("page_id", "url")
+    return pages.where("url <> ''").join(pages.where(F.col("url").startswith("https")).select("url").distinct(), "url", "left_anti").select("page_id", "url")
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS chunks FROM conversations GROUP BY 1")
@@ -197,7 +194,7 @@ def rel_text_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     """
     WITH RECURSIVE edge AS (
       SELECT 'r' || r_regionkey AS a, 'n' || n_nationkey AS b FROM region JOIN nation ON n_regionkey = r_regionkey
-      UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey % 10 = 0
+      UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
     ), walk(node, depth) AS (SELECT 'r1', 0 UNION ALL SELECT e.b, w.depth + 1 FROM walk w JOIN edge e ON e.a = w.node WHERE w.depth < 3)
     SELECT node, CAST(depth AS INTEGER) AS depth FROM walk
     """
@@ -209,7 +206,7 @@ def rel_recursive_walk(spark: SparkSession, sf: str) -> DataFrame:
         """
         WITH RECURSIVE edge AS (
           SELECT concat('r', r_regionkey) AS a, concat('n', n_nationkey) AS b FROM __walk_region JOIN __walk_nation ON n_regionkey = r_regionkey
-          UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM __walk_customer WHERE c_custkey % 10 = 0
+          UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM __walk_customer
         ), walk(node, depth) AS (SELECT 'r1', 0 UNION ALL SELECT e.b, w.depth + 1 FROM walk w JOIN edge e ON e.a = w.node WHERE w.depth < 3)
         SELECT node, depth FROM walk
         """
@@ -332,10 +329,10 @@ def rel_topic_health(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT vec_id FROM embeddings WHERE NOT (vec_id % 3 = 0 AND label % 2 = 0)")
+@query("SELECT vec_id FROM embeddings WHERE NOT (label < 6 AND label % 2 = 0)")
 def rel_embedding_stale(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select("vec_id", "label")
-    registry = vectors.where("vec_id % 3 = 0").select("vec_id", F.when(F.col("label") % 2 == 0, "m2").otherwise("m1").alias("model"))
+    registry = vectors.where("label < 6").select("vec_id", F.when(F.col("label") % 2 == 0, "m2").otherwise("m1").alias("model"))
     return A.stale_embeddings(vectors.select("vec_id"), registry, "vec_id", "m2")
 
 
