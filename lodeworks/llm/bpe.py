@@ -17,7 +17,7 @@ from .common import kept_in_worker, named
 
 #: The characters of the Unicode property White_Space, as a class body.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 400_000
 MEMO_LENGTH = 64
 
 
@@ -67,7 +67,7 @@ class TokenMonoid:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.stable = Memo(self._stable)
-        self.short = Memo(self._halves, length=16)
+        self.short = Memo(self._halves, length=12)
         self.windows = Memo(self.merge, length=32)
 
     def merge(self, data: bytes) -> list[int]:
@@ -121,11 +121,17 @@ class TokenMonoid:
         return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
     def encode(self, data: bytes) -> list[int]:
-        """Encodes one match of the splitting pattern, by halves."""
+        """Encodes a byte string by halves, remembering short parts."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
         return self.short[data] if data else []
 
+    def encode_match(self, data: bytes) -> list[int]:
+        """Encodes one match of the splitting pattern; the caller remembers it."""
+        if (whole := self.ranks.get(data)) is not None:
+            return [whole]
+        return self._halves(data)
+
     def decode(self, ids: list[int]) -> bytes:
         """Concatenates up the tree."""
         if len(ids) <= 64:
@@ -145,15 +151,27 @@ class TextCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.monoid = TokenMonoid(ranks)
         self.split = split_pattern(pattern)
+        self.plain = all(self.split.findall(x) == y for x, y in ((" az", [" az"]), (" é,", [" é", ","]), (" ß!", [" ß", "!"]), (" 日?", [" 日", "?"])))
         self.chunks = Memo(self._chunk, entries=2 * MEMO_ENTRIES)
         self.matches = Memo(self._match)
 
     def _match(self, match: str) -> tuple[bytes, bytes]:
-        ids = self.monoid.encode(match.encode())
-        return b" ".join([b"%d" % i for i in ids]), self.monoid.decode(ids)
+        ids = self.monoid.encode_match(match.encode())
+        if len(ids) == 1:
+            return b"%d" % ids[0], self.monoid.bytes_of[ids[0]]
+        return " ".join(map(str, ids)).encode(), self.monoid.decode(ids)
+
+    def _split(self, chunk: str) -> list[str]:
+        """Matches of the pattern; a blank, letters and a mark need no regular expression."""
+        if chunk[0] == " " and self.plain:
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[-1] in ".,;:!?" and chunk[1:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.split.findall(chunk)
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        parts = list(map(self.matches.__getitem__, self.split.findall(chunk)))
+        parts = list(map(self.matches.__getitem__, self._split(chunk)))
         return parts[0] if len(parts) == 1 else (b" ".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
 
     def pieces(self, text: str) -> list[tuple[bytes, bytes]]:

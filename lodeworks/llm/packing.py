@@ -20,7 +20,7 @@ ROUNDS = 1200
 RATE = 0.5
 #: Powers of the length that weights per piece start from; the better of the rounded plans is taken.
 STARTS = (1.3, 2.0)
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 500_000
 MEMO_LENGTH = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -72,22 +72,30 @@ class WordTokens:
         out = {w: self.older[w] for w in new if w in self.older}
         split, wanted = {}, set()
         for word in new.difference(out):
-            core = word.rstrip(self._MARKS)
+            core = word.rstrip(self._MARKS) if word[-1] in self._MARKS else word
             if core and core[-1].lower()[-1].isalnum():
-                tail, core = word[len(core) :], core.lower() if core.isascii() else core
+                tail = word[len(core) :]
+                if core.isascii():
+                    core = core.lower()
+                if tail:
+                    wanted.add(tail)
+                elif core == word:
+                    wanted.add(word)
+                    continue
                 split[word] = (core, tail)
                 wanted.add(core)
-                wanted.add(tail)
             else:
                 wanted.add(word)
-        wanted.discard("")
         known, older = self.known, self.older
         parts = {w: known.get(w) or older.get(w) for w in wanted}
         parts |= self._encode([w for w, ids in parts.items() if ids is None])
-        parts[""] = b""
         out |= parts
-        out |= {word: parts[core] + parts[tail] for word, (core, tail) in split.items()}
-        known.update((w, ids) for w, ids in out.items() if len(w) <= MEMO_LENGTH)
+        for word, (core, tail) in split.items():
+            out[word] = parts[core] + parts[tail] if tail else parts[core]
+        if max(map(len, out)) <= MEMO_LENGTH:
+            known.update(out)
+        else:
+            known.update((w, ids) for w, ids in out.items() if len(w) <= MEMO_LENGTH)
         return out
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
