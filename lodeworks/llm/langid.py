@@ -18,6 +18,8 @@ from .common import kept_in_worker
 ROWS_PER_LANGUAGE = 1500
 WORDS_PER_LANGUAGE = 40_000
 ROUNDS = 3
+#: Labels whose counts are broadcast; more are joined by key.
+MOST_BROADCAST = 10_000
 MARK = "▁"
 BLOCK = 24
 GROUP = 256
@@ -148,6 +150,8 @@ def learn(
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
     rank = (F.xxhash64("text") if order is None else order).alias("rank")
     totals = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    if totals.count() <= MOST_BROADCAST:
+        totals = F.broadcast(totals)
     # A first cut by a threshold on the hash leaves about twice the rows wanted, wherever a language is common.
     near = rows.select("label", "text", rank).join(totals, "label").where(F.pmod("rank", F.lit(1 << 20)) < F.lit(2.0 * rows_per_language * (1 << 20)) / F.col("n"))
     best = Window.partitionBy("label").orderBy("rank", "text")
