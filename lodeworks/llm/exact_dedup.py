@@ -14,6 +14,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from .common import forget_kept, materialise, shuffle_width
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_DIGIT = 64
 WIDEN = 4
 MOST_BYTES = 32 << 20
@@ -50,10 +51,11 @@ def _rank(doc: int | None, key: int) -> tuple:
     return (doc is not None, doc or 0, key)
 
 
-def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combine(batches: Iterable[pa.RecordBatch], with_body: bool) -> Iterator[pa.RecordBatch]:
     """Map-side combine: of each class of equal texts of a batch the best row stands for the others.
 
-    Columns in: id, text and whatever is carried. Only representatives keep their text and carried columns.
+    Columns in: id, text and whatever is carried. Only representatives keep their text and carried columns; the
+    normalised text is left out where the text is carried anyway.
     """
     forget_kept()
     base = TaskContext.get().partitionId() << 40
@@ -77,7 +79,7 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(keys, pa.int64()), pa.array(rep, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int64()),
-                pa.array([t if n is not None else None for t, n in zip(texts, size, strict=True)], pa.binary()), pa.array(digest, pa.string()), *kept,
+                pa.array([t if with_body and n is not None else None for t, n in zip(texts, size, strict=True)], pa.binary()), pa.array(digest, pa.string()), *kept,
             ],
             names=["row_key", "rep_key", "id", "n", "body", "sha", *batch.schema.names[2:]],
         )
@@ -143,8 +145,10 @@ def exact_duplicates(
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in carried.items()])
     kinds = [StructField(n, k) for n, k in (("row_key", LongType()), ("rep_key", LongType()), ("id", LongType()), ("n", LongType()), ("body", BinaryType()), ("sha", StringType()))]
     schema = StructType([*kinds, *[StructField(f.name, f.dataType) for f in source.schema.fields[2:]]])
-    rows = materialise(source.mapInArrow(_combine, schema), "radix")
-    reps = rows.where("n IS NOT NULL").select("rep_key", F.col("id").alias("top_id"), F.col("row_key").alias("top_key"), "n", "body")
+    with_body = text_col not in carry
+    rows = materialise(source.mapInArrow(lambda batches: _combine(batches, with_body), schema), "radix")
+    body = F.col("body") if with_body else F.encode(F.translate(F.coalesce(F.col(carried[text_col]).cast("string"), F.lit("")), UPPER, LOWER), "UTF-8")
+    reps = rows.where("n IS NOT NULL").select("rep_key", F.col("id").alias("top_id"), F.col("row_key").alias("top_key"), "n", body.alias("body"))
     done: list[DataFrame] = []
     digit = first_digit
     total = None

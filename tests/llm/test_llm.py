@@ -394,6 +394,15 @@ def test_exact_dedup(spark, edge, most, monkeypatch):
     assert sum(r["kept"] for r in got) == len(classes) and all(r["id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_exact_dedup_carries_rows(spark, edge):
+    plain = exact_dedup.exact_duplicates(edge).select("id", "keep_id", "group_size", "kept", "sha")
+    got = exact_dedup.exact_duplicates(edge, carry=("text", "keep_id", "doc_id"))
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, got.select(plain.columns).collect())) == sorted(map(key, plain.collect()))
+    kept = got.where("kept").collect()
+    assert all(r["doc_id__"] == r["id"] and hashlib.sha256(ascii_lower(r["text__"] or "").encode()).hexdigest() == r["sha"] for r in kept)
+
+
 def test_radix_classes():
     rng = random.Random(8)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 8, 16, 40]))) for _ in range(400)]
