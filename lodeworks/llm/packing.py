@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,15 +49,29 @@ class WordTokens:
         # Words met lately and those of the generation before; a word met again moves to the newer one.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.byte_letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
         self.between = self.tokenizer.encode(self._BETWEEN, add_special_tokens=False).ids[0]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Encodes words together, a mark that none of them contains between each two."""
-        plain = [w for w in words if self._BETWEEN not in w]
-        out = {w: self.whole(w).tobytes() for w in words if self._BETWEEN in w}
+        """Encodes words.
+
+        Latin letters alone are one match of the tokenizer's pattern and already composed, so their lower-case bytes go
+        straight to its merges. Other words are encoded together, a mark that none of them contains between each two.
+        """
+        out, plain, merge, table = {}, [], self.tokenizer.model.tokenize, self.byte_letters
+        for w in words:
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w):
+                low = w.lower()
+                out[w] = array("I", [t.id for t in merge(low if w.isascii() else low.encode().decode("latin-1").translate(table))]).tobytes()
+            elif self._BETWEEN in w:
+                out[w] = self.whole(w).tobytes()
+            else:
+                plain.append(w)
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
             ids = self.whole(f" {self._BETWEEN} ".join(part))

@@ -372,6 +372,10 @@ def test_word_tokens_equal_the_library():
     for _ in range(2000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
         assert next(iter(w.batch([text]))) == w.whole(text).tobytes()
+    letters = [chr(c) for c in range(0x41, 0x260) if chr(c).isalpha()]
+    for _ in range(2000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+        assert next(iter(w.batch([text]))) == w.whole(text).tobytes(), text
 
 
 # 8
