@@ -225,97 +225,156 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fp").select("id", "fp", "component_id")
 
 
-BLOCKS = 8
-KEY_ROUNDS = 6
+#: Texts and shingles of the sample that tells common shingles; they decide the order of keys, never the result.
+COMMON_TEXTS = 10_000
+COMMON_SHINGLES = 200_000
+PAIRS = 1 << 18
 
 
-def bits_at(similarity: float, bits: int) -> int:
-    """Differing bits expected between fingerprints of texts of a Jaccard similarity, and half a standard deviation more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(p * bits + 0.5 * math.sqrt(bits * p * (1 - p)))
+def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles, words as in ``fingerprint``; empty for a text without words."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    stops = ends.tolist()[min(shingle_words, len(words)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops)))
+
 
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets of that similarity, in one order of all shingles, the first so many of each have one in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-def shared_bytes_at(similarity: float, positions: int) -> int:
-    """The number of positional bytes that such fingerprints share at least, three standard deviations below the mean."""
-    p = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** 8
-    return max(1, math.floor(positions * p - 3 * math.sqrt(positions * p * (1 - p))))
 
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first column, cut between keys only."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        more = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        held = [np.concatenate(x) for x in zip(held, more, strict=True)] if held else more
+        change = np.flatnonzero(np.diff(held[0]))
+        if len(change):
+            yield [x[: change[-1] + 1] for x in held]
+            held = [x[change[-1] + 1 :] for x in held]
+    if held:
+        yield held
 
-def similar_documents(
-    docs: DataFrame, id_col: str, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, blocks: int = BLOCKS, rounds: int = KEY_ROUNDS,
-) -> DataFrame:
+
+def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row: ``id`` and ``component_id``, the smallest id of its group of near duplicates.
 
-    ``id_col`` numbers the rows: longs, unique and not null. Blank and null texts are one group. An empty input gives
-    an empty result.
-
-    Method: a fingerprint of ``64 * blocks`` bits tells similarities down to 0.8 apart where 64 bits cannot. Its bytes
-    are indexed by position, several positions at a time: three, and one more for each time that the table outgrows
-    1/16 of the possible keys, so that unrelated texts hardly meet in a list at any size; the number of fixed
-    permutations that cut the positions into disjoint keys (``rounds``) doubles with it. A list links each member to
-    its smallest, so its work is linear. For every candidate pair the equal positional bytes are tallied, pairs below
-    the minimum that the similarity implies are left, and the others are verified: their bits may differ in no more
-    places than the similarity allows, give or take half a standard deviation. Links are closed transitively. The
-    index is a probabilistic one; README has measured figures.
+    ``id_col`` numbers the rows: longs, unique, not null, and the same whenever ``docs`` is read. Blank and null texts
+    are one group. An empty input gives an empty result.
+
+    Near duplicates are all pairs whose sets of shingles have a Jaccard similarity of at least ``similarity``, closed
+    transitively, at any size of the table. Equal sets are put together first. The shingles have one order: those
+    common in a sample of bounded size last, then by hash. Two similar sets share one of their first few shingles, so
+    an inverted index of these prefixes holds every pair; which shingles are known as common decides only how long its
+    lists are. Pairs whose sizes or places in a list rule out the similarity are left out. Candidates are verified on their whole sets.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    positions = 8 * blocks
-    most, least = bits_at(similarity, 64 * blocks), shared_bytes_at(similarity, positions)
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    def prints_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingle_set((t or "").encode(), shingle_words) for t in batch.column(0).slice(at, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(COMMON_TEXTS * (1 << 20) / max(source.count(), 1))
+    tally = source.where(share).select("text").mapInArrow(shingles_of, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = tally.orderBy(F.desc("n"), "h").limit(COMMON_SHINGLES).toArrow()
+    hashes, counts = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    by_hash = np.argsort(hashes)
+    common = spark.sparkContext.broadcast((np.append(hashes[by_hash], np.uint64(0)), np.append(counts[by_hash], 0)))
+
+    def prefixes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
+        known, count = common.value
         for batch in batches:
-            prints = [wide_fingerprint((t or "").encode(), shingle_words, blocks) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["id", "fp"])
+            sets = [shingle_set((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
+            prefixes = []
+            for s in sets:
+                place = np.searchsorted(known[:-1], s)
+                rank = np.where(known[place] == s, count[place], 0)
+                prefixes.append(s[np.lexsort((s, rank))[: prefix_length(len(s), similarity)]].tobytes())
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "prefix"])
 
     def postings_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.int64(256) ** np.arange(key_bytes, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                matrix = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, positions)
-                keys = (matrix[:, choices].astype(np.int64) * weights).sum(axis=2) + (np.arange(len(choices), dtype=np.int64) << (8 * key_bytes))
-                ids = np.repeat(part.column(1).to_numpy(), len(choices))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["k", "id"])
+                prefixes = part.column(2).to_pylist()
+                times = [len(x) // 8 for x in prefixes]
+                ids, n = (np.repeat(part.column(c).to_numpy(), times) for c in (0, 1))
+                place = np.concatenate([np.arange(x, dtype=np.int32) for x in times])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(prefixes), np.int64), ids, n, place)], names=["k", "id", "n", "place"])
+
+    def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists of one member go."""
+        for columns in _runs(batches):
+            new = np.r_[True, np.diff(columns[0]) != 0]
+            more = ~(new & np.r_[new[1:], True])
+            if more.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in columns], names=["k", "id", "n", "place"])
+
+    def possible(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether sets of n and m shingles, the first common one at these places, can have enough in common.
+
+        Of a pair's lists that of its first common shingle answers for it; the others may fail here.
+        """
+        return np.minimum(n - place, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive by key and id; only the open list's key and smallest id are held."""
-        key, first = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, i = (batch.column(c).to_numpy() for c in (0, 1))
-            new = np.r_[key is None or k[0] != key, np.diff(k) != 0]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            low = np.where(start >= 0, i[np.maximum(start, 0)], first if first is not None else 0)
-            key, first = k[-1], low[-1]
-            far = low != i
-            if far.any():
-                pairs = np.unique(np.stack([low[far], i[far]], axis=1), axis=0)
+        """Rows by key and size: the members of like sizes with one of them, another one in each list by its key."""
+        for k, i, n, place in _runs(batches):
+            centre, start = np.arange(len(k)), 0
+            for stop in [*(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]:
+                while start < stop:
+                    end = start + int(np.searchsorted(n[start:stop], n[start] / similarity + 1e-9, "right"))
+                    centre[start:end], start = start + int(k[start]) % (end - start), end
+            far = np.flatnonzero(centre != np.arange(len(k)))
+            far = far[possible(n[centre[far]], place[centre[far]], n[far], place[far])]
+            if len(far):
+                ends = np.stack([i[centre[far]], i[far]], axis=1)
+                pairs = np.unique(np.sort(ends, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, positions) for c in (2, 3))
-            good = (a == b).sum(axis=1) >= least
-            good[good] = np.bitwise_count(a[good] ^ b[good]).sum(axis=1, dtype=np.int64) <= most
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], names=["u", "v"])
+            sets = [shingle_set((t or "").encode(), shingle_words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    prints = materialise(source.mapInArrow(prints_of, "id long, fp binary"), "simhash-wide")
-    groups = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash-groups")
-    key_bytes = 3
-    while 256**key_bytes < 16 * groups.count() and key_bytes < 6:
-        key_bytes, rounds = key_bytes + 1, rounds * 2
-    rng = np.random.default_rng(1)
-    choices = np.concatenate([rng.permutation(positions)[: positions // key_bytes * key_bytes].reshape(-1, key_bytes) for _ in range(rounds)])
-    postings = groups.select("fp", "id").mapInArrow(postings_of, "k long, id long")
-    pairs = postings.repartition(width, "k").sortWithinPartitions("k", "id").mapInArrow(stars, "u long, v long").distinct()
-    left, right = groups.select(F.col("id").alias("u"), F.col("fp").alias("a")), groups.select(F.col("id").alias("v"), F.col("fp").alias("b"))
-    links = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
-    labels = component_labels(links)
-    rooted = groups.join(labels, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(rooted, "fp").select("id", "component_id")
+    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([a, b]), kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                good.append(same >= similarity * (len(both) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in (0, 1)], names=["u", "v"])
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.distinct(), "similar-pairs")
+        needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+        sets = materialise(source.join(needed, "id", "left_semi").mapInArrow(sets_of, "id long, s binary"), "similar-sets")
+        left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
+        return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
+
+    prints = materialise(source.mapInArrow(prefixes_of, "id long, digest binary, n int, prefix binary"), "prefixes")
+    groups = materialise(prints.groupBy("digest").agg(F.min_by(F.struct("id", "n", "prefix"), "id").alias("g")).select("digest", "g.*"), "prefix-groups")
+    postings = groups.select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
+    lists = materialise(postings.repartition(width, "k").sortWithinPartitions("k").mapInArrow(shared, "k long, id long, n int, place int"), "prefix-lists")
+    labels = component_labels(links(lists.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(stars, "u long, v long")))
+    rooted = groups.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+    return prints.select("id", "digest").join(rooted, "digest").select("id", "component_id")

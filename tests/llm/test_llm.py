@@ -141,6 +141,34 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(spark.createDataFrame([], "n long, text string"), "n").count() == 0
 
 
+def brute_components(texts: dict, similarity: float = 0.8) -> dict:
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if root[a] != root[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_similar_documents_finds_every_pair_near_the_threshold(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = {}
+    for _ in range(150):
+        base = [word() for _ in range(300)]
+        cut = rng.randrange(24, 38)  # similarities of about 0.77 to 0.86
+        other = base[: 300 - cut] + [word() for _ in range(cut)]
+        for t in (base, other):
+            texts[len(texts)] = " ".join(t)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "n long, text string"), "n").collect()}
+    want = brute_components(texts)
+    assert got == want and 30 < sum(i != r for i, r in want.items()) < 150
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 7), (10, 9), (9, 8), (8, -5)] + [(100, i) for i in range(101, 200)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.component_labels(edges).collect()}
