@@ -276,6 +276,8 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
     common in a sample of bounded size last, then by hash. Two similar sets share one of their first few shingles, so
     an inverted index of these prefixes holds every pair; which shingles are known as common decides only how long its
     lists are. Pairs whose sizes or places in a list rule out the similarity are left out. Candidates are verified on their whole sets.
+    Each member of a list is first compared with one other, which is linear and joins large groups of copies; then all
+    pairs of a list that no link has joined are compared, so lists of many unlike texts cost their square.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -349,12 +351,36 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
                 pairs = np.unique(np.sort(ends, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
+    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by key and size: all pairs of a list whose sizes allow it and that are not joined yet."""
+        for k, i, n, place, label in _runs(batches):
+            stops = np.searchsorted(k, k, "right")
+            allowed = n / similarity + 1e-9
+            start, found = 0, []
+            for row in range(len(k)):
+                if row + 1 == stops[row]:
+                    continue
+                end = row + 1 + int(np.searchsorted(n[row + 1 : stops[row]], allowed[row], "right"))
+                far = slice(row + 1, end)
+                far = row + 1 + np.flatnonzero((label[far] != label[row]) & possible(n[row], place[row], n[far], place[far]))
+                if len(far):
+                    found.append(np.sort(np.stack([np.full(len(far), i[row]), i[far]], axis=1), axis=1))
+                    start += len(far)
+                if start > PAIRS:
+                    pairs, start, found = np.unique(np.concatenate(found), axis=0), 0, []
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set((t or "").encode(), shingle_words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the verified pairs of a task as many as join the same texts: at most one for each."""
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -362,7 +388,11 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
                 both = np.sort(np.concatenate([a, b]), kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
                 good.append(same >= similarity * (len(both) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in (0, 1)], names=["u", "v"])
+            more = [batch.column(c).to_numpy()[np.array(good, bool)] for c in (0, 1)]
+            ids, at = np.unique(np.concatenate([u, more[0], v, more[1]]), return_inverse=True)
+            inner, root = _forest(len(ids), at[: len(at) // 2], at[len(at) // 2 :])
+            u, v = ids[root], ids[inner]
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.distinct(), "similar-pairs")
@@ -376,5 +406,12 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
     postings = groups.select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
     lists = materialise(postings.repartition(width, "k").sortWithinPartitions("k").mapInArrow(shared, "k long, id long, n int, place int"), "prefix-lists")
     labels = component_labels(links(lists.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(stars, "u long, v long")))
+    labelled = lists.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("label"))
+    rest = labelled.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(across, "u long, v long")
+    # Texts joined already stand as their group from here on.
+    further = links(rest)
+    for end in ("u", "v"):
+        further = further.join(labels, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("u", "v")
+    labels = component_labels(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further.distinct()))
     rooted = groups.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     return prints.select("id", "digest").join(rooted, "digest").select("id", "component_id")

@@ -169,6 +169,20 @@ def test_similar_documents_finds_every_pair_near_the_threshold(spark):
     assert got == want and 30 < sum(i != r for i, r in want.items()) < 150
 
 
+def test_similar_documents_compares_members_unlike_the_first(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = {}
+    for _ in range(20):
+        base = [word() for _ in range(100)]
+        parts = [" ".join(base[at : at + 70]) for at in (0, 10, 20, 30)] + [" ".join(base[:at] + base[at + 30 :]) for at in (20, 40, 60)]
+        for t in [*parts, " ".join([*base, word()]), " ".join([*base, word()])]:
+            texts[len(texts)] = t
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "n long, text string"), "n").collect()}
+    want = brute_components(texts)
+    assert got == want and all(want[i + 8] == want[i + 7] for i in range(0, len(texts), 9))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 7), (10, 9), (9, 8), (8, -5)] + [(100, i) for i in range(101, 200)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.component_labels(edges).collect()}
