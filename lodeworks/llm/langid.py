@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,9 @@ from .common import kept_in_worker
 ROWS_PER_LANGUAGE = 1500
 WORDS_PER_LANGUAGE = 40_000
 ROUNDS = 3
-#: Labels whose counts are broadcast; more are joined by key.
+#: Labels whose bounds are broadcast; more are joined by key. Ranks that a task holds before it hands them on.
 MOST_BROADCAST = 10_000
+MOST_RANKS = 1_000_000
 MARK = "▁"
 BLOCK = 24
 GROUP = 256
@@ -138,24 +139,53 @@ def fit_unigrams(counts: dict[str, dict[str, int]], pieces: list[str], rounds: i
     return model
 
 
+def _least_ranks(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k least distinct ranks of each label among a task's rows, or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            labels = np.repeat(np.array(list(held), object), [len(x) for x in held.values()])
+            return pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(np.concatenate(list(held.values())))], names=["label", "rank"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            codes, ranks = coded.indices.to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            for label, part in zip(coded.dictionary.to_pylist(), np.split(ranks[order], np.cumsum(np.bincount(codes))[:-1]), strict=True):
+                held[label] = np.unique(np.concatenate([held[label], part]) if label in held else part)[:k]
+            if sum(map(len, held.values())) > MOST_RANKS:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    return run
+
+
 def learn(
     labelled: DataFrame, pieces: list[str], text_col: str = "text", label_col: str = "lang", order: Column | None = None,
     rows_per_language: int = ROWS_PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE,
 ) -> Unigrams:
-    """Fits a model on at most ``rows_per_language`` whole texts of each label, chosen by ``order`` (a hash of the text).
+    """Fits a model on at most ``rows_per_language`` distinct whole texts of each label, chosen by ``order`` (a hash of the text).
 
-    Rows without a text or label are passed over. Words are counted in Spark; of each language the
+    A label with a text is never left without a sample, however often its texts repeat. Rows without a text or label are passed over. Words are counted in Spark; of each language the
     ``words_per_language`` most frequent distinct words reach the driver, so the fit is of bounded size.
     """
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    rank = (F.xxhash64("text") if order is None else order).alias("rank")
-    totals = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    if totals.count() <= MOST_BROADCAST:
-        totals = F.broadcast(totals)
-    # A first cut by a threshold on the hash leaves about twice the rows wanted, wherever a language is common.
-    near = rows.select("label", "text", rank).join(totals, "label").where(F.pmod("rank", F.lit(1 << 20)) < F.lit(2.0 * rows_per_language * (1 << 20)) / F.col("n"))
-    best = Window.partitionBy("label").orderBy("rank", "text")
-    sample = near.withColumn("at", F.row_number().over(best)).where(F.col("at") <= rows_per_language)
+    rank = (F.xxhash64("text") if order is None else order.cast("long")).alias("rank")
+    # Tasks keep the least distinct ranks of each label, so that copies of a text neither fill nor empty its sample.
+    least = rows.select("label", rank).mapInArrow(_least_ranks(rows_per_language), "label string, rank long")
+    best = Window.partitionBy("label").orderBy("rank")
+    chosen = least.distinct().withColumn("at", F.row_number().over(best)).where(F.col("at") <= rows_per_language)
+    bound = chosen.groupBy("label").agg(F.max("rank").alias("bound"))
+    if bound.count() <= MOST_BROADCAST:
+        bound = F.broadcast(bound)
+    near = rows.select("label", "text", rank).join(bound, "label").where("rank <= bound").select("label", "rank", "text").distinct()
+    sample = near.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("rank", "text"))).where(F.col("at") <= rows_per_language)
     words = sample.select("label", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
     common = words.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word"))).where(F.col("at") <= words_per_language)
     counts: dict[str, dict[str, int]] = {}

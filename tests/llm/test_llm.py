@@ -283,6 +283,17 @@ def test_language_accuracy_and_edges(spark, documents, edge):
     assert {r["lang_pred"] for r in langid.identify(edge, none).collect()} == {"und"}
 
 
+def test_language_sample_keeps_labels_of_many_copies(spark):
+    texts = [(f"aa bb{i:02d} cc", "x") for i in range(2)] * 2000 + [("dd ee ff", "y")] * 4000 + [(f"gg hh{i:04d}", "z") for i in range(900)]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    order = F.when(F.col("label") == "x", F.lit(-1) - F.length("text")).otherwise(F.xxhash64("text"))
+    pieces = [*"abcdefgh0123456789", "▁"]
+    assert langid.learn(df, pieces, rows_per_language=4).languages == ["x", "y", "z"]
+    assert langid.learn(df, pieces, order=order, rows_per_language=4).languages == ["x", "y", "z"]
+    alone, copied = (langid.learn(d, pieces, rows_per_language=1500) for d in (df.distinct(), df))
+    assert np.array_equal(alone.logs, copied.logs)
+
+
 # 5
 
 
