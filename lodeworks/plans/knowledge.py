@@ -62,9 +62,9 @@ def knw_substring(spark: SparkSession, sf: str) -> DataFrame:
 )
 def knw_cosine_scan(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select("vec_id", "embedding", ((F.col("vec_id") % 10) / 10.0).alias("importance"))
-    near = V.nearest(v, v.where("vec_id = 7"), "vec_id", "embedding", 1 << 20, 0.1).where("sim > 0.1")
-    x = near.join(v.select(F.col("vec_id").alias("id"), "importance"), "id")
-    return x.orderBy(F.desc(F.col("sim") * F.col("importance")), "id").limit(20).select(F.col("id").alias("vec_id"), F.round("sim", 5).alias("sim"))
+    one = F.broadcast(v.where("vec_id = 7").select(F.col("embedding").alias("wanted")))
+    near = v.where("vec_id <> 7").join(one).withColumn("sim", V.cosine(F.col("embedding"), F.col("wanted"))).where("sim > 0.1")
+    return near.orderBy(F.desc(F.col("sim") * F.col("importance")), "vec_id").limit(20).select("vec_id", F.round("sim", 5).alias("sim"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -27,3 +27,12 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cosine_scan_orders_all_rows(spark, duck, monkeypatch):
+    from lodeworks.operators import vectors as V
+
+    nearest = V.nearest
+    # A corpus larger than any k, seen from the query: the best by importance lie beyond the nearest.
+    monkeypatch.setattr(V, "nearest", lambda corpus, queries, key, vector, k, least=None: nearest(corpus, queries, key, vector, min(k, 5), least))
+    same_rows(catalogue.queries()["knw_cosine_scan"](spark, SF), duck, catalogue.oracle_sql()["knw_cosine_scan"])
