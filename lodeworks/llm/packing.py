@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -33,7 +34,8 @@ class WordTokens:
 
     The tokenizer normalises and splits at white space, so a text's ids are those of its words in turn; it also splits
     letters and digits from the punctuation after them, and lower-cases. Texts with separators on which libraries
-    disagree are encoded whole.
+    disagree, or with one of the tokenizer's added tokens, are encoded whole. If it looks for added tokens in normalised
+    text, all texts are.
     """
 
     _ODD = re.compile(r"[\x1c-\x1f]")
@@ -45,7 +47,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.always_whole = any(t.normalized for t in added)
         # Words met lately and those of the generation before; a word met again moves to the newer one.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -115,7 +119,7 @@ class WordTokens:
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if self._ODD.search(text):
+            if self.always_whole or self._ODD.search(text) or any(a in text for a in self.added):
                 yield self.whole(text).tobytes()
                 continue
             words = text.split()
@@ -253,12 +257,24 @@ def round_plan(plan: dict[tuple, float], demand: dict[int, int], capacity: int)
 
 
 def plan_sequences(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple, int]]:
-    """Whole sequences first, then the linear program over the other lengths, then rounding; the better of two starts."""
+    """Whole sequences first, then the linear program over the other lengths, then rounding.
+
+    The better of two starts; the second is left out where the first has no more sequences than the tokens need.
+    """
     whole = demand.get(capacity, 0)
     rest = {n: k for n, k in demand.items() if n < capacity and k}
     out = [(((capacity, 1),), whole)] if whole else []
-    plans = [round_plan(fractional_plan(rest, capacity, rounds, start), rest, capacity) for start in STARTS] if rest else [[]]
-    return out + min(plans, key=lambda p: sum(times for _, times in p))
+    if not rest:
+        return out
+    fewest = -(-sum(n * k for n, k in rest.items()) // capacity)
+    best, size = [], math.inf
+    for start in STARTS:
+        plan = round_plan(fractional_plan(rest, capacity, rounds, start), rest, capacity)
+        if (got := sum(times for _, times in plan)) < size:
+            best, size = plan, got
+        if size <= fewest:
+            break
+    return out + best
 
 
 def pack_documents(

@@ -397,9 +397,10 @@ def test_packing(spark, edge):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
+    rows = [*ROWS, (20, "<|endoftext|> x", "z"), (21, "a <|startoftext|>b <|ENDOFTEXT|> <|end", "z")]
+    edge = edge.unionByName(spark.createDataFrame(rows[-2:], SCHEMA), allowMissingColumns=True)
     want = Counter()
-    for i, text, _ in ROWS:
+    for i, text, _ in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
         for k, at in enumerate(range(0, len(ids), 2048)):
             cut = ids[at : at + 2048]
@@ -418,8 +419,13 @@ def test_packing(spark, edge):
 
 
 def test_word_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
         w = packing.WordTokens(f.read())
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for text in ("<|endoftext|> x", "x<|endoftext|>y", "<|ENDOFTEXT|>", "  <|startoftext|> É 12"):
+        assert next(iter(w.batch([text]))) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     rng = random.Random(7)
     parts = ["a", "B", "É", "1", "12", ".", ",", "'s", "'", "|", "!", " ", "\n", "ß", "é", "́", "İ", "日", "_", "-", ";", "Σ", "<|endoftext|>", "\x1c", "x" * 70]
     for _ in range(2000):
