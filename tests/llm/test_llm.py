@@ -501,8 +501,9 @@ def test_bpe_equals_the_library(spark, edge):
 # 10
 
 
-def brute_signature(text: str) -> list[int]:
-    """The same selection in plain Python, over the documented layout of hash and position."""
+def brute_signature(text: str, size: int = 2) -> list[int]:
+    """Every hash function applied to every numbered k-mer, over the documented layout of hash and position."""
+    import regex
     import xxhash
 
     def mask(x):
@@ -511,7 +512,8 @@ def brute_signature(text: str) -> list[int]:
     def signed(x):
         return x - (1 << 64) if x >> 63 else x
 
-    tokens = re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)
+    alone = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+    tokens = regex.findall(rf"[{alone}]|[^ \t\n\x0b\f\r{alone}]{{1,16}}", text)
     if not tokens:
         return []
 
@@ -527,30 +529,49 @@ def brute_signature(text: str) -> list[int]:
     def int_hash(x, seed):
         return xxhash.xxh64_intdigest(x.to_bytes(4, "little"), seed)
 
-    kmers = [(mask(chain(tokens[i : i + 3])), i) for i in range(max(1, len(tokens) - 2))]
+    kmers = [(mask(chain(tokens[i : i + 2])), i) for i in range(max(1, len(tokens) - 1))]
     seen: Counter = Counter()
     pairs = []
     for h, i in kmers:
-        pairs.append(((mask(signed(int_hash(seen[h], long_hash(h, 42))))) | i, i))
+        pairs.append((mask(signed(int_hash(seen[h], long_hash(h, 42)))) | i) + (1 << 63))
         seen[h] += 1
-    bins: dict[int, list] = {}
-    for x, _ in sorted(pairs):
-        if len(bins.setdefault(x >> 58, [])) < 2:
-            bins[x >> 58].append(x)
     out = []
-    for b in sorted(bins):
+    for j in range(64):
+        minimal = sorted(pairs, key=lambda x: (x - (j << 58)) % (1 << 64))[:size]
         h = 42
-        for x in sorted(bins[b], key=lambda x: x & 0xFFFFFF):
-            h = long_hash(mask(x), h)
-        out.append((b + 32) * 65536 + (h & 0xFFFF))
+        for x in sorted(minimal, key=lambda x: x & 0xFFFFFF):
+            h = long_hash(mask(x - (1 << 63)), h)
+        out.append(j * 65536 + (h & 0xFFFF))
     return out
 
 
 def test_order_minhash_brute(spark, documents):
-    texts = [r["text"] for r in documents.limit(60).collect()] + ["", " ", "one", "two words", "a b c", "x y " * 50, "z" * 100, "日本語 " * 20]
+    texts = [r["text"] for r in documents.limit(60).collect()] + ["", " ", "one", "two words", "a b c", "x y " * 50, "z" * 100, "日本語 " * 20, "日本語の文章です", "a b a b a b"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("sig", orderminhash.order_minhash(F.col("text")))
     for r in df.collect():
-        assert r["sig"] == brute_signature(r["text"])
+        assert r["sig"] == brute_signature(r["text"] or "")
+
+
+def test_order_minhash_is_sensitive_to_edits_and_to_order(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(200):
+        base = [word() for _ in range(rng.choice([12, 40, 300]))]
+        few = list(base)
+        for _ in range(max(1, len(base) // 40)):
+            few[rng.randrange(len(few))] = word()
+        at = len(base) // 2
+        many = [w if rng.random() < 0.7 else word() for w in base]
+        blocks = [base[k : k + 4] for k in range(0, len(base), 4)]
+        rng.shuffle(blocks)
+        rows.append((i, *[" ".join(x) for x in (base, few, base[:at] + [word() for _ in base[at:]], many, sum(blocks, []), [word() for _ in base])]))
+    names = ["base", "few", "half", "many", "moved", "other"]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{n} string" for n in names))
+    like = df.select(*[orderminhash.likeness(orderminhash.order_minhash(F.col("base")), orderminhash.order_minhash(F.col(n))).alias(n) for n in names]).toPandas().mean()
+    assert like.base == 1 and like.few > 0.65 and like.few > like.half > 0.05 and like.few > like.many > like.other and like.few > like.moved and like.other < 0.01
+    # Texts with the same k-mers in another order share sets but not the order of tuples.
+    assert like.moved < 0.6
 
 
 def test_edited_fingerprints(spark, edge, documents):
@@ -564,8 +585,11 @@ def test_edited_fingerprints(spark, edge, documents):
     got = orderminhash.edited_fingerprints(edge).collect()
     assert Counter((r["id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert {len(r["fingerprint"]) for r in got} == {0, 256}
     d = orderminhash.edited_fingerprints(documents).toPandas()
     assert d.near_edited.mean() > d.near_next.mean() + 0.05
+    cjk = spark.createDataFrame([(2, "日本語の文章です今日は天気が良い"), (1, "全く違う文です")], "doc_id long, text string")
+    assert min(r["near_edited"] for r in orderminhash.edited_fingerprints(cjk).collect()) > 0
 
 
 # Pipeline
