@@ -66,10 +66,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, "id long, fp long")
 
 
+def _free_positions(most_bits: int) -> list[tuple[int, ...]]:
+    """Choices of positions that may differ, one more than bits, such that every ``most_bits`` positions lie in one choice."""
+    least = min(most_bits, BYTES)
+    uncovered = set(combinations(range(BYTES), least))
+    choices = {free: set(combinations(free, least)) for free in combinations(range(BYTES), min(least + 1, BYTES))}
+    out = []
+    while uncovered:
+        best = max(choices, key=lambda free: len(choices[free] & uncovered))
+        out.append(best)
+        uncovered -= choices[best]
+    return out
+
+
 def _masks(most_bits: int) -> list[int]:
-    """For every choice of positions that must match, the mask of their bytes."""
-    least = BYTES - most_bits
-    return [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(BYTES), least)]
+    """For every choice, the mask of the bytes that must match."""
+    return [sum(0xFF << (8 * p) for p in range(BYTES) if p not in free) for free in _free_positions(most_bits)]
 
 
 def _forest(m: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,17 +102,17 @@ def _forest(m: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class _Lists:
     """Walks posting lists sorted by key and emits verified links, at most one per member of a list.
 
-    A list holds the distinct fingerprints that agree in all the bytes of one choice of positions, so a pair's tally
-    of shared positional bytes is that number plus the equal bytes among the free positions. A list is at most
-    2 ** (8 * most_bits) long, which is 65,536 for two bits.
+    A list holds the distinct fingerprints that agree in all the bytes of one choice of positions; a pair's tally of
+    shared positional bytes is that number plus its equal bytes among the free positions, of which it must have
+    ``least`` in all. A list is at most 2 ** (8 * (most_bits + 1)) long.
     """
 
     def __init__(self, most_bits: int):
         self.most = most_bits
         self.least = BYTES - most_bits
         self.masks = _masks(most_bits)
-        self.rank = {frozenset(c): i for i, c in enumerate(combinations(range(BYTES), self.least))}
-        self.flips = np.array([sum(1 << b for b in bits) for k in range(1, most_bits + 1) for bits in combinations(range(8 * most_bits), k)], np.uint64)
+        free = min(most_bits + 1, BYTES)
+        self.flips = np.array([sum(1 << b for b in bits) for k in range(1, most_bits + 1) for bits in combinations(range(8 * free), k)], np.uint64)
 
     def _owner(self, diff: np.ndarray) -> np.ndarray:
         """The first choice of positions that avoids every differing byte: the one list that answers for a pair."""
@@ -109,12 +121,15 @@ class _Lists:
             out[(diff & np.uint64(self.masks[i])) == 0] = i
         return out
 
-    def keep(self, diff: np.ndarray, choice: int) -> np.ndarray:
-        """Count filter, then verification, then ownership."""
-        shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        good = (shared >= self.least) & (np.bitwise_count(diff) <= self.most)
-        if good.any():
-            good[good] = self._owner(diff[good]) == choice
+    def enough_shared(self, diff: np.ndarray) -> np.ndarray:
+        """Count filter: whether pairs share the guaranteed number of positional bytes."""
+        return (np.ascontiguousarray(diff).view(np.uint8).reshape(*diff.shape, 8) == 0).sum(axis=-1) >= self.least
+
+    def keep(self, diff: np.ndarray, choice: int | np.ndarray) -> np.ndarray:
+        """Count filter, then verification of what it leaves, then ownership."""
+        good = self.enough_shared(diff)
+        good[good] = np.bitwise_count(diff[good]) <= self.most
+        good[good] = self._owner(diff[good]) == (choice if np.isscalar(choice) else choice[good])
         return good
 
     def links(self, choice: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +138,8 @@ class _Lists:
             a, b = np.triu_indices(m, 1)
         elif m <= 2 * len(self.flips):
             pieces = []
-            for i in range(0, m, rows := max(1, (1 << 22) // m)):
-                near = np.bitwise_count(fps[i : i + rows, None] ^ fps[None, :]) <= self.most
-                left, right = np.nonzero(near)
+            for i in range(0, m, rows := max(1, (1 << 19) // m)):
+                left, right = np.nonzero(self.enough_shared(fps[i : i + rows, None] ^ fps[None, :]))
                 left += i
                 pieces.append((left[left < right], right[left < right]))
             a, b = (np.concatenate(x) for x in zip(*pieces, strict=True))
@@ -158,9 +172,7 @@ class _Lists:
             out_u, out_v = [], []
             two = starts[stops - starts == 2]
             if len(two):
-                diff = f[two] ^ f[two + 1]
-                good = (np.bitwise_count(diff) <= self.most) & ((diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= self.least)
-                good[good] = self._owner(diff[good]) == c[two][good]
+                good = self.keep(f[two] ^ f[two + 1], c[two])
                 out_u.append(f[two][good])
                 out_v.append(f[two + 1][good])
             for s, e in zip(starts[stops - starts > 2], stops[stops - starts > 2], strict=True):
@@ -190,9 +202,11 @@ def fingerprint_links(distinct: DataFrame, most_bits: int = 2) -> DataFrame:
     """``distinct(fp)`` without repeats to links ``(u, v)`` whose components are those of all pairs at most ``most_bits`` apart.
 
     A pair that differs in at most ``most_bits`` bits shares at least ``8 - most_bits`` positional bytes. The inverted
-    index therefore has a posting list for every choice of that many positions and their bytes, i.e. the
-    intersections of single-byte lists that reach the guaranteed minimum. Lists are short by construction, no list
-    emits more than one link per member, and every qualifying pair is answered for by exactly one list.
+    index has a posting list for the bytes at all but ``most_bits + 1`` positions, under as few choices of these (11
+    for two bits) as leave no set of ``most_bits`` positions uncovered. Every qualifying pair meets in a list; the
+    members' other bytes complete its tally, pairs that fall short of the minimum are dropped, and the rest verified.
+    Lists are short by construction, no list emits more than one link per member, and every qualifying pair is
+    answered for by exactly one list.
     """
     masks = _masks(most_bits)
 

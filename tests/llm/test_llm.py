@@ -120,6 +120,22 @@ def test_simhash_links_lose_nothing(spark, bits):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(roots))
 
 
+def test_simhash_count_filter_rejects_pairs_of_a_list():
+    lists = simhash._Lists(2)
+    assert len(lists.masks) == 11
+    base, mask = 0x0123456789ABCDEF, lists.masks[0]
+    free = [p for p in range(8) if not mask >> (8 * p) & 1]
+    near = base ^ 1 << (8 * free[0]) ^ 1 << (8 * free[1])
+    far = base ^ sum(1 << (8 * p) for p in free)
+    bits = base ^ 7 << (8 * free[0])
+    diff = np.array([base ^ near, base ^ far, base ^ bits], np.uint64)
+    assert not (diff & np.uint64(mask)).any()  # all three share the list's five bytes
+    assert lists.enough_shared(diff).tolist() == [True, False, True] and lists.keep(diff, 0).tolist() == [True, False, False]
+    for bits in range(9):
+        for positions in itertools.combinations(range(8), min(bits, 8)):
+            assert any(all(not m >> (8 * p) & 0xFF for p in positions) for m in simhash._masks(bits))
+
+
 def test_similar_documents(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
@@ -141,7 +157,7 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(spark.createDataFrame([], "n long, text string"), "n").count() == 0
 
 
-def brute_components(texts: dict, similarity: float = 0.8) -> dict:
+def brute_groups(texts: dict, similarity: float = 0.8) -> dict:
     def shingles(t):
         w = t.split()
         return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
@@ -165,7 +181,7 @@ def test_similar_documents_finds_every_pair_near_the_threshold(spark):
         for t in (base, other):
             texts[len(texts)] = " ".join(t)
     got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "n long, text string"), "n").collect()}
-    want = brute_components(texts)
+    want = brute_groups(texts)
     assert got == want and 30 < sum(i != r for i, r in want.items()) < 150
 
 
@@ -179,7 +195,7 @@ def test_similar_documents_compares_members_unlike_the_first(spark):
         for t in [*parts, " ".join([*base, word()]), " ".join([*base, word()])]:
             texts[len(texts)] = t
     got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "n long, text string"), "n").collect()}
-    want = brute_components(texts)
+    want = brute_groups(texts)
     assert got == want and all(want[i + 8] == want[i + 7] for i in range(0, len(texts), 9))
 
 
