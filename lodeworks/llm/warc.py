@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, named, scratch_path
+from .common import materialise, named, scratch_path, shuffle_width
 
 #: Fixed values of the format: magic of the skippable frame that holds the dictionary, and of an ordinary frame.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -24,6 +24,10 @@ DICTIONARY_BYTES = 16 << 10
 SAMPLE_RECORDS = 64
 SAMPLE_BYTES = 1 << 20
 SHARD_BYTES = 16 << 20
+#: Revisits that are broadcast to the rows; more are joined by key, which shuffles the payloads.
+MOST_BROADCAST = 100_000
+#: Bytes of archives that one task reads.
+READ_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 _RECORD = "record_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -146,8 +150,10 @@ def write_archives(records: DataFrame, path: str, shard_bytes: int = SHARD_BYTES
     """Writes ``(record_id, uri, payload binary, record_type, refers_to)`` as archives below a shared folder.
 
     Each task trains the dictionary of a file on that file's own first records and starts a new file at
-    ``shard_bytes``. Files get their final name by a rename once complete; a repeated task writes the same names.
-    Returns ``(file, records, bytes)``, one row per archive.
+    ``shard_bytes``. Every attempt at a task names its files anew and a file gets its name by a rename once complete, so
+    attempts never touch each other's files. Returns the manifest ``(file, records, bytes)``, one row per archive of
+    the attempts that count; a folder may hold files of others, which a reader of the manifest never sees. Write the
+    manifest before use: evaluating it anew writes anew.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +161,7 @@ def write_archives(records: DataFrame, path: str, shard_bytes: int = SHARD_BYTES
 
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        part, made = TaskContext.get().partitionId(), 0
+        part, attempt, made = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         writer, waiting, held = None, [], 0
 
         def start() -> None:
@@ -167,7 +173,7 @@ def write_archives(records: DataFrame, path: str, shard_bytes: int = SHARD_BYTES
 
         def finish() -> pa.RecordBatch:
             nonlocal writer, made
-            name = f"part-{part:06d}-{made:04d}.warc.zst"
+            name = f"part-{part:06d}-{made:04d}-{attempt}.warc.zst"
             temporary = f"{folder}/.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as out:
                 for frame in writer.frames:
@@ -197,34 +203,73 @@ def write_archives(records: DataFrame, path: str, shard_bytes: int = SHARD_BYTES
     return records.select("record_id", "uri", "payload", "record_type", "refers_to").mapInArrow(run, "file string, records long, bytes long")
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Reads every ``.warc.zst`` below a folder in any store that Spark opens; fails on the first invalid record."""
+def _fields(with_payload: bool) -> tuple[str, list[str], list[pa.DataType]]:
     schema = _RECORD + (", payload binary" if with_payload else "")
-    names = [f.split()[0] for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    types = [kinds[f.split()[1]] for f in schema.split(", ")]
+    names, types = zip(*[f.split() for f in schema.split(", ")], strict=True)
+    return schema, list(names), [kinds[t] for t in types]
+
+
+def _rows_of(file: str, content: bytes | memoryview | pa.Buffer, with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """The validated records of one archive, in batches of bounded size."""
+    _, names, types = _fields(with_payload)
+    rows: list[dict] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+
+    for at, record in enumerate(iterate_records(content)):
+        try:
+            rows.append(parse_record(record))
+        except ValueError as e:
+            raise ValueError(f"{file}, record {at}: {e}") from None
+        held += len(record)
+        if not with_payload:
+            del rows[-1]["payload"]
+        if len(rows) >= 5000 or held >= 32 << 20:
+            yield out()
+            rows, held = [], 0
+    if rows:
+        yield out()
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+    """Reads every ``.warc.zst`` below a folder in any store that Spark opens; fails on the first invalid record."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows: list[dict] = []
-                held = 0
-                for at, record in enumerate(iterate_records(content.as_buffer())):
-                    try:
-                        rows.append(parse_record(record))
-                    except ValueError as e:
-                        raise ValueError(f"{file}, record {at}: {e}") from None
-                    held += len(record)
-                    if not with_payload:
-                        del rows[-1]["payload"]
-                    if len(rows) >= 5000 or held >= 32 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+                yield from _rows_of(file, content.as_buffer(), with_payload)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(run, _fields(with_payload)[0])
+
+
+def read_manifest(manifest: DataFrame, path: str, with_payload: bool = False) -> DataFrame:
+    """Reads the archives that a manifest of ``write_archives`` lists, and no others; fails on the first invalid record.
+
+    Archives are dealt among tasks by name, about ``READ_BYTES`` to each; the driver never lists them.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for file, records in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                with store.open_input_file(f"{folder}/{file}") as source:
+                    content = source.read_buffer()
+                read = 0
+                for rows in _rows_of(file, content, with_payload):
+                    read += rows.num_rows
+                    yield rows
+                if read != records:
+                    raise ValueError(f"{file}: {read} records where the manifest has {records}")
+
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(shuffle_width(manifest.sparkSession), -(-total // READ_BYTES))
+    return manifest.select("file", "records").repartition(tasks, "file").mapInArrow(run, _fields(with_payload)[0])
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, path: str | None = None) -> DataFrame:
@@ -233,8 +278,8 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null payload is empty. Of rows with equal payloads of at least ``least_bytes`` bytes the one with the largest id
     is a response and the others are revisits of it; rows that repeat that id with that payload are responses too. A
     null id ranks below all others; a null url gives a record without a target. An empty table gives no archive and no
-    rows. Payload equality is decided by SHA-256; only digests and ids are moved for it, and payloads stay with their
-    rows.
+    rows. Payload equality is decided by SHA-256 over digests and ids alone. Up to ``MOST_BROADCAST`` revisits are sent
+    to the rows, and no payload is shuffled; more are joined by payload digest and id, which shuffles every row once.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
@@ -245,10 +290,10 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     keys = keyed.where(F.octet_length("payload") >= least_bytes).select("record_id", "same")
     kept = keys.groupBy("same").agg(F.max("record_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "keep")
     revisits = keys.join(kept, "same").where("NOT (record_id <=> keep)").select(F.col("record_id").alias("r"), F.col("same").alias("s"), F.col("keep").alias("refers_to")).distinct()
+    revisits = materialise(revisits, "warc-revisits")
+    if revisits.count() <= MOST_BROADCAST:
+        revisits = F.broadcast(revisits)
     marked = keyed.join(revisits, F.col("record_id").eqNullSafe(F.col("r")) & (F.col("same") == F.col("s")), "left")
     records = marked.select("record_id", "uri", "payload", F.when(F.col("s").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
     written = materialise(write_archives(records, path), "warc-manifest")
-    if written.isEmpty():
-        return spark.createDataFrame([], _RECORD)
-    back = read_archives(spark, path)
-    return back
+    return read_manifest(written, path)

@@ -248,6 +248,24 @@ def test_warc(spark, least):
             assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(body), digest, "revisit" if revisit else "response", keep if revisit else None)
 
 
+def test_warc_ignores_files_of_other_attempts(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    whole = sorted(map(repr, warc.archive_pages(pages, path=path).collect()))
+    # What a lost attempt at a task, or an earlier run, leaves in the folder.
+    stale = next((tmp_path / "w").glob("*.warc.zst"))
+    (tmp_path / "w" / "part-000000-0009-stale.warc.zst").write_bytes(stale.read_bytes())
+    assert warc.read_archives(spark, path).count() > len(PAGES)
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)  # the join that shuffles
+    assert sorted(map(repr, warc.archive_pages(pages, path=path).collect())) == whole
+    rows = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    manifest = warc.materialise(warc.write_archives(rows, path, shard_bytes=1), "test-manifest")
+    back = warc.read_manifest(manifest, path, with_payload=True).collect()
+    assert Counter((r["record_id"], bytes(r["payload"]).decode()) for r in back) == Counter((i, h or "") for i, _, h in PAGES)
+    with pytest.raises(Exception, match="where the manifest has"):
+        warc.read_manifest(manifest.withColumn("records", F.col("records") + 1), path).collect()
+
+
 def test_warc_validation():
     records = [warc.format_record(i, f"http://x/{i}", b"<html>%d</html>" % i * 50, "response", None) for i in range(100)]
     w = warc.ArchiveWriter(records)
