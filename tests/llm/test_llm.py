@@ -287,7 +287,7 @@ def test_warc_validation():
 
 
 def test_language_forward_sums_all_segmentations():
-    m = langid.fit_unigrams({"a": {"abab": 5, "ba": 3, "xyz": 1}, "b": {"ba": 7, "zz": 4}}, ["a", "b", "ab", "ba", "▁", "▁a", "▁b", "bab", "z"])
+    m = langid.fit_unigrams({"a": {"▁abab": 5, "▁ba": 3, "▁xyz": 1}, "b": {"▁ba": 7, "zz": 4}}, ["a", "b", "ab", "ba", "▁", "▁a", "▁b", "bab", "z"])
 
     def brute(word, k):
         w, total = "▁" + word, 0.0
@@ -302,6 +302,44 @@ def test_language_forward_sums_all_segmentations():
     words = ["abab", "b", "xyz", "zzab", "q"]
     got = m.score_words(words)
     assert np.allclose(got, [[brute(w, k) for k in range(2)] for w in words])
+    assert np.allclose(m.score_long_words(words), got)
+
+
+def test_language_long_words_sum_over_block_borders(monkeypatch):
+    m = langid.fit_unigrams({"a": {"▁abab": 5, "ba": 3}, "b": {"▁ba": 7, "bab": 4}}, ["a", "b", "ab", "ba", "▁", "▁a", "bab", "abab"])
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abq") for _ in range(n)) for n in (30, 1500, 25, 400, 31)]
+
+    def brute(word, k):  # logs throughout, one word at a time
+        w = "▁" + word
+        ahead = [0.0] + [-math.inf] * len(w)
+        for end in range(1, len(w) + 1):
+            terms = [ahead[s] + m.logs[m.index[w[s:end]], k] for s in range(max(0, end - 4), end) if w[s:end] in m.index]
+            if w[end - 1] not in m.index:
+                terms.append(ahead[end - 1] + m.other)
+            top = max(terms)
+            ahead[end] = top + math.log(sum(math.exp(t - top) for t in terms))
+        return ahead[-1]
+
+    want = [[brute(w, k) for k in range(2)] for w in words]
+    assert np.allclose(m.score_long_words(words), want)
+    monkeypatch.setattr(langid, "LONG_LETTERS", 70)
+    assert np.allclose(m.score_long_words(words), want)
+    table = langid.WordTable(m)
+    short, whole = table.classify(["ab ba"]), table.classify(["ab " + words[1] + " ba", words[1]])
+    assert all(len(w) <= langid.BLOCK for w in table.place) and len(whole) == 2 and short[0][0] in "ab"
+
+
+def test_language_learns_unspaced_scripts(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        lang, letters = (("x", "日本語文章今天") if i % 2 else ("y", "中国話題明星今天"))
+        rows.append((i, "".join(rng.choice(letters) for _ in range(1200)), lang, 0.5, "z"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.learn(df.where("doc_id < 60"), sorted({c for r in rows for c in r[1]} | {"▁", "日本", "今天", "明星"}))
+    got = langid.identify(df.where("doc_id >= 60"), model, keep=("doc_id", "lang", "score", "lang_pred")).collect()
+    assert all(r["lang"] == r["lang_pred"] and r["score__"] == 0.5 and r["lang_pred__"] == "z" for r in got) and len(got) == 60
 
 
 def test_language_accuracy_and_edges(spark, documents, edge):
