@@ -388,6 +388,30 @@ def test_url_rules_brute(spark):
     assert Counter((r["id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got) == want
 
 
+def test_url_rules_nested_deeply_over_many_partitions(spark):
+    rng = random.Random(55)
+    letters = "ab/"
+    rules = list({(rng.choice(["allow", "block"]), rng.choice(["com", "a.com", "b.a.com"]), "".join(rng.choice(letters) for _ in range(rng.randint(0, 9)))) for _ in range(250)})
+    rules = list({(h, p): (a, h, p) for a, h, p in sorted(rules)}.values())
+    urls = [(i, "http://" + rng.choice(["com", "a.com", "c.a.com", "b.a.com", "x.b.a.com"]) + "/" + "".join(rng.choice(letters) for _ in range(rng.randint(0, 12)))) for i in range(1500)]
+    urls += [(2000 + i, f"http://h{i}.com/") for i in range(300)]  # a common (suffix, path)
+    table = spark.createDataFrame([(a, h, "/" + p) for a, h, p in rules], "action string, rule_host string, rule_path string")
+    got = {r["id"]: (r["rule"], r["verdict"]) for r in urlrules.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), table).collect()}
+    for i, u in urls:
+        host, path = u[7:].split("/", 1)
+        fits = [(len(h + p), len(h), f"{h}/{p}", a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow"))
+
+
+def test_url_rules_common_keys_are_not_gathered(spark):
+    left = spark.range(10_000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.when(F.col("k") != "9", F.struct(F.length("k").alias("x"))))
+    got = urlrules._attach(left, right, ["k"], 10_000, 8).collect()
+    assert len(got) == 10_000 and all((r["own"]["x"] == len(r["k"])) if r["k"] != "9" else r["own"] is None for r in got)
+    rare = right.where("n <= 10000 div 64")
+    assert rare.where("k = 'hot'").isEmpty() and right.where("n > 10000 div 64").count() < 64
+
+
 def test_url_rules_without_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     rules = urlrules.rule_table(spark, [("block", "a.com", "/")]).limit(0)
