@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,10 +13,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (a local test session), a temporary folder is made and set.
+    Only a local session that has none gets a temporary folder; on a cluster the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,22 +54,45 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(alias) for alias, source in columns.items()])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """Running values of an associative operation with neutral element 0 over an array of ints.
+
+    Arrays grow by copying, so blocks are folded on their own and then moved by what the blocks before them come to.
+    """
+    fold = lambda part: F.aggregate(part, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(combine(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)), x))))
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: fold(F.slice(v, b * block + 1, block)))
+        moved = lambda bs: let(fold(F.transform(bs, lambda x: F.get(x, F.size(x) - 1))), lambda upto: F.flatten(F.transform(bs, lambda x, i: F.transform(x, lambda y: combine(F.coalesce(F.get(upto, i - 1), F.lit(0)), y)))))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(let(blocks, moved))
+
+    return let(values, of)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: What a Python worker keeps between tasks, under the key it was asked for with.
+_KEPT: dict[tuple, object] = {}
+
+
 def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
     """An object that a Python worker keeps between tasks, so that a table of words filled by one task serves the next.
 
     A worker keeps one such object, the last one asked for; a new worker starts with none. Results never depend on it.
     """
-    kept = sys.__dict__.setdefault("_lodeworks_kept", {})
-    if key not in kept:
-        kept.clear()
-        kept[key] = make()
-    return kept[key]
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def forget_kept() -> None:
     """Frees what ``kept_in_worker`` holds; called by operators that need the memory for other things."""
-    sys.__dict__.get("_lodeworks_kept", {}).clear()
+    _KEPT.clear()

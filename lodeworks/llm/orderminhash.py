@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import named, shuffle_width
+from .common import let, named, shuffle_width
 
 KMER = 2
 FUNCTIONS_LOG2 = 6
@@ -20,11 +20,6 @@ _POSITION_BITS = 24
 _POSITION = (1 << _POSITION_BITS) - 1
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluates ``value`` once and hands it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _place(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_POSITION).cast("long"))
 

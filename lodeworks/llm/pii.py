@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, named
+from .common import let, materialise, named, running
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Possessive and anchored forms of the contract's: the same matches without recursion or rescanning.
@@ -30,6 +32,8 @@ LEAST_SEEDS = 3
 LEAST_PATTERN_SCORE = 0.8
 LEAST_INSTANCE_SCORE = 0.5
 CONTEXT = 48
+#: Characters of a text's blocks, from which pieces are taken.
+BLOCK = 1024
 
 
 def _sum(values: Column) -> Column:
@@ -70,41 +74,60 @@ def _matches(text: Column, kind: str, pattern: str, hint: str) -> Column:
     The pieces between the matches (a split by the same pattern) and the matches themselves give the places by
     running sums.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(F.transform(gaps, F.length), 1, F.size(hits)), F.transform(hits, F.length), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    none = F.array().cast("array<int>")
-    run = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("starts")),
-        lambda a, s: F.struct((a["at"] + s["g"] + s["h"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["g"])).alias("starts")),
-    )["starts"]
-
-    def item(hit: Column, i: Column, starts: Column, pieces: Column) -> Column:
-        start = F.get(starts, i)
+
+    def located(found: Column) -> Column:
+        steps = F.zip_with(F.slice(found["gaps"], 1, F.size(found["hits"])), found["hits"], lambda g, h: F.length(g) + F.length(h))
+        return let(running(steps, lambda a, x: a + x), lambda ends: F.transform(found["hits"], lambda h, i: item(h, i, F.get(ends, i), found["gaps"])))
+
+    def item(hit: Column, i: Column, end: Column, gaps: Column) -> Column:
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("body"),
-            F.right(F.get(pieces, i), F.lit(CONTEXT)).alias("left"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("right"),
+            F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("body"),
+            F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("right"),
         )
 
-    # Starts and pieces are bound once, not once a match.
-    bound = F.transform(F.array(F.struct(hits.alias("h"), run.alias("s"), gaps.alias("p"))), lambda b: F.transform(b["h"], lambda h, i: item(h, i, b["s"], b["p"])))
-    return F.when(text.rlike(hint), F.element_at(bound, 1)).otherwise(F.array().cast(_FOUND)).cast(_FOUND)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(hint), let(found, located)).otherwise(F.array().cast(_FOUND)).cast(_FOUND)
+
+
+def replace_spans(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The text with its spans (sorted by start) replaced by ``by(span, before)``; before is where the spans so far end.
+
+    Pieces of the text are taken from blocks of it, so that each costs its own length and not its distance from the start.
+    """
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        within = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(within, a - first * BLOCK + 1, b - a)).otherwise("")
+
+    def one(blocks: Column, s: Column, before: Column) -> Column:
+        return F.concat(piece(blocks, before, s["start"]), by(s, before))
+
+    def whole(blocks: Column, tops: Column) -> Column:
+        replaced = F.transform(spans, lambda s, i: let(F.coalesce(F.get(tops, i - 1), F.lit(0)), lambda before: one(blocks, s, before)))
+        return F.concat(F.array_join(replaced, ""), piece(blocks, F.get(tops, F.size(tops) - 1), F.length(text)))
+
+    tops = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    bound = let(F.struct(blocks.alias("blocks"), tops.alias("tops")), lambda x: whole(x["blocks"], x["tops"]))
+    return F.when(F.size(spans) == 0, text).otherwise(bound)
 
 
 def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``base`` (valid base matches, by start and kind) and ``shaped`` (identifier-like strings apart from them)."""
+    """Adds ``base`` (valid base matches, by start and kind) and ``shaped`` (identifier-like strings outside them)."""
     found = docs
     for kind in KINDS:
         found = found.withColumn(f"_b_{kind}", _matches(F.col(text), kind, BASE[kind], HINT[kind]))
     for kind in KINDS:
         found = found.withColumn(f"_b_{kind}", F.filter(f"_b_{kind}", _valid_match(kind)))
-        found = found.withColumn(f"_s_{kind}", _matches(F.col(text), kind, SHAPE[kind], HINT[kind]))
     order = lambda c: F.array_sort(F.transform(c, lambda m: F.struct(m["start"], m["kind"], m["end"], m["body"], m["left"], m["right"])))
-    found = found.withColumn("base", order(F.concat(*[f"_b_{k}" for k in KINDS])))
-    apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    found = found.withColumn("shaped", order(F.filter(F.concat(*[f"_s_{k}" for k in KINDS]), apart)))
-    return found.drop(*[f"_{x}_{k}" for x in "bs" for k in KINDS])
+    found = found.withColumn("base", order(F.concat(*[f"_b_{k}" for k in KINDS]))).drop(*[f"_b_{k}" for k in KINDS])
+    # Shapes are looked for where base matches have been blanked out, character by character.
+    blank = lambda s, before: F.repeat(F.lit("\x01"), F.greatest(s["end"], before) - F.greatest(s["start"], before))
+    found = found.withColumn("_blanked", replace_spans(F.col(text), F.col("base"), blank))
+    for kind in KINDS:
+        found = found.withColumn(f"_s_{kind}", _matches(F.col("_blanked"), kind, SHAPE[kind], HINT[kind]))
+    return found.withColumn("shaped", order(F.concat(*[f"_s_{k}" for k in KINDS]))).drop("_blanked", *[f"_s_{k}" for k in KINDS])
 
 
 def _patterns(m: Column) -> Column:
@@ -149,10 +172,17 @@ def find_identifiers(docs: DataFrame, text_col: str = "text", keep: tuple[str, .
     kind that no base match touches is added if a pattern of at least ``LEAST_SEEDS`` distinct seeds and score
     ``LEAST_PATTERN_SCORE`` extracts it and its own score reaches ``LEAST_INSTANCE_SCORE``.
 
-    A null text counts as empty and has no spans; repeated rows stay repeated; an empty table gives no rows.
+    A null text counts as empty and has no spans; repeated rows stay repeated; an empty table gives no rows. A kept
+    column named like one of the results has ``__`` behind its name.
     """
-    spark = docs.sparkSession
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    names = [f"{c}__" if c.lower() in ("base", "spans") else c for c in keep]
+    found = _find(source, [f"_k{i}" for i in range(len(keep))], rounds)
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)], "base", "spans")
+
+
+def _find(source: DataFrame, keep: list[str], rounds: int) -> DataFrame:
+    """``find_identifiers`` of ``__text``, with kept columns under names that clash with none of ours."""
     found = find_base(source, "__text").drop("__text").withColumn("__row", F.monotonically_increasing_id())
     found = materialise(found, "pii-found")
     plain = lambda c: F.transform(c, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
@@ -183,16 +213,7 @@ def spans_text(spans: Column) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """Replaces spans by ``<KIND>``; spans that overlap become one, of the kind that starts first."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["parts"], F.array(gap, F.get(names, s["kind"])))).otherwise(a["parts"]).alias("parts"))
-
-    done = F.aggregate(spans, state, step)
-    whole = F.element_at(F.transform(F.array(done), lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(text, d["at"] + 1, F.length(text)))), 1)
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    return replace_spans(text, spans, lambda s, before: F.when(s["start"] >= before, F.get(names, s["kind"])).otherwise(""))
 
 
 def identifier_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -460,6 +460,71 @@ def test_pii_bootstraps_from_contexts(spark):
     assert got[100] == "phone:18:30" and got[101] == "" and got[102] == "" and got[0] == "phone:18:33"
 
 
+def test_pii_finds_planted_unseen_identifiers(spark):
+    rng = random.Random(66)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    w = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    seen = {"email": lambda: f"{w()}@{w()}.com", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "phone": lambda: f"+1 {rng.randrange(200, 999)} {d(3)} {d(4)}"}
+    dashed = lambda: f"{rng.randrange(200, 999)}-{d(3)}-{d(4)}"
+    unseen = {"email": lambda: f"{w()} (at) {w()} (dot) com", "ip": lambda: ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)), "phone": dashed}
+    other = {"email": lambda: f"meet {w()} [at] {w()}. {w()}", "ip": lambda: f"{rng.randrange(10, 24)}:{d(2)}:{d(2)}:{d(2)}", "phone": dashed}
+    places = {
+        "email": ["you can write to {} with questions", "contact our editor {} for details"], "ip": ["the request came from {} last night", "blocked address {} was logged"],
+        "phone": ["please call me at {} today", "fax or phone number {} during office hours"],
+    }
+    elsewhere = {"email": ["we will {} tomorrow"], "ip": ["the clip runs from {} onwards", "lap time {} was best"], "phone": ["order number {} was shipped", "the part {} is out of stock"]}
+    rows, planted, decoys = [], [], []
+
+    def add(form, value, into=None):
+        text = " ".join(w() for _ in range(rng.randrange(3, 9))) + ". " + form.format(value) + ". " + w()
+        if into is not None:
+            into.append((len(rows), text.index(value), text.index(value) + len(value)))
+        rows.append((len(rows), text))
+
+    for kind, forms in places.items():
+        for form in forms:
+            for k in range(24):
+                if k % 3:
+                    add(form, seen[kind]())
+                else:
+                    add(form, unseen[kind](), planted)
+    for kind, forms in elsewhere.items():
+        for form in forms:
+            for k in range(20):
+                add(form, other[kind](), decoys)
+                if k < 3:  # contexts with some seeds but many more strings of another nature
+                    add(form, seen[kind]())
+    got = {r["id"]: {tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s} for r in pii.identifier_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit, wrong = (sum((a, b) in got[i] for i, a, b in cases) for cases in (planted, decoys))
+    assert len(planted) == 48 and len(decoys) == 100 and hit >= 0.9 * len(planted) and wrong <= 0.05 * len(decoys)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    texts = ["4111-1 " * 20_000, "1.2.3.4 " * 20_000, "é a@b.co, +1 555 555 1000; 555-555-1000 " * 3000]
+    got = pii.find_identifiers(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", ("id", "text")).select("id", "base", pii.redact(F.col("text"), F.col("spans")).alias("clean")).collect()
+    for r in got:
+        assert [tuple(s) for s in r["base"]] == base_spans(texts[r["id"]])
+    clean = {r["id"]: r["clean"] for r in got}
+    assert clean[1] == "<IP> " * 20_000 and "@" not in clean[2] and clean[2].count("<PHONE>") >= 3000
+
+
+def test_replace_spans_brute(spark):
+    rng = random.Random(67)
+    rows = []
+    for _ in range(200):
+        text = "".join(rng.choice("aé😀 ") for _ in range(rng.choice([0, 5, 1023, 1024, 1025, 2600])))
+        starts = sorted(rng.randrange(len(text)) for _ in range(rng.randint(0, 6))) if text else []
+        rows.append((text, [(a, rng.randrange(4), min(len(text), a + rng.randint(1, 900))) for a in starts]))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,kind:int,end:int>>")
+    for r in df.select("text", "spans", pii.redact(F.col("text"), F.col("spans")).alias("got")).collect():
+        want, at = "", 0
+        for a, k, b in r["spans"]:
+            if a >= at:
+                want += r["text"][at:a] + f"<{pii.KINDS[k].upper()}>"
+            at = max(at, b)
+        assert r["got"] == want + r["text"][at:]
+
+
 def test_redact(spark):
     x = spark.createDataFrame([("call +1 555 555 1000 or a@b.co now 😀",), ("plain",), (None,)], "text string")
     got = [r["t"] for r in pii.find_identifiers(x, "text", ("text",)).select(pii.redact(F.col("text"), F.col("spans")).alias("t")).collect()]
