@@ -5,9 +5,13 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+RUNS_PER_JOB = 64
 
 
 class ShardStore:
@@ -66,33 +70,45 @@ class ShardStore:
             raise RuntimeError(f"version {version} could not be committed; another writer may have been first") from e
         return version
 
-    def _write(self, df: DataFrame, files: int, spread: bool) -> list[dict]:
-        """Writes new shards below a folder of their own and lists them."""
-        folder = f"data/{uuid.uuid4().hex}"
-        (df.coalesce(files) if spread else df).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        sizes = [(f"{folder}/{name}", size) for name, size in self._list(f"{self.path}/{folder}") if name.startswith("part-")]
-        return [{"file": name, "bytes": size} for name, size in sizes]
+    def _written(self, folder: str) -> list[dict]:
+        return [{"file": f"{folder}/{name}", "bytes": size} for name, size in self._list(f"{self.path}/{folder}") if name.startswith("part-")]
 
-    def read_files(self, shards: list[dict], schema: str | None) -> DataFrame:
-        from pyspark.sql.types import StructType
+    def _write(self, df: DataFrame) -> list[dict]:
+        """Writes new shards below a folder of their own and lists them; the first task's may be empty and is left out then."""
+        folder = f"data/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        first = f"{folder}/part-00000-"
+        return [s for s in self._written(folder) if not (s["file"].startswith(first) and self.read_files([s], df.schema.json()).isEmpty())]
 
+    def read_files(self, shards: list[dict], schema: str | None, spark: SparkSession | None = None) -> DataFrame:
         kind = StructType.fromJson(json.loads(schema))
+        spark = spark or self.spark
         if not shards:
-            return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{s['file']}" for s in shards])
+            return spark.createDataFrame([], kind)
+        return spark.read.schema(kind).parquet(*[f"{self.path}/{s['file']}" for s in shards])
 
     def append(self, arrivals: DataFrame) -> int:
         """Commits arrivals as small shards, one per task that reads them. No rows: a version without new shards."""
         base = self.manifest()
         schema = base["schema"] or arrivals.schema.json()
-        return self._commit(base, base["shards"] + self._write(arrivals, 1, False), schema)
+        return self._commit(base, base["shards"] + self._write(arrivals), schema)
+
+    def append_parts(self, rows: DataFrame, part: Column, parts: int) -> int:
+        """Appends ``parts`` arrivals, told apart by a number from 0, in one pass over the rows; a version for each."""
+        mark, folder = f"_part_{uuid.uuid4().hex}", f"data/{uuid.uuid4().hex}"
+        rows.withColumn(mark, part).write.option("compression", "zstd").partitionBy(mark).parquet(f"{self.path}/{folder}")
+        version = self.manifest()["version"]
+        for k in range(parts):
+            base = self.manifest()
+            version = self._commit(base, base["shards"] + self._written(f"{folder}/{mark}={k}"), base["schema"] or rows.schema.json())
+        return version
 
     def tier(self, size: int) -> int:
         """0 for shards of the target size; one more for each factor of ``fan_in`` below it."""
         return max(0, math.ceil(math.log(self.target / max(size, 1), self.fan_in) - 0.5))
 
     def plan(self, shards: list[dict]) -> list[list[dict]]:
-        """Runs of similarly sized shards: in each tier, smallest first, runs that add up to about the target."""
+        """Runs of similarly sized shards, each of one tier: smallest first, until they add up to about the target."""
         tiers: dict[int, list[dict]] = {}
         for s in shards:
             tiers.setdefault(self.tier(s["bytes"]), []).append(s)
@@ -103,7 +119,7 @@ class ShardStore:
             run: list[dict] = []
             for s in sorted(members, key=lambda x: (x["bytes"], x["file"])):
                 run.append(s)
-                if sum(x["bytes"] for x in run) >= self.target:
+                if len(run) > 1 and sum(x["bytes"] for x in run) >= self.target:
                     runs.append(run)
                     run = []
             if len(run) >= self.fan_in:
@@ -111,18 +127,24 @@ class ShardStore:
         return runs
 
     def compact(self) -> int:
-        """Merges runs until no tier holds one, committing a version per round. All runs of a round are one Spark job."""
+        """Merges runs until no tier holds one, committing a version per round.
+
+        Every run becomes one new shard, written by one task that reads the run's shards alone; nothing is shuffled.
+        ``RUNS_PER_JOB`` runs make one Spark job. Each round leaves fewer shards.
+        """
+        # Runs must stay partitions of their own; their union would otherwise be taken for one single partition.
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.unionOutputPartitioning", "false")
         while True:
             base = self.manifest()
             runs = self.plan(base["shards"])
             if not runs:
                 return base["version"]
-            merged = [s for run in runs for s in run]
-            gone = {s["file"] for s in merged}
-            total = sum(s["bytes"] for s in merged)
-            new = self._write(self.read_files(merged, base["schema"]), max(1, round(total / self.target)), True)
-            if sum(s["bytes"] for s in new) and len(new) >= len(merged):
-                return base["version"]
+            gone = {s["file"] for run in runs for s in run}
+            new = []
+            for at in range(0, len(runs), RUNS_PER_JOB):
+                merged = [self.read_files(run, base["schema"], session).coalesce(1) for run in runs[at : at + RUNS_PER_JOB]]
+                new += self._write(reduce(DataFrame.union, merged))
             self._commit(base, [s for s in base["shards"] if s["file"] not in gone] + new, base["schema"])
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -139,14 +161,12 @@ class ShardStore:
 
 
 def shard_documents(docs: DataFrame, path: str, arrivals: int = 3, target_bytes: int = 128 << 20, fan_in: int = 4) -> ShardStore:
-    """Shards a table that arrives in ``arrivals`` parts: each part is appended and the store compacted at the end.
+    """Shards a table that arrives in ``arrivals`` parts: the parts are appended and the store compacted at the end.
 
     Every row goes to one part by a hash of all its columns; nulls and repeated rows are kept as they are. An empty
     table gives a store with a schema and no rows.
     """
     store = ShardStore(docs.sparkSession, path, target_bytes, fan_in)
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.where(part == k))
+    store.append_parts(docs, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(arrivals)), arrivals)
     store.compact()
     return store

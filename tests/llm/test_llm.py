@@ -227,6 +227,25 @@ def test_sharding(spark, tmp_path):
     assert store.read_with_shards().select("_shard").distinct().count() == len(store.manifest()["shards"])
 
 
+def test_sharding_merges_each_run_into_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "RUNS_PER_JOB", 2)
+    docs = spark.range(6000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=60_000, fan_in=3)
+    store.append_parts(docs.where("id < 4000").repartition(10), F.col("id") % 2, 2)
+    store.append(docs.where("id >= 4000").repartition(4))
+    before, version = store.manifest(), store.versions()[-1]
+    assert len(store.versions()) == 3 and len(before["shards"]) == 24
+    runs = store.plan(before["shards"])
+    assert len(runs) > 3 and all(len({store.tier(s["bytes"]) for s in run}) == 1 and len(run) > 1 for run in runs)
+    store.compact()
+    after = store.manifest(version + 1)["shards"]
+    new = [s for s in after if s not in before["shards"]]
+    assert len(new) == len(runs)
+    ids = lambda shards: {r["id"] for r in store.read_files(shards, before["schema"]).collect()}
+    assert sorted(map(sorted, map(ids, runs))) == sorted(sorted(ids([s])) for s in new)
+    assert store.read().count() == 6000 and ids(store.manifest()["shards"]) == set(range(6000)) and not store.plan(store.manifest()["shards"])
+
+
 # 3
 
 
