@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,25 +26,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folder of the innermost open ``scratch_scope``.
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/scratch/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, within the open scope if there is one."""
+    return f"{_SCOPE.get() or shared_dir(spark) + '/scratch'}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside are removed at the end; what is read from them must be done by then."""
+    path = scratch_path(spark, "scope")
+    outer = _SCOPE.set(path)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(outer)
+        remove_path(spark, path)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files stay until ``remove_scratch`` is called, since a returned DataFrame may be evaluated at any later time.
+    The files stay until the scope ends or ``remove_scratch`` is called, since a returned DataFrame may be evaluated
+    at any later time.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_scratch(spark: SparkSession) -> None:
     """Delete every table that ``materialise`` has left; results not yet evaluated become unreadable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(spark, f"{shared_dir(spark)}/scratch")
 
 
 def shuffle_width(spark: SparkSession) -> int:
