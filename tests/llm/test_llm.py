@@ -779,15 +779,57 @@ def test_pipeline(spark, documents):
     import corpus_pipeline as C
 
     extra = spark.createDataFrame([(10_001, None, None, "src0", 0), (10_002, "12 34", "en", "src0", 5), (10_003, "Write to me@example.com please, thank you all", "en", "src0", 45)], documents.schema)
+    # Repeated rows and ids, and columns named like those that operators add.
+    extra = extra.unionByName(extra)
     docs = documents.unionByName(extra)
+    for c in ("score", "lang_pred", "spans", "base", "id", "row", "__row", "__text", "col_0", "kept"):
+        docs = docs.withColumn(c, F.when(F.col("doc_id") % 2 == 0, F.lit(c)))
     columns = docs.columns
     sizes = []
     for _, stage in C.STAGES[:-1]:
         docs = C.materialise(stage(spark, docs, SF), "test")
         assert docs.columns == columns
         sizes.append(docs.count())
-    texts = [r["text"] for r in docs.collect()]
+    rows = docs.collect()
+    texts = [r["text"] for r in rows]
     assert len({ascii_lower(t) for t in texts}) == len(texts) and not any("me@example.com" in t for t in texts)
-    assert sizes[0] == documents.count() + 1 and sizes[1] < sizes[0] and sizes[2] <= sizes[1] and sizes[3] == sizes[2]
+    assert sizes[0] == documents.count() + 2 and sizes[1] < sizes[0] and sizes[2] <= sizes[1] and sizes[3] == sizes[2]
+    assert all(r[c] == (c if r["doc_id"] % 2 == 0 else None) for r in rows for c in ("score", "spans", "base", "row", "col_0"))
     packed = C.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == sizes[3]
+
+
+def test_pipeline_near_stage_equals_brute_force(spark, documents):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").limit(400)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {r["doc_id"] for r in C.near_stage(spark, docs, SF).collect()}
+    groups = {}
+    for i, root in brute_groups({i: ascii_lower(t) for i, t in texts.items()}).items():
+        groups.setdefault(root, set()).add(i)
+    assert all(len(g & kept) == 1 for g in groups.values())
+
+
+def test_pipeline_run_leaves_only_what_the_result_needs(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as C
+
+    from lodeworks.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = C.run(spark, SF).collect()
+    assert got and sorted(p.name.split("-")[0] for p in (tmp_path / "scratch").iterdir()) == ["pieces", "privacy"]
+
+
+def test_entry_module_without_a_library(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    assert {"op1_simhash", "pipeline"} <= set(entry.queries())
+    for name in [m for m in sys.modules if m.startswith(("lodeworks.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    with pytest.warns(UserWarning, match="corpus_pipeline is left out"):
+        found = entry.queries()
+    assert "pipeline" not in found and "ret_keyword" in found and len(found) >= 206
