@@ -64,6 +64,11 @@ def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver look for shuffles that nothing refers to any longer, so that executors delete their files now."""
+    spark._jvm.System.gc()
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete every table that ``materialise`` has left; results not yet evaluated become unreadable."""
     remove_path(spark, f"{shared_dir(spark)}/scratch")

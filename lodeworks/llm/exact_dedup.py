@@ -147,16 +147,18 @@ def exact_duplicates(
     schema = StructType([*kinds, *[StructField(f.name, f.dataType) for f in source.schema.fields[2:]]])
     with_body = text_col not in carry
     rows = materialise(source.mapInArrow(lambda batches: _combine(batches, with_body), schema), "radix")
-    body = F.col("body") if with_body else F.encode(F.translate(F.coalesce(F.col(carried[text_col]).cast("string"), F.lit("")), UPPER, LOWER), "UTF-8")
-    reps = rows.where("n IS NOT NULL").select("rep_key", F.col("id").alias("top_id"), F.col("row_key").alias("top_key"), "n", body.alias("body"))
+    # Lower-casing A-Z changes no length, so sizes come from the text as it is, and leading digits from its beginning.
+    raw = F.col("body") if with_body else F.coalesce(F.col(carried[text_col]).cast("string"), F.lit(""))
+    normal = (lambda c: c) if with_body else lambda c: F.encode(F.translate(c, UPPER, LOWER), "UTF-8")
+    reps = rows.where("n IS NOT NULL").select("rep_key", F.col("id").alias("top_id"), F.col("row_key").alias("top_key"), "n", raw.alias("raw"))
     done: list[DataFrame] = []
     digit = first_digit
     total = None
     while True:
-        level = reps.withColumn("prefix", F.substring("body", 1, digit))
-        sizes = level.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("body").cast("long")).alias("bytes"))
+        level = reps.withColumn("prefix", F.substring(normal(F.substring("raw", 1, digit)), 1, digit))
+        sizes = level.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("raw").cast("long")).alias("bytes"))
         if total is None:
-            total = reps.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+            total = reps.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
             bound = max(LEAST_BYTES, min(most_bytes, total // (2 * width)))
         # Groups of more than ``bound`` bytes: at most total / bound of them. The planner sees the size of this table
         # and broadcasts it if small; otherwise the join is by key, and a common prefix is a skewed side that it splits.
@@ -164,7 +166,7 @@ def exact_duplicates(
         none_big = big.isEmpty()
         small = level if none_big else level.join(big, "prefix", "left_anti")
         done.append(
-            small.select("prefix", "rep_key", "top_id", "top_key", "n", "body")
+            small.select("prefix", "rep_key", "top_id", "top_key", "n", normal(F.col("raw")).alias("body"))
             .repartition(width, "prefix")
             .sortWithinPartitions("prefix")
             .mapInArrow(_finisher(0), _CLASS)
@@ -172,13 +174,13 @@ def exact_duplicates(
         if none_big:
             break
         large = level.join(big, "prefix", "left_semi")
-        ended = large.where(F.octet_length("body") <= digit)
+        ended = large.where(F.octet_length("raw") <= digit).withColumn("body", normal(F.col("raw")))
         best = ended.groupBy("body").agg(F.max(F.struct("top_id", "top_key")).alias("top"), F.sum("n").alias("group_size"))
         done.append(
             ended.select("rep_key", "body").join(best, "body")
             .select("rep_key", F.col("top.top_id").alias("keep_id"), F.col("top.top_key").alias("keep_key"), "group_size")
         )
-        reps = large.where(F.octet_length("body") > digit).select("rep_key", "top_id", "top_key", "n", "body")
+        reps = large.where(F.octet_length("raw") > digit).select("rep_key", "top_id", "top_key", "n", "raw")
         digit *= WIDEN
     classes = done[0]
     for more in done[1:]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_kept, materialise, named, shuffle_width
+from .common import forget_kept, free_shuffles, materialise, named, scratch_path, scratch_scope, shuffle_width
 from .components import component_labels
 
 SEED = 42
@@ -243,6 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 COMMON_TEXTS = 10_000
 COMMON_SHINGLES = 200_000
 PAIRS = 1 << 18
+#: Orders by which the lists of shingle prefixes choose the member that all others are compared with first.
+CENTRES = 4
 
 
 def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
@@ -291,8 +293,16 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
     an inverted index of these prefixes holds every pair; which shingles are known as common decides only how long its
     lists are. Pairs whose sizes or places in a list rule out the similarity are left out. Candidates are verified on their whole sets.
     Each member of a list is first compared with one other, which is linear and joins large groups of copies; then all
-    pairs of a list that no link has joined are compared, so lists of many unlike texts cost their square.
+    pairs of a list that no link has joined are compared, so lists of many unlike texts cost their square. What is
+    written on the way is removed as soon as it has been used.
     """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "similar")
+    with scratch_scope(spark):
+        return materialise(_similar(docs, id_col, text_col, shingle_words, similarity), "similar", path)
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     width = shuffle_width(spark)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -351,13 +361,18 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
         return np.minimum(n - place, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by key and size: the members of like sizes with one of them, another one in each list by its key."""
+        """Rows by key and size: the members of like sizes with the least of them by one of a few orders, which the key picks.
+
+        Lists of the same members thus have few centres, and a pair is seldom compared for more than these.
+        """
         for k, i, n, place in _runs(batches):
+            orders = [_mixed(i.view(np.uint64), block) for block in range(1, CENTRES + 1)]
             centre, start = np.arange(len(k)), 0
             for stop in [*(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]:
                 while start < stop:
                     end = start + int(np.searchsorted(n[start:stop], n[start] / similarity + 1e-9, "right"))
-                    centre[start:end], start = start + int(k[start]) % (end - start), end
+                    order = orders[int(k[start]) % CENTRES]
+                    centre[start:end], start = start + int(order[start:end].argmin()), end
             far = np.flatnonzero(centre != np.arange(len(k)))
             far = far[possible(n[centre[far]], place[centre[far]], n[far], place[far])]
             if len(far):
@@ -412,20 +427,27 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
         pairs = materialise(pairs.distinct(), "similar-pairs")
         needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
         sets = materialise(source.join(needed, "id", "left_semi").mapInArrow(sets_of, "id long, s binary"), "similar-sets")
+        free_shuffles(spark)
         left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
         return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
 
     prints = materialise(source.mapInArrow(prefixes_of, "id long, digest binary, n int, prefix binary"), "prefixes")
-    groups = materialise(prints.groupBy("digest").agg(F.min_by(F.struct("id", "n", "prefix"), "id").alias("g")).select("digest", "g.*"), "prefix-groups")
-    postings = groups.select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
+    low = prints.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "low")
+    copies = materialise(prints.select("id", "digest").join(low, "digest").where("id <> low").select("id", "low"), "prefix-copies")
+    postings = prints.join(copies.select("id"), "id", "left_anti").select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
     lists = materialise(postings.repartition(width, "k").sortWithinPartitions("k").mapInArrow(shared, "k long, id long, n int, place int"), "prefix-lists")
-    labels = component_labels(links(lists.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(stars, "u long, v long")))
-    labelled = lists.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("label"))
-    rest = labelled.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(across, "u long, v long")
-    # Texts joined already stand as their group from here on.
-    further = links(rest)
-    for end in ("u", "v"):
-        further = further.join(labels, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("u", "v")
-    labels = component_labels(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further.distinct()))
-    rooted = groups.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("component_id"))
-    return prints.select("id", "digest").join(rooted, "digest").select("id", "component_id")
+    free_shuffles(spark)
+    first, second = scratch_path(spark, "labels"), scratch_path(spark, "labels")
+    with scratch_scope(spark):
+        labels = materialise(component_labels(links(lists.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(stars, "u long, v long"))), "labels", first)
+    free_shuffles(spark)
+    with scratch_scope(spark):
+        labelled = lists.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("label"))
+        # Texts joined already stand as their group from here on.
+        further = links(labelled.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(across, "u long, v long"))
+        for end in ("u", "v"):
+            further = further.join(labels, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("u", "v")
+        labels = materialise(component_labels(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further.distinct())), "labels", second)
+    free_shuffles(spark)
+    stands = prints.select("id").join(copies, "id", "left").select("id", F.coalesce("low", "id").alias("of"))
+    return stands.join(labels, F.col("of") == F.col("node"), "left").select("id", F.coalesce("root", "of").alias("component_id"))
