@@ -245,6 +245,8 @@ COMMON_SHINGLES = 200_000
 PAIRS = 1 << 18
 #: Orders by which the lists of shingle prefixes choose the member that all others are compared with first.
 CENTRES = 4
+#: Ids of texts, of eight bytes each, that are broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
@@ -265,6 +267,21 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+def bucket_counts(shingles: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of equal ranges: a power of two of at least half as many ranges, up to 255 each."""
+    bits = max(4, len(shingles).bit_length() - 1)
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def possibly_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets with these bucket counts can have the similarity: in a range they share at most the lesser count."""
+    if a.max() == 255 or b.max() == 255:
+        return True
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    a = a.reshape(len(b), -1).sum(axis=1, dtype=np.int64)
+    return np.minimum(a, b).sum() >= similarity / (1 + similarity) * (a.sum() + b.sum(dtype=np.int64)) - 1e-6
+
+
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of rows sorted by the first column, cut between keys only."""
     held: list[np.ndarray] = []
@@ -291,12 +308,15 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
     transitively, at any size of the table. Equal sets are put together first. The shingles have one order: those
     common in a sample of bounded size last, then by hash. Two similar sets share one of their first few shingles, so
     an inverted index of these prefixes holds every pair; which shingles are known as common decides only how long its
-    lists are. Pairs whose sizes or places in a list rule out the similarity are left out. Candidates are verified on their whole sets.
+    lists are. Pairs whose sizes or places in a list rule out the similarity are left out, then those whose counts of hashes
+    by range do (an upper bound of what they share, an eighth to a sixteenth of a set in size). The others are verified
+    on their whole sets.
     Each member of a list is first compared with one other, which is linear and joins large groups of copies; then all
     pairs of a list that no link has joined are compared, so lists of many unlike texts cost their square. What is
     written on the way is removed as soon as it has been used.
     """
     spark = docs.sparkSession
+    free_shuffles(spark)
     path = scratch_path(spark, "similar")
     with scratch_scope(spark):
         return materialise(_similar(docs, id_col, text_col, shingle_words, similarity), "similar", path)
@@ -332,8 +352,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                 rank = np.where(known[place] == s, count[place], 0)
                 prefixes.append(s[np.lexsort((s, rank))[: prefix_length(len(s), similarity)]].tobytes())
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "prefix"])
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(prefixes, pa.binary()), pa.array(map(bucket_counts, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "prefix", "counts"])
 
     def postings_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,6 +427,11 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
             sets = [shingle_set((t or "").encode(), shingle_words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
+    def promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [possibly_similar(*(np.frombuffer(x.as_buffer(), np.uint8) for x in both), similarity) for both in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in (0, 1)], names=["u", "v"])
+
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the verified pairs of a task as many as join the same texts: at most one for each."""
         u, v = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -423,18 +448,25 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
             u, v = ids[root], ids[inner]
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+    def few(ids: DataFrame) -> DataFrame:
+        """Up to ``MOST_BROADCAST`` ids go to the texts; more are joined by key, which shuffles the texts."""
+        return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
     def links(pairs: DataFrame) -> DataFrame:
+        left, right = prints.select(F.col("id").alias("u"), F.col("counts").alias("a")), prints.select(F.col("id").alias("v"), F.col("counts").alias("b"))
         pairs = materialise(pairs.distinct(), "similar-pairs")
+        pairs = materialise(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(promising, "u long, v long"), "similar-promising")
         needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        sets = materialise(source.join(needed, "id", "left_semi").mapInArrow(sets_of, "id long, s binary"), "similar-sets")
+        needed = materialise(needed, "similar-needed")
+        sets = materialise(source.join(few(needed), "id", "left_semi").mapInArrow(sets_of, "id long, s binary"), "similar-sets")
         free_shuffles(spark)
         left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
         return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
 
-    prints = materialise(source.mapInArrow(prefixes_of, "id long, digest binary, n int, prefix binary"), "prefixes")
+    prints = materialise(source.mapInArrow(prefixes_of, "id long, digest binary, n int, prefix binary, counts binary"), "prefixes")
     low = prints.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "low")
     copies = materialise(prints.select("id", "digest").join(low, "digest").where("id <> low").select("id", "low"), "prefix-copies")
-    postings = prints.join(copies.select("id"), "id", "left_anti").select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
+    postings = prints.join(few(copies.select("id")), "id", "left_anti").select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
     lists = materialise(postings.repartition(width, "k").sortWithinPartitions("k").mapInArrow(shared, "k long, id long, n int, place int"), "prefix-lists")
     free_shuffles(spark)
     first, second = scratch_path(spark, "labels"), scratch_path(spark, "labels")

@@ -199,6 +199,22 @@ def test_similar_documents_compares_members_unlike_the_first(spark):
     assert got == want and all(want[i + 8] == want[i + 7] for i in range(0, len(texts), 9))
 
 
+def test_bucket_counts_rule_out_no_similar_pair():
+    rng = np.random.default_rng(7)
+    ruled_out = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: int(len(a) * rng.uniform(0, 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n + 1))).astype(np.uint64)]))
+        same = len(np.intersect1d(a, b))
+        found = simhash.possibly_similar(*(np.frombuffer(simhash.bucket_counts(x), np.uint8) for x in (a, b)), 0.8)
+        assert found or same < 0.8 * (len(a) + len(b) - same)
+        ruled_out += not found
+    assert ruled_out > 400
+    full = np.arange(5000, dtype=np.uint64)  # all in one range
+    assert simhash.possibly_similar(*(np.frombuffer(simhash.bucket_counts(x), np.uint8) for x in (full, full[:4500])), 0.8)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 7), (10, 9), (9, 8), (8, -5)] + [(100, i) for i in range(101, 200)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.component_labels(edges).collect()}
