@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -97,6 +98,11 @@ def quoted(words: list[str]) -> str:
     return "|".join("".join("\\" + c if c in special else c for c in w) for w in words)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE))
 
@@ -144,17 +150,22 @@ def clean_boilerplate(text: Column) -> Column:
 
 
 def gate_0a(text: Column, html: Column | None = None) -> Column:
-    """Heuristic gate: a struct of verdict (PASS or SKIP) and the canonical reason, empty when it passes."""
+    """Heuristic gate: a struct of verdict (PASS or SKIP) and the canonical reason, empty when it passes.
+
+    The words and the lower-cased text are made once each, and the text is searched for junk only if it is long enough.
+    """
     body = F.coalesce(text, F.lit(""))
-    w = words(body)
-    n = F.size(w)
-    junk = count_contained(F.lower(body), JUNK)
-    first, rest = F.array_join(F.slice(w, 1, 100), " "), F.array_join(F.slice(w, 101, F.greatest(n, F.lit(1))), " ")
-    reason = F.when(strip(body) == "", "empty").when(n < 50, "too_short").when(junk >= 3, "junk_patterns")
-    if html is not None:
-        reason = reason.when((F.length(html) > 0) & (F.length(body) / F.length(html) < 0.05), "low_density")
-    reason = reason.when((n > 200) & F.lower(rest).contains(F.lower(first)), "repetition").otherwise("")
-    return F.struct(F.when(reason == "", "PASS").otherwise("SKIP").alias("verdict"), reason.alias("reason"))
+
+    def judge(w: Column) -> Column:
+        n = F.size(w)
+        first, rest = F.array_join(F.slice(w, 1, 100), " "), F.array_join(F.slice(w, 101, F.greatest(n, F.lit(1))), " ")
+        junk = bound(F.lower(body), lambda low: count_contained(low, JUNK) >= 3)
+        reason = F.when(strip(body) == "", "empty").when(n < 50, "too_short").when(junk, "junk_patterns")
+        if html is not None:
+            reason = reason.when((F.length(html) > 0) & (F.length(body) / F.length(html) < 0.05), "low_density")
+        return reason.when((n > 200) & F.lower(rest).contains(F.lower(first)), "repetition").otherwise("")
+
+    return bound(bound(words(body), judge), lambda r: F.struct(F.when(r == "", "PASS").otherwise("SKIP").alias("verdict"), r.alias("reason")))
 
 
 def normalise_reason(reason: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import scores as S
 from lodeworks.functions import text as T
 
-from .views import ATOMS_SQL, WS, atoms, sql_any, sql_count, sql_list, sql_words, table
+from .views import ATOMS_SQL, WS, atoms, spread, sql_any, sql_count, sql_list, sql_words, table
 
 QUERIES, SQL = {}, {}
 
@@ -24,7 +24,7 @@ def query(sql: str = ""):
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")))
 
 
 DOCS = "docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents)"
