@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodeworks.sources.shared import fresh_path
 
 CAP, RATE, AMOUNT = 10.0, 0.01, 0.5
+IDLE_HOURS = 168
 
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -66,33 +67,41 @@ def sessions(stream: DataFrame, key: str, time: str, gap: str = "6 hours", late:
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def activation_fold(times: pd.Series, amount: float = AMOUNT, state: tuple[float, float] | None = None) -> tuple[float, float]:
-    """(score, last time in seconds): each use decays the score by its age and adds an amount, up to a cap."""
+def activation_fold(times: Iterable[float], amount: float = AMOUNT, state: tuple[float, float] | None = None) -> tuple[float, float]:
+    """(score, last time) of uses in seconds: each use decays the score by its age and adds an amount, up to a cap.
+
+    After more than ``IDLE_HOURS`` without a use the score starts anew.
+    """
     score, last = state or (0.0, None)
-    for t in times:
-        now = t.timestamp()
+    for now in times:
         if last is not None:
-            score *= math.exp(-RATE * max(0.0, now - last) / 3600)
+            idle = max(0.0, now - last) / 3600
+            score = score * math.exp(-RATE * idle) if idle <= IDLE_HOURS else 0.0
         score = min(CAP, score + amount)
         last = now if last is None else max(last, now)
     return score, last
 
 
-def activation_stream(stream: DataFrame, key: str, time: str) -> DataFrame:
-    """Activation per key as arbitrary state; state of a key idle for 168 hours is evicted by the watermark's timer."""
+def activation_stream(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
+    """Activation per key as arbitrary state; the watermark's timer evicts the state of a key idle for ``IDLE_HOURS``.
+
+    Rows later than ``late`` behind the newest are dropped. An evicted key that comes back starts anew, as in the fold.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
         if state.hasTimedOut:
             state.remove()
             return
-        times = pd.concat([f[time] for f in frames]).sort_values()
-        score, last = activation_fold(times, state=held)
+        times = pd.concat([f["__seconds"] for f in frames]).sort_values()
+        score, last = activation_fold(times, state=state.get if state.exists else None)
         state.update((score, last))
+        # One millisecond later, since a key is still active at the limit itself.
+        state.setTimeoutTimestamp(max(int((last + IDLE_HOURS * 3600) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [name[0]], "activation": [score]})
 
-    return stream.select(key, time).groupBy(key).applyInPandasWithState(step, f"{key} long, activation double", "score double, last double", "update", GroupStateTimeout.NoTimeout)
+    uses = stream.where(F.col(time).isNotNull()).withWatermark(time, late).select(key, time, (F.unix_micros(time) / 1e6).alias("__seconds"))
+    return uses.groupBy(key).applyInPandasWithState(step, f"{key} long, activation double", "score double, last double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def activation_batch(events: DataFrame, key: str, time: str) -> DataFrame:
@@ -100,7 +109,8 @@ def activation_batch(events: DataFrame, key: str, time: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.unix_micros(F.col(time).cast("timestamp")) / 1e6))
     start = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("last"))
     age = lambda a, t: F.greatest(F.lit(0.0), t - F.coalesce(a["last"], t)) / 3600
-    step = lambda a, t: F.struct(F.least(F.lit(CAP), a["score"] * F.exp(age(a, t) * -RATE) + AMOUNT).alias("score"), t.alias("last"))
+    held = lambda a, t: F.when(age(a, t) <= IDLE_HOURS, a["score"] * F.exp(age(a, t) * -RATE)).otherwise(0.0)
+    step = lambda a, t: F.struct(F.least(F.lit(CAP), held(a, t) + AMOUNT).alias("score"), t.alias("last"))
     return events.groupBy(key).agg(F.aggregate(ordered, start, step, lambda a: a["score"]).alias("activation"))
 
 
