@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.sources.shared import shared_folder
+from lodeworks.sources.shared import fresh_path
 
 from .derivation import content_tokens
 
@@ -14,11 +14,10 @@ RELATIONS = ["supports", "contradicts", "refines", "causes", "depends_on", "anal
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration by a checkpoint in the folder that the session shares."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """Cuts the lineage of an iteration by a table in the folder that the session shares; it is computed once."""
+    path = fresh_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def node_id(kind: Column, key: Column) -> Column:
