@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import scores as S
 from lodeworks.functions import text as T
-from lodeworks.operators import cognition, dedup, derivation, graph, grounding, relational, retrieval, vectors
+from lodeworks.operators import cognition, dedup, derivation, graph, grounding, relational, retrieval, validators, vectors
 from lodeworks.plans.extensions import Registry
 from lodeworks.sources import readers, sinks, tables
 from lodeworks.streaming import pipelines
@@ -231,3 +231,78 @@ def test_distil_small_and_large(spark):
     chunks = one(spark, cognition.distil(F.lit(large)))
     assert len(chunks) == len(range(0, 191, 7)) and chunks[1].startswith("Sentence number 7 ")
     assert one(spark, cognition.distil(F.lit(""))) == []
+
+
+def test_validators(spark):
+    page = "# A study\n\n### Deep\n\n## Up\n\n- one\n\n| a |\n|---|\n\n> said (Smith, 2020): 12.5% on 2024-01-02"
+    got = one(spark, validators.validate_source(F.lit(page), F.lit("https://www.mit.edu/x"), "normal"))
+    # Host .9; length 98, seven paragraphs, readable, dense; four of seven fields; an indicator.
+    n = len(page.split())
+    readable = 1 - min(max(sum(map(len, page.split())) / n - 4, 0) / 8, 1)
+    parts = len(page) / 1000 + 6 / 10 + readable + 1
+    assert got["score"] == pytest.approx(round(0.9 * 0.25 + parts / 4 * 0.35 + 4 / 7 * 0.15 + 0.25, 2)) and got["valid"]
+    assert got["hierarchy"] == pytest.approx(2 / 3)
+    empty = one(spark, validators.validate_source(F.lit(None).cast("string"), F.lit(None).cast("string")))
+    assert (empty["valid"], empty["score"], empty["hierarchy"]) == (False, 0.13, 0.0)
+    for text, error in [("short", "Content too short"), (" " * 60, "Empty content"), ("x" * 100_001, "Content too long"), ("x" * 60, "Content quality below threshold")]:
+        assert one(spark, validators.validate_content(F.lit(text)))["error"] == error
+    rich = one(spark, validators.validate_content(F.lit("# H\n- a\n**b** " + "[1] 5% https://x.y " * 5 + "z" * 1000)))
+    assert rich["valid"] and rich["score"] == 1.0
+
+
+@pytest.mark.parametrize(
+    "kind, value, limits, error",
+    [
+        ("string", "x" * 1000, {}, None), ("string", "x" * 1001, {}, "String too long"), ("string", None, {}, "Value must be a string"), ("boolean", "False", {}, None),
+        ("integer", "7", {"max": 6.0}, "Value above the maximum"), ("integer", "7.0", {}, "Value must be an integer"), ("float", "7.0", {"min": 7.0}, None), ("enum", "a", {}, "Enum options must be provided"),
+        ("list", "[]", {}, None), ("list", "[]", {"min_items": 1}, "List too short"), ("dict", "[1]", {}, "Value must be a dictionary"), (None, "a", {}, "Invalid value type"),
+    ],
+)
+def test_preference_rules(spark, kind, value, limits, error):
+    lit = lambda x: F.lit(x).cast("string") if x is None else F.lit(x)
+    check = lambda key, at: validators.validate_preference(F.lit(key), F.lit("content"), lit(kind), lit(value), F.lit("s"), F.lit(0.5), F.lit(at), {k: F.lit(v) for k, v in limits.items()})
+    assert one(spark, check("theme", "2024-01-02T03:04:05")) == error
+    assert one(spark, check(" ", "2024-01-02")) == "Preference key cannot be empty"
+    if error is None:
+        assert one(spark, check("theme", "never")) == "Invalid timestamp format"
+
+
+def _blobs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "g", (rng.normal(0, 0.05, 4) + 3 * (i % 3)).tolist()) for i in range(60)]
+    return rows + [(100 + i, "g", (rng.uniform(20, 90, 4)).tolist()) for i in range(4)]
+
+
+def test_density_clusters(spark):
+    schema = "k long, g string, v array<double>"
+    more = [(200 + i, "same", [1.0, 2.0]) for i in range(7)] + [(300, "one", [1.0]), (301, "none", None)]
+    got = {r["k"]: r["cluster"] for r in vectors.density_clusters(spark.createDataFrame(_blobs() + more, schema), "g", "k", "v").collect()}
+    # Three blobs under their smallest keys; far points, a group that never splits, lone and missing vectors are noise.
+    assert got == {i: i % 3 for i in range(60)}
+    assert vectors.density_clusters(spark.createDataFrame([], schema), "g", "k", "v").count() == 0
+
+
+def test_kmeans_finds_blobs(spark):
+    rows = [r for r in _blobs() if r[0] < 60]
+    got = {r["k"]: r["cluster"] for r in vectors.kmeans(spark.createDataFrame(rows, "k long, g string, v array<double>"), "k", "v", 3).collect()}
+    assert len(got) == 60 and len({(i % 3, c) for i, c in got.items()}) == 3
+    assert {r["cluster"] for r in vectors.kmeans(spark.createDataFrame(rows[:1], "k long, g string, v array<double>"), "k", "v", 3).collect()} == {0}
+
+
+def test_idle_activation_is_evicted(spark, tmp_path):
+    import time as clock
+
+    for n, rows in enumerate([[(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:00")], [(2, "2024-01-01 01:00:00")], [(3, "2024-01-20 00:00:00")], [(1, "2024-01-20 01:00:00")]]):
+        spark.createDataFrame(rows, "k long, t string").selectExpr("k", "CAST(t AS TIMESTAMP) AS t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        clock.sleep(1.1)
+    live = pipelines.activation_stream(pipelines.table_stream(spark, str(tmp_path / "in"), 1), "k", "t")
+    seen = []
+    query = live.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, n: seen.extend((r["k"], round(r["activation"], 6)) for r in b.collect())).start()
+    query.awaitTermination()
+    assert seen[-2:] == [(3, 0.5), (1, 0.5)]
+    # The states of key 2, idle for good, and of key 1's first time are gone.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    events = spark.read.parquet(str(tmp_path / "in"))
+    assert {r["k"]: round(r["activation"], 6) for r in pipelines.activation_batch(events, "k", "t").collect()} == {1: 0.5, 2: 0.995025, 3: 0.5}
