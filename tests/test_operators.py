@@ -306,3 +306,14 @@ def test_idle_activation_is_evicted(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
     events = spark.read.parquet(str(tmp_path / "in"))
     assert {r["k"]: round(r["activation"], 6) for r in pipelines.activation_batch(events, "k", "t").collect()} == {1: 0.5, 2: 0.995025, 3: 0.5}
+
+
+def test_table_pattern_fits_the_same_texts():
+    import itertools
+    import re
+
+    plain, searched = (re.compile(p, re.MULTILINE) for p in (validators.SOURCE_MARKDOWN[3], validators.TABLE))
+    for n in range(9):
+        for letters in itertools.product("|\n-a", repeat=n):
+            text = "".join(letters)
+            assert bool(plain.search(text)) == bool(searched.search(text)), text
