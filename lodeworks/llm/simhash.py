@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -245,6 +245,8 @@ COMMON_SHINGLES = 200_000
 PAIRS = 1 << 18
 #: Orders by which the lists of shingle prefixes choose the member that all others are compared with first.
 CENTRES = 4
+#: Members of a list's largest joined group that its other members are compared with before all pairs are.
+BRIDGES = 64
 #: Ids of texts, of eight bytes each, that are broadcast.
 MOST_BROADCAST = 1_000_000
 
@@ -311,8 +313,9 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
     lists are. Pairs whose sizes or places in a list rule out the similarity are left out, then those whose counts of hashes
     by range do (an upper bound of what they share, an eighth to a sixteenth of a set in size). The others are verified
     on their whole sets.
-    Each member of a list is first compared with one other, which is linear and joins large groups of copies; then all
-    pairs of a list that no link has joined are compared, so lists of many unlike texts cost their square. What is
+    Each member of a list is first compared with one other, which is linear and joins large groups of copies; those left
+    out are then compared with a few members of the list's largest group, which is linear too; then all pairs of a list
+    that no link has joined are compared, so lists of many unlike texts cost their square. What is
     written on the way is removed as soon as it has been used.
     """
     spark = docs.sparkSession
@@ -400,6 +403,28 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                 pairs = np.unique(np.sort(ends, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
+    def bridges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by key and size: those outside the largest group of a list's like sizes, with a few of that group."""
+        for k, i, n, place, label in _runs(batches):
+            order = _mixed(i.view(np.uint64), CENTRES + 1)
+            size, start, found = 0, 0, []
+            for stop in [*(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]:
+                while start < stop:
+                    end = start + int(np.searchsorted(n[start:stop], n[start] / similarity + 1e-9, "right"))
+                    groups, group, times = np.unique(label[start:end], return_inverse=True, return_counts=True)
+                    if len(groups) > 1:
+                        inside = group == times.argmax()
+                        members, others = start + np.flatnonzero(inside), start + np.flatnonzero(~inside)
+                        members = members[np.argsort(order[members], kind="stable")[:BRIDGES]]
+                        a, b = np.repeat(members, len(others)), np.tile(others, len(members))
+                        good = possible(n[a], place[a], n[b], place[b])
+                        found.append(np.sort(np.stack([i[a[good]], i[b[good]]], axis=1), axis=1))
+                        size += len(found[-1])
+                    start = end
+                    if found and (size > PAIRS or start == len(k)):
+                        pairs, size, found = np.unique(np.concatenate(found), axis=0), 0, []
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by key and size: all pairs of a list whose sizes allow it and that are not joined yet."""
         for k, i, n, place, label in _runs(batches):
@@ -469,17 +494,23 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
     postings = prints.join(few(copies.select("id")), "id", "left_anti").select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
     lists = materialise(postings.repartition(width, "k").sortWithinPartitions("k").mapInArrow(shared, "k long, id long, n int, place int"), "prefix-lists")
     free_shuffles(spark)
-    first, second = scratch_path(spark, "labels"), scratch_path(spark, "labels")
+
+    def joined(labels: DataFrame, candidates: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+        """The labels after the links among these candidates; texts joined already stand as their group."""
+        path = scratch_path(spark, "labels")
+        with scratch_scope(spark):
+            labelled = lists.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("label"))
+            further = links(labelled.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(candidates, "u long, v long"))
+            for end in ("u", "v"):
+                further = further.join(labels, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("u", "v")
+            more = materialise(component_labels(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further.distinct())), "labels", path)
+        free_shuffles(spark)
+        return more
+
+    first = scratch_path(spark, "labels")
     with scratch_scope(spark):
         labels = materialise(component_labels(links(lists.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(stars, "u long, v long"))), "labels", first)
     free_shuffles(spark)
-    with scratch_scope(spark):
-        labelled = lists.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("label"))
-        # Texts joined already stand as their group from here on.
-        further = links(labelled.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(across, "u long, v long"))
-        for end in ("u", "v"):
-            further = further.join(labels, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("u", "v")
-        labels = materialise(component_labels(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further.distinct())), "labels", second)
-    free_shuffles(spark)
+    labels = joined(joined(labels, bridges), across)
     stands = prints.select("id").join(copies, "id", "left").select("id", F.coalesce("low", "id").alias("of"))
     return stands.join(labels, F.col("of") == F.col("node"), "left").select("id", F.coalesce("root", "of").alias("component_id"))

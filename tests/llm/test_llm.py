@@ -199,6 +199,33 @@ def test_similar_documents_compares_members_unlike_the_first(spark):
     assert got == want and all(want[i + 8] == want[i + 7] for i in range(0, len(texts), 9))
 
 
+def test_similar_documents_large_group_at_the_threshold(spark, monkeypatch):
+    """Copies of one text of which only some pairs are similar enough: no link is lost, and few pairs are left to compare one by one."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, texts, sizes = [word() for _ in range(200)], {}, []
+    for _ in range(300):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 2, 3, 5])):
+            copy[at] = word()
+        texts[len(texts)] = " ".join(copy)
+
+    def counted(df, label, path=None):
+        out = materialise(df, label, path)
+        if label == "similar-pairs":
+            sizes.append(out.count())
+        return out
+
+    materialise = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", counted)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "n long, text string"), "n").collect()}
+    want = brute_groups(texts)
+    joined = sum(r == 0 for r in want.values())
+    assert got == want and 100 < joined < 300
+    alone = 300 - joined
+    assert len(sizes) == 3 and sizes[1] <= simhash.BRIDGES * 300 and sizes[2] <= 1.1 * (alone * joined + alone * alone / 2)
+
+
 def test_bucket_counts_rule_out_no_similar_pair():
     rng = np.random.default_rng(7)
     ruled_out = 0
