@@ -382,17 +382,20 @@ def contradiction_type(a: Column, b: Column) -> Column:
     return out
 
 
+#: Patterns of the kinds of a query, the first that fits deciding (fixed values).
+INTENTS = {
+    "comparative": r"\b(compare|comparison|versus|vs\.?|difference\s+between)\b|\bhow\s+does?\b.*\b(compare|differ|different)\b|\b(better|worse|superior|inferior)\b.*\b(than|or)\b|\bpros?\s+and\s+cons\b",
+    "procedural": r"\bhow\s+to\b|\bhow\s+do(es|s)?\b.*\b(work|build|create|make|install|setup)\b|\bsteps?\s+(to|for)\b|\bguide\b|\btutorial\b|\b(process|method|algorithm)\b.*\b(for|to)\b",
+    "conceptual": r"\b(why|explain|understand|concept|mechanism|principle|theory|model)\b|\bhow\s+does\b|\bwhat\s+(causes|drives|motivates|influences)\b",
+    "factual": r"\bwhat\s+(is|are|does?)\b|\bdefine\b|\bwho\s+(is|was)\b|\bwhere\s+is\b|\bwhen\s+(did|was|does)\b|\blist\b|\bname\b.*\b(of|the)\b",
+}
+
+
 def query_intent(query: Column) -> Column:
     """comparative, procedural, conceptual, factual or exploratory: the first that fits."""
     low = F.lower(F.trim(query))
-    kinds = {
-        "comparative": r"\b(compare|comparison|versus|vs\.?|difference\s+between)\b|\bhow\s+does?\b.*\b(compare|differ|different)\b|\b(better|worse|superior|inferior)\b.*\b(than|or)\b|\bpros?\s+and\s+cons\b",
-        "procedural": r"\bhow\s+to\b|\bhow\s+do(es|s)?\b.*\b(work|build|create|make|install|setup)\b|\bsteps?\s+(to|for)\b|\bguide\b|\btutorial\b|\b(process|method|algorithm)\b.*\b(for|to)\b",
-        "conceptual": r"\b(why|explain|understand|concept|mechanism|principle|theory|model)\b|\bhow\s+does\b|\bwhat\s+(causes|drives|motivates|influences)\b",
-        "factual": r"\bwhat\s+(is|are|does?)\b|\bdefine\b|\bwho\s+(is|was)\b|\bwhere\s+is\b|\bwhen\s+(did|was|does)\b|\blist\b|\bname\b.*\b(of|the)\b",
-    }
     out = F.lit("exploratory")
-    for kind, pattern in reversed(kinds.items()):
+    for kind, pattern in reversed(INTENTS.items()):
         out = F.when(low.rlike(pattern), kind).otherwise(out)
     return out
 

@@ -188,7 +188,18 @@ def txt_split_overlong(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", F.posexplode(T.split_overlong(F.col("text"))).alias("pos", "claim"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DOCS}, p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM docs WHERE length(text) > 3000),
+    s AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM p),
+    r AS (SELECT doc_id, 0::BIGINT AS i, NULL::VARCHAR AS chunk, '' AS cur FROM p
+      UNION ALL SELECT s.doc_id, s.i, CASE WHEN length(cur) + length(s) > 3000 AND cur <> '' THEN trim(cur, {WS}) END,
+        CASE WHEN length(cur) + length(s) > 3000 AND cur <> '' THEN s ELSE trim(cur || ' ' || s, {WS}) END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1),
+    e AS (SELECT doc_id, i, chunk FROM r WHERE chunk IS NOT NULL UNION ALL SELECT r.doc_id, r.i + 1, trim(cur, {WS}) FROM r JOIN p ON p.doc_id = r.doc_id AND r.i = len(ss) WHERE trim(cur, {WS}) <> ''),
+    l AS (SELECT doc_id, list(chunk ORDER BY i) AS packed FROM e GROUP BY 1),
+    c AS (SELECT d.doc_id, CASE WHEN length(text) <= 3000 THEN [text] WHEN packed IS NULL OR len(list_filter(packed, lambda x: length(x) > 6000)) > 0
+      THEN list_transform(range((length(text) - 1) // 3000 + 1), lambda j: substr(text, j * 3000 + 1, 3000)) ELSE packed END AS chunks FROM docs d LEFT JOIN l ON l.doc_id = d.doc_id)
+    SELECT doc_id, CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS pos, unnest(chunks) AS chunk FROM c"""
+)
 def txt_safe_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.posexplode(T.safe_chunks(F.col("text"))).alias("pos", "chunk"))
 
@@ -242,7 +253,10 @@ def txt_memory_type(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", T.memory_type(F.col("text")).alias("kind"))
 
 
-@query()
+_INTENT = "CASE " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{k}'" for k, p in T.INTENTS.items()) + " ELSE 'exploratory' END"
+
+
+@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM (SELECT conv_id, turn, lower(trim(coalesce(text, ''))) AS low FROM conversations WHERE role = 'user')")
 def txt_intent(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", T.query_intent(F.coalesce("text", F.lit(""))).alias("intent"))
 

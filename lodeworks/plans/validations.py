@@ -96,7 +96,12 @@ def val_loops(spark: SparkSession, sf: str) -> DataFrame:
     return V.loops(_turns(spark, sf), "conv_id", "turn", "text").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"), "loop")
 
 
-@query()
+@query(
+    f"""WITH {_C}, m AS (SELECT conv_id, turn, regexp_replace(text, '([.!?]) ', '\\1 [A1] ', 'g') AS t FROM c),
+    p AS (SELECT conv_id, turn, regexp_split_to_array(t, '\\[[A-Za-z0-9]+\\]') AS parts, regexp_extract_all(t, '\\[([A-Za-z0-9]+)\\]', 1) AS marks FROM m),
+    i AS (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)
+    SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, trim(parts[i]) AS text, marks[i] AS citation FROM i WHERE trim(parts[i]) <> '' OR marks[i] IS NOT NULL"""
+)
 def val_citation_segments(spark: SparkSession, sf: str) -> DataFrame:
     marked = _turns(spark, sf).select("conv_id", "turn", F.regexp_replace("text", r"([.!?]) ", "$1 [A1] ").alias("text"))
     return marked.select("conv_id", "turn", F.posexplode(V.citation_segments(F.col("text"))).alias("pos", "s")).select("conv_id", "turn", "pos", "s.text", "s.citation")

@@ -317,3 +317,20 @@ def test_table_pattern_fits_the_same_texts():
         for letters in itertools.product("|\n-a", repeat=n):
             text = "".join(letters)
             assert bool(plain.search(text)) == bool(searched.search(text)), text
+
+
+def test_query_intent_kinds(spark):
+    wanted = {
+        "Compare Postgres and Spark": "comparative",
+        "pros and cons of caching": "comparative",
+        "how to build a parser": "procedural",
+        "A tutorial, please": "procedural",
+        "Why do tides rise": "conceptual",
+        "what causes inflation": "conceptual",
+        "  What is a monoid": "factual",
+        "who was Ada Lovelace": "factual",
+        "recent news on batteries": "exploratory",
+        "": "exploratory",
+    }
+    rows = spark.createDataFrame(list(wanted.items()), "q string, want string")
+    assert rows.where(T.query_intent(F.col("q")) != F.col("want")).collect() == []
