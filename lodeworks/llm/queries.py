@@ -103,6 +103,12 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdtree import cluster_vectors
+
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
 OP2_SQL = """
 SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
 """
@@ -132,6 +138,37 @@ FROM t JOIN g ON t.body = g.body
 """
 
 
+_FIRST = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS z FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT 8)
+)"""
+
+_ASSIGN = """, a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, v, min(struct_pack(d := d, c := c)) AS m
+  FROM (SELECT rid, vec_id, v, c, list_sum(list_transform(list_zip(v, z), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i}) GROUP BY rid, vec_id, v
+)"""
+
+_MOVE = """, c{j} AS MATERIALIZED (
+  SELECT c, coalesce(y, z) AS z FROM c{i} LEFT JOIN (
+    SELECT c, list(y ORDER BY p) AS y FROM (
+      SELECT c, p, (sum(x) - ((sum(x) % count(*) + count(*)) % count(*))) // count(*) AS y FROM (SELECT m.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{i}) GROUP BY c, p
+    ) GROUP BY c
+  ) USING (c)
+)"""
+
+OP11_SQL = (
+    _FIRST + "".join(_ASSIGN.format(i=i) + _MOVE.format(i=i, j=i + 1) for i in range(10)) + _ASSIGN.format(i=10)
+    + """
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON c10.c = a10.m.c
+"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -144,8 +181,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_order_minhash": op10_order_minhash,
+        "op11_centroid_clustering": op11_centroid_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op5_url_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_sharding": OP2_SQL, "op5_url_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op11_centroid_clustering": OP11_SQL}

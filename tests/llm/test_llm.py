@@ -50,7 +50,7 @@ def test_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
 
