@@ -109,6 +109,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair_digests
+
+    return repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumnRenamed("id", "conv_id")
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fmindex import contamination_digests
 
@@ -211,6 +217,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_order_minhash": op10_order_minhash,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_decontamination": op13_decontamination,
     }
 
