@@ -173,6 +173,65 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
+#: A way of repair so far is its cost, its audit and the text; null where there is none.
+_WAY = "CASE WHEN {v} IS NOT NULL{test} THEN {{'c': {v}.c + {cost}, 'e': {v}.e || '{edit}', 't': {v}.t || {text}}} END"
+
+
+def _way(v: str, cost: str, edit: str, text: str, test: str = "") -> str:
+    return _WAY.format(v=v, cost=cost, edit=edit, text=text, test=test and f" AND {test}")
+
+
+def _step(to: str, kept: dict[str, str], reroled: dict[str, str]) -> str:
+    stays = "NOT gone"
+    ways = [_way(to, "4", "D", "''"), *[_way(v, "extra", "K", "chr(10) || role || ':' || text", f"{stays} AND role[1] = '{i}'") for v, i in kept.items()]]
+    return f"list_min([{', '.join(ways + [_way(v, 'extra + 3', 'R', f"chr(10) || '{r}:' || text", stays) for v, r in reroled.items()])}])"
+
+
+#: What inserted rows lead to: a user after nothing, a system or an assistant, and then an assistant.
+_OPEN_U = f"list_min([vu, {', '.join(_way(v, '3', 'I', "chr(10) || 'user:'") for v in ('v0', 'vs', 'va'))}])"
+_OPEN_A = f"list_min([va, {_way('vu', '3', 'I', "chr(10) || 'assistant:'")}])"
+_BYTE = "list_reduce(range(8), lambda y, i: xor(y >> 1, (y & 1) * 3988292384), xor(x, b))"
+
+OP12_SQL = f"""
+WITH RECURSIVE h AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda x, b: {_BYTE}, CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS act
+  FROM conversations
+), m AS (
+  SELECT conv_id, turn, CASE WHEN act = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE act WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+         unnest(CASE WHEN act = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM h WHERE act <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(coalesce(length(CAST(conv_id AS VARCHAR)) || ':' || conv_id, '-') || length(role) || ':' || role || text)) AS i FROM m
+), f AS MATERIALIZED (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+  FROM (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM o)
+), s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM f GROUP BY conv_id
+), t(conv_id, k, v0, vs, vu, va) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'e': '', 't': ''}}, CAST(NULL AS STRUCT(c BIGINT, e VARCHAR, t VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, e VARCHAR, t VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, e VARCHAR, t VARCHAR)) FROM s
+  UNION ALL
+  SELECT conv_id, i, {_step("v0", {}, {})}, {_step("vs", {"v0": "s"}, {})},
+         {_step("vu", {"v0": "u", "vs": "u", "va": "u"}, {"v0": "user", "vs": "user", "va": "user"})}, {_step("va", {"vu": "a"}, {"vu": "assistant"})}
+  FROM (
+    SELECT conv_id, i, v0, vs, vu, {_OPEN_A} AS va, role, text, gone, extra FROM (
+      SELECT t.conv_id, f.i, v0, vs, {_OPEN_U} AS vu, va, role, text, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS extra
+      FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.k + 1
+    )
+  )
+), e AS (
+  SELECT conv_id, list_min([v0, {_OPEN_A}]) AS best FROM (
+    SELECT t.conv_id, v0, {_OPEN_U} AS vu, va FROM t JOIN s ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.n = t.k
+  )
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0) AS cost, coalesce(best.e, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 _FIRST = """
 WITH v AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
@@ -223,4 +282,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op5_url_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op11_centroid_clustering": OP11_SQL, "op13_decontamination": OP13_SQL}
+    return {"op2_sharding": OP2_SQL, "op5_url_rules": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op11_centroid_clustering": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_decontamination": OP13_SQL}

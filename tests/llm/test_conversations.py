@@ -124,3 +124,18 @@ def test_string_keys_and_nulls(spark):
     df = spark.createDataFrame([(None, 1, None, "Hi."), ("a", None, "user", None)], "conv string, turn int, role string, text string").withColumn("x", F.lit(1))
     summary, _ = C.repair_conversations(df.select("conv", "turn", "role", "text"))
     assert sorted((tuple(r) for r in summary.collect()), key=repr) == [("a", 0, 1, 0, 0, 0, 4, "D"), (None, 0, 0, 0, 0, 0, 4, "D")]
+
+
+def test_ties_as_in_sql(spark, tmp_path):
+    """Rows of one turn, nulls and texts that repeat: the query's SQL agrees on the order."""
+    import duckdb
+
+    from lodeworks.llm import queries
+
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([None, 1, 2, 3]), rnd.choice(["user", "assistant", "system", None, "tool"]), rnd.choice(["Fine.", "Good!", "cut", " ", None])) for _ in range(60)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    with duckdb.connect() as duck:
+        duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        expected = sorted(duck.sql(queries.OP12_SQL).fetchall(), key=repr)
+    assert sorted((tuple(r) for r in queries.op12_conversation_repair(spark, str(tmp_path)).collect()), key=repr) == expected
