@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions import scores as S
 from lodeworks.functions import text as T
 
+from .graph import settled
+from .greedy import first_leaders
+from .set_join import set_join
 from .vectors import cosine
 
 # Weights by intent and the evidence that an intent asks for.
@@ -22,6 +24,8 @@ INTENT_WEIGHTS = {
     "exploratory": {"reliability": 0.20, "query_relevance": 0.20, "specificity": 0.20, "centrality": 0.20, "recency": 0.20},
 }
 MODES = ["grounding", "verification", "dialectic", "expansion"]
+#: Reference vectors of the density gate at most.
+REFERENCES = 1024
 RELIABLE_HOSTS = [(r"\.edu$|\.gov$", 0.9), (r"wikipedia\.org$", 0.7), (r"github\.com$", 0.7), (r"\.org$", 0.6)]
 
 
@@ -57,8 +61,10 @@ def distil(text: Column, most_tokens: int = 800, most_chars: int = 3000) -> Colu
 def density_gate(vectors: DataFrame, references: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
     """Greatest cosine to low-value and to high-value reference vectors; skipped if close to the former only.
 
-    References are a handful of texts, fixed by the caller.
+    References are a set of fixed texts; their number is checked before they are broadcast.
     """
+    if references.limit(REFERENCES + 1).count() > REFERENCES:
+        raise ValueError(f"at most {REFERENCES} references; for more, use nearest_centroid per kind")
     r = references.select(F.col(kind).alias("__k"), F.col(vector).alias("__v"))
     s = vectors.select(key, vector).join(F.broadcast(r)).withColumn("s", cosine(F.col(vector), F.col("__v")))
     g = s.groupBy(key).agg(F.max(F.when(F.col("__k") == "low", F.col("s"))).alias("low"), F.max(F.when(F.col("__k") == "high", F.col("s"))).alias("high"))
@@ -77,32 +83,42 @@ def text_similarity(a: Column, b: Column, stop: list[str]) -> Column:
 
 def phrase_novelty(atoms: DataFrame, group: str, key: str, text: str, n: int = 4) -> DataFrame:
     """Per group: pairs whose 4-grams overlap by over half of the smaller set, their share of all pairs, and the risk."""
-    g = atoms.select(F.col(group).alias("g"), F.col(key).alias("k"), F.filter(T.ngrams(T.words(F.lower(text)), n), lambda x: F.size(F.split(x, " ")) == n).alias("grams")).withColumn("s", F.size("grams"))
-    x = g.select("g", "k", "s", F.explode("grams").alias("gram"))
-    y = x.select("g", "gram", F.col("k").alias("k2"), F.col("s").alias("s2"))
-    near = x.join(y, ["g", "gram"]).where("k < k2").groupBy("g", "k", "k2").agg((F.count(F.lit(1)) / F.least(F.first("s"), F.first("s2"))).alias("o")).where("o > 0.5")
-    hits = near.groupBy("g").agg(F.count(F.lit(1)).alias("overlapping"))
-    sizes = g.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+    grams = F.filter(T.ngrams(T.words(F.lower(text)), n), lambda x: F.size(F.split(x, " ")) == n)
+    hits = set_join(atoms, group, key, grams, 0.5, "overlap", strict=True).pair_counts().withColumnRenamed("pairs", "overlapping")
+    sizes = atoms.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
     out = sizes.join(hits, "g", "left").withColumn("overlapping", F.coalesce("overlapping", F.lit(0))).withColumn("ratio", F.col("overlapping") / F.greatest("pairs", F.lit(1)))
     return out.select(F.col("g").alias(group), "pairs", "overlapping", "ratio", F.when(F.col("ratio") > 0.5, "high").when(F.col("ratio") > 0.25, "medium").otherwise("low").alias("risk"))
 
 
 def merge_claims(claims: DataFrame, topic: str, order: str, claim: str, confidence: str, least: float = 0.6) -> DataFrame:
-    """Claims of a topic folded in order: one like an earlier claim raises its version and halves towards its confidence."""
-    schema = f"{topic} {claims.schema[topic].dataType.simpleString()}, claim string, version int, confidence double, members int"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for text, conf in frame.sort_values(order, kind="stable")[[claim, confidence]].itertuples(index=False):
-            words = set(str(text).lower().split())
-            twin = next((k for k in kept if words and len(words & k["words"]) / len(words | k["words"]) > least), None)
-            if twin is None:
-                kept.append({"words": words, "claim": text, "version": 1, "confidence": conf, "members": 1})
-            else:
-                twin |= {"version": twin["version"] + 1, "confidence": (twin["confidence"] + conf) / 2, "members": twin["members"] + 1}
-        return pd.DataFrame([{topic: frame[topic].iloc[0], **{k: v for k, v in x.items() if k != "words"}} for x in kept])
-
-    return claims.groupBy(topic).applyInPandas(run, schema)
+    """Claims of a topic folded in order: one like an earlier kept claim raises its version and halves towards its confidence.
+
+    Likeness is a Jaccard similarity of words above ``least``; a claim joins the first kept one that it is like. Kept
+    claims are found in parallel (``greedy``), and equal sets of words are one claim there. A member's weight is a half
+    to the power of its place from the end, so the confidence is a sum and no list of a claim's members is held. Null and
+    empty claims are like nothing. Claims of one place in the order are taken as their texts and confidences go, and of
+    those that are equal each counts.
+    """
+    x = claims.select(F.struct(topic).alias("g"), F.col(order).alias("o"), F.col(claim).alias("claim"), F.col(confidence).cast("double").alias("confidence"))
+    x = x.groupBy("g", "o", "claim", "confidence").agg(F.count(F.lit(1)).alias("times"))
+    x = settled(x.withColumn("k", F.struct("o", "claim", "confidence")))
+    words = F.filter(F.split(F.lower("claim"), r"\s+"), lambda w: w != "")
+    joined = set_join(x, "g", "k", words, least, strict=True)
+    classes = joined.classes.select("g", F.col("c").alias("k"))
+    led = first_leaders(classes, settled(joined.pairs.select("g", "a", "b"))).withColumnRenamed("k", "c")
+    member = joined.members.join(led, ["g", "c"]).select("g", F.col("key").alias("k"), "leader")
+    # Repeats of a row with words join its own first occurrence's leader; of one without words, each is a claim of its own.
+    every = x.join(member, ["g", "k"], "left").withColumn("copy", F.explode(F.expr("sequence(1L, if(leader IS NULL, times, 1L))")))
+    every = every.select("g", F.coalesce("leader", "k").alias("leader"), F.when(F.col("leader").isNull(), F.col("copy")).alias("copy"), "k", "confidence", F.when(F.col("leader").isNull(), 1).otherwise(F.col("times")).alias("times"))
+    w = Window.partitionBy("g", "leader", "copy").orderBy(F.desc("k"))
+    after = F.coalesce(F.sum("times").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.lead("k").over(w).isNull()
+    half = lambda n: F.pow(F.lit(0.5), n)
+    # A run of t equal confidences with n claims after it weighs 2^-n - 2^-(n+t); the first of all keeps the rest.
+    weight = F.when(first, half("n")).otherwise(half("n") - half(F.col("n") + F.col("times")))
+    parts = every.withColumn("n", after).withColumn("share", weight * F.col("confidence"))
+    folded = parts.groupBy("g", "leader", "copy").agg(F.sum("share").alias("confidence"), F.sum("times").cast("int").alias("members"))
+    return folded.select(F.col(f"g.{topic}").alias(topic), F.col("leader.claim").alias("claim"), F.col("members").alias("version"), "confidence", "members")
 
 
 def convergence(cycles: DataFrame, mission: str, order: str, found: str, window: int = 5) -> DataFrame:

@@ -142,13 +142,12 @@ def pair_methods(atoms: DataFrame, group: str, key: str, kind: str, methods: lis
 def consensus(atoms: DataFrame, group: str, key: str, text: str, threshold: float = 0.25) -> DataFrame:
     """Per group of at least three atoms: how many others each overlaps with, and whether it is consensus or divergent.
 
-    Only atoms that share a token can overlap, so candidates come from an equi-join on group and token.
+    Overlaps come from a similarity join of the token sets; atoms with equal tokens are counted, not paired.
     """
+    from .set_join import set_join
+
     toks = atoms.select(group, key, content_tokens(F.col(text)).alias("toks"))
-    sized = toks.select(group, F.col(key).alias("k"), F.size("toks").alias("s"), F.explode("toks").alias("tok"))
-    other = sized.select(group, "tok", F.col("k").alias("o"), F.col("s").alias("t"))
-    near = sized.join(other, [group, "tok"]).where("k <> o").groupBy(group, "k", "o").agg((F.count(F.lit(1)) / (F.first("s") + F.first("t") - F.count(F.lit(1)))).alias("j"))
-    hits = near.where(F.col("j") >= threshold).groupBy(group, "k").agg(F.count(F.lit(1)).alias("overlaps"))
+    hits = set_join(toks, group, key, "toks", threshold).partners().select(F.col("g").alias(group), F.col("key").alias("k"), F.col("partners").alias("overlaps"))
     n = toks.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     out = toks.select(group, F.col(key).alias("k")).join(n, group).join(hits, [group, "k"], "left").select(group, F.col("k").alias(key), "n", F.coalesce("overlaps", F.lit(0)).alias("overlaps"))
     return out.withColumn("stance", F.when(F.col("overlaps") >= (F.col("n") - 1) / 2, "consensus").when(F.col("overlaps") == 0, "divergent"))

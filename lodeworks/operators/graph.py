@@ -25,13 +25,12 @@ def node_id(kind: Column, key: Column) -> Column:
 
 
 def elaborates(atoms: DataFrame, packet: str, key: str, text: str, least: float = 0.4) -> DataFrame:
-    """Edges between atoms of a packet whose tokens overlap enough; only pairs that share a token are compared."""
-    t = atoms.select(F.col(packet).alias("p"), F.col(key).alias("k"), content_tokens(F.col(text)).alias("toks")).withColumn("n", F.size("toks"))
-    x = t.select("p", "k", "n", F.explode("toks").alias("tok"))
-    y = x.select("p", "tok", F.col("k").alias("k2"), F.col("n").alias("n2"))
-    shared = x.join(y, ["p", "tok"]).where("k < k2").groupBy("p", "k", "k2").agg(F.count(F.lit(1)).alias("i"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-    j = F.col("i") / (F.col("n") + F.col("n2") - F.col("i"))
-    return shared.withColumn("weight", F.round(j, 4)).where(j >= least).select(F.col("p").alias(packet), F.col("k").alias("src"), F.col("k2").alias("dst"), F.lit("ELABORATES").alias("edge_type"), "weight")
+    """Edges between atoms of a packet whose tokens overlap enough, by a similarity join of the token sets."""
+    from .set_join import set_join
+
+    p = set_join(atoms, packet, key, content_tokens(F.col(text)), least).expanded()
+    j = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    return p.select(F.col("g").alias(packet), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("ELABORATES").alias("edge_type"), F.round(j, 4).alias("weight"))
 
 
 def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,18 +53,25 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``id, component``: the smallest id reachable. Minimum labels travel along edges and jump to their labels' labels until none changes."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    labels = settled(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        seen = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("m"))
-        step = labels.join(seen, labels["id"] == seen["src"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("c2"))
-        new = settled(step.join(jump, "component").select("id", F.col("c2").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    """``id, component``: the smallest id reachable, by alternating rounds that hang neighbours on stars.
+
+    A round links each node's larger neighbours to its smallest one, then each node and its smaller neighbours to the
+    smallest. Minima are combined before they are shuffled, and a component's label is no join key, so a giant component
+    or hub is no hot key of a group: only rows that a join may split meet under it.
+    """
+    e = settled(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    mark = lambda x: x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    seen = mark(e)
+    while seen[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        up = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = up.join(up.groupBy("u").agg(F.min("v").alias("m")), "u")
+        e = settled(down.select("u", F.col("m").alias("v")).unionByName(down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        before, seen = seen, mark(e)
+        if before == seen:
+            break
+    return nodes.select("id").join(e.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, least: float = 0.5, relations: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from .graph import settled
+from .greedy import first_leaders, order_key
+from .vector_index import best_of, nearest_by_cells, similar_pairs
+
+#: Queries that are broadcast at most.
+BLOCK = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,62 +36,47 @@ def similarity_from_distance(distance: Column, kind: str = "cosine") -> Column:
     return F.greatest(F.least(1 - distance, F.lit(1.0)), F.lit(0.0)) if kind == "cosine" else F.exp(-distance)
 
 
-def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A query set in blocks of bounded size; only one block is on the driver at a time."""
-    ids, rows = [], []
-    for r in queries.select(key, vector).orderBy(key).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == BLOCK:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
-
-
 def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float | None = None) -> DataFrame:
     """Exact top-k by cosine of every query against all rows: ``query, id, sim, rank``; ties by id, a row never finds itself.
 
-    Queries are taken in blocks; each task keeps the k best of its rows per query, so the shuffle holds k rows per
-    query and task.
+    At most ``BLOCK`` queries are broadcast and each task keeps the k best of its rows for them; a larger query set goes
+    through the pivot cells of ``vector_index``, and never through the driver. Rows without a vector are left out.
     """
     spark = corpus.sparkSession
-    out = None
-    for ids, matrix in _blocks(queries, key, vector):
-        shared = spark.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
-
-        def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q = shared.value
-            best: dict[int, list] = {}
+    few = queries.where(F.size(vector) > 0).select(F.col(key).cast("long"), vector).limit(BLOCK + 1).collect()
+    if len(few) > BLOCK:
+        found = nearest_by_cells(corpus, queries, key, vector, k, least)
+    elif not few:
+        found = spark.createDataFrame([], "query long, id long, sim double")
+    else:
+        names, matrix = np.array([r[0] for r in few]), np.array([r[1] for r in few], np.float64)
+        shared = spark.sparkContext.broadcast((names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+
+        def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            best: list[list[tuple[float, int]]] = [[] for _ in names]
             for batch in batches:
                 own = batch.column(0).to_numpy(zero_copy_only=False)
-                m = np.array(batch.column(1).to_pylist(), np.float64)
                 if not len(own):
                     continue
+                m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
                 sims = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
-                sims[qids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
-                for i in range(len(qids)):
-                    found = [(-sims[i, j], own[j]) for j in order[i] if np.isfinite(sims[i, j])]
-                    best[i] = sorted(best.get(i, []) + found)[:k]
-            rows = [(qids[i], o, -s) for i, found in best.items() for s, o in found if least is None or -s >= least]
+                sims[names[:, None] == own[None, :]] = -np.inf
+                best = [sorted(old + new, key=lambda x: (-x[0], x[1]))[:k] for old, new in zip(best, best_of(sims, own, k), strict=True)]
+            rows = [(n, i, s) for n, found in zip(names.tolist(), best, strict=True) for s, i in found]
             if rows:
                 a, b, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query", "id", "sim"])
 
-        part = corpus.select(F.col(key).cast("long"), vector).mapInArrow(search, "query long, id long, sim double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query long, id long, sim double, rank int")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= k)
+        found = corpus.where(F.size(vector) > 0).select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(search, "query long, id long, sim double")
+    if least is not None:
+        found = found.where(F.col("sim") >= least)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= k)
 
 
 def group_pairs(vectors: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
-    """Pairs within a group (a packet or mission, bounded by its caller) at or above a cosine: ``group, a, b, sim``."""
-    x = vectors.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).where("n > 0")
-    a, b = x.select("g", F.col("k").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), x.select("g", F.col("k").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-    pairs = a.join(b, "g").where("a < b").withColumn("sim", dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")))
-    return pairs.where(F.col("sim") >= least).select(F.col("g").alias(group), "a", "b", "sim")
+    """Pairs within a group at or above a cosine: ``group, a, b, sim``, over pivot cells."""
+    return similar_pairs(vectors, group, key, vector, least).select(F.col("g").alias(group), "a", "b", "sim")
 
 
 def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
@@ -102,46 +92,69 @@ def pooled(vectors: DataFrame, group: str, vector: str, method: str = "mean") ->
 
 
 def nearest_centroid(vectors: DataFrame, cents: DataFrame, key: str, vector: str, group: str, least: float = 0.5) -> DataFrame:
-    """Each vector's best centroid above a cosine, else null; centroids are few by contract (concepts of a mission)."""
+    """Each vector's best centroid above a cosine, else null. More than ``BLOCK`` centroids go through the pivot cells."""
+    if cents.limit(BLOCK + 1).count() > BLOCK:
+        corpus = cents.select(F.col(group).alias(key), F.col("centroid").alias(vector))
+        near = nearest_by_cells(corpus, vectors, key, vector, 1, others=False).groupBy("query").agg(F.max(F.struct("sim", (-F.col("id")).alias("neg"))).alias("m"))
+        return near.select(F.col("query").alias(key), F.when(F.col("m.sim") > least, -F.col("m.neg")).alias(group), F.col("m.sim").alias("sim"))
     pair = vectors.select(key, vector).join(F.broadcast(cents.select(F.col(group).alias("__g"), "centroid")))
     best = pair.withColumn("sim", cosine(F.col(vector), F.col("centroid"))).groupBy(key).agg(F.max(F.struct("sim", (-F.col("__g")).alias("neg"))).alias("m"))
     return best.select(key, F.when(F.col("m.sim") > least, -F.col("m.neg")).alias(group), F.col("m.sim").alias("sim"))
 
 
-def _greedy(frame: pd.DataFrame, key: str, vector: str, least: float, strict: bool, moving: bool) -> pd.Series:
-    """Assigns rows in order to the first leader (or best centroid) that is similar enough, else makes a new one."""
-    leaders: list[np.ndarray] = []
-    names, counts, out = [], [], []
-    for name, v in zip(frame[key], frame[vector], strict=True):
-        v = np.asarray(v, np.float64)
-        n = np.linalg.norm(v)
-        sims = [float(v @ c / (n * np.linalg.norm(c))) if n and np.linalg.norm(c) else 0.0 for c in leaders]
-        fits = [i for i, s in enumerate(sims) if (s > least if strict else s >= least)]
-        if not fits:
-            leaders.append(v.copy())
-            names.append(name)
-            counts.append(1)
-            out.append(name)
-            continue
-        best = max(fits, key=lambda i: (sims[i], -i)) if moving else fits[0]
-        if moving:
-            leaders[best] = (leaders[best] * counts[best] + v) / (counts[best] + 1)
-            counts[best] += 1
-        out.append(names[best])
-    return pd.Series(out, index=frame.index)
-
-
 def greedy_clusters(vectors: DataFrame, group: str, key: str, vector: str, order: list[str], least: float, moving: bool = False) -> DataFrame:
-    """Leader clustering of each group in a given order; order-dependent, so one task handles a group (a packet)."""
-    schema = f"{group} {vectors.schema[group].dataType.simpleString()}, {key} long, leader long"
-    down = [c.startswith("-") for c in order]
-    names = [c.lstrip("-") for c in order]
+    """Leader clustering of each group in a given order: ``group, key, leader``.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(names, ascending=[not d for d in down], kind="stable")
-        return pd.DataFrame({group: frame[group], key: frame[key], "leader": _greedy(frame, key, vector, least, moving, moving)})
-
-    return vectors.groupBy(group).applyInPandas(run, schema)
+    A row joins the first leader at or above a cosine, else it becomes one. Leaders are found in parallel, as the first
+    maximal independent set of the pairs (``greedy``); copies of a vector are one row there. With ``moving`` a row joins
+    the most similar centroid above the cosine and moves it, which depends on every row before: rows of a group then
+    stream in order through one task that holds the centroids only. Null vectors and those of length 0 are like nothing
+    and lead themselves; groups may be null.
+    """
+    if moving:
+        return _moving(vectors, group, key, vector, order, least)
+    x = vectors.select(F.struct(group).alias("g"), order_key(order, key).alias("k"), F.col(vector).alias("v"))
+    some = F.size("v") > 0
+    x = settled(x.withColumn("alike", F.when(some & F.exists("v", lambda e: e != 0), F.struct("v", F.lit(None).cast(x.schema["k"].dataType).alias("k"))).otherwise(F.struct(F.lit(None).cast(x.schema["v"].dataType).alias("v"), "k"))))
+    distinct = settled(x.groupBy("g", "alike").agg(F.min("k").alias("k")))
+    links = settled(similar_pairs(distinct.select("g", "k", F.col("alike.v").alias("v")), "g", "k", "v", least).select("g", "a", "b"))
+    led = distinct.join(first_leaders(distinct.select("g", "k"), links), ["g", "k"]).select("g", "alike", "leader")
+    same = (x["g"] == led["g"]) & x["alike"].eqNullSafe(led["alike"])
+    return x.join(led, same).select(x[f"g.{group}"].alias(group), F.col("k.key").alias(key), F.col("leader.key").alias("leader"))
+
+
+def _moving(vectors: DataFrame, group: str, key: str, vector: str, order: list[str], least: float) -> DataFrame:
+    g, k = (vectors.schema[c].dataType.simpleString() for c in (group, key))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names = object(), []
+        units = sums = counts = None
+        for batch in batches:
+            out = []
+            for own, name, v in zip(*(batch.column(c).to_pylist() for c in ("g", "key", "v")), strict=True):
+                if own != now:
+                    now, names, units, sums, counts = own, [], np.empty((0, len(v or []))), np.empty((0, len(v or []))), []
+                v = np.asarray(v or np.zeros(units.shape[1]), np.float64)
+                if units.shape[1] == 0 and len(v):
+                    units, sums = np.zeros((len(names), len(v))), np.zeros((len(names), len(v)))
+                n = np.linalg.norm(v)
+                sims = units[: len(names)] @ (v / n) if n else np.zeros(len(names))
+                best = int(sims.argmax()) if len(sims) and sims.max() > least else -1
+                if best < 0:
+                    if len(names) == len(units):
+                        units, sums = (np.concatenate([m, np.zeros((max(16, len(m)), m.shape[1]))]) for m in (units, sums))
+                    best = len(names)
+                    names.append(name)
+                    counts.append(0)
+                counts[best] += 1
+                sums[best] += v
+                length = np.linalg.norm(sums[best])
+                units[best] = sums[best] / length if length else 0.0
+                out.append(names[best])
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("key"), pa.array(out, batch.column("key").type)], names=[group, key, "leader"])
+
+    x = vectors.select(F.col(group).alias("g"), order_key(order, key).alias("o"), F.col(key).alias("key"), F.col(vector).alias("v"))
+    return x.repartition("g").sortWithinPartitions("g", "o").select("g", "key", "v").mapInArrow(run, f"{group} {g}, {key} {k}, leader {k}")
 
 
 def _spanning_edges(points: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

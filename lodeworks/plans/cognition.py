@@ -91,10 +91,21 @@ def cog_phrase_novelty(spark: SparkSession, sf: str) -> DataFrame:
     return C.phrase_novelty(_turns(spark, sf), "conv_id", "turn", "text").select("conv_id", "pairs", "overlapping", "risk")
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT conv_id, turn, text AS claim, (turn % 10) / 10.0 AS f, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS w FROM conversations),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM c),
+    t(conv_id, i, kept) AS (
+      SELECT conv_id, i, [{'claim': claim, 'w': w, 'confidence': f::DOUBLE, 'members': 1}] FROM o WHERE i = 1
+      UNION ALL
+      SELECT conv_id, i, CASE WHEN hit IS NULL THEN list_append(kept, {'claim': claim, 'w': w, 'confidence': f::DOUBLE, 'members': 1})
+        ELSE list_transform(kept, lambda k, j: CASE WHEN j = hit THEN {'claim': k.claim, 'w': k.w, 'confidence': (k.confidence + f) / 2, 'members': k.members + 1} ELSE k END) END
+      FROM (SELECT o.*, kept, list_position(list_transform(kept, lambda k: len(w) > 0 AND len(list_intersect(k.w, w))::DOUBLE / (len(k.w) + len(w) - len(list_intersect(k.w, w))) > 0.6), true) AS hit FROM t JOIN o ON o.conv_id = t.conv_id AND o.i = t.i + 1)
+    ), last AS (SELECT conv_id, unnest(kept) AS k FROM (SELECT *, max(i) OVER (PARTITION BY conv_id) AS n FROM t) WHERE i = n)
+    SELECT conv_id, k.claim AS claim, k.members AS version, round(k.confidence, 6) AS confidence, k.members AS members FROM last"""
+)
 def cog_merge_claims(spark: SparkSession, sf: str) -> DataFrame:
     t = _turns(spark, sf).withColumn("confidence", (F.col("turn") % 10) / 10.0)
-    return C.merge_claims(t, "conv_id", "turn", "text", "confidence")
+    return C.merge_claims(t, "conv_id", "turn", "text", "confidence").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(

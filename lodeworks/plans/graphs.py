@@ -69,24 +69,45 @@ def vec_nearest_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return V.nearest_centroid(v, V.centroids(v, "label", "embedding"), "vec_id", "embedding", "label").withColumn("sim", F.round("sim", 5))
 
 
-@query()
+def _leaders_sql(order: str, tail: str) -> str:
+    """Rows of a label in order: each joins the first leader at or above .3, else it leads."""
+    return f"""WITH RECURSIVE {_V}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {order}) AS i FROM v),
+    t(label, i, vec_id, leader, kept) AS (
+      SELECT label, i, vec_id, vec_id, [{{'id': vec_id, 'e': e}}] FROM o WHERE i = 1
+      UNION ALL
+      SELECT label, i, vec_id, coalesce(found, vec_id), CASE WHEN found IS NULL THEN list_append(kept, {{'id': vec_id, 'e': e}}) ELSE kept END FROM (
+        SELECT o.label, o.i, o.vec_id, o.e, kept, list_filter(kept, lambda k: list_cosine_similarity(k.e, o.e) >= 0.3)[1].id AS found FROM t JOIN o ON o.label = t.label AND o.i = t.i + 1)
+    ), r AS (SELECT label, vec_id, leader FROM t) {tail}"""
+
+
+@query(_leaders_sql("vec_id", "SELECT * FROM r"))
 def vec_cluster_leader(spark: SparkSession, sf: str) -> DataFrame:
     return V.greedy_clusters(_vectors(spark, sf), "label", "vec_id", "embedding", ["vec_id"], 0.3)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_V}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM v),
+    t(label, i, vec_id, leader, kept) AS (
+      SELECT label, i, vec_id, vec_id, [{{'id': vec_id, 's': e, 'n': 1.0::DOUBLE}}] FROM o WHERE i = 1
+      UNION ALL
+      SELECT label, i, vec_id, CASE WHEN sim > 0.3 THEN kept[hit].id ELSE vec_id END,
+        CASE WHEN sim > 0.3 THEN list_transform(kept, lambda k, j: CASE WHEN j = hit THEN {{'id': k.id, 's': list_transform(list_zip(k.s, e), lambda p: p[1] + p[2]), 'n': k.n + 1}} ELSE k END) ELSE list_append(kept, {{'id': vec_id, 's': e, 'n': 1.0}}) END
+      FROM (SELECT *, list_max(sims) AS sim, list_position(sims, list_max(sims)) AS hit FROM (
+        SELECT o.label, o.i, o.vec_id, o.e, kept, list_transform(kept, lambda k: list_cosine_similarity(k.s, o.e)) AS sims FROM t JOIN o ON o.label = t.label AND o.i = t.i + 1))
+    ) SELECT label, vec_id, leader FROM t"""
+)
 def vec_cluster_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return V.greedy_clusters(_vectors(spark, sf), "label", "vec_id", "embedding", ["vec_id"], 0.3, moving=True)
 
 
-@query()
+@query(_leaders_sql("(vec_id % 10) / 10.0 DESC, vec_id", "SELECT label, vec_id, leader, vec_id = leader AS kept FROM r"))
 def vec_dedup_greedy(spark: SparkSession, sf: str) -> DataFrame:
     """Best first by a reliability; a row joins the first kept row that is similar enough."""
     v = _vectors(spark, sf).withColumn("reliability", (F.col("vec_id") % 10) / 10.0)
     return V.greedy_clusters(v, "label", "vec_id", "embedding", ["-reliability", "vec_id"], 0.3).withColumn("kept", F.col("vec_id") == F.col("leader"))
 
 
-@query()
+@query(_leaders_sql("vec_id", "SELECT label, leader AS golden, count(*) AS members, list(vec_id ORDER BY vec_id) AS member_ids FROM r GROUP BY 1, 2"))
 def vec_consolidate(spark: SparkSession, sf: str) -> DataFrame:
     return V.consolidate(V.greedy_clusters(_vectors(spark, sf), "label", "vec_id", "embedding", ["vec_id"], 0.3), "label", "vec_id")
 
