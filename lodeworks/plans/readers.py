@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.operators.vectors import hashed_embedding
 from lodeworks.sources import readers as R
+from lodeworks.sources import text_tables as TT
 
 from .views import table
 
@@ -31,13 +32,37 @@ def src_html(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def src_page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return R.map_texts(table(spark, sf, "pages"), "page_id", "html", "body string", lambda t: [(R.read_page_text(t),)])
+    return R.page_texts(table(spark, sf, "pages"), "page_id", "html")
+
+
+def _order_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A text for every order with its lines as a table: markdown, HTML or CSV, by the order's key."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("part"), "l_returnflag"))).alias("ls"))
+    rows = lambda before, between, after: F.array_join(F.transform("ls", lambda x: F.concat(F.lit(before), x["part"], F.lit(between), x["l_returnflag"], F.lit(after))), "\n")
+    kind = F.element_at(F.array(*map(F.lit, TT.FORMATS)), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    text = (
+        F.when(kind == "markdown", F.concat(F.lit("Order text | no table\n\n| no rule |\n| part | mode |\n| --- | --- |\n"), rows("| ", " | ", " |"), F.lit("\n| too | many | cells |\n\nEnd.")))
+        .when(kind == "html", F.concat(F.lit("<p>a, b</p><table class='x'><tr><th>part</th><th>mode</th></tr>"), rows("<tr><td> ", "</td><td><b>", "</b></td></tr>"), F.lit("<tr><td>alone</td></tr></table><table></table>")))
+        .otherwise(F.concat(F.lit("Some prose.\n \npart, mode\n"), rows("", " , ", ""), F.lit("\none,two,three\n\nEnd without a comma")))
+    )
+    return lines.select(F.col("l_orderkey").alias("order_key"), kind.alias("kind"), text.alias("body"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS order_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_returnflag) - 1 AS row_no, l_partkey, l_returnflag FROM lineitem)
+    SELECT order_key, CAST(row_no AS INTEGER) AS row_no, 'part|mode' AS headers, l_partkey || '|' || l_returnflag AS cells FROM l"""
+)
+def src_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of all three formats are read back from texts that hold them among other things."""
+    found = TT.extract_tables(_order_tables(spark, sf), "order_key", "body", "kind")
+    return found.select("order_key", "row_no", F.array_join("headers", "|").alias("headers"), F.array_join("cells", "|").alias("cells"))
 
 
 @query()
 def src_html_tables(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lambda t: [(i, j, cells) for i, tab in enumerate(R.html_tables(t)) for j, cells in enumerate(tab)]
-    return R.map_texts(table(spark, sf, "pages"), "page_id", "html", "table_no long, row_no long, cells array<string>", rows)
+    pages = table(spark, sf, "pages").withColumn("kind", F.lit("html"))
+    found = TT.extract_tables(pages, "page_id", "html", "kind")
+    return found.select("page_id", "table_no", "row_no", "cells")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL AS has_k, 0 AS leaves FROM events")
@@ -69,7 +94,17 @@ def src_lists_and_code(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.size(R.list_items(text, "bullet")).alias("bullets"), F.size(R.list_items(text, "numbered")).alias("numbered"), F.size(R.code_snippets(text)).alias("code"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, replace(coalesce(text, ''), chr(10) || chr(10) || chr(10), chr(10) || chr(10)) AS t FROM documents),
+    c(doc_id, t, k, a, b) AS (
+      SELECT doc_id, t, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CASE WHEN length(t) <= 2000 THEN 2000 ELSE {cut} END FROM (SELECT *, substr(t, 1001, 1000) AS half, CAST(0 AS BIGINT) AS a FROM d WHERE t <> '')
+      UNION ALL
+      SELECT doc_id, t, k, a, CASE WHEN length(t) <= a + 2000 THEN a + 2000 ELSE {cut} END FROM (SELECT doc_id, t, k + 1 AS k, b - 300 AS a, substr(t, b - 300 + 1001, 1000) AS half FROM c WHERE b - 300 < length(t))
+    ), s AS (SELECT doc_id, k, trim(substr(t, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)) AS chunk FROM c)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, chunk FROM s WHERE chunk <> ''""".replace(
+        "{cut}", "a + CASE WHEN contains(half, chr(10)) THEN 2001 - strpos(reverse(half), chr(10)) WHEN contains(half, ' ') THEN 2001 - strpos(reverse(half), ' ') ELSE 2000 END"
+    )
+)
 def txt_chunks_char(spark: SparkSession, sf: str) -> DataFrame:
     rows = lambda t: list(enumerate(R.chunk_characters(t)))
     return R.map_texts(table(spark, sf, "documents"), "doc_id", "text", "pos long, chunk string", rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from typing import Any
@@ -35,6 +36,7 @@ class _Walker(HTMLParser):
         self.drop, self.open, self.count = drop, [], 0
         self.runs: list[tuple[str, tuple[int, ...]]] = []
         self.info: dict[int, tuple[str, dict]] = {}
+        self.around: dict[int, tuple[int, ...]] = {}
         self.links: list[dict] = []
         self.title, self.description = "", None
 
@@ -45,6 +47,7 @@ class _Walker(HTMLParser):
         if tag in VOID_TAGS:
             return
         self.count += 1
+        self.around[self.count] = tuple(self.open)
         self.open.append(self.count)
         self.info[self.count] = (tag, found)
         if tag == "a" and found.get("href") and not self._hidden():
@@ -82,7 +85,7 @@ class _Walker(HTMLParser):
         return "\n".join(r.strip() for r in runs if r.strip()) if strip else "\n".join(runs)
 
 
-def _walk(html: str, drop: set[str]) -> _Walker:
+def walked(html: str, drop: set[str]) -> _Walker:
     w = _Walker(drop)
     w.feed(html or "")
     w.close()
@@ -95,7 +98,7 @@ def _has_class(name: str):
 
 def read_html(html: str) -> dict[str, Any]:
     """Title, description, links and the text of the first main element, or of the page."""
-    w = _walk(html, DROP_TAGS)
+    w = walked(html, DROP_TAGS)
     tests = [lambda t, a: t == "article", lambda t, a: t == "main", lambda t, a: a.get("role") == "main", _has_class("content"), lambda t, a: a.get("id") == "content", *map(_has_class, MAIN_CLASSES[1:])]
     body = ""
     for test in tests:
@@ -105,21 +108,36 @@ def read_html(html: str) -> dict[str, Any]:
     return {"title": w.title or None, "description": w.description, "links": [{"href": x["href"], "text": x["text"]} for x in w.links], "content": body or w.text(None)}
 
 
-def read_page_text(html: str) -> str:
-    """Readable lines of a page: long phrases of the main part, without furniture; a marker of related matter near the start ends it."""
-    if not html:
-        return ""
-    w = _walk(html, PAGE_DROP_TAGS)
+def main_text(html: str) -> str:
+    """All text of the first main element of a page, else of the page, without furniture."""
+    w = walked(html, PAGE_DROP_TAGS)
     e = w.first(lambda t, a: t == "main", lambda t, a: t == "article", lambda t, a: t == "div" and a.get("id") == "content", lambda t, a: t == "div" and "content" in (a.get("class") or "").split())
-    phrases = [p.strip() for line in w.text(e, strip=False).splitlines() for p in line.strip().split("  ")]
-    kept: list[str] = []
-    for line in (p for p in phrases if len(p) > 10):
-        low = line.lower()
-        if any(m in low for m in END_MARKERS) and len("\n".join(kept)) < 500:
-            break
-        if len(line.split()) >= 5 or not any(j in low for j in JUNK_LINES):
-            kept.append(line)
-    return "\n".join(kept)
+    return w.text(e, strip=False)
+
+
+def readable_lines(text: Column) -> Column:
+    """The phrases of a page worth reading, one a line; null for null.
+
+    Phrases are over ten characters between line ends and double spaces. One of under five words with a junk phrase goes.
+    At the first phrase with an end marker the page ends if less than 500 characters were kept; later markers come after
+    more text, so none of them can end it.
+    """
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+    phrases = F.filter(F.transform(F.flatten(F.transform(F.split(text, ends), lambda line: F.split(T.strip(line), "  "))), T.strip), lambda p: F.length(p) > 10)
+    holds = lambda p, words: F.lower(p).rlike("|".join(map(re.escape, words)))
+    read = lambda lines: F.array_join(F.filter(lines, lambda p: (F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) >= 5) | ~holds(p, JUNK_LINES)), "\n")
+
+    def cut(lines: Column) -> Column:
+        marker = F.array_position(F.transform(lines, lambda p: holds(p, END_MARKERS)), True).cast("int")
+        head = read(F.slice(lines, F.lit(1), F.greatest(marker - 1, F.lit(0))))
+        return F.when((marker > 0) & (F.length(head) < 500), head).otherwise(read(lines))
+
+    return F.element_at(F.transform(F.array(phrases), cut), 1)
+
+
+def page_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``key, body``: the readable text of every page; empty for a null page."""
+    return map_texts(pages, key, html, "body string", lambda t: [(main_text(t),)]).withColumn("body", readable_lines(F.col("body")))
 
 
 def json_leaves(text: str) -> list[str]:
@@ -158,37 +176,28 @@ def json_profile(text: str, most: int = 5) -> str | None:
         return None
 
 
-def html_tables(html: str) -> list[list[list[str]]]:
-    """Rows of cells of every table; the first row heads the others."""
-    w = _walk(html, DROP_TAGS)
-    tables: dict[int, dict[int, dict[int, str]]] = {}
-    for run, around in w.runs:
-        kinds = {w.info[e][0]: e for e in around}
-        cell = kinds.get("td", kinds.get("th"))
-        if cell is not None and "table" in kinds and "tr" in kinds:
-            row = tables.setdefault(kinds["table"], {}).setdefault(kinds["tr"], {})
-            row[cell] = row.get(cell, "") + run.strip()
-    return [[list(cells.values()) for cells in rows.values()] for rows in tables.values()]
+def chunk_spans(breaks: list[list[int]], length: int, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
+    """Start and end of chunks of at most ``size`` characters; each starts ``overlap`` before the last one's end.
+
+    ``breaks`` are sorted positions of characters to end after, by preference; the last one in the second half of a
+    full chunk is where it ends. The overlap is under half of the size, so that every chunk moves on.
+    """
+    if not 0 <= overlap < size // 2:
+        raise ValueError("the overlap must be under half of the size")
+    start = 0
+    while start < length:
+        full = start + size
+        inner = (at[i - 1] + 1 for at in breaks if (i := bisect_left(at, full)) and at[i - 1] >= start + size // 2)
+        end = full if full >= length else next(inner, full)
+        yield start, end
+        start = end - overlap
 
 
 def chunk_characters(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of about ``size`` characters that end after a newline, else a space, of their second half; each starts an overlap before the last one's end."""
+    """The chunks of ``chunk_spans`` that break after newlines, else spaces, trimmed; blank ones are left out. Linear in the text."""
     text = text.replace("\n\n\n", "\n\n")
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            for mark in ("\n", " "):
-                at = text.rfind(mark, start + size // 2, end)
-                if at >= 0:
-                    end = at + 1
-                    break
-        if body := text[start:end].strip():
-            out.append(body)
-        start = end - overlap
-        if end - start <= 0 or start >= len(text):
-            break
-    return out
+    breaks = [[m.start() for m in re.finditer(mark, text)] for mark in ("\n", " ")]
+    return [body for a, b in chunk_spans(breaks, len(text), size, overlap) if (body := text[a:b].strip())]
 
 
 def chunk_sentences(sentences: list[str], most: int = 512, overlap: int = 200, count=lambda s: int(len(s.split()) * 1.3)) -> list[str]:

@@ -152,7 +152,6 @@ def test_readers(spark):
     html = "<html><head><title>T</title><meta name='description' content='D'></head><body><nav>Menu entries here</nav><article><h1>Head</h1><p>Body text</p><a href='/x'>go</a></article><script>x()</script></body></html>"
     assert readers.read_html(html) == {"title": "T", "description": "D", "links": [{"href": "/x", "text": "go"}], "content": "Head\nBody text\ngo"}
     assert readers.json_leaves('{"a": ["x", {"b": "y"}], "c": 1}') == ["x", "y"] and readers.json_leaves("no") == []
-    assert readers.html_tables("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>") == [[["a", "b"], ["1", "2"]]]
     text = "word " * 1000
     chunks = readers.chunk_characters(text)
     assert max(map(len, chunks)) <= 2000 and chunks[0].endswith("word")
@@ -334,3 +333,51 @@ def test_query_intent_kinds(spark):
     }
     rows = spark.createDataFrame(list(wanted.items()), "q string, want string")
     assert rows.where(T.query_intent(F.col("q")) != F.col("want")).collect() == []
+
+
+def test_chunk_spans_against_a_plain_cutter():
+    """Every cut is after the last newline, else space, of a full chunk's second half; chunks overlap and leave nothing out."""
+    import random
+
+    rnd = random.Random(5)
+    for _ in range(40):
+        text = "".join(rnd.choice("abcdefgh" * 3 + " \n") if rnd.random() < 0.9 else "x" * 40 for _ in range(rnd.randint(0, 900))).replace("\n\n\n", "\n\n")
+        size, overlap = rnd.choice([(50, 10), (20, 9), (100, 0)])
+        breaks = [[i for i, c in enumerate(text) if c == mark] for mark in "\n "]
+        spans = list(readers.chunk_spans(breaks, len(text), size, overlap))
+        assert [a for a, _ in spans[1:]] == [b - overlap for _, b in spans[:-1]] and (not text) == (not spans)
+        for a, b in spans:
+            half = text[a + size // 2 : a + size]
+            want = a + size if a + size >= len(text) or not set("\n ") & set(half) else a + size // 2 + max(half.rfind("\n" if "\n" in half else " "), 0) + 1
+            assert b == want
+        assert not spans or spans[-1][1] - overlap >= len(text)
+    with pytest.raises(ValueError):
+        next(readers.chunk_spans([[], []], 10, 10, 5))
+
+
+def test_readable_lines(spark):
+    page = "A headline of five words here\n\rSubscribe to us now\ntiny\nRead more about this and that today  second phrase of it\x85Plain words without much"
+    assert one(spark, readers.readable_lines(F.lit(page))).split("\n") == ["A headline of five words here", "Read more about this and that today", "second phrase of it", "Plain words without much"]
+    assert one(spark, readers.readable_lines(F.lit("Kept before the marker\nMost read stories today\nGone after the marker"))) == "Kept before the marker"
+    long = "\n".join(["A line of exactly so many words"] * 20)
+    assert one(spark, readers.readable_lines(F.lit(f"{long}\nMost read stories today\nKept after it all"))).endswith("Most read stories today\nKept after it all")
+    pages = spark.createDataFrame([(1, "<nav>Menu of the page here</nav><main><p>Some words of the page</p></main>"), (2, None), (3, "")], "id long, html string")
+    assert {r["id"]: r["body"] for r in readers.page_texts(pages, "id", "html").collect()} == {1: "Some words of the page", 2: "", 3: ""}
+
+
+def test_tables_in_texts(spark):
+    from lodeworks.sources import text_tables
+
+    rows = [
+        (1, "x\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |\n| 4 |  |\n\n| c |\n| - |\n| 5 |", "markdown"),
+        (2, "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td><i>2</i></td></tr><tr><td>3</td><td></td></tr><tr><td>4</td></tr></table><table><tr><td>h</td></tr><tr><td>5</td></tr></table>", "html"),
+        (3, "no table\n\na, b\n1,2\n3\n\nc,d\n\ne,f\n 6 , 7 ", "csv"), (4, None, "csv"), (5, "a,b\n1,2", None), (6, "a,b\n1,2", "other"), (7, "", "html"), (8, "|" * 5000, "markdown"),
+    ]
+    df = spark.createDataFrame(rows, "cells long, headers string, kind string")
+    found = text_tables.extract_tables(df, "cells", "headers", "kind").toDF("key", "table_no", "row_no", "headers", "found")
+    assert sorted((r[0], r[1], r[2], "|".join(r[3]), "|".join(r[4])) for r in found.collect()) == [
+        (1, 0, 0, "a|b", "1|2"), (1, 0, 2, "a|b", "4|"), (1, 1, 0, "c", "5"), (2, 0, 0, "a|b", "1|2"), (2, 0, 1, "a|b", "3|"), (2, 1, 0, "h", "5"), (3, 0, 0, "a|b", "1|2"), (3, 1, 0, "e|f", "6|7"),
+    ]
+    text_tables.register(spark)
+    df.createOrReplaceTempView("texts_with_tables")
+    assert spark.sql("SELECT t.cells FROM texts_with_tables d, LATERAL tables_in(d.headers, d.kind) t WHERE d.cells = 3").count() == 2
