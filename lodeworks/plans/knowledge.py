@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import scores as S
 from lodeworks.functions import text as T
 from lodeworks.operators import knowledge as K
+from lodeworks.operators import postings as PO
 from lodeworks.operators import vectors as V
 from lodeworks.operators.derivation import STOPWORDS
 from lodeworks.sources import tables as A
@@ -50,6 +51,34 @@ def knw_trigram(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf).select("conv_id", "turn", F.round(K.trigram_similarity(F.col("text"), "thing"), 6).alias("similarity"))
 
 
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3)))))"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id * 1000 + turn AS key, {_GRAMS} AS g FROM conversations), q AS (SELECT * FROM t WHERE key % 20 = 0),
+    p AS (SELECT q.key AS query, t.key, len(list_intersect(t.g, q.g)) AS n, len(t.g) + len(q.g) AS m FROM q, t WHERE len(t.g) > 0 AND len(q.g) > 0)
+    SELECT query, key, round(n::DOUBLE / (m - n), 6) AS similarity FROM p WHERE n::DOUBLE / (m - n) >= 0.3"""
+)
+def knw_trigram_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth turn as a query against the trigram index of all turns."""
+    t = _turns(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    found = PO.trigram_search(PO.gram_index(t, "key", "text"), t.where("key % 20 = 0"), "key", "text")
+    return found.select("query", "key", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS section, list(DISTINCT l_partkey) AS ids FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey AS probe, list(DISTINCT l_partkey ORDER BY l_partkey)[1:1 + o_orderkey % 2] AS ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 20 IN (0, 1) GROUP BY 1)
+    SELECT probe, section FROM p JOIN s ON list_has_all(s.ids, p.ids)"""
+)
+def knw_json_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """Reverse provenance: the sections (orders) whose JSON list of atoms (parts) contains a probe's one or two atoms."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    ids = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("ids"))
+    sections = ids.select(F.col("l_orderkey").alias("section"), F.to_json("ids").alias("atom_ids"))
+    probes = ids.where("l_orderkey % 20 IN (0, 1)").select(F.col("l_orderkey").alias("probe"), F.to_json(F.slice("ids", F.lit(1), (1 + F.col("l_orderkey") % 2).cast("int"))).alias("wanted"))
+    return PO.containing(sections, "section", "atom_ids", probes, "probe", "wanted").select("probe", F.col("key").alias("section"))
+
+
 @query("SELECT conv_id, turn, 1.0::DOUBLE AS score FROM conversations WHERE contains(lower(text), 'the') AND role = 'user' ORDER BY conv_id, turn LIMIT 40")
 def knw_substring(spark: SparkSession, sf: str) -> DataFrame:
     found = table(spark, sf, "conversations").where(F.lower("text").contains("the") & (F.col("role") == "user"))

@@ -65,6 +65,39 @@ def str_activation(spark: SparkSession, sf: str) -> DataFrame:
     return batch.join(streamed, "user_id").select("user_id", (F.abs(F.col("activation") - F.col("streamed")) < 1e-6).alias("agrees"))
 
 
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t FROM events), g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 168 * 3600, false) AS fresh FROM e),
+    r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY t DESC ROWS UNBOUNDED PRECEDING) - fresh::INT AS newer, max(t) OVER (PARTITION BY user_id) AS last FROM g),
+    w AS (SELECT user_id, t, exp(-0.01 * (last - t) / 3600) AS w FROM r WHERE newer = 0),
+    s AS (SELECT user_id, w, coalesce(sum(w) OVER (PARTITION BY user_id ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM w)
+    SELECT user_id, round(least(0.5 * sum(w), min(10.0 * w + 0.5 * after)), 6) AS activation FROM s GROUP BY 1"""
+)
+def str_activation_fold(spark: SparkSession, sf: str) -> DataFrame:
+    return P.activation_batch(table(spark, sf, "events"), "user_id", "ts").withColumn("activation", F.round("activation", 6))
+
+
+@query(
+    """SELECT e.user_id, e.event_type, e.event_id, e.value, u.n_types FROM (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2) e
+    JOIN (SELECT user_id, count(DISTINCT event_type) AS n_types FROM events GROUP BY 1) u ON u.user_id = e.user_id"""
+)
+def str_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Users and their last event of each type, kept as two tables by a stream in several batches; the stream runs twice, the second time from its start, which changes nothing."""
+    from lodeworks.sources.versioned import VersionedTables
+
+    store = VersionedTables(spark, P.fresh_path(spark, "upsert"))
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    store.create("users", "user_id long, seen timestamp", ["user_id"], ["seen"])
+    store.create("last_events", "user_id long, event_type string, ts timestamp, event_id long, value double", ["user_id", "event_type"], ["ts", "event_id"])
+    arrivals = f"{P.fresh_path(spark, 'arrivals')}"
+    events.repartition(3, "event_id").write.parquet(arrivals)
+    changes = lambda b: {"users": b.select("user_id", F.col("ts").alias("seen")), "last_events": b}
+    for _ in range(2):
+        P.run_available(P.table_stream(spark, arrivals, 1), "append", store.sink("events", changes))
+    last = store.read("last_events").join(store.read("users").select("user_id"), "user_id", "left_semi")
+    types = last.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_types"))
+    return last.join(types, "user_id").select("user_id", "event_type", "event_id", "value", "n_types")
+
+
 @query(
     """SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS uses, round(pow(0.7, count(*) OVER w - 1), 6) AS weight FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)"""

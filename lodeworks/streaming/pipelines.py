@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,14 +105,54 @@ def activation_stream(stream: DataFrame, key: str, time: str, late: str = "1 hou
     return uses.groupBy(key).applyInPandasWithState(step, f"{key} long, activation double", "score double, last double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def activation_batch(events: DataFrame, key: str, time: str) -> DataFrame:
-    """The same fold over a table, without Python."""
-    ordered = F.array_sort(F.collect_list(F.unix_micros(F.col(time).cast("timestamp")) / 1e6))
-    start = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("last"))
-    age = lambda a, t: F.greatest(F.lit(0.0), t - F.coalesce(a["last"], t)) / 3600
-    held = lambda a, t: F.when(age(a, t) <= IDLE_HOURS, a["score"] * F.exp(age(a, t) * -RATE)).otherwise(0.0)
-    step = lambda a, t: F.struct(F.least(F.lit(CAP), held(a, t) + AMOUNT).alias("score"), t.alias("last"))
-    return events.groupBy(key).agg(F.aggregate(ordered, start, step, lambda a: a["score"]).alias("activation"))
+def fold_maps(maps: Iterable[tuple[float, float, float, float, float]]) -> tuple[float, float, float, float, float] | None:
+    """Joins stretches of uses in order: ``(first, last, a, b, c)`` turns a score x at the first use into min(c, a x + b) at the last.
+
+    Such maps are closed under composition, and the decay of a gap is one of them, so stretches may be folded anywhere.
+    """
+    whole = None
+    for first, last, a, b, c in maps:
+        if whole is None:
+            whole = first, last, a, b, c
+            continue
+        start, end, a0, b0, c0 = whole
+        idle = max(0.0, first - end) / 3600
+        held = math.exp(-RATE * idle) if idle <= IDLE_HOURS else 0.0
+        whole = start, max(last, end), a * held * a0, a * held * b0 + b, min(c, a * held * c0 + b)
+    return whole
+
+
+def activation_batch(events: DataFrame, key: str, time: str, partitions: int | None = None) -> DataFrame:
+    """The same fold over a table: ``key, activation``.
+
+    Uses are dealt by ranges of key and time, so that a key's uses may lie over any number of tasks; each folds its
+    stretch of a key to one map, and the maps of a key, at most one a task, are folded in turn. Null times are no uses.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    x = events.select(F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at")).where("at IS NOT NULL")
+    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def stretch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, whole, kind = object(), None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], kind), *[pa.array([v]) for v in whole]], names=["key", "first", "last", "a", "b", "c"])
+        for batch in batches:
+            kind = batch.schema.field("key").type
+            for name, at in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                use = (at, at, 1.0, AMOUNT, CAP)
+                if name != now:
+                    if whole:
+                        yield row()
+                    now, whole = name, None
+                whole = fold_maps((whole, use)) if whole else use
+        if whole:
+            yield row()
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        _, _, _, b, c = fold_maps(frame.sort_values("first")[["first", "last", "a", "b", "c"]].itertuples(index=False))
+        return pd.DataFrame({key: frame["key"].iloc[:1], "activation": [min(b, c)]})
+
+    maps = x.repartitionByRange(n, "key", "at").sortWithinPartitions("key", "at").mapInArrow(stretch, f"key {kind}, first double, last double, a double, b double, c double")
+    return maps.groupBy("key").applyInPandas(join, f"{key} {kind}, activation double")
 
 
 def usage_decay(events: DataFrame, key: str, time: str, hours: int = 24, base: float = 0.7) -> DataFrame:
