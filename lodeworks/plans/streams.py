@@ -163,3 +163,40 @@ def str_session_pressure(spark: SparkSession, sf: str) -> DataFrame:
     t = t.select("conv_id", "turn", (F.length("text") % 5).alias("c"), (F.length("text") % 3).alias("u"), F.when(F.col("turn") % 2 == 0, "forming").otherwise("reusable").alias("s"))
     p = P.session_pressure(t, "conv_id", "turn", "c", "u", "s")
     return p.select("conv_id", "turn", F.round("confidence_pressure", 4).alias("confidence_pressure"), F.round("insufficiency_pressure", 4).alias("insufficiency_pressure"))
+
+
+def _commands(events: DataFrame) -> DataFrame:
+    """Purchases take two jobs, every eleventh event fails one, all others push one; a lane is a seventh of the users."""
+    command = F.when(F.col("event_type") == "purchase", "take").when(F.col("event_id") % 11 == 0, "fail").otherwise("push")
+    return events.select(
+        (F.col("user_id") % 7).alias("lane"), "ts", command.alias("command"), F.col("event_id").alias("job"), (F.col("event_id") % 3).cast("int").alias("tier"),
+        F.when(command == "fail", F.col("event_id") % 4).otherwise(0).cast("int").alias("attempts"), F.lit(2).alias("amount"),
+    )
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id % 7 AS lane, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms, CASE WHEN event_type = 'purchase' THEN 'take' WHEN event_id % 11 = 0 THEN 'fail' ELSE 'push' END AS command, event_id AS job, CAST(event_id % 3 AS INTEGER) AS tier, event_id % 4 AS a FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+    o AS MATERIALIZED (SELECT *, CAST(CASE WHEN command = 'fail' THEN a ELSE 0 END AS INTEGER) AS attempts, row_number() OVER (PARTITION BY lane ORDER BY ms, command, job) AS i FROM c WHERE ms <= (SELECT max(ms) FROM c) - 3600000),
+    t(lane, i, held, done) AS (
+      SELECT DISTINCT lane, CAST(0 AS BIGINT), CAST([] AS STRUCT(tier INTEGER, due BIGINT, job BIGINT, attempts INTEGER)[]), CAST([] AS STRUCT("at" BIGINT, job BIGINT, outcome VARCHAR, attempts INTEGER)[]) FROM o
+      UNION ALL
+      SELECT lane, i,
+        CASE WHEN command = 'take' THEN list_filter(held, lambda j: NOT list_contains(taken, j)) WHEN command = 'push' AND len(held) < 20 THEN list_append(held, {'tier': tier, 'due': ms, 'job': job, 'attempts': 0})
+             WHEN command = 'fail' AND attempts < 2 THEN list_append(held, {'tier': tier, 'due': ms + 600000 * (1 << attempts), 'job': job, 'attempts': attempts + 1}) ELSE held END,
+        CASE command WHEN 'take' THEN list_transform(taken, lambda j: {'at': ms, 'job': j.job, 'outcome': 'taken', 'attempts': j.attempts})
+             WHEN 'push' THEN [{'at': ms, 'job': job, 'outcome': CASE WHEN len(held) < 20 THEN 'accepted' ELSE 'rejected' END, 'attempts': 0}]
+             ELSE [{'at': ms, 'job': job, 'outcome': CASE WHEN attempts < 2 THEN 'retry' ELSE 'dead' END, 'attempts': attempts + 1}] END
+      FROM (SELECT o.*, held, list_sort(list_filter(held, lambda j: j.due <= o.ms))[1:2] AS taken FROM t JOIN o ON o.lane = t.lane AND o.i = t.i + 1)
+    ) SELECT lane, d."at" AS "at", d.job AS job, d.outcome AS outcome, d.attempts AS attempts FROM (SELECT lane, unnest(done) AS d FROM t)"""
+)
+def str_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of a bounded queue with tiers, retries and dead letters, as a stream with list state and timers."""
+    from lodeworks.streaming import queues as Q
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return P.run_available(Q.queue_stream(_commands(_stream(spark, sf)), "ts", rules=Q.QueueRules(20, 3, 600_000)))
+    finally:
+        spark.conf.set(provider, before)
