@@ -9,8 +9,9 @@ from lodeworks.functions import text as T
 from lodeworks.operators.vectors import hashed_embedding
 from lodeworks.sources import readers as R
 from lodeworks.sources import text_tables as TT
+from lodeworks.sources import web
 
-from .views import table
+from .views import sql_any, table
 
 QUERIES, SQL = {}, {}
 
@@ -126,3 +127,17 @@ def txt_hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM pages")
 def txt_sanitise(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.sanitise(F.coalesce("html", F.lit(""))).alias("clean"))
+
+
+@query(
+    """SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, CAST(contains(lower(html), 'the') AS INTEGER) + CAST(contains(lower(html), 'href') AS INTEGER) + CAST(contains(lower(html), 'ould') AS INTEGER) AS hits FROM pages
+    WHERE (contains(lower(html), 'the') OR contains(lower(html), 'href') OR contains(lower(html), 'ould')) AND page_id >= 10"""
+)
+def src_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of the saved pages; the bound of the key is taken into the scan."""
+    return web.search(spark, f"{sf}/pages.parquet", "the HREF ould the").where("page_id >= 10")
+
+
+@query(f"SELECT page_id, host, md5(html) AS checksum, CAST(strlen(html) AS BIGINT) AS bytes, {sql_any('lower(url)', T.ACADEMIC_URLS)} AS academic FROM (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages) WHERE starts_with(url, 'https')")
+def src_scrape(spark: SparkSession, sf: str) -> DataFrame:
+    return web.scrape(spark, f"{sf}/pages.parquet").where("url LIKE 'https%'").select("page_id", "host", "checksum", "bytes", "academic")

@@ -187,9 +187,13 @@ def pop_batch(queue: DataFrame, priority: str, member: str, n: int) -> DataFrame
 
 
 def admit(queue: DataFrame, order: str, capacity: int, depth: int) -> DataFrame:
-    """Back-pressure: arrivals beyond the free places of a queue are marked as rejected."""
-    # Places are numbered over the arrivals of one trigger, which the source's limit bounds.
-    return queue.withColumn("accepted", F.row_number().over(Window.orderBy(order)) + depth <= capacity)
+    """Back-pressure over a batch: arrivals beyond the free places of a queue, in order, are marked as rejected.
+
+    Only the first arrivals are sorted out, at most as many as the queue holds; equal ones by their other columns. The
+    queue as a stream is ``queues``.
+    """
+    first = queue.orderBy(order, *[c for c in queue.columns if c != order]).limit(max(0, capacity - depth))
+    return first.withColumn("accepted", F.lit(True)).unionByName(queue.exceptAll(first).withColumn("accepted", F.lit(False)))
 
 
 def tier_zero(batch: DataFrame, text: str, novelty: Column, authority: Column, gap: Column, least: float = 0.2) -> DataFrame:

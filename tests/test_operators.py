@@ -381,3 +381,20 @@ def test_tables_in_texts(spark):
     text_tables.register(spark)
     df.createOrReplaceTempView("texts_with_tables")
     assert spark.sql("SELECT t.cells FROM texts_with_tables d, LATERAL tables_in(d.headers, d.kind) t WHERE d.cells = 3").count() == 2
+
+
+def test_web_sources_take_filters_into_the_scan(spark, tmp_path):
+    from lodeworks.sources import web
+
+    rows = [(i, f"https://h{i % 3}.org/p{i}" if i % 4 else f"http://h{i % 3}.org/", "<p>Some words here</p>" if i % 2 else None) for i in range(40)] + [(100, None, "words"), (101, "no host", "é" * 3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    found = web.scrape(spark, f"{tmp_path}/pages.parquet")
+    assert found.count() == 42 and {r["page_id"]: (r["host"], r["bytes"]) for r in found.where("page_id >= 100").collect()} == {100: (None, 5), 101: ("", 6)}
+    some = found.where("host = 'h1.org' AND page_id < 20 AND length(url) > 5 AND url LIKE 'https%'")
+    plan = some._jdf.queryExecution().toString()
+    left = [x for x in plan.split("Physical Plan ==")[-1].splitlines() if "Filter" in x and "RuntimeFilters" not in x]
+    assert len(left) == 1 and "length(url" in left[0] and "page_id" not in left[0] and "host" not in left[0] and "StartsWith" not in left[0]
+    assert sorted(r["page_id"] for r in some.collect()) == [i for i in range(20) if i % 3 == 1 and i % 4]
+    hits = web.search(spark, f"{tmp_path}/pages.parquet", "WORDS p words none")
+    assert {r["page_id"]: r["hits"] for r in hits.collect()} == {100: 1, **{i: 2 for i in range(40) if i % 2}}
+    assert web.search(spark, f"{tmp_path}/pages.parquet", " ").count() == 0
