@@ -247,6 +247,8 @@ PAIRS = 1 << 18
 CENTRES = 4
 #: Members of a list's largest joined group that its other members are compared with before all pairs are.
 BRIDGES = 64
+#: Of these, how many one list compares at most.
+BRIDGES_OF_LIST = 16
 #: Ids of texts, of eight bytes each, that are broadcast.
 MOST_BROADCAST = 1_000_000
 
@@ -404,7 +406,11 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     def bridges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by key and size: those outside the largest group of a list's like sizes, with a few of that group."""
+        """Rows by key and size: those outside the largest group of a list's like sizes, with a few of that group.
+
+        The key picks which of the group's first members: a text like the group meets it in many lists, so in all it is
+        compared with many of them, and one that only shares a passage, in few lists, with few.
+        """
         for k, i, n, place, label in _runs(batches):
             order = _mixed(i.view(np.uint64), CENTRES + 1)
             size, start, found = 0, 0, []
@@ -416,6 +422,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                         inside = group == times.argmax()
                         members, others = start + np.flatnonzero(inside), start + np.flatnonzero(~inside)
                         members = members[np.argsort(order[members], kind="stable")[:BRIDGES]]
+                        if len(members) > BRIDGES_OF_LIST:
+                            members = members[int(k[start]) % -(-len(members) // BRIDGES_OF_LIST) :: -(-len(members) // BRIDGES_OF_LIST)]
                         a, b = np.repeat(members, len(others)), np.tile(others, len(members))
                         good = possible(n[a], place[a], n[b], place[b])
                         found.append(np.sort(np.stack([i[a[good]], i[b[good]]], axis=1), axis=1))
