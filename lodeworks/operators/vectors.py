@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,114 +156,6 @@ def _moving(vectors: DataFrame, group: str, key: str, vector: str, order: list[s
     return x.repartition("g").sortWithinPartitions("g", "o").select("g", "key", "v").mapInArrow(run, f"{group} {g}, {key} {k}, leader {k}")
 
 
-def _spanning_edges(points: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning tree of the mutual reachability distances, by weight; one row of distances is held at a time."""
-    n = len(points)
-    squares = (points**2).sum(axis=1)
-
-    def distances(i: int) -> np.ndarray:
-        d = np.sqrt(np.maximum(squares + squares[i] - 2 * (points @ points[i]), 0.0))
-        d[i] = 0.0
-        return d
-
-    core = np.array([np.partition(distances(i), neighbours)[neighbours] for i in range(n)])
-    reach, origin, outside = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        outside[at] = False
-        mutual = np.maximum(np.maximum(distances(at), core), core[at])
-        closer = outside & (mutual < reach)
-        reach[closer], origin[closer] = mutual[closer], at
-        at = int(np.argmin(np.where(outside, reach, np.inf)))
-        edges.append((origin[at], at, reach[at]))
-    a, b, w = (np.array(x) for x in zip(*edges, strict=True))
-    order = np.argsort(w, kind="stable")
-    return a[order], b[order], w[order]
-
-
-def _density_labels(points: np.ndarray, least: int) -> np.ndarray:
-    """HDBSCAN: the hierarchy of the spanning tree, condensed to clusters of ``least`` points; the most stable ones stay; -1 is noise."""
-    n = len(points)
-    labels = np.full(n, -1)
-    if n < 2 or n < least:
-        return labels
-    a, b, w = _spanning_edges(points, min(least, n - 1))
-    # The merge tree: node n + i joins two nodes at the i-th smallest distance.
-    root, children, size = list(range(n)), {}, [1] * n
-    owner = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, (x, y, d) in enumerate(zip(a, b, w, strict=True)):
-        x, y = find(int(x)), find(int(y))
-        children[n + i] = (owner[x], owner[y], 1.0 / max(float(d), 1e-12))
-        size.append(size[owner[x]] + size[owner[y]])
-        root[y], owner[x] = x, n + i
-    # Down from the top: a split into two large parts makes two clusters, smaller parts fall out of theirs.
-    parent, birth, stability, left = {0: None}, {0: 0.0}, {0: 0.0}, np.zeros(n, np.int64)
-    todo = [(2 * n - 2, 0)]
-    while todo:
-        node, cluster = todo.pop()
-        if node < n:
-            left[node] = cluster
-            continue
-        one, two, density = children[node]
-        large = [c for c in (one, two) if size[c] >= least]
-        for child in (one, two):
-            if size[child] < least:
-                stability[cluster] += (density - birth[cluster]) * size[child]
-                points_below = [child]
-                while points_below:
-                    c = points_below.pop()
-                    if c < n:
-                        left[c] = cluster
-                    else:
-                        points_below += children[c][:2]
-            elif len(large) == 1:
-                todo.append((child, cluster))
-            else:
-                stability[cluster] += (density - birth[cluster]) * size[child]
-                new = len(parent)
-                parent[new], birth[new], stability[new] = cluster, density, 0.0
-                todo.append((child, new))
-    # Up from the leaves: a cluster stays if it is at least as stable as the best clusters below it; the whole never does.
-    below, chosen = dict.fromkeys(parent, 0.0), set()
-    for c in sorted(parent, reverse=True):
-        if c and stability[c] >= below[c]:
-            chosen.add(c)
-        if c:
-            below[parent[c]] += max(stability[c], below[c])
-    for i in range(n):
-        c, top = left[i], -1
-        while c is not None:
-            top = c if c in chosen else top
-            c = parent[c]
-        labels[i] = top
-    return labels
-
-
-def density_clusters(vectors: DataFrame, group: str, key: str, vector: str, least: int = 5) -> DataFrame:
-    """HDBSCAN by Euclidean distance within each group: ``group, key, cluster``, the smallest key of its cluster; noise is left out.
-
-    The core distance is that to the ``least``-th neighbour; distances under 1e-12 count as that, so equal vectors have
-    a finite density. Rows without a vector are noise. A group (the vectors of a mission, bounded by its caller) is
-    one task's, which needs time with the square of it and memory with its size. Ties are settled by the key's order.
-    """
-    schema = f"{group} {vectors.schema[group].dataType.simpleString()}, {key} long, cluster long"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key, kind="stable").reset_index(drop=True)
-        frame["label"] = _density_labels(np.array(frame[vector].tolist(), np.float64), least)
-        found = frame[frame["label"] >= 0]
-        return pd.DataFrame({group: found[group], key: found[key], "cluster": found.groupby("label")[key].transform("min")})
-
-    return vectors.where(F.col(vector).isNotNull()).groupBy(group).applyInPandas(run, schema)
-
-
 def consolidate(clusters: DataFrame, group: str, key: str) -> DataFrame:
     """Golden rows of clusters: the leader stands for its members."""
     return clusters.groupBy(group, F.col("leader").alias("golden")).agg(F.count(F.lit(1)).alias("members"), F.array_sort(F.collect_list(key)).alias("member_ids"))

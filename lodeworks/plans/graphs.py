@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.operators import density as DE
 from lodeworks.operators import graph as G
 from lodeworks.operators import vectors as V
 
@@ -120,7 +121,15 @@ def vec_kmeans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def vec_density_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return V.density_clusters(_vectors(spark, sf), "label", "vec_id", "embedding")
+    """All embeddings as one group; three points make a cluster."""
+    return DE.density_clusters(_vectors(spark, sf).withColumn("all", F.lit(0)), "all", "vec_id", "embedding", 3)
+
+
+@query()
+def vec_density_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of a segment by nation and balance: the clusters are balances that lie close within a nation."""
+    c = table(spark, sf, "customer")
+    return DE.density_clusters(c.select("c_mktsegment", "c_custkey", F.array((F.col("c_nationkey") * 10).cast("double"), F.col("c_acctbal").cast("double") / 1000).alias("v")), "c_mktsegment", "c_custkey", "v")
 
 
 @query("SELECT vec_id, round(greatest(least(1 - (vec_id % 30) / 20.0, 1), 0), 6) AS from_cosine, round(exp(-(vec_id % 30) / 20.0), 6) AS from_other FROM embeddings")

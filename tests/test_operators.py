@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import scores as S
 from lodeworks.functions import text as T
-from lodeworks.operators import cognition, dedup, derivation, graph, grounding, relational, retrieval, validators, vectors
+from lodeworks.operators import cognition, dedup, density, derivation, graph, grounding, relational, retrieval, validators, vectors
 from lodeworks.plans.extensions import Registry
 from lodeworks.sources import readers, sinks, tables
 from lodeworks.streaming import pipelines
@@ -277,10 +277,32 @@ def _blobs():
 def test_density_clusters(spark):
     schema = "k long, g string, v array<double>"
     more = [(200 + i, "same", [1.0, 2.0]) for i in range(7)] + [(300, "one", [1.0]), (301, "none", None)]
-    got = {r["k"]: r["cluster"] for r in vectors.density_clusters(spark.createDataFrame(_blobs() + more, schema), "g", "k", "v").collect()}
+    got = {r["k"]: r["cluster"] for r in density.density_clusters(spark.createDataFrame(_blobs() + more, schema), "g", "k", "v").collect()}
     # Three blobs under their smallest keys; far points, a group that never splits, lone and missing vectors are noise.
     assert got == {i: i % 3 for i in range(60)}
-    assert vectors.density_clusters(spark.createDataFrame([], schema), "g", "k", "v").count() == 0
+    assert density.density_clusters(spark.createDataFrame([], schema), "g", "k", "v").count() == 0
+
+
+@pytest.mark.parametrize(("block", "finish"), [(16, 0), (16, 1 << 16), (2048, 40)])
+def test_density_clusters_over_blocks(spark, monkeypatch, block, finish):
+    """Blobs of several densities, copies and noise over many blocks: as if all were in one task."""
+    import numpy as np
+
+    monkeypatch.setattr(density, "BLOCK", block)
+    monkeypatch.setattr(density, "FINISH", finish)
+    rng = np.random.default_rng(block)
+    rows = [(i, "h" if i % 10 < 3 else None, (rng.normal(0, 0.05 * (1 + i % 4), 3) + 4 * (i % 4)).tolist()) for i in range(160)] + [(200 + i, None, rng.uniform(-20, 30, 3).tolist()) for i in range(12)]
+    rows += [(300 + i, None, [1.0, 1.0, 1.0]) for i in range(6)] + [(400, "h", None)]
+    found = {r["k"]: r["cluster"] for r in density.density_clusters(spark.createDataFrame(rows, "k long, g string, v array<double>"), "g", "k", "v", 4).collect()}
+    plain = {}
+    for g in ("h", None):
+        own = sorted((k, v) for k, h, v in rows if h == g and v)
+        points = np.array([v for _, v in own])
+        labels = density.condensed_labels(len(own), *density.spanning_edges(points, density.core_distances(points, 4)), 4)
+        for c in set(labels) - {-1}:
+            members = [k for (k, _), x in zip(own, labels, strict=True) if x == c]
+            plain |= {k: min(members) for k in members}
+    assert found == plain and len(set(plain.values())) >= 6
 
 
 def test_kmeans_finds_blobs(spark):
