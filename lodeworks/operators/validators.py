@@ -132,3 +132,93 @@ def validate_preference(key: Column, category: Column, kind: Column, value: Colu
         .when(~F.coalesce(confidence.between(0, 1), F.lit(False)), "Confidence score must be between 0 and 1")
         .when(F.coalesce(at, F.lit("")).try_cast("timestamp").isNull(), "Invalid timestamp format")
     )
+
+
+# Citation formats, what raises the confidence in each and in all (in tenths over six), and a DOI.
+CITATIONS = {
+    "apa": (r"\((?:[A-Za-z]+(?:\s*et al\.?)?,\s*\d{4}(?:,\s*(?:p\.|pp\.)?\s*\d+(?:-\d+)?)?\))", [(r"[A-Za-z]+(?:\s*et al\.?)?,\s*\d{4}", 2), (r"p\.|pp\.\s*\d+", 1)]),
+    "mla": (r"\([A-Za-z]+\s+\d+(?:-\d+)?\)", [(r"[A-Za-z]+\s+\d+", 2)]),
+    "chicago": (r"\d+\.\s*[A-Za-z]+", [(r"^\d+\.\s*", 2)]),
+    "ieee": (r"\[\d+\]", [(r"^\[\d+\]$", 3)]),
+    "harvard": (r"\([A-Za-z]+,\s*\d{4}\)", [(r"\([A-Za-z]+,\s*\d{4}\)", 2), (r"\d+(?:-\d+)?", 1)]),
+}
+CITATION_EXTRAS = [r";|\sand\s", r"(?i)vol\.|volume|issue|\(\d+\)"]
+DOI = r"10\.\d{4,}/[-._;()/:\w]+"
+# Elements of a markdown text that count for its structure, and those that count for its formatting.
+MARKDOWN_STRUCTURE = {"headers": r"^#{1,6}\s+.+$|^.+\n[=-]+$", "lists": r"^\s*[-*+]\s+.+$|^\s*\d+\.\s+.+$"}
+MARKDOWN_CODE = r"```[a-z]*\n[\s\S]*?```"
+MARKDOWN_FORMATTING = [r"[*_][^*_\s][^*_]*[*_]", r"[*_]{2}[^*_\s][^*_]*[*_]{2}", r"`[^`]+`", r"^\s*> .+$", r"^\s*[-*_]{3,}\s*$"]
+MARKDOWN_LINKS = {"inline": r"\[[^\]]+\]\([^)]+\)", "reference": r"\[[^\]]+\]\[([^\]]+)\]", "definition": r"^\[([^\]]+)\]:\s+\S+(?:\s+\"[^\"]+\")?\s*$"}
+
+
+def validate_reference(text: Column, expected: Column | None = None) -> Column:
+    """Struct of ``valid, error, format, confidence, has_doi, has_year, has_authors`` of a citation; the first of equally likely formats counts."""
+    body = F.coalesce(text, F.lit(""))
+    hits = lambda pattern, n: F.when(body.rlike(pattern), n).otherwise(0)
+    extra = sum((hits(p, 1) for p in CITATION_EXTRAS), F.lit(6))
+    tenths = {name: F.when(body.rlike(pattern), F.least(extra + sum((hits(p, n) for p, n in more), F.lit(0)), F.lit(10))).otherwise(0) for name, (pattern, more) in CITATIONS.items()}
+    best = F.greatest(*tenths.values())
+    found = F.when(best == 0, None)
+    for name, value in tenths.items():
+        found = found.when(value == best, name)
+    wrong = F.lit(False) if expected is None else expected.isNotNull() & ~found.eqNullSafe(expected)
+    error = F.when(strip(body) == "", "Empty reference").when(wrong, "Reference format mismatch").when(best < 7, "Invalid reference format")
+    return F.struct(error.isNull().alias("valid"), error.alias("error"), found.alias("format"), (best / 10).alias("confidence"), body.rlike(DOI).alias("has_doi"), body.rlike(r"\d{4}").alias("has_year"), body.rlike("[A-Za-z]").alias("has_authors"))
+
+
+def validate_data(data: Column, required: list[str], properties: Mapping[str, Mapping], level: str = "medium") -> Column:
+    """Struct of ``valid, missing, invalid`` of a JSON object against a schema; null and invalid JSON lacks every field.
+
+    A property may have a ``type`` (numeric, string, boolean, list, dict; booleans are numeric too), a ``minimum`` and
+    ``maximum`` for numbers, and ``constraints``: ``regex`` (from the start, strings only), ``enum``, ``length``,
+    ``min_length``, ``max_length``. Level high asks for all, medium for fields, types and ranges, low for fields.
+    """
+    value = F.try_parse_json(data)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
+    kinds = {"numeric": r"^(BIGINT|DOUBLE|DECIMAL|FLOAT|BOOLEAN)", "string": "^STRING", "boolean": "^BOOLEAN", "list": "^ARRAY", "dict": "^OBJECT"}
+    absent, bad = {}, []
+    for name, rules in properties.items():
+        here, typed = kind(name), []
+        text, number = F.try_variant_get(value, f"$.{name}", "string"), F.coalesce(F.try_variant_get(value, f"$.{name}", "double"), F.try_variant_get(value, f"$.{name}", "boolean").cast("double"))
+        known = F.coalesce(here.rlike(kinds[rules["type"]]) if rules.get("type") in kinds else F.lit("type" not in rules), F.lit(False))
+        typed.append(known)
+        if rules.get("type") == "numeric":
+            typed += [F.coalesce(test, F.lit(True)) for test in ((number >= rules["minimum"]) if "minimum" in rules else F.lit(True), (number <= rules["maximum"]) if "maximum" in rules else F.lit(True))]
+        size = F.when(here.rlike("^STRING"), F.length(text)).when(here.rlike("^ARRAY"), F.size(F.try_variant_get(value, f"$.{name}", "array<variant>"))).when(here.rlike("^OBJECT"), F.size(F.try_variant_get(value, f"$.{name}", "map<string,variant>")))
+        rest, limits = F.lit(True), rules.get("constraints", {})
+        if "regex" in limits:
+            rest = rest & (~here.rlike("^STRING") | text.rlike(f"^(?:{limits['regex']})"))
+        if "enum" in limits:
+            rest = rest & text.isin([str(x) for x in limits["enum"]])
+        for limit, test in (("length", lambda n: size == n), ("min_length", lambda n: size >= n), ("max_length", lambda n: size <= n)):
+            if limit in limits:
+                rest = rest & test(limits[limit])
+        good = typed[0]
+        for t in typed[1:]:
+            good = good & t
+        absent[name] = here.isNull()
+        bad.append(F.when(here.isNotNull() & ~(good & F.coalesce(rest, F.lit(False))), F.struct(F.lit(name).alias("name"), (~good).alias("grave"))))
+    missing = F.filter(F.array(*[F.when(absent.get(n, kind(n).isNull()), n) for n in required]).cast("array<string>"), lambda x: x.isNotNull())
+    faults = F.filter(F.array(*bad), lambda x: x.isNotNull())
+    grave = {"high": F.size(faults) > 0, "medium": F.exists(faults, lambda x: x["grave"]), "low": F.lit(False)}[level]
+    return F.struct(((F.size(missing) == 0) & ~grave).alias("valid"), missing.alias("missing"), F.transform(faults, lambda x: x["name"]).alias("invalid"))
+
+
+def validate_markdown(text: Column, level: str = "normal") -> Column:
+    """Struct of ``valid, score, has_headers, hierarchy, links_valid``: a tenth for headers, lists, tables and code each, a fifth for formatting, links and hierarchy each."""
+    body = F.coalesce(text, F.lit(""))
+    has = lambda pattern: body.rlike(_lines(pattern)).cast("int")
+    # Three lines between bars make a table where another line follows them.
+    table = body.rlike(_lines(r"(?:^\|.+\|\n){3,}+(?!\|.+\|\z)")).cast("int")
+    code = (body.rlike(MARKDOWN_CODE) | body.rlike(r"^(?: {4}|\t)[\s\S]")).cast("int")
+    headers = has(MARKDOWN_STRUCTURE["headers"])
+    formats = sum((has(p) for p in MARKDOWN_FORMATTING), F.lit(0))
+    refs, names = (F.regexp_extract_all(body, F.lit(_lines(MARKDOWN_LINKS[k])), F.lit(1)) for k in ("reference", "definition"))
+    linked = F.size(F.array_except(refs, names)) == 0
+    links = F.least(F.regexp_count(body, F.lit(MARKDOWN_LINKS["inline"])) + F.size(refs), F.lit(5))
+    marks = F.regexp_extract_all(body, F.lit("(?dm)^(#+)"), F.lit(1))
+    steps = F.forall(F.transform(marks, lambda m, i: (i == 0) & (F.length(m) == 1) | (i > 0) & (F.length(m) <= F.length(F.get(marks, i - 1)) + 1)), lambda x: F.coalesce(x, F.lit(False)))
+    hundredths = (headers + has(MARKDOWN_STRUCTURE["lists"]) + table + code) * 10 + formats * 4 + F.when(linked, links * 4).otherwise(0) + F.when(steps, 20).otherwise(0)
+    score = hundredths / 100
+    valid = {"strict": (score >= 0.8) & (headers == 1) & steps, "normal": (score >= 0.6) & (headers == 1), "lenient": score >= 0.4}[level]
+    return F.struct(valid.alias("valid"), score.alias("score"), (headers == 1).alias("has_headers"), steps.alias("hierarchy"), linked.alias("links_valid"))

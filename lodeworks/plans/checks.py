@@ -99,3 +99,68 @@ def val_preferences(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("kind", kind).withColumn("text", value)
     category = F.when(F.col("event_id") % 11 == 0, "unknown").otherwise("content")
     return e.select("event_id", C.validate_preference(F.col("event_type"), category, F.col("kind"), F.col("text"), F.lit("events"), F.col("value") / 100, F.col("ts").cast("string"), limits).alias("error"))
+
+
+#: Pieces of markdown that a turn's key puts together around its text.
+_PIECES = ["# One\n", "### Three\n", "- item\n* item\n", "|a|b|\n|-|-|\n|1|2|\n\n", "```py\nx\n```\n", "Set\n===\n", "> said *so*\n", "[in](http://x) [to][ref] \n", "[ref]: http://y\n", "---\n", "**strong** `code`\n", "## Two\n"]
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+_MD = " || ".join(f"CASE WHEN (key // {2**i if i < 6 else 3 * 2 ** (i - 6) + 1}) % {2 + i % 2} = 0 THEN {_sql_text(x)} ELSE '' END" for i, x in enumerate(_PIECES))
+_LINE = lambda p: f"CAST(regexp_matches(body, '(?m){p}') AS INTEGER)"
+
+
+@query(
+    f"""WITH k AS (SELECT conv_id, turn, conv_id * 7 + turn AS key, coalesce(text, '') AS text FROM conversations), b AS (SELECT conv_id, turn, {_MD} || replace(text, chr(10), ' ') AS body FROM k),
+    m AS (SELECT *, regexp_extract_all(body, '(?m)^(#+)', 1) AS marks, regexp_extract_all(body, '(?m){C.MARKDOWN_LINKS["reference"]}', 1) AS refs, regexp_extract_all(body, '(?m){C.MARKDOWN_LINKS["definition"]}', 1) AS names FROM b),
+    f AS (SELECT conv_id, turn, {_LINE(C.MARKDOWN_STRUCTURE["headers"])} AS h, {_LINE(C.MARKDOWN_STRUCTURE["lists"])} AS l, CAST(contains(body, '|1|2|' || chr(10)) AS INTEGER) AS t, CAST(regexp_matches(body, '{C.MARKDOWN_CODE}') AS INTEGER) AS c,
+      {" + ".join(map(_LINE, C.MARKDOWN_FORMATTING))} AS formats, len(list_filter(refs, lambda r: NOT list_contains(names, r))) = 0 AS linked, least(len(regexp_extract_all(body, '{C.MARKDOWN_LINKS["inline"]}')) + len(refs), 5) AS links,
+      len(list_filter(range(1, len(marks) + 1), lambda i: CASE WHEN i = 1 THEN length(marks[1]) <> 1 ELSE length(marks[i]) > length(marks[i - 1]) + 1 END)) = 0 AS hierarchy FROM m),
+    s AS (SELECT *, ((h + l + t + c) * 10 + formats * 4 + CASE WHEN linked THEN links * 4 ELSE 0 END + CASE WHEN hierarchy THEN 20 ELSE 0 END) / 100 AS score FROM f)
+    SELECT conv_id, turn, score >= 0.6 AND h = 1 AS valid, score, h = 1 AS has_headers, hierarchy, linked AS links_valid FROM s"""
+)
+def val_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns set as markdown; which pieces come before the text depends on the key."""
+    key = F.col("conv_id") * 7 + F.col("turn")
+    pieces = [F.when(F.floor(key / (2**i if i < 6 else 3 * 2 ** (i - 6) + 1)) % (2 + i % 2) == 0, x).otherwise("") for i, x in enumerate(_PIECES)]
+    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    body = F.concat(*pieces, F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    return turns.select("conv_id", "turn", C.validate_markdown(body).alias("v")).select("conv_id", "turn", "v.*")
+
+
+_REFERENCES = ["(Smith et al., 2020, pp. 3-4)", "[12]", "see [3] and vol. 4", "3. Author of a book; another", "(Lee, 1999)", "(Knuth 84-90)", "no citation 1234", "doi 10.1234/abc.d (Ng, 2001) volume 2", " "]
+
+
+@query(
+    f"""WITH r AS (SELECT item_id, ({sql_list(_REFERENCES)})[item_id % 9 + 1] || CASE WHEN item_id % 2 = 0 THEN '' ELSE ' ' || split_part(text, ' ', 1) END AS body, CASE item_id % 5 WHEN 0 THEN 'apa' WHEN 1 THEN 'ieee' END AS expected FROM benchmark),
+    e AS (SELECT *, 6 + {' + '.join(f"CAST(regexp_matches(body, '{p}') AS INTEGER)" for p in C.CITATION_EXTRAS)} AS extra FROM r),
+    t AS (SELECT *, [{', '.join("CASE WHEN regexp_matches(body, '" + p + "') THEN least(10, extra + " + ' + '.join(f"CASE WHEN regexp_matches(body, '{q}') THEN {n} ELSE 0 END" for q, n in more) + ") ELSE 0 END" for p, more in C.CITATIONS.values())}] AS tenths FROM e),
+    b AS (SELECT *, list_max(tenths) AS best, CASE WHEN list_max(tenths) > 0 THEN ({sql_list(list(C.CITATIONS))})[list_position(tenths, list_max(tenths))] END AS format FROM t),
+    x AS (SELECT *, CASE WHEN trim(body) = '' THEN 'Empty reference' WHEN expected IS NOT NULL AND format IS DISTINCT FROM expected THEN 'Reference format mismatch' WHEN best < 7 THEN 'Invalid reference format' END AS error FROM b)
+    SELECT item_id, error IS NULL AS valid, error, format, best / 10 AS confidence, regexp_matches(body, '{C.DOI}') AS has_doi, regexp_matches(body, '\\d{{4}}') AS has_year, regexp_matches(body, '[A-Za-z]') AS has_authors FROM x"""
+)
+def val_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Citations of all formats, by the item's id, every second one with a word of the item behind it."""
+    b = table(spark, sf, "benchmark")
+    body = F.concat(F.element_at(F.array(*map(F.lit, _REFERENCES)), (F.col("item_id") % 9 + 1).cast("int")), F.when(F.col("item_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1)))))
+    expected = F.when(F.col("item_id") % 5 == 0, "apa").when(F.col("item_id") % 5 == 1, "ieee")
+    return b.select("item_id", C.validate_reference(body, expected).alias("v")).select("item_id", "v.*")
+
+
+@query(
+    """WITH d AS (SELECT event_id, event_id % 6 AS n, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events),
+    f AS (SELECT event_id, CASE WHEN n = 0 THEN 'name' WHEN n = 1 THEN 'k' END AS missing, n <> 1 AND (n = 2 OR k < 10 OR k > 80) AS bad_k, n <> 0 AND (event_type NOT IN ('view', 'click') OR length(event_type) <> 4) AS bad_name, n = 3 AS bad_tags FROM d)
+    SELECT event_id, missing IS NULL AND NOT bad_k AND NOT bad_tags AS valid, coalesce(missing, '') AS missing, array_to_string(list_filter([CASE WHEN bad_k THEN 'k' END, CASE WHEN bad_name THEN 'name' END, CASE WHEN bad_tags THEN 'tags' END], lambda x: x IS NOT NULL), ',') AS invalid FROM f"""
+)
+def val_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects made of events, some without a field or of another type, against a schema."""
+    n = F.col("event_id") % 6
+    k = F.get_json_object("props", "$.k")
+    parts = [F.when(n != 1, F.concat(F.lit('"k": '), F.when(n == 2, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k))), F.when(n != 0, F.concat(F.lit('"name": "'), "event_type", F.lit('"'))), F.when(n == 3, '"tags": "none"').otherwise('"tags": ["a", 1]')]
+    schema = {"k": {"type": "numeric", "minimum": 10, "maximum": 80}, "name": {"type": "string", "constraints": {"enum": ["view", "click"], "regex": "[a-z]", "length": 4}}, "tags": {"type": "list", "constraints": {"min_length": 1, "max_length": 2}}}
+    v = C.validate_data(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), ["k", "name"], schema)
+    found = spread(table(spark, sf, "events")).select("event_id", v.alias("v"))
+    return found.select("event_id", "v.valid", F.array_join("v.missing", ",").alias("missing"), F.array_join("v.invalid", ",").alias("invalid"))
