@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Word lists and limits of the text gates.
@@ -442,3 +442,20 @@ def citation_key(url: Column) -> Column:
 def coerce_value(value: Column) -> Column:
     """ISO timestamps inside strings are recognised by length and the T at place 11; all else stays null."""
     return F.when((F.length(value) > 19) & (F.substring(value, 11, 1) == "T"), F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00")))
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """Rows as a relational store takes them: maps, structs and arrays as JSON text, ISO timestamps within strings in one form.
+
+    A string that looks like a timestamp but is none stays as it is; nulls stay null.
+    """
+    out = []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("map", "struct", "array"):
+            out.append(F.to_json(F.col(f"`{f.name}`")).alias(f.name))
+        elif kind == "string":
+            out.append(F.coalesce(F.date_format(coerce_value(F.col(f"`{f.name}`")), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col(f"`{f.name}`")).alias(f.name))
+        else:
+            out.append(F.col(f"`{f.name}`"))
+    return df.select(*out)

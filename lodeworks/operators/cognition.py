@@ -247,3 +247,10 @@ def repair_driver(content: Column, topic: Column) -> Column:
     return F.coalesce(
         F.when(F.array_contains(tags, "meta"), T.repair_meta(content)), F.when(F.array_contains(tags, "vague"), T.repair_vague(content)), F.when(F.array_contains(tags, "fragment"), T.repair_fragment(content))
     )
+
+
+def repaired_json(outputs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, value``: the JSON that ``repair_json`` finds in each output of a model, null where there is none."""
+    from lodeworks.sources.readers import map_texts
+
+    return map_texts(outputs, key, text, "value string", lambda t: [(repair_json(t),)])

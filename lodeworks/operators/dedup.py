@@ -88,7 +88,39 @@ def representative(forms: DataFrame, cluster: str, form: str) -> DataFrame:
     return forms.withColumn("__s", score).groupBy(cluster).agg(F.max(F.struct("__s", form))[form].alias(form))
 
 
+def _anchors(df: DataFrame, text: str) -> DataFrame:
+    """``df`` of distinct texts with ``anchor``, the rarest letter trigram of each, or the text itself if it is shorter."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+    each = df.select(text, F.explode(grams).alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return each.join(often, "g").groupBy(text).agg(F.min(F.struct("n", "g"))["g"].alias("anchor"))
+
+
+def contained(inner: DataFrame, inner_text: str, outer: DataFrame, outer_text: str) -> DataFrame:
+    """``inner, outer``: the distinct pairs of texts of which the first is part of the second, without comparing all.
+
+    A part's rarest trigram occurs in what holds it, so texts meet only under it; texts of under three letters meet under
+    all pieces of their length. Null texts are part of nothing; an empty text is part of all, and is left to the caller.
+    """
+    a = _anchors(inner.select(F.col(inner_text).alias("inner")).where("inner <> ''").distinct(), "inner")
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("outer") - (n - 1), F.lit(1))), lambda i: F.substring("outer", i, F.lit(n)))
+    b = outer.select(F.col(outer_text).alias("outer")).where("outer <> ''").distinct().select("outer", F.explode(F.array_distinct(F.concat(pieces(3), pieces(2), pieces(1)))).alias("anchor"))
+    return a.join(b, "anchor").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
 def emergent_topics(counts: DataFrame, concept: str, n: str, known: DataFrame, title: str, least: int = 5, most: int = 10) -> DataFrame:
-    """Frequent concepts that are no part of a known title nor contain one; the top ones."""
-    apart = counts.where(F.col(n) >= least).join(known.select(F.lower(title).alias("__t")), F.lower(concept).contains(F.col("__t")) | F.col("__t").contains(F.lower(concept)), "left_anti")
-    return apart.orderBy(F.desc(n), concept).limit(most)
+    """Frequent concepts, but for noise, that are no part of a known title nor contain one; the top ones.
+
+    Letter case does not count. With an empty title among the known ones nothing is new.
+    """
+    frequent = counts.where((F.col(n) >= least) & ~T.is_noise_concept(F.col(concept))).withColumn("__c", F.lower(concept))
+    titles = known.select(F.lower(title).alias("__t")).where("__t IS NOT NULL").distinct()
+    related = contained(frequent, "__c", titles, "__t").select(F.col("inner").alias("__c")).union(contained(titles, "__t", frequent, "__c").select(F.col("outer").alias("__c")))
+    blank = titles.where("__t = ''").limit(1)
+    apart = frequent.join(related.distinct(), "__c", "left_anti").join(F.broadcast(blank), F.lit(True), "left_anti")
+    return apart.drop("__c").orderBy(F.desc(n), concept).limit(most)
+
+
+def merge_topics(known: DataFrame, new: DataFrame, concept: str, n: str) -> DataFrame:
+    """Recorded topics and new ones, the greater count of each."""
+    return known.select(concept, n).unionByName(new.select(concept, n)).groupBy(concept).agg(F.max(n).alias(n))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["relational", "texts", "derivations", "retrieval", "graphs", "validations", "checks", "streams", "readers", "knowledge", "cognition"]
+MODULES = ["relational", "texts", "derivations", "retrieval", "graphs", "validations", "checks", "streams", "readers", "knowledge", "cognition", "extensions"]
 
 
 def _modules() -> list:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import scores as S
 from lodeworks.functions import text as T
+from lodeworks.operators import cognition as CO
+from lodeworks.operators import dedup as DD
 from lodeworks.operators import knowledge as K
 from lodeworks.operators import postings as PO
 from lodeworks.operators import vectors as V
@@ -14,7 +16,7 @@ from lodeworks.operators.derivation import STOPWORDS
 from lodeworks.sources import tables as A
 
 from .texts import _SIG
-from .views import ATOMS_SQL, atoms, sql_any, sql_list, sql_words, table
+from .views import ATOMS_SQL, atoms, spread, sql_any, sql_list, sql_words, table
 
 QUERIES, SQL = {}, {}
 
@@ -170,15 +172,72 @@ def knw_entity_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return atoms(spark, sf).select("atom_id", F.size(K.entity_phrases(F.col("statement"))).cast("long").alias("phrases"))
 
 
-@query("SELECT name, artifact, languages FROM (VALUES ('doi:10.1/x', true, false), ('Graph Theory', false, false), ('English French German', false, true), ('10.55 abc', true, false), ('A', true, false), ('12-34', true, false)) t(name, artifact, languages)")
+_NAMES = ["", "doi:", "10.5", "Graph ", "www.", "7", "English French "]
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, ({sql_list(_NAMES)})[doc_id % 7 + 1] || CASE doc_id % 4 WHEN 0 THEN coalesce(split_part(text, ' ', 1), '') WHEN 1 THEN CAST(doc_id AS VARCHAR) WHEN 2 THEN 'German' ELSE upper(substr(coalesce(text, ''), 1, 1)) END AS name FROM documents)
+    SELECT doc_id, name, {sql_any('lower(name)', T.ARTIFACTS)} OR regexp_matches(name, '://|www\\.|@') OR regexp_matches(name, '^10\\.[0-9]{{2}}') OR regexp_full_match(regexp_replace(name, '[ ,-]', '', 'g'), '[0-9]+') OR regexp_full_match(name, '[A-Z]') AS artifact,
+      len(list_filter({sql_words('lower(name)')}, lambda w: list_contains({sql_list(T.LANGUAGES)}, w))) >= 3 AS languages FROM n"""
+)
 def knw_entity_filters(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(*map(F.lit, ["doi:10.1/x", "Graph Theory", "English French German", "10.55 abc", "A", "12-34"]))
-    return spark.range(1).select(F.explode(names).alias("name")).select("name", T.is_artifact(F.col("name")).alias("artifact"), T.is_language_list(F.col("name")).alias("languages"))
+    """Names of many forms, made of the documents' first words, ids and letters."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    n = F.col("doc_id") % 4
+    tail = F.when(n == 0, F.coalesce(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(""))).when(n == 1, F.col("doc_id").cast("string")).when(n == 2, "German").otherwise(F.upper(F.substring(F.coalesce("text", F.lit("")), 1, 1)))
+    name = F.concat(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 7 + 1).cast("int")), tail)
+    return d.select("doc_id", name.alias("name")).select("doc_id", "name", T.is_artifact(F.col("name")).alias("artifact"), T.is_language_list(F.col("name")).alias("languages"))
+
+
+_SAYS = ["I really LOVE ", "i hate ", "They prefer ", "I want a "]
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') || ' ' || ({sql_list(_SAYS)})[turn % 4 + 1] || coalesce(split_part(text, '.', 1), 'no') || ', and so. I like it! I dislike ' || role || ' talk' AS text FROM conversations WHERE role = 'user'),
+    p AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{K.PREFERENCE}', 1)) AS verb, unnest(regexp_extract_all(text, '{K.PREFERENCE}', 2)) AS object FROM t)
+    SELECT conv_id, turn, lower(verb) AS verb, trim(object) AS object FROM p"""
+)
 def knw_preferences(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).where("role = 'user'").select("conv_id", "turn", F.explode(K.preferences(F.col("text"))).alias("p")).select("conv_id", "turn", "p.verb", "p.object")
+    """Turns of users with a preference stated behind them."""
+    t = table(spark, sf, "conversations").where("role = 'user'")
+    says = F.element_at(F.array(*map(F.lit, _SAYS)), (F.col("turn") % 4 + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), says, F.coalesce(F.split_part("text", F.lit("."), F.lit(1)), F.lit("no")), F.lit(", and so. I like it! I dislike "), "role", F.lit(" talk"))
+    return t.select("conv_id", "turn", F.explode(K.preferences(text)).alias("p")).select("conv_id", "turn", "p.verb", "p.object")
+
+
+_WORDS_OF = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) >= 3)) AS w FROM documents"
+
+
+@query(
+    f"""WITH c AS (SELECT w AS concept, count(*) AS n FROM ({_WORDS_OF}) GROUP BY 1 HAVING count(*) >= 5), k AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS t FROM benchmark)
+    SELECT concept, n FROM c WHERE NOT list_contains({sql_list(T.NOISE_CONCEPTS)}, concept) AND NOT EXISTS (SELECT 1 FROM k WHERE contains(t, concept) OR contains(concept, t)) ORDER BY n DESC, concept LIMIT 10"""
+)
+def knw_emergent_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent words of all documents that are not related to any second word of the benchmark."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: F.length(w) >= 3)
+    counts = spread(table(spark, sf, "documents").select("text")).select(F.explode(words).alias("concept")).groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
+    known = table(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(2)).alias("title"))
+    return DD.emergent_topics(counts, "concept", "n", known, "title")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN '{"atoms": [' || props || ']}' WHEN 3 THEN '{"a": [1, "x"], "p": ' || props || '}' END AS value FROM events"""
+)
+def knw_json_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs with text around the JSON, without its end, with a comma too many, within others, or without any."""
+    n, p = F.col("event_id") % 5, F.col("props")
+    text = F.when(n == 0, F.concat(F.lit("Here it is: "), p, F.lit(" and {more}"))).when(n == 1, F.substring(p, F.lit(1), F.length(p) - 1)).when(n == 2, F.concat(F.lit("Sure! ["), p, F.lit(",]"))).when(n == 3, F.concat(F.lit('{"a": [1, "x"], "p": '), p)).otherwise("none")
+    return CO.repaired_json(table(spark, sf, "events").select("event_id", text.alias("text")), "event_id", "text")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') WHEN 1 THEN '2024-13-45T99:00:00.000000' ELSE event_type END AS stamp, '{"' || event_type || '":' || user_id || '}' AS counts, '[' || event_id || ',' || user_id || ']' AS ids FROM events"""
+)
+def rel_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Strings with timestamps, near-timestamps and others, maps and arrays, as a relational store takes them."""
+    e, n = table(spark, sf, "events"), F.col("event_id") % 3
+    stamp = F.when(n == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).when(n == 1, "2024-13-45T99:00:00.000000").otherwise(F.col("event_type"))
+    return T.prepared(e.select("event_id", stamp.alias("stamp"), F.create_map("event_type", "user_id").alias("counts"), F.array("event_id", "user_id").alias("ids")))
 
 
 _TOK3 = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda t: length(t) >= 3))"

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.operators.vectors import hashed_embedding
 from lodeworks.sources import readers as R
+from lodeworks.sources import sinks as SI
 from lodeworks.sources import text_tables as TT
 from lodeworks.sources import web
+from lodeworks.sources.shared import fresh_path
 
 from .views import sql_any, table
 
@@ -141,3 +143,22 @@ def src_search(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT page_id, host, md5(html) AS checksum, CAST(strlen(html) AS BIGINT) AS bytes, {sql_any('lower(url)', T.ACADEMIC_URLS)} AS academic FROM (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages) WHERE starts_with(url, 'https')")
 def src_scrape(spark: SparkSession, sf: str) -> DataFrame:
     return web.scrape(spark, f"{sf}/pages.parquet").where("url LIKE 'https%'").select("page_id", "host", "checksum", "bytes", "academic")
+
+
+@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS topic, count(*) AS lines, sum(length(line)) AS chars FROM (SELECT url, unnest(string_split('<!-- Source: ' || url || ' -->' || chr(10) || replace(html, chr(13), ' '), chr(10))) AS line FROM pages) GROUP BY 1")
+def src_raw_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as raw text below a folder for each topic (here the host), and what is read back of them."""
+    path = fresh_path(spark, "raw")
+    pages = table(spark, sf, "pages").where("url IS NOT NULL AND html IS NOT NULL")
+    SI.write_raw(pages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "url", F.replace("html", F.lit("\r"), F.lit(" ")).alias("html")), path, "host", "url", "html")
+    lines = spark.read.option("lineSep", "\n").schema("value string, topic string").text(path)
+    return lines.groupBy("topic").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("value")).alias("chars"))
+
+
+@query("SELECT c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer")
+def src_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Results exported as JSON, read back."""
+    path = fresh_path(spark, "export")
+    found = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    SI.export(found, path, "json")
+    return spark.read.schema(found.schema).json(path)

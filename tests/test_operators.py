@@ -420,3 +420,41 @@ def test_web_sources_take_filters_into_the_scan(spark, tmp_path):
     hits = web.search(spark, f"{tmp_path}/pages.parquet", "WORDS p words none")
     assert {r["page_id"]: r["hits"] for r in hits.collect()} == {100: 1, **{i: 2 for i in range(40) if i % 2}}
     assert web.search(spark, f"{tmp_path}/pages.parquet", " ").count() == 0
+
+
+def test_contained_texts(spark):
+    """Parts of texts are found without comparing all; short ones, repeats and letter case among them."""
+    import random
+
+    rnd = random.Random(3)
+    some = lambda n: "".join(rnd.choice("abé ") for _ in range(n))
+    inner = [some(rnd.randint(1, 5)) for _ in range(40)] + ["", None]
+    outer = [some(rnd.randint(1, 12)) for _ in range(60)] + ["", None, "ab", "ab"]
+    table = lambda xs: spark.createDataFrame([(x,) for x in xs], "inner string")
+    found = sorted(map(tuple, dedup.contained(table(inner), "inner", table(outer).withColumnRenamed("inner", "outer"), "outer").collect()))
+    assert found == sorted({(a, b) for a in inner for b in outer if a and b and a in b}) and len(found) > 50
+    counts = spark.createDataFrame([("Graph", 9), ("neural", 9), ("rare", 4), ("Kernels", 7), ("overview", 20)], "c string, n long")
+    known = spark.createDataFrame([("Deep NEURAL nets",), ("kernel",), (None,)], "t string")
+    assert [tuple(r) for r in dedup.emergent_topics(counts, "c", "n", known, "t").collect()] == [("Graph", 9)]
+    assert dedup.emergent_topics(counts, "c", "n", known.union(spark.createDataFrame([("",)], "t string")), "t").count() == 0
+    assert dedup.emergent_topics(counts, "c", "n", known.limit(0), "t").count() == 3
+    merged = dedup.merge_topics(counts, spark.createDataFrame([("Graph", 12), ("new", 5)], "c string, n long"), "c", "n")
+    assert {r["c"]: r["n"] for r in merged.collect()} == {"Graph": 12, "neural": 9, "rare": 4, "Kernels": 7, "overview": 20, "new": 5}
+
+
+def test_completion_asks_again(spark):
+    from lodeworks.plans.extensions import Models, completed
+
+    class Once:
+        """Refused at first, accepted later."""
+
+        def __init__(self):
+            self.n = 0
+
+        def __call__(self, task, prompt):
+            self.n += 1
+            return f"{task} {self.n}"
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id long, t string, p string").coalesce(1)
+    assert {r["id"]: r["answer"] for r in completed(rows, "id", "t", "p", Models(complete=Once()), 2, lambda a: a.endswith("3")).collect()} == {1: "a 3", 2: None}
+    assert {r["answer"] for r in completed(rows, "id", "t", "p", Models(complete=Once()), 1, lambda a: a.endswith("3")).collect()} == {None}
