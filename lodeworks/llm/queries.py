@@ -34,8 +34,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import scratch_path
     from .sharding import shard_documents
 
-    found = shard_documents(_documents(spark, sf_dir), scratch_path(spark, "shards")).read()
-    return found.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    store = shard_documents(_documents(spark, sf_dir), scratch_path(spark, "shards"))
+    fewer = len(store.manifest()["shards"]) < max(len(store.manifest(v)["shards"]) for v in store.versions())
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.lit(fewer).alias("compacted"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256, true AS compacted FROM documents
 """
 
 OP5_SQL = """

@@ -160,9 +160,10 @@ class ShardStore:
         return self.read(version).withColumn("_shard", name)
 
 
-def shard_documents(docs: DataFrame, path: str, arrivals: int = 3, target_bytes: int = 128 << 20, fan_in: int = 4) -> ShardStore:
+def shard_documents(docs: DataFrame, path: str, arrivals: int = 8, target_bytes: int = 128 << 20, fan_in: int = 4) -> ShardStore:
     """Shards a table that arrives in ``arrivals`` parts: the parts are appended and the store compacted at the end.
 
+    With at least twice ``fan_in`` arrivals there are runs of one tier at any size of the table, so compaction merges.
     Every row goes to one part by a hash of all its columns; nulls and repeated rows are kept as they are. An empty
     table gives a store with a schema and no rows.
     """
