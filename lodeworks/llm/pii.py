@@ -27,10 +27,12 @@ SHAPE = {
 #: A cheap test that a text can hold the kind at all.
 HINT = {"email": r"@|[(\[{]at[)\]}]", "ip": r"[0-9]\.[0-9]|:", "card": r"[0-9][ ._/-]?[0-9]", "phone": r"\+[0-9]|[0-9][ .-][0-9]"}
 
-ROUNDS = 3
+ROUNDS = 6
 LEAST_SEEDS = 3
-LEAST_PATTERN_SCORE = 0.8
-LEAST_INSTANCE_SCORE = 0.5
+LEAST_PATTERN_SCORE = 0.6
+LEAST_INSTANCE_SCORE = 0.4
+#: Of the score of its best pattern, what an instance that is no seed keeps: a pattern cannot vouch for itself in full.
+DAMPING = 0.8
 CONTEXT = 48
 #: Characters of a text's blocks, from which pieces are taken.
 BLOCK = 1024
@@ -142,25 +144,29 @@ def _patterns(m: Column) -> Column:
 def _edges(found: DataFrame, column: str, seed: bool) -> DataFrame:
     """Distinct (kind, pattern, instance); combined within tasks first, so a common line counts once a task."""
     one = found.where(F.size(column) > 0).select(F.explode(column).alias("m"))
-    return one.select(F.col("m.kind").alias("kind"), F.explode(_patterns(F.col("m"))).alias("pattern"), F.lower("m.body").alias("instance")).distinct().withColumn("seed", F.lit(seed))
+    return one.select(F.col("m.kind").alias("kind"), F.explode(_patterns(F.col("m"))).alias("pattern"), F.lower("m.body").alias("instance")).distinct().withColumns({"seed": F.lit(seed), "base": F.lit(seed)})
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Mutual scores on the graph of patterns and instances.
+    """Mutual scores on the graph of patterns and instances, and the bootstrapping between rounds.
 
-    A pattern's score is the summed score of its instances over their number plus one; an instance that is no seed
-    has the mean score of its patterns, starting at 0; seeds stay at 1. Returns ``(kind, pattern, score, seeds)`` and
-    ``(kind, instance, score)`` after the given rounds.
+    A pattern's score is the summed score of its instances over their number plus one. Seeds score 1, other instances
+    ``DAMPING`` times the score of their best pattern, starting at 0; with s seeds and m others a pattern alone comes to
+    s / (s + m (1 - DAMPING) + 1). After each round the instances that a trusted pattern extracts and whose score
+    suffices are seeds of the next, under all their patterns: so a pattern that occurs with discovered identifiers only
+    can come to be trusted as well. Returns ``(kind, pattern, score, seeds)`` and ``(kind, instance, score)``.
     """
     state = edges.withColumn("score", F.col("seed").cast("double"))
-    patterns = instances = None
+    patterns = None
     for _ in range(rounds):
         patterns = state.groupBy("kind", "pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("weight"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        weighted = edges.join(patterns, ["kind", "pattern"])
-        instances = weighted.where("NOT seed").groupBy("kind", "instance").agg(F.avg("weight").alias("own"))
-        state = edges.join(instances, ["kind", "instance"], "left").select(*edges.columns, F.when(F.col("seed"), 1.0).otherwise(F.coalesce("own", F.lit(0.0))).alias("score"))
+        trusted = (F.col("weight") >= LEAST_PATTERN_SCORE) & (F.col("seeds") >= LEAST_SEEDS)
+        rated = state.where("NOT seed").join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg((F.max("weight") * DAMPING).alias("own"), F.max(trusted).alias("vouched"))
+        found = F.coalesce(F.col("vouched") & (F.col("own") >= LEAST_INSTANCE_SCORE), F.lit(False))
+        next_ = state.join(rated, ["kind", "instance"], "left").withColumn("seed", F.col("seed") | found)
+        state = next_.select("kind", "pattern", "instance", "seed", "base", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("own", F.lit(0.0))).alias("score"))
         state = materialise(state, "pii-round")
-    scores = state.where("NOT seed").select("kind", "instance", "score").distinct()
+    scores = state.where("NOT base").groupBy("kind", "instance").agg(F.max("score").alias("score"))
     return patterns.withColumnRenamed("weight", "score"), scores
 
 
@@ -169,8 +175,9 @@ def find_identifiers(docs: DataFrame, text_col: str = "text", keep: tuple[str, .
 
     Both are arrays of (start, kind, end) in code points, end exclusive, kind an index into ``KINDS``, sorted. Base
     matches are seeds. The contexts of seeds give lexical patterns; a string shaped like an identifier of the same
-    kind that no base match touches is added if a pattern of at least ``LEAST_SEEDS`` distinct seeds and score
-    ``LEAST_PATTERN_SCORE`` extracts it and its own score reaches ``LEAST_INSTANCE_SCORE``.
+    kind that no base match touches is added if a pattern of at least ``LEAST_SEEDS`` distinct seeds, those found in
+    earlier rounds included, and score ``LEAST_PATTERN_SCORE`` extracts it and its own score reaches
+    ``LEAST_INSTANCE_SCORE``.
 
     A null text counts as empty and has no spans; repeated rows stay repeated; an empty table gives no rows. A kept
     column named like one of the results has ``__`` behind its name.

@@ -270,6 +270,13 @@ def test_sharding(spark, tmp_path):
     assert store.read_with_shards().select("_shard").distinct().count() == len(store.manifest()["shards"])
 
 
+def test_shard_documents_compacts_at_any_size(spark, tmp_path, documents):
+    for n, docs in enumerate((documents, documents.limit(30))):
+        store = sharding.shard_documents(docs, f"file://{tmp_path}/{n}")
+        versions = store.versions()
+        assert len(versions) >= 9 and len(store.manifest()["shards"]) < len(store.manifest(versions[-2])["shards"]) and store.read().count() == docs.count()
+
+
 def test_sharding_merges_each_run_into_one_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sharding, "RUNS_PER_JOB", 2)
     docs = spark.range(6000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
@@ -522,6 +529,23 @@ def test_pii_bootstraps_from_contexts(spark):
     assert got[100] == "phone:18:30" and got[101] == "" and got[102] == "" and got[0] == "phone:18:33"
 
 
+def test_pii_bootstraps_over_two_hops(spark):
+    """A second context occurs with no base match: strings found by the first one make it trusted, and it finds further ones."""
+    number = lambda i: f"{200 + i}-{300 + 7 * i % 600}-{1000 + 13 * i}"
+    rows = [(i, f"Please call me at +1 555 555 {1000 + i} today") for i in range(24)]
+    rows += [(100 + i, f"Please call me at {number(i)} today") for i in range(6)]
+    rows += [(200 + i, f"the hotline under {number(i)} answers") for i in range(6)]
+    rows += [(300 + i, f"the hotline under {number(50 + i)} answers") for i in range(4)]
+    # A third hop by what the second found, and contexts of other strings, some with a base match or a known string.
+    rows += [(400 + i, f"our desk via {number(50 + i)} helps") for i in range(4)] + [(410 + i, f"our desk via {number(80 + i)} helps") for i in range(2)]
+    rows += [(500 + i, f"order number {number(100 + i)} was shipped") for i in range(40)] + [(600, f"order number {number(1)} was shipped"), (601, "order number +1 555 555 4444 was shipped")]
+    got = {r["id"]: r["spans"] for r in pii.identifier_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] for i in range(24)) and all(got[100 + i] == "phone:18:30" for i in range(6))
+    assert all(got[i] == "phone:18:30" for i in [*range(200, 206), *range(300, 304)])
+    assert all(got[i] == "phone:13:25" for i in [*range(400, 404), 410, 411])
+    assert not any(got[i] for i in [*range(500, 540), 600]) and got[601] == "phone:13:28"
+
+
 def test_pii_finds_planted_unseen_identifiers(spark):
     rng = random.Random(66)
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
