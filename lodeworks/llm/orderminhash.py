@@ -48,7 +48,8 @@ def order_minhash(text: Column, kmer: int = KMER, functions_log2: int = FUNCTION
     numbered k-mer is as likely to be minimal as under a hash of its own. The minimal ones are those that follow the
     rotation's origin in the sorted base hashes, the first following the last, so one sort serves all functions.
     Functions with no k-mer between their origins select the same tuple. A k-mer and its position share a long (40 and
-    24 bits), so that sorting needs no objects; positions beyond 2 ** 24 tokens wrap.
+    24 bits), so that sorting needs no objects. Of a text of over 2 ** 24 tokens the position is that of a stretch of
+    two, four or more tokens; selected k-mers of one stretch are ordered by their hashes.
     """
     functions = 1 << functions_log2
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -90,7 +91,8 @@ def order_minhash(text: Column, kmer: int = KMER, functions_log2: int = FUNCTION
 
     def of_tokens(w: Column) -> Column:
         last = F.greatest(F.size(w) - kmer, F.lit(0))
-        kmers = F.transform(F.sequence(F.lit(0), last), lambda i: _packed(F.xxhash64(*[F.get(w, i + j) for j in range(kmer)]), _place(i.cast("long"))))
+        stretch = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.size(w) / (_POSITION + 1))), F.lit(0)))
+        kmers = F.transform(F.sequence(F.lit(0), last), lambda i: _packed(F.xxhash64(*[F.get(w, i + j) for j in range(kmer)]), F.when(F.size(w) <= _POSITION + 1, i).otherwise(F.floor(i / stretch)).cast("long")))
         numbered = let(F.sort_array(kmers), number)
         return F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(let(F.sort_array(numbered), signature))
 

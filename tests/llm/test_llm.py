@@ -748,13 +748,15 @@ def test_bpe_equals_the_library(spark, edge):
 # 10
 
 
-def brute_signature(text: str, size: int = 2) -> list[int]:
+def brute_signature(text: str, size: int = 2, bits: int = 24) -> list[int]:
     """Every hash function applied to every numbered k-mer, over the documented layout of hash and position."""
     import regex
     import xxhash
 
+    low = (1 << bits) - 1
+
     def mask(x):
-        return x & ~0xFFFFFF
+        return x & ~low
 
     def signed(x):
         return x - (1 << 64) if x >> 63 else x
@@ -776,7 +778,10 @@ def brute_signature(text: str, size: int = 2) -> list[int]:
     def int_hash(x, seed):
         return xxhash.xxh64_intdigest(x.to_bytes(4, "little"), seed)
 
-    kmers = [(mask(chain(tokens[i : i + 2])), i) for i in range(max(1, len(tokens) - 1))]
+    stretch = 1
+    while len(tokens) > (1 << bits) * stretch:
+        stretch *= 2
+    kmers = [(mask(chain(tokens[i : i + 2])), i // stretch) for i in range(max(1, len(tokens) - 1))]
     seen: Counter = Counter()
     pairs = []
     for h, i in kmers:
@@ -786,12 +791,25 @@ def brute_signature(text: str, size: int = 2) -> list[int]:
     for j in range(64):
         minimal = sorted(pairs, key=lambda x: (x - (j << 58)) % (1 << 64))[:size]
         h = 42
-        for x in sorted(minimal, key=lambda x: x & 0xFFFFFF):
+        for x in sorted(minimal, key=lambda x: (x & low, signed(mask(x - (1 << 63)) & (1 << 64) - 1))):
             h = long_hash(mask(x - (1 << 63)), h)
         out.append(j * 65536 + (h & 0xFFFF))
     return out
 
 
+def test_order_minhash_of_texts_beyond_its_positions(spark, documents, monkeypatch):
+    """With eight bits of position, texts of thousands of tokens keep their order by stretches; moved halves still tell."""
+    monkeypatch.setattr(orderminhash, "_POSITION_BITS", 8)
+    monkeypatch.setattr(orderminhash, "_POSITION", 255)
+    texts = [" ".join(f"w{i * i % 997}" for i in range(n)) for n in (255, 256, 257, 258, 700, 5000)] + ["x y " * 900]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(orderminhash.order_minhash(F.col("text"))).collect()
+    assert [list(r[0]) for r in got] == [brute_signature(t, bits=8) for t in texts]
+    words = [f"v{i}" for i in range(4000)]
+    a, b = " ".join(words), " ".join(words[2000:] + words[:2000])
+    like = spark.createDataFrame([(a, b)], "a string, b string").select(orderminhash.likeness(*[orderminhash.order_minhash(F.col(c)) for c in "ab"])).first()[0]
+    assert 0.2 < like < 0.8
+
+
 def test_order_minhash_brute(spark, documents):
     texts = [r["text"] for r in documents.limit(60).collect()] + ["", " ", "one", "two words", "a b c", "x y " * 50, "z" * 100, "日本語 " * 20, "日本語の文章です", "a b a b a b"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("sig", orderminhash.order_minhash(F.col("text")))
