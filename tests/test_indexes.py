@@ -20,9 +20,10 @@ def grams(text: str | None) -> set[str]:
     return {f"  {w} "[i : i + 3] for w in re.split(r"[^a-z0-9]+", (text or "").lower()) if w for i in range(len(w) + 1)}
 
 
-@pytest.mark.parametrize("least", [0.3, 0.6])
-def test_trigram_search(spark, monkeypatch, tmp_path, least):
+@pytest.mark.parametrize(("least", "scans"), [(0.3, 1e9), (0.6, 1e9), (0.3, 0)])
+def test_trigram_search(spark, monkeypatch, tmp_path, least, scans):
     monkeypatch.setattr(set_join, "LIST", 10)
+    monkeypatch.setattr(postings, "SCANS", scans)
     rnd = random.Random(2)
     stock = ["thing", "think", "thin", "bring", "spring", "a", "ab", "déjà", "2024", "The"]
     rows = [(f"k{i}", " ".join(rnd.choice(stock) for _ in range(rnd.randint(1, 5)))) for i in range(150)] + [("null", None), ("empty", "?!"), ("same", "thing thing"), ("same2", "Thing")]
