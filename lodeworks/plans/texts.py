@@ -183,7 +183,15 @@ def txt_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return atoms(spark, sf).select("atom_id", T.repair_fragment(s).alias("fragment"), T.repair_meta(s).alias("meta")).where("fragment IS NOT NULL OR meta IS NOT NULL")
 
 
-@query()
+_SENTS_OF = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {WS})), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH {DOCS}, p AS (SELECT doc_id, text, {_SENTS_OF} AS ss FROM docs WHERE length(text) > 0), e AS (SELECT doc_id, unnest(ss) AS statement, generate_subscripts(ss, 1) AS i FROM p),
+    g AS (SELECT doc_id, list(CASE WHEN regexp_matches(statement, '[.!?]$') THEN statement ELSE statement || '.' END ORDER BY i) AS good FROM e WHERE length(statement) >= 15 AND {_verb(T.SCORING_VERBS)} AND len({sql_words('statement')}) >= 5 GROUP BY 1),
+    c AS (SELECT p.doc_id, CASE WHEN length(text) <= 200 THEN [text] WHEN good IS NOT NULL THEN good ELSE [substr(text, 1, 200)] END AS claims FROM p LEFT JOIN g ON g.doc_id = p.doc_id)
+    SELECT doc_id, CAST(generate_subscripts(claims, 1) - 1 AS INTEGER) AS pos, unnest(claims) AS claim FROM c"""
+)
 def txt_split_overlong(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", F.posexplode(T.split_overlong(F.col("text"))).alias("pos", "claim"))
 

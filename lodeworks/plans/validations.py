@@ -57,13 +57,24 @@ def val_numbers_entities(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf).select("conv_id", "turn", F.array_join(V.stated_numbers(F.col("text")), " ").alias("numbers"), F.size(V.entities(F.col("text"))).cast("long").alias("entities"))
 
 
-@query()
+_SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12))), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), e AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, {_SENT} AS ss FROM d)),
+    b AS MATERIALIZED (SELECT doc_id, i, list_distinct({_SPLIT.format('lower(s)')}) AS bag FROM e),
+    t(doc_id, i, kept, again) AS (
+      SELECT doc_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[][]), 0 FROM d
+      UNION ALL
+      SELECT doc_id, i, CASE WHEN hit THEN kept ELSE list_append(kept, bag) END, again + CAST(hit AS INTEGER) FROM (
+        SELECT b.doc_id, b.i, kept, again, bag, len(list_filter(kept, lambda k: len(k) > 0 AND len(bag) > 0 AND len(list_intersect(k, bag)) > 0.5 * least(len(k), len(bag)))) > 0 AS hit FROM t JOIN b ON b.doc_id = t.doc_id AND b.i = t.i + 1)
+    ) SELECT doc_id, max(again) AS repeated FROM t GROUP BY 1"""
+)
 def val_repetition(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", F.size(V.repetitions(F.col("text"))).alias("repeated"))
 
 
-_SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12))), lambda x: x <> '')"
 
 
 @query(f"WITH {_C}, s AS (SELECT conv_id, unnest({_SENT}) AS s FROM c) SELECT conv_id, count(*) AS sentences, count(*) FILTER (regexp_matches(s, '\\[[A-Za-z]?[0-9]+\\]')) AS cited, CAST(sum(len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words, bool_and(regexp_matches(s, '\\[[A-Za-z]?[0-9]+\\]')) AS all_cited FROM s GROUP BY 1")
