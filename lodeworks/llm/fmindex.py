@@ -178,22 +178,28 @@ class ShardIndex:
 
 
 class Phrases:
-    """One block of a benchmark: its vocabulary, its distinct phrases by length and the items of each."""
+    """One block of a benchmark: its vocabulary, its distinct phrases by length and the items of each; plain data in ``parts``."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.items = sorted({name for name, _ in items})
-        at = {name: i for i, name in enumerate(self.items)}
+    def __init__(self, parts: tuple) -> None:
+        #: By length: the phrases, and where the items of each begin in the list of all.
+        self.numbers, self.items, self.by_length = self.parts = parts
+        self.kinds = len(self.numbers) + 1
+        lengths = [phrases.shape[1] for phrases, _, _ in self.by_length]
+        self.shortest, self.longest = min(lengths, default=0), max(lengths, default=0)
+
+    @classmethod
+    def of(cls, items: list[tuple[str, list[bytes]]], window: int) -> Phrases:
+        numbers: dict[bytes, int] = {}
+        names = sorted({name for name, _ in items})
+        at = {name: i for i, name in enumerate(names)}
         by: dict[int, dict[tuple[int, ...], set[int]]] = {}
         for name, words in items:
-            codes = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
+            codes = [numbers.setdefault(w, len(numbers) + 1) for w in words]
             size = min(window, len(codes))
             for i in range(len(codes) - size + 1 if size else 0):
                 by.setdefault(size, {}).setdefault(tuple(codes[i : i + size]), set()).add(at[name])
-        self.kinds = len(self.numbers) + 1
-        self.shortest, self.longest = min(by, default=0), max(by, default=0)
-        #: By length: the phrases, and where the items of each begin in the list of all.
-        self.by_length = [(np.array(list(p), np.int64), np.cumsum([0, *map(len, p.values())]), np.array([i for s in p.values() for i in sorted(s)], np.int64)) for p in by.values()]
+        lists = [(np.array(list(p), np.int64), np.cumsum([0, *map(len, p.values())]), np.array([i for s in p.values() for i in sorted(s)], np.int64)) for p in by.values()]
+        return cls((numbers, names, lists))
 
     def occurrences(self, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
         """``phrase, place`` of all occurrences, with the number of the list and the length; indexes overlap, so that none is lost."""
@@ -260,11 +266,11 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[st
 
 def _search(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
     """``docs`` with the columns ``FOUND`` for one block; ``text__`` is the text and is dropped."""
-    shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+    shared = docs.sparkSession.sparkContext.broadcast(Phrases.of(items, window).parts)
     carried = [c for c in docs.columns if c != "text__"]
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
+        phrases = Phrases(shared.value)
         get = phrases.numbers.get
         for batch in batches:
             texts, begin, size, numbers = batch.column("text__").cast(pa.binary()).to_pylist(), 0, 0, []
