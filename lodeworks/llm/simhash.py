@@ -247,8 +247,6 @@ PAIRS = 1 << 18
 CENTRES = 4
 #: Members of a list's largest joined group that its other members are compared with before all pairs are.
 BRIDGES = 64
-#: Of these, how many one list compares at most.
-BRIDGES_OF_LIST = 16
 #: Ids of texts, of eight bytes each, that are broadcast.
 MOST_BROADCAST = 1_000_000
 
@@ -316,7 +314,7 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
     by range do (an upper bound of what they share, an eighth to a sixteenth of a set in size). The others are verified
     on their whole sets.
     Each member of a list is first compared with one other, which is linear and joins large groups of copies; those left
-    out are then compared with a few members of the list's largest group, which is linear too; then all pairs of a list
+    out are then compared with one member of the list's largest group each, which is linear too; then all pairs of a list
     that no link has joined are compared, so lists of many unlike texts cost their square. What is
     written on the way is removed as soon as it has been used.
     """
@@ -408,8 +406,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
     def bridges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by key and size: those outside the largest group of a list's like sizes, with a few of that group.
 
-        The key picks which of the group's first members: a text like the group meets it in many lists, so in all it is
-        compared with many of them, and one that only shares a passage, in few lists, with few.
+        A list gives each of them one of the group's first members, its key says which: a text like the group meets it in
+        many lists, so in all it is compared with many members, and one that only shares a passage with few. There are
+        no more pairs than postings.
         """
         for k, i, n, place, label in _runs(batches):
             order = _mixed(i.view(np.uint64), CENTRES + 1)
@@ -422,9 +421,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                         inside = group == times.argmax()
                         members, others = start + np.flatnonzero(inside), start + np.flatnonzero(~inside)
                         members = members[np.argsort(order[members], kind="stable")[:BRIDGES]]
-                        if len(members) > BRIDGES_OF_LIST:
-                            members = members[int(k[start]) % -(-len(members) // BRIDGES_OF_LIST) :: -(-len(members) // BRIDGES_OF_LIST)]
-                        a, b = np.repeat(members, len(others)), np.tile(others, len(members))
+                        a, b = members[(np.arange(len(others)) + int(k[start]) % len(members)) % len(members)], others
                         good = possible(n[a], place[a], n[b], place[b])
                         found.append(np.sort(np.stack([i[a[good]], i[b[good]]], axis=1), axis=1))
                         size += len(found[-1])
