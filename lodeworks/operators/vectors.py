@@ -90,6 +90,24 @@ def pooled(vectors: DataFrame, group: str, vector: str, method: str = "mean") ->
     return values.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("pooled"))
 
 
+def mean_similarities(vectors: DataFrame, anchor: str, group: str, vector: str) -> DataFrame:
+    """``x, y, pairs, mean``: the mean cosine of two groups, ``x`` the lesser, over the pairs of their rows that share an anchor.
+
+    Dot products of unit vectors add up to that of the sums of the unit vectors, so no pair of rows is made: a row goes
+    into its group's sum, and sums meet under their anchors. Vectors without a direction have cosine 0 to all.
+    """
+    rows = vectors.where(F.col(anchor).isNotNull() & F.col(group).isNotNull()).select(F.col(anchor).alias("anchor"), F.col(group).alias("g"), F.col(vector).alias("v"), norm(F.col(vector)).alias("length"))
+    long = rows.where(F.isnan("length") | (F.col("length") > 0))
+    sums = long.select("anchor", "g", "length", F.posexplode("v").alias("pos", "e")).groupBy("anchor", "g", "pos").agg(F.sum(F.col("e").cast("double") / F.col("length")).alias("e"))
+    totals = sums.groupBy("anchor", "g").agg(F.map_from_entries(F.collect_list(F.struct("pos", "e"))).alias("total"))
+    each = rows.groupBy("anchor", "g").agg(F.count(F.lit(1)).alias("n")).join(totals, ["anchor", "g"], "left")
+    side = lambda name: each.select("anchor", F.col("g").alias(name), F.col("n").alias(f"n{name}"), F.col("total").alias(f"t{name}"))
+    both = side("x").join(side("y"), "anchor").where("x < y")
+    product = F.aggregate(F.map_entries("tx"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("ty", e["key"]), F.lit(0.0)))
+    met = both.select("x", "y", (F.col("nx") * F.col("ny")).alias("pairs"), F.coalesce(product, F.lit(0.0)).alias("product"))
+    return met.groupBy("x", "y").agg(F.sum("pairs").alias("pairs"), (F.sum("product") / F.sum("pairs")).alias("mean"))
+
+
 def nearest_centroid(vectors: DataFrame, cents: DataFrame, key: str, vector: str, group: str, least: float = 0.5) -> DataFrame:
     """Each vector's best centroid above a cosine, else null. More than ``BLOCK`` centroids go through the pivot cells."""
     if cents.limit(BLOCK + 1).count() > BLOCK:

@@ -365,7 +365,5 @@ def knw_timeline(spark: SparkSession, sf: str) -> DataFrame:
 )
 def knw_cross_domain(spark: SparkSession, sf: str) -> DataFrame:
     """Similarity between domains over pairs that share an anchor."""
-    v = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("anchor"), "vec_id", "label", "embedding")
-    a, b = v.select("anchor", F.col("label").alias("da"), F.col("embedding").alias("ea")), v.select("anchor", F.col("label").alias("db"), F.col("embedding").alias("eb"))
-    pairs = a.join(b, "anchor").where("da < db")
-    return pairs.groupBy("da", "db").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(V.cosine(F.col("ea"), F.col("eb"))), 5).alias("mean"))
+    v = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("anchor"), "label", "embedding")
+    return V.mean_similarities(v, "anchor", "label", "embedding").select(F.col("x").alias("da"), F.col("y").alias("db"), "pairs", F.round("mean", 5).alias("mean"))

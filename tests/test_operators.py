@@ -141,6 +141,16 @@ def test_greedy_and_nearest(spark):
     assert one(spark, vectors.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
 
 
+def test_mean_similarities_make_no_pairs_of_rows(spark):
+    rows = [(0, "a", [1.0, 0.0]), (0, "a", [0.0, 3.0]), (0, "b", [2.0, 0.0]), (0, "b", None), (1, "b", [0.0, -1.0]), (1, "a", [0.0, 5.0]), (2, "c", [1.0, 1.0]), (None, "b", [1.0, 0.0]), (0, None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "anchor int, g string, v array<double>")
+    assert [tuple(r) for r in vectors.mean_similarities(df, "anchor", "g", "v").collect()] == [("a", "b", 5, 0.0)]
+    # Pairs of 20,000 rows with each other would be 100 million.
+    many = spark.range(20000).select(F.lit(0).alias("anchor"), (F.col("id") % 2).alias("g"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("v"))
+    r = vectors.mean_similarities(many, "anchor", "g", "v").first()
+    assert r["pairs"] == 10**8 and round(r["mean"], 9) == round(0.5**0.5, 9)
+
+
 def test_entities(spark):
     assert one(spark, dedup.canonical_entity(F.lit("The Studies"))) == "Study"
     assert one(spark, dedup.canonical_entity(F.lit("batches"))) == "batch"
