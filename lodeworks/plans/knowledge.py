@@ -184,7 +184,7 @@ def knw_entity_filters(spark: SparkSession, sf: str) -> DataFrame:
     """Names of many forms, made of the documents' first words, ids and letters."""
     d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     n = F.col("doc_id") % 4
-    tail = F.when(n == 0, F.coalesce(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(""))).when(n == 1, F.col("doc_id").cast("string")).when(n == 2, "German").otherwise(F.upper(F.substring(F.coalesce("text", F.lit("")), 1, 1)))
+    tail = F.when(n == 0, F.coalesce(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(""))).when(n == 1, F.col("doc_id").cast("string")).when(n == 2, "German").otherwise(T.upper_letter(F.substring(F.coalesce("text", F.lit("")), 1, 1)))
     name = F.concat(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 7 + 1).cast("int")), tail)
     return d.select("doc_id", name.alias("name")).select("doc_id", "name", T.is_artifact(F.col("name")).alias("artifact"), T.is_language_list(F.col("name")).alias("languages"))
 

@@ -87,6 +87,21 @@ def test_text_gates(spark):
     assert one(spark, T.split_sentences(F.lit("One. Two!  Three? "))) == ["One.", "Two!", "Three?"]
 
 
+def test_entity_filters_as_their_sql_on_odd_names(spark, tmp_path):
+    import duckdb
+
+    from lodeworks.plans import knowledge
+
+    texts = ["A\n", "5\n", "5\r", "A\u2028", "5\u0085", "German\x0bCzech", "ßa", "ŉ", "ᾀ", "ᾈ", "ﬁ", "ΐ", "ǰ", "ꟍ", "é", "\n", "", None]
+    rows = [(28 * i + j, t) for i, t in enumerate(texts) for j in range(28)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = c.sql(knowledge.SQL["knw_entity_filters"]).fetchall()
+    ours = [tuple(r) for r in knowledge.knw_entity_filters(spark, str(tmp_path)).select("doc_id", "name", "artifact", "languages").collect()]
+    assert sorted(ours) == sorted(theirs)
+
+
 def test_safe_chunks(spark):
     text = " ".join(f"Sentence number {i} ends here." for i in range(300))
     chunks = one(spark, T.safe_chunks(F.lit(text)))
