@@ -44,6 +44,17 @@ def test_trigram_search(spark, monkeypatch, tmp_path, least, scans):
     assert top == {k for ks in best.values() for k in ks}
 
 
+def test_more_queries_than_a_block_are_scanned_for_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(postings, "QUERIES", 4)
+    monkeypatch.setattr(postings, "SCANS", 0)
+    monkeypatch.setattr(postings, "_by_lists", None)
+    df = spark.createDataFrame([(i, "thing " * (i % 3) + "thin bring"[: i % 11]) for i in range(60)], "key int, text string")
+    found = {(r["query"], r["key"]): round(r["similarity"], 9) for r in postings.trigram_search(postings.gram_index(df, "key", "text"), df, "key", "text").collect()}
+    sets = {r["key"]: grams(r["text"]) for r in df.collect()}
+    likeness = {(q, k): len(a & b) / len(a | b) for q, a in sets.items() for k, b in sets.items() if a and b}
+    assert found == {k: round(v, 9) for k, v in likeness.items() if v >= 0.3}
+
+
 def some_json(rnd: random.Random, depth: int = 0):
     kind = rnd.randrange(6 if depth < 3 else 4)
     if kind == 4:
