@@ -101,7 +101,9 @@ def merge_claims(claims: DataFrame, topic: str, order: str, claim: str, confiden
     """
     x = claims.select(F.struct(topic).alias("g"), F.col(order).alias("o"), F.col(claim).alias("claim"), F.col(confidence).cast("double").alias("confidence"))
     x = x.groupBy("g", "o", "claim", "confidence").agg(F.count(F.lit(1)).alias("times"))
-    x = settled(x.withColumn("k", F.struct("o", "claim", "confidence")))
+    # Claims are named by their place, so that joins do not carry their texts.
+    named = F.row_number().over(Window.partitionBy("g", "o").orderBy("claim", "confidence"))
+    x = settled(x.withColumn("k", F.struct("o", named.alias("n"))))
     words = F.filter(F.split(F.lower("claim"), r"\s+"), lambda w: w != "")
     joined = set_join(x, "g", "k", words, least, strict=True)
     classes = joined.classes.select("g", F.col("c").alias("k"))
@@ -118,7 +120,8 @@ def merge_claims(claims: DataFrame, topic: str, order: str, claim: str, confiden
     weight = F.when(first, half("n")).otherwise(half("n") - half(F.col("n") + F.col("times")))
     parts = every.withColumn("n", after).withColumn("share", weight * F.col("confidence"))
     folded = parts.groupBy("g", "leader", "copy").agg(F.sum("share").alias("confidence"), F.sum("times").cast("int").alias("members"))
-    return folded.select(F.col(f"g.{topic}").alias(topic), F.col("leader.claim").alias("claim"), F.col("members").alias("version"), "confidence", "members")
+    folded = folded.join(x.select("g", F.col("k").alias("leader"), "claim"), ["g", "leader"])
+    return folded.select(F.col(f"g.{topic}").alias(topic), "claim", F.col("members").alias("version"), "confidence", "members")
 
 
 def convergence(cycles: DataFrame, mission: str, order: str, found: str, window: int = 5) -> DataFrame:

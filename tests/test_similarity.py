@@ -173,6 +173,21 @@ def test_set_join_compares_few_pairs(spark):
     assert found.candidates.count() < 1500 and found.pairs.count() == 500
 
 
+@pytest.mark.parametrize(("measure", "least", "few"), [("jaccard", 0.3, 3), ("jaccard", 0.3, 100), ("overlap", 0.6, 3), ("overlap", 0.6, 100)])
+def test_set_join_of_small_groups(spark, monkeypatch, measure, least, few):
+    """Groups below and above the size at which sets meet each other directly; with all of them below, nothing is joined by token."""
+    monkeypatch.setattr(set_join, "FEW", few)
+    rnd = random.Random(6)
+    rows = [(i, f"g{int(i**0.5)}", [f"t{rnd.randrange(8)}" for _ in range(rnd.randint(0, 6))]) for i in range(80)]
+    found = set_join.set_join(spark.createDataFrame(rows, "id long, g string, t array<string>"), "g", "id", "t", least, measure).expanded()
+    plain = set()
+    for (a, g, x), (b, h, y) in itertools.combinations(rows, 2):
+        x, y = set(x), set(y)
+        if g == h and x and y and len(x & y) / (len(x | y) if measure == "jaccard" else min(len(x), len(y))) >= least:
+            plain.add((g, a, b, len(x & y)))
+    assert {(r["g"], r["a"], r["b"], r["shared"]) for r in found.collect()} == plain
+
+
 def test_merge_claims_brute(spark):
     rnd = random.Random(4)
     stock = "alpha beta gamma delta epsilon zeta eta theta".split()
