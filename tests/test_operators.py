@@ -483,3 +483,24 @@ def test_completion_asks_again(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id long, t string, p string").coalesce(1)
     assert {r["id"]: r["answer"] for r in completed(rows, "id", "t", "p", Models(complete=Once()), 2, lambda a: a.endswith("3")).collect()} == {1: "a 3", 2: None}
     assert {r["answer"] for r in completed(rows, "id", "t", "p", Models(complete=Once()), 1, lambda a: a.endswith("3")).collect()} == {None}
+
+
+def test_graph_steps_move_each_edge_once(spark):
+    nodes = spark.createDataFrame([(i, i / 10) for i in range(8)], "id long, authority double")
+    edges = spark.createDataFrame([(a, b, ["supports", "refines", "contradicts"][(a + b) % 3], 0.5) for a in range(8) for b in range(a)], "src long, dst long, relation string, strength double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    old = spark.createDataFrame([(1, 2, "supports", 0.1), (2, 1, "refines", 0.2), (3, 3, "supports", 0.9)], edges.schema)
+    added = graph.add_edges(nodes, old, edges)
+    assert plan(added).count("Exchange hashpartitioning") == 1
+    last = {(r["src"], r["dst"], r["relation"]): r["strength"] for r in old.collect()}
+    for r in edges.collect():
+        last |= {(a, b, r["relation"]): 0.5 for a, b in [(r["src"], r["dst"]), (r["dst"], r["src"])][: 1 + (r["relation"] != "refines")]}
+    assert {(r["src"], r["dst"], r["relation"]): r["strength"] for r in added.collect()} == last and added.count() == len(last)
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    assert "HashAggregate" not in plan(graph.missing_edges(pairs, edges))
+    walked = graph.paths(nodes, edges, nodes.where("id = 0"), nodes.where("id = 7"), 2, 0.5)
+    assert "explode" not in plan(walked)
+    assert {tuple(r["nodes"]): round(r["score"], 9) for r in walked.collect()} == {
+        tuple(p): round(0.25 + 0.2 / (len(p) - 1) + 0.03 * sum(p) / len(p), 9) for p in [[0, 7]] + [[0, i, 7] for i in range(1, 7)]
+    }
+    assert graph._forest(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).coalesce(1)).count() == 7
