@@ -218,14 +218,19 @@ def chunk_sentences(sentences: list[str], most: int = 512, overlap: int = 200, c
     return out + [" ".join(x for x, _ in held)] if held else out
 
 
+#: Texts of a batch whose rows are held at once.
+TEXTS = 128
+
+
 def map_texts(df: DataFrame, key: str, text: str, schema: str, rows) -> DataFrame:
-    """Rows made from each text by a Python function: Arrow batches in, batches out."""
+    """Rows made from each text by a Python function: Arrow batches in, batches of a few texts' rows out."""
     kind = df.schema[key].dataType.simpleString()
     names = [key, *[f.split(":")[0].strip().split()[0] for f in _fields(schema)]]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([(k, *r) for k, t in zip(frame[key], frame[text], strict=True) for r in rows(t or "")], columns=names)
+            for part in (frame[start : start + TEXTS] for start in range(0, len(frame), TEXTS)):
+                yield pd.DataFrame([(k, *r) for k, t in zip(part[key], part[text], strict=True) for r in rows(t or "")], columns=names)
 
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, {schema}")
 

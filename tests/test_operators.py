@@ -504,3 +504,14 @@ def test_graph_steps_move_each_edge_once(spark):
         tuple(p): round(0.25 + 0.2 / (len(p) - 1) + 0.03 * sum(p) / len(p), 9) for p in [[0, 7]] + [[0, i, 7] for i in range(1, 7)]
     }
     assert graph._forest(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).coalesce(1)).count() == 7
+
+
+def test_rows_of_a_whole_batch_of_texts_are_never_held(spark):
+    def rows(text):
+        import resource
+
+        return [(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, text * 2000) for _ in range(50)]
+
+    texts = spark.range(5000).coalesce(1).select("id", F.lit("x").alias("text"))
+    peak = readers.map_texts(texts, "id", "text", "peak long, chunk string", rows).agg(F.max("peak") - F.min("peak"), F.count("chunk")).first()
+    assert peak[1] == 250000 and peak[0] < 200 << 10
