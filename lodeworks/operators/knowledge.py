@@ -141,10 +141,9 @@ def running_redundancy(atoms: DataFrame, group: str, order: str, signature: str)
 
     ``seen`` before an atom is the number of grams whose first appearance is earlier; so no set is carried along.
     """
-    from .dedup import first_by
-
     grams = atoms.select(group, order, F.explode(signature).alias("gram"))
-    firsts = first_by(grams, [group, "gram"], [F.asc(order)])
+    # Nulls come first in the order. Minima are combined before the shuffle and need no sort of the grams.
+    firsts = grams.groupBy(group, "gram").agg(F.when(F.bool_and(F.col(order).isNotNull()), F.min(order)).alias(order))
     new = firsts.groupBy(group, order).agg(F.count(F.lit(1)).alias("new"))
     sizes = atoms.select(group, order, F.size(signature).alias("own")).join(new, [group, order], "left").withColumn("new", F.coalesce("new", F.lit(0)))
     before = F.coalesce(F.sum("new").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

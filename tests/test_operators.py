@@ -515,3 +515,12 @@ def test_rows_of_a_whole_batch_of_texts_are_never_held(spark):
     texts = spark.range(5000).coalesce(1).select("id", F.lit("x").alias("text"))
     peak = readers.map_texts(texts, "id", "text", "peak long, chunk string", rows).agg(F.max("peak") - F.min("peak"), F.count("chunk")).first()
     assert peak[1] == 250000 and peak[0] < 200 << 10
+
+
+def test_redundancy_sorts_no_grams(spark):
+    from lodeworks.operators import knowledge
+
+    atoms = spark.createDataFrame([("d", 1, ["a b", "b c"]), ("d", 2, ["b c", "c d"]), ("d", 3, ["a b"]), ("e", 1, ["a b"])], "g string, pos int, sig array<string>")
+    found = knowledge.running_redundancy(atoms, "g", "pos", "sig")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Window ") == 1
+    assert {(r["g"], r["pos"]): round(r["redundancy"], 6) for r in found.collect()} == {("d", 1): 1.0, ("d", 2): round((1 - 1 / 3) ** 2, 6), ("d", 3): round((1 - 1 / 3) ** 2, 6), ("e", 1): 1.0}
