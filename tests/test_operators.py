@@ -330,6 +330,26 @@ def test_density_clusters_over_blocks(spark, monkeypatch, block, finish):
     assert found == plain and len(set(plain.values())) >= 6
 
 
+def test_density_cells_meet_only_where_needed(spark, monkeypatch):
+    """Points of a plane with many copies: as if all were in one task, by far fewer pairs of blocks than there are."""
+    import numpy as np
+
+    monkeypatch.setattr(density, "BLOCK", 16)
+    met = []
+    dealt = density._dealt
+    monkeypatch.setattr(density, "_dealt", lambda rows, pairs: met.append(pairs.count()) or dealt(rows, pairs))
+    rng = np.random.default_rng(5)
+    points = [[10.0 * (i % 6), round(float(rng.uniform(0, 9)), 2)] for i in range(300)]
+    rows = [(i, "g", points[i % 300]) for i in range(1200)]
+    found = {r["k"]: r["cluster"] for r in density.density_clusters(spark.createDataFrame(rows, "k long, g string, v array<double>"), "g", "k", "v", 5).collect()}
+    v = np.array([p for _, _, p in rows])
+    labels = density.condensed_labels(len(v), *density.spanning_edges(v, density.core_distances(v, 5)), 5)
+    low = {c: int(np.flatnonzero(labels == c)[0]) for c in set(labels.tolist()) - {-1}}
+    assert found == {i: low[c] for i, c in enumerate(labels.tolist()) if c >= 0} and len(low) > 6
+    # 300 points are 19 blocks at least, with 171 pairs; neighbours, links and further edges meet in fewer.
+    assert all(n < 171 / 2 for n in met)
+
+
 def test_kmeans_finds_blobs(spark):
     rows = [r for r in _blobs() if r[0] < 60]
     got = {r["k"]: r["cluster"] for r in vectors.kmeans(spark.createDataFrame(rows, "k long, g string, v array<double>"), "k", "v", 3).collect()}
