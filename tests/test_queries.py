@@ -36,3 +36,9 @@ def test_cosine_scan_orders_all_rows(spark, duck, monkeypatch):
     # A corpus larger than any k, seen from the query: the best by importance lie beyond the nearest.
     monkeypatch.setattr(V, "nearest", lambda corpus, queries, key, vector, k, least=None: nearest(corpus, queries, key, vector, min(k, 5), least))
     same_rows(catalogue.queries()["knw_cosine_scan"](spark, SF), duck, catalogue.oracle_sql()["knw_cosine_scan"])
+
+
+def test_contradictions_split_a_text_once(spark):
+    """The plan holds the pattern of sentence ends once, and none with a choice of words at every letter."""
+    plan = catalogue.queries()["txt_contradiction_type"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=") == 1 and "RLIKE" not in plan
