@@ -247,12 +247,14 @@ PAIRS = 1 << 18
 CENTRES = 4
 #: Members of a list's largest joined group that its other members are compared with before all pairs are.
 BRIDGES = 64
+#: Equal ranges of hashes that a posting has a text's counts of.
+RANGES = 32
 #: Ids of texts, of eight bytes each, that are broadcast.
 MOST_BROADCAST = 1_000_000
 
 
-def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles, words as in ``fingerprint``; empty for a text without words."""
+def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles, repeats included, words as in ``fingerprint``; empty for a text without words."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -261,7 +263,25 @@ def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends.tolist()[min(shingle_words, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops)))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops))
+
+
+def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, shingle_words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of these shingles, as ``fingerprint`` gives it for the text."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def range_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of ``RANGES`` equal ranges, up to 255 each."""
+    return np.minimum(np.bincount((shingles >> np.uint64(65 - RANGES.bit_length())).astype(np.int64), minlength=RANGES), 255).astype(np.uint8)
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -300,19 +320,21 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, most_bits: int = 2) -> DataFrame:
     """One row per input row: ``id`` and ``component_id``, the smallest id of its group of near duplicates.
 
     ``id_col`` numbers the rows: longs, unique, not null, and the same whenever ``docs`` is read. Blank and null texts
     are one group. An empty input gives an empty result.
 
     Near duplicates are all pairs whose sets of shingles have a Jaccard similarity of at least ``similarity``, closed
-    transitively, at any size of the table. Equal sets are put together first. The shingles have one order: those
+    transitively, at any size of the table. Equal sets are put together first. Candidates come from the SimHash index of
+    ``fingerprint_links``, fingerprints at most ``most_bits`` apart, each verified on the whole sets. Fingerprints do not
+    tell every such pair, so an exact index completes them. The shingles have one order: those
     common in a sample of bounded size last, then by hash. Two similar sets share one of their first few shingles, so
     an inverted index of these prefixes holds every pair; which shingles are known as common decides only how long its
-    lists are. Pairs whose sizes or places in a list rule out the similarity are left out, then those whose counts of hashes
-    by range do (an upper bound of what they share, an eighth to a sixteenth of a set in size). The others are verified
-    on their whole sets.
+    lists are. Pairs whose sizes or places in a list rule out the similarity never leave it, nor do those whose counts of
+    hashes by a few ranges do (an upper bound of what they share); then go those that counts by more ranges rule out (an
+    eighth to a sixteenth of a set in size). The others are verified on their whole sets.
     Each member of a list is first compared with one other, which is linear and joins large groups of copies; those left
     out are then compared with a few members of the list's largest group, which is linear too; then all pairs of a list
     that no link has joined are compared, so lists of many unlike texts cost their square. What is
@@ -322,10 +344,10 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
     free_shuffles(spark)
     path = scratch_path(spark, "similar")
     with scratch_scope(spark):
-        return materialise(_similar(docs, id_col, text_col, shingle_words, similarity), "similar", path)
+        return materialise(_similar(docs, id_col, text_col, shingle_words, similarity, most_bits), "similar", path)
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> DataFrame:
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float, most_bits: int) -> DataFrame:
     spark = docs.sparkSession
     width = shuffle_width(spark)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -344,19 +366,26 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
     by_hash = np.argsort(hashes)
     common = spark.sparkContext.broadcast((np.append(hashes[by_hash], np.uint64(0)), np.append(counts[by_hash], 0)))
 
+    ranges = [f"r{x}" for x in range(RANGES // 8)]
+
     def prefixes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_kept()
         known, count = common.value
         for batch in batches:
-            sets = [shingle_set((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
-            prefixes = []
+            sets, prints, prefixes = [], [], []
+            for t in batch.column(1).to_pylist():
+                hashes = shingle_hashes((t or "").encode(), shingle_words)
+                prints.append(fingerprint_of(hashes))
+                sets.append(np.unique(hashes))
             for s in sets:
                 place = np.searchsorted(known[:-1], s)
                 rank = np.where(known[place] == s, count[place], 0)
                 prefixes.append(s[np.lexsort((s, rank))[: prefix_length(len(s), similarity)]].tobytes())
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(prefixes, pa.binary()), pa.array(map(bucket_counts, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "prefix", "counts"])
+            few = np.array([range_counts(s) for s in sets], np.uint8).reshape(-1, RANGES).view(np.int64)
+            columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), *[pa.array(np.ascontiguousarray(x)) for x in few.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "prefix", "counts", "fp", *ranges])
 
     def postings_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,12 +412,20 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
         """
         return np.minimum(n - place, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
+    def alike(n: np.ndarray, few: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of rows a and b, whether their counts by range allow the similarity: in a range they share at most the lesser count."""
+        return (np.minimum(few[a], few[b]).sum(axis=1) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6) | (few[a].max(axis=1) == 255) | (few[b].max(axis=1) == 255)
+
+    def counted(columns: list[np.ndarray]) -> np.ndarray:
+        return np.ascontiguousarray(np.stack(columns, axis=1)).view(np.uint8)
+
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by key and size: the members of like sizes with the least of them by one of a few orders, which the key picks.
 
         Lists of the same members thus have few centres, and a pair is seldom compared for more than these.
         """
-        for k, i, n, place in _runs(batches):
+        for k, i, n, place, *few in _runs(batches):
+            few = counted(few)
             orders = [_mixed(i.view(np.uint64), block) for block in range(1, CENTRES + 1)]
             centre, start = np.arange(len(k)), 0
             for stop in [*(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]:
@@ -398,6 +435,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                     centre[start:end], start = start + int(order[start:end].argmin()), end
             far = np.flatnonzero(centre != np.arange(len(k)))
             far = far[possible(n[centre[far]], place[centre[far]], n[far], place[far])]
+            far = far[alike(n, few, centre[far], far)]
             if len(far):
                 ends = np.stack([i[centre[far]], i[far]], axis=1)
                 pairs = np.unique(np.sort(ends, axis=1), axis=0)
@@ -405,7 +443,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
 
     def bridges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by key and size: those outside the largest group of a list's like sizes, with a few of that group."""
-        for k, i, n, place, label in _runs(batches):
+        for k, i, n, place, label, *few in _runs(batches):
+            few = counted(few)
             order = _mixed(i.view(np.uint64), CENTRES + 1)
             size, start, found = 0, 0, []
             for stop in [*(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]:
@@ -416,10 +455,15 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                         inside = group == times.argmax()
                         members, others = start + np.flatnonzero(inside), start + np.flatnonzero(~inside)
                         members = members[np.argsort(order[members], kind="stable")[:BRIDGES]]
-                        a, b = np.repeat(members, len(others)), np.tile(others, len(members))
-                        good = possible(n[a], place[a], n[b], place[b])
-                        found.append(np.sort(np.stack([i[a[good]], i[b[good]]], axis=1), axis=1))
-                        size += len(found[-1])
+                        for at in range(0, len(others), PAIRS // BRIDGES):
+                            some = others[at : at + PAIRS // BRIDGES]
+                            a, b = np.repeat(members, len(some)), np.tile(some, len(members))
+                            good = possible(n[a], place[a], n[b], place[b])
+                            a, b = a[good], b[good]
+                            good = alike(n, few, a, b)
+                            if good.any():
+                                found.append(np.sort(np.stack([i[a[good]], i[b[good]]], axis=1), axis=1))
+                                size += len(found[-1])
                     start = end
                     if found and (size > PAIRS or start == len(k)):
                         pairs, size, found = np.unique(np.concatenate(found), axis=0), 0, []
@@ -427,7 +471,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by key and size: all pairs of a list whose sizes allow it and that are not joined yet."""
-        for k, i, n, place, label in _runs(batches):
+        for k, i, n, place, label, *few in _runs(batches):
+            few = counted(few)
             stops = np.searchsorted(k, k, "right")
             allowed = n / similarity + 1e-9
             start, found = 0, []
@@ -437,6 +482,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                 end = row + 1 + int(np.searchsorted(n[row + 1 : stops[row]], allowed[row], "right"))
                 far = slice(row + 1, end)
                 far = row + 1 + np.flatnonzero((label[far] != label[row]) & possible(n[row], place[row], n[far], place[far]))
+                far = far[alike(n, few, np.full(len(far), row), far)]
                 if len(far):
                     found.append(np.sort(np.stack([np.full(len(far), i[row]), i[far]], axis=1), axis=1))
                     start += len(far)
@@ -473,7 +519,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
             u, v = ids[root], ids[inner]
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    def few(ids: DataFrame) -> DataFrame:
+    def bounded(ids: DataFrame) -> DataFrame:
         """Up to ``MOST_BROADCAST`` ids go to the texts; more are joined by key, which shuffles the texts."""
         return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
@@ -483,23 +529,26 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
         pairs = materialise(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(promising, "u long, v long"), "similar-promising")
         needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
         needed = materialise(needed, "similar-needed")
-        sets = materialise(source.join(few(needed), "id", "left_semi").mapInArrow(sets_of, "id long, s binary"), "similar-sets")
+        sets = materialise(source.join(bounded(needed), "id", "left_semi").mapInArrow(sets_of, "id long, s binary"), "similar-sets")
         free_shuffles(spark)
         left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
         return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
 
-    prints = materialise(source.mapInArrow(prefixes_of, "id long, digest binary, n int, prefix binary, counts binary"), "prefixes")
+    few = ", ".join(f"{r} long" for r in ranges)
+    prints = materialise(source.mapInArrow(prefixes_of, f"id long, digest binary, n int, prefix binary, counts binary, fp long, {few}"), "prefixes")
     low = prints.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "low")
     copies = materialise(prints.select("id", "digest").join(low, "digest").where("id <> low").select("id", "low"), "prefix-copies")
-    postings = prints.join(few(copies.select("id")), "id", "left_anti").select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
-    lists = materialise(postings.repartition(width, "k").sortWithinPartitions("k").mapInArrow(shared, "k long, id long, n int, place int"), "prefix-lists")
+    alone = prints.join(bounded(copies.select("id")), "id", "left_anti")
+    postings = alone.select("id", "n", "prefix").mapInArrow(postings_of, "k long, id long, n int, place int")
+    lists = postings.repartition(width, "k").sortWithinPartitions("k").mapInArrow(shared, "k long, id long, n int, place int")
+    lists = materialise(lists.join(prints.select("id", *ranges), "id").select("k", "id", "n", "place", *ranges), "prefix-lists")
     free_shuffles(spark)
 
     def joined(labels: DataFrame, candidates: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
         """The labels after the links among these candidates; texts joined already stand as their group."""
         path = scratch_path(spark, "labels")
         with scratch_scope(spark):
-            labelled = lists.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("label"))
+            labelled = lists.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("label"), *ranges)
             further = links(labelled.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(candidates, "u long, v long"))
             for end in ("u", "v"):
                 further = further.join(labels, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("u", "v")
@@ -507,9 +556,19 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
         free_shuffles(spark)
         return more
 
+    def by_prints() -> DataFrame:
+        """Texts of equal fingerprints with the first of them, and the first ones of linked fingerprints."""
+        lowest = alone.groupBy("fp").agg(F.min("id").alias("low"))
+        equal = alone.select("id", "fp").join(lowest, "fp").where("id <> low").select(F.col("low").alias("u"), F.col("id").alias("v"))
+        near = fingerprint_links(lowest.select("fp"), most_bits)
+        for end in ("u", "v"):
+            near = near.join(lowest, F.col(end) == F.col("fp")).withColumn(end, F.col("low")).select("u", "v")
+        return equal.unionByName(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
     first = scratch_path(spark, "labels")
     with scratch_scope(spark):
-        labels = materialise(component_labels(links(lists.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(stars, "u long, v long"))), "labels", first)
+        centres = lists.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(stars, "u long, v long")
+        labels = materialise(component_labels(links(by_prints().unionByName(centres))), "labels", first)
     free_shuffles(spark)
     labels = joined(joined(labels, bridges), across)
     stands = prints.select("id").join(copies, "id", "left").select("id", F.coalesce("low", "id").alias("of"))

@@ -226,6 +226,44 @@ def test_similar_documents_large_group_at_the_threshold(spark, monkeypatch):
     assert len(sizes) == 3 and sizes[1] <= simhash.BRIDGES * 300 and sizes[2] <= 1.1 * (alone * joined + alone * alone / 2)
 
 
+def test_similar_documents_takes_candidates_from_fingerprints_and_keeps_unlike_texts_in_their_lists(spark, monkeypatch):
+    """Near copies are linked by the SimHash index; texts that share a passage only are no pairs."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage, texts, near, pairs = [word() for _ in range(40)], {}, [], []
+    for _ in range(60):
+        base = [word() for _ in range(120)]
+        texts[len(texts)] = " ".join(base[:60] + passage + base[60:])
+    for i in range(0, 60, 10):
+        texts[len(texts)] = texts[i] + " end"
+    links, materialise = simhash.fingerprint_links, simhash.materialise
+
+    def linked(distinct, most_bits=2):
+        out = materialise(links(distinct, most_bits), "links")
+        near.append((distinct.count(), out.count()))
+        return out
+
+    def counted(df, label, path=None):
+        out = materialise(df, label, path)
+        if label == "similar-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "fingerprint_links", linked)
+    monkeypatch.setattr(simhash, "materialise", counted)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "n long, text string"), "n").collect()}
+    assert got == brute_groups(texts) == {i: i if i < 60 else 10 * (i - 60) for i in texts}
+    assert len(near) == 1 and near[0][0] > 60 and near[0][1] > 0
+    assert sum(pairs) < 60
+
+
+def test_fingerprint_of_hashes_is_the_fingerprint():
+    for text in (b"", b"a", b"a b c d e f", " ".join(map(str, range(300))).encode(), b"x y " * 40_000):
+        hashes = simhash.shingle_hashes(text, 5)
+        assert simhash.fingerprint_of(hashes) == simhash.fingerprint(text, 5)
+        assert simhash.range_counts(hashes[:200]).sum() == len(hashes[:200])
+
+
 def test_bucket_counts_rule_out_no_similar_pair():
     rng = np.random.default_rng(7)
     ruled_out = 0
