@@ -9,7 +9,7 @@ from lodeworks.functions import scores as S
 from lodeworks.functions import text as T
 from lodeworks.operators import cognition, dedup, density, derivation, graph, grounding, relational, retrieval, validators, vectors
 from lodeworks.plans.extensions import Registry
-from lodeworks.sources import readers, sinks, tables
+from lodeworks.sources import readers, sinks, tables, text_tables
 from lodeworks.streaming import pipelines
 
 
@@ -544,3 +544,13 @@ def test_redundancy_sorts_no_grams(spark):
     found = knowledge.running_redundancy(atoms, "g", "pos", "sig")
     assert found._jdf.queryExecution().executedPlan().toString().count("Window ") == 1
     assert {(r["g"], r["pos"]): round(r["redundancy"], 6) for r in found.collect()} == {("d", 1): 1.0, ("d", 2): round((1 - 1 / 3) ** 2, 6), ("d", 3): round((1 - 1 / 3) ** 2, 6), ("e", 1): 1.0}
+
+
+def test_scores_evaluate_their_counts_once(spark):
+    """Branches share what they count: each pattern occurs once in the expression."""
+    text = S.clarity(F.col("t"))._jc.toString()
+    assert text.count("regexp_replace") == 2
+    assert S.qualifier_quality(F.col("t"))._jc.toString().count("regexp_extract_all") == 1
+    assert S.factual_density(F.col("t"))._jc.toString().lower().count("trim(") == 1
+    got = one(spark, F.array(S.clarity(F.lit("The cat is in the House.")), S.factual_density(F.lit("The cat is in the House.")), S.qualifier_quality(F.lit("Only if it may"))))
+    assert got == pytest.approx([0.35 + 0.35 + 0.08 + 0.15, 2 / 6 * 0.6, 0.74])
