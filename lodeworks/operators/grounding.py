@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,17 +69,24 @@ def section_report(sections: DataFrame, key: str, text: str) -> DataFrame:
 def repetitions(text: Column, threshold: float = 0.5) -> Column:
     """Places of sentences whose words overlap an earlier sentence that is no repetition by more than the threshold."""
     bags = F.transform(T.split_sentences(text), lambda s: F.array_distinct(tokenise(s)))
-    near = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)) > threshold)
-    start = F.struct(F.array().cast("array<array<string>>").alias("kept"), F.array().cast("array<int>").alias("again"), F.lit(0).alias("at"))
-
-    def step(acc: Column, bag: Column) -> Column:
-        repeated = F.exists(acc["kept"], lambda k: near(k, bag))
-        return F.struct(
-            F.when(repeated, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(bag))).alias("kept"),
-            F.when(repeated, F.concat(acc["again"], F.array(acc["at"]))).otherwise(acc["again"]).alias("again"), (acc["at"] + 1).alias("at"),
-        )
 
-    return F.aggregate(bags, start, step, lambda acc: acc["again"])
+    def again(bags: list[list[str]]) -> list[int]:
+        holders, sizes, out = {}, [], []
+        for at, bag in enumerate(bags):
+            shared = Counter(k for w in bag for k in holders.get(w, ()))
+            if any(n / min(len(bag), sizes[k]) > threshold for k, n in shared.items()):
+                out.append(at)
+                continue
+            for w in bag:
+                holders.setdefault(w, []).append(len(sizes))
+            sizes.append(len(bag))
+        return out
+
+    def run(column: pa.Array) -> pa.Array:
+        found = (None if bags is None else again(bags) for at in range(0, len(column), 128) for bags in column.slice(at, 128).to_pylist())
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")(bags)
 
 
 def hard_stop(text: Column, sentences: int = 6) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.operators import grounding as V
 from lodeworks.operators.derivation import STOPWORDS
 
-from .views import sql_list, table
+from .views import spread, sql_list, table
 
 QUERIES, SQL = {}, {}
 
@@ -71,7 +71,7 @@ _SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\
     ) SELECT doc_id, max(again) AS repeated FROM t GROUP BY 1"""
 )
 def val_repetition(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", F.size(V.repetitions(F.col("text"))).alias("repeated"))
 
 

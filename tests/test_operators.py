@@ -554,3 +554,12 @@ def test_scores_evaluate_their_counts_once(spark):
     assert S.factual_density(F.col("t"))._jc.toString().lower().count("trim(") == 1
     got = one(spark, F.array(S.clarity(F.lit("The cat is in the House.")), S.factual_density(F.lit("The cat is in the House.")), S.qualifier_quality(F.lit("Only if it may"))))
     assert got == pytest.approx([0.35 + 0.35 + 0.08 + 0.15, 2 / 6 * 0.6, 0.74])
+
+
+def test_repetitions_compare_with_kept_sentences_only(spark):
+    """No pair of sentences is intersected in the expression; only kept ones count, empty ones never do."""
+    text = "The cat sat down. ... The cat sat up there now. Up there now we go. One two. ..."
+    c = grounding.repetitions(F.col("t"))
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "")], "i int, t string").repartition(1)
+    assert [r[0] for r in frame.select(c.alias("r"), "i").orderBy("i").collect()] == [[2], None, []]
+    assert "array_intersect" not in frame.select(c)._jdf.queryExecution().toString()
