@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import strip, words
+from lodeworks.functions.text import let, strip, words
 
 # Reliabilities of hosts, the first that fits; patterns; weights and limits of the levels.
 HOSTS = [
@@ -173,7 +173,10 @@ def validate_data(data: Column, required: list[str], properties: Mapping[str, Ma
     ``maximum`` for numbers, and ``constraints``: ``regex`` (from the start, strings only), ``enum``, ``length``,
     ``min_length``, ``max_length``. Level high asks for all, medium for fields, types and ranges, low for fields.
     """
-    value = F.try_parse_json(data)
+    return let(F.try_parse_json(data), lambda value: _validate_object(value, required, properties, level))
+
+
+def _validate_object(value: Column, required: list[str], properties: Mapping[str, Mapping], level: str) -> Column:
     kind = lambda name: F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
     kinds = {"numeric": r"^(BIGINT|DOUBLE|DECIMAL|FLOAT|BOOLEAN)", "string": "^STRING", "boolean": "^BOOLEAN", "list": "^ARRAY", "dict": "^OBJECT"}
     absent, bad = {}, []

@@ -563,3 +563,10 @@ def test_repetitions_compare_with_kept_sentences_only(spark):
     frame = spark.createDataFrame([(1, text), (2, None), (3, "")], "i int, t string").repartition(1)
     assert [r[0] for r in frame.select(c.alias("r"), "i").orderBy("i").collect()] == [[2], None, []]
     assert "array_intersect" not in frame.select(c)._jdf.queryExecution().toString()
+
+
+def test_validate_data_parses_an_object_once(spark):
+    v = validators.validate_data(F.col("t"), ["k"], {"k": {"type": "numeric", "minimum": 1}, "s": {"type": "string", "constraints": {"length": 2}}})
+    assert v._jc.toString().count("try_parse_json") == 1
+    frame = spark.createDataFrame([('{"k": 1, "s": "ab"}',), ('{"k": 0}',), ("no",), (None,)], "t string")
+    assert [tuple(r[0]) for r in frame.select(v).collect()] == [(True, [], []), (False, [], ["k"]), (False, ["k"], []), (False, ["k"], [])]
