@@ -570,3 +570,13 @@ def test_validate_data_parses_an_object_once(spark):
     assert v._jc.toString().count("try_parse_json") == 1
     frame = spark.createDataFrame([('{"k": 1, "s": "ab"}',), ('{"k": 0}',), ("no",), (None,)], "t string")
     assert [tuple(r[0]) for r in frame.select(v).collect()] == [(True, [], []), (False, [], ["k"]), (False, ["k"], []), (False, ["k"], [])]
+
+
+def test_extract_tables_takes_batches(spark):
+    """One Python call a batch, not one a row; nulls, other formats and texts without a table give no row."""
+    frame = spark.createDataFrame([(1, "a,b\n1,2\n3,4", "csv"), (2, None, "csv"), (3, "a,b\n1,2", "none"), (4, "none", "csv"), (None, "x,y\n,5", "csv")], "k long, t string, f string")
+    found = text_tables.extract_tables(frame, "k", "t", "f")
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "UDTF" not in plan
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 0, 0, ["a", "b"], ["1", "2"]), (1, 0, 1, ["a", "b"], ["3", "4"]), (None, 0, 0, ["x", "y"], ["", "5"])], key=str)
+    assert text_tables.extract_tables(frame.where("k = 4"), "k", "t", "f").collect() == []
