@@ -249,6 +249,8 @@ CENTRES = 4
 BRIDGES = 64
 #: Equal ranges of hashes that a posting has a text's counts of.
 RANGES = 32
+#: Bits of the ranges, at most, of the counts by which rows of lists that may be alike are compared once more.
+LIST_BITS = 8
 #: Ids of texts, of eight bytes each, that are broadcast.
 MOST_BROADCAST = 1_000_000
 
@@ -289,9 +291,9 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def bucket_counts(shingles: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each of equal ranges: a power of two of at least half as many ranges, up to 255 each."""
-    bits = max(4, len(shingles).bit_length() - 1)
+def bucket_counts(shingles: np.ndarray, most_bits: int = 64) -> bytes:
+    """How many of a set's hashes fall into each of equal ranges: a power of two of at least half as many ranges, if that is not over ``2 ** most_bits``, up to 255 each."""
+    bits = min(max(4, len(shingles).bit_length() - 1), most_bits)
     return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -304,6 +306,25 @@ def possibly_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return np.minimum(a, b).sum() >= similarity / (1 + similarity) * (a.sum() + b.sum(dtype=np.int64)) - 1e-6
 
 
+def possible_pairs(counts: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """``possibly_similar`` of the rows a and b of an array of bucket counts (bytes), for sets of like sizes."""
+    sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+    least, good = np.minimum(sizes[a], sizes[b]), np.zeros(len(a), bool)
+    for size in np.unique(least):
+        pairs = np.flatnonzero(least == size)
+        rows, at = np.unique(np.concatenate([a[pairs], b[pairs]]), return_inverse=True)
+        own = [np.frombuffer(c, np.uint8) for c in counts[rows]]
+        full = np.array([c.max() == 255 for c in own])
+        table = np.stack([c.reshape(size, -1).sum(axis=1, dtype=np.uint32) for c in own])
+        total = table.sum(axis=1, dtype=np.int64)
+        for start in range(0, len(pairs), step := max(1, (1 << 21) // int(size))):
+            some = slice(start, min(start + step, len(pairs)))
+            x, y = at[some], at[len(pairs) + some.start : len(pairs) + some.stop]
+            both = np.minimum(table[x], table[y]).sum(axis=1, dtype=np.int64)
+            good[pairs[some]] = full[x] | full[y] | (both >= similarity / (1 + similarity) * (total[x] + total[y]) - 1e-6)
+    return good
+
+
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of rows sorted by the first column, cut between keys only."""
     held: list[np.ndarray] = []
@@ -337,8 +358,10 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str = "text", shin
     eighth to a sixteenth of a set in size). The others are verified on their whole sets.
     Each member of a list is first compared with one other, which is linear and joins large groups of copies; those left
     out are then compared with a few members of the list's largest group, which is linear too; then all pairs of a list
-    that no link has joined are compared, so lists of many unlike texts cost their square. What is
-    written on the way is removed as soon as it has been used.
+    that no link has joined are compared, so lists of many unlike texts cost their square. Both leave no pairs but
+    the rows of a list that take part in one, at most as many as the lists have; only these get their counts by more
+    ranges, which rule out most pairs of texts that share a passage before a pair is made. What is written on the way is
+    removed as soon as it has been used.
     """
     spark = docs.sparkSession
     free_shuffles(spark)
@@ -384,8 +407,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(prefixes, pa.binary()), pa.array(map(bucket_counts, sets), pa.binary())]
             few = np.array([range_counts(s) for s in sets], np.uint8).reshape(-1, RANGES).view(np.int64)
-            columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), *[pa.array(np.ascontiguousarray(x)) for x in few.T]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "prefix", "counts", "fp", *ranges])
+            columns += [pa.array([bucket_counts(s, LIST_BITS) for s in sets], pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), *[pa.array(np.ascontiguousarray(x)) for x in few.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "prefix", "counts", "list_counts", "fp", *ranges])
 
     def postings_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,57 +464,86 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
                 pairs = np.unique(np.sort(ends, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
+    def unjoined(k: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray, part: np.ndarray, few: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows by key and size: all pairs of rows of a list and part that their sizes, places and counts allow and whose labels differ.
+
+        All rows meet the next one of their list, then the one after it, and so on, as far as sizes allow.
+        """
+        stops, far = np.searchsorted(k, k, "right"), 0
+        a = np.arange(len(k))
+        while True:
+            far += 1
+            a = a[a + far < stops[a]]
+            a = a[n[a + far] <= n[a] / similarity + 1e-9]
+            if not len(a):
+                return
+            x = a[(label[a] != label[a + far]) & (part[a] == part[a + far])]
+            x = x[possible(n[x], place[x], n[x + far], place[x + far])]
+            x = x[alike(n, few, x, x + far)]
+            if len(x):
+                yield x, x + far
+
+    def rows_of(columns: list[np.ndarray], good: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[good]) for x in columns], names=["k", "id", "n", "place", "label", "part", *ranges])
+
     def bridges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by key and size: those outside the largest group of a list's like sizes, with a few of that group."""
-        for k, i, n, place, label, *few in _runs(batches):
-            few = counted(few)
+        """Rows by key and size: those outside the largest group of a list's like sizes that may be like one of a few of that group, and these.
+
+        The label says which of both a row is, the part counts the list's stretches of like sizes.
+        """
+        for k, i, n, place, label, *ranged in _runs(batches):
+            few = counted(ranged)
             order = _mixed(i.view(np.uint64), CENTRES + 1)
-            size, start, found = 0, 0, []
+            side, part, met, start = np.zeros(len(k), np.int64), np.zeros(len(k), np.int32), np.zeros(len(k), bool), 0
             for stop in [*(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]:
                 while start < stop:
                     end = start + int(np.searchsorted(n[start:stop], n[start] / similarity + 1e-9, "right"))
-                    groups, group, times = np.unique(label[start:end], return_inverse=True, return_counts=True)
-                    if len(groups) > 1:
+                    part[start:end] = start
+                    if (label[start:end] != label[start]).any():
+                        groups, group, times = np.unique(label[start:end], return_inverse=True, return_counts=True)
                         inside = group == times.argmax()
                         members, others = start + np.flatnonzero(inside), start + np.flatnonzero(~inside)
                         members = members[np.argsort(order[members], kind="stable")[:BRIDGES]]
+                        side[others], side[members] = 2, 1
                         for at in range(0, len(others), PAIRS // BRIDGES):
                             some = others[at : at + PAIRS // BRIDGES]
                             a, b = np.repeat(members, len(some)), np.tile(some, len(members))
                             good = possible(n[a], place[a], n[b], place[b])
                             a, b = a[good], b[good]
                             good = alike(n, few, a, b)
-                            if good.any():
-                                found.append(np.sort(np.stack([i[a[good]], i[b[good]]], axis=1), axis=1))
-                                size += len(found[-1])
+                            met[a[good]] = met[b[good]] = True
                     start = end
-                    if found and (size > PAIRS or start == len(k)):
-                        pairs, size, found = np.unique(np.concatenate(found), axis=0), 0, []
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            if met.any():
+                yield rows_of([k, i, n, place, side, part, *ranged], met)
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by key and size: all pairs of a list whose sizes allow it and that are not joined yet."""
-        for k, i, n, place, label, *few in _runs(batches):
-            few = counted(few)
-            stops = np.searchsorted(k, k, "right")
-            allowed = n / similarity + 1e-9
-            start, found = 0, []
-            for row in range(len(k)):
-                if row + 1 == stops[row]:
-                    continue
-                end = row + 1 + int(np.searchsorted(n[row + 1 : stops[row]], allowed[row], "right"))
-                far = slice(row + 1, end)
-                far = row + 1 + np.flatnonzero((label[far] != label[row]) & possible(n[row], place[row], n[far], place[far]))
-                far = far[alike(n, few, np.full(len(far), row), far)]
-                if len(far):
-                    found.append(np.sort(np.stack([np.full(len(far), i[row]), i[far]], axis=1), axis=1))
-                    start += len(far)
-                if start > PAIRS:
-                    pairs, start, found = np.unique(np.concatenate(found), axis=0), 0, []
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        """Rows by key and size: those that may be like another of their list that they are not joined with yet."""
+        for k, i, n, place, label, *ranged in _runs(batches):
+            part, met = np.zeros(len(k), np.int32), np.zeros(len(k), bool)
+            for a, b in unjoined(k, n, place, label, part, counted(ranged)):
+                met[a] = met[b] = True
+            if met.any():
+                yield rows_of([k, i, n, place, label, part, *ranged], met)
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What ``bridges`` or ``across`` left, by key and size: the pairs that counts by many ranges allow too."""
+        for k, i, n, place, label, part, counts, *ranged in _runs(batches):
+            size, found = 0, []
+            pairs = unjoined(k, n, place, label, part, counted(ranged))
+            while True:
+                more = next(pairs, None)
+                if more is not None:
+                    found.append(more)
+                    size += len(more[0])
+                if found and (more is None or size > PAIRS):
+                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                    good = possible_pairs(counts, a, b, similarity)
+                    ends = np.unique(np.sort(np.stack([i[a[good]], i[b[good]]], axis=1), axis=1), axis=0)
+                    size, found = 0, []
+                    if len(ends):
+                        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+                if more is None:
+                    break
 
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -535,7 +587,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
         return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
 
     few = ", ".join(f"{r} long" for r in ranges)
-    prints = materialise(source.mapInArrow(prefixes_of, f"id long, digest binary, n int, prefix binary, counts binary, fp long, {few}"), "prefixes")
+    prints = materialise(source.mapInArrow(prefixes_of, f"id long, digest binary, n int, prefix binary, counts binary, list_counts binary, fp long, {few}"), "prefixes")
     low = prints.groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "low")
     copies = materialise(prints.select("id", "digest").join(low, "digest").where("id <> low").select("id", "low"), "prefix-copies")
     alone = prints.join(bounded(copies.select("id")), "id", "left_anti")
@@ -549,7 +601,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
         path = scratch_path(spark, "labels")
         with scratch_scope(spark):
             labelled = lists.join(labels, F.col("id") == F.col("node"), "left").select("k", "id", "n", "place", F.coalesce("root", "id").alias("label"), *ranges)
-            further = links(labelled.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(candidates, "u long, v long"))
+            met = labelled.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(candidates, f"k long, id long, n int, place int, label long, part int, {few}")
+            met = materialise(met, "similar-met").join(prints.select("id", F.col("list_counts").alias("counts")), "id").select("k", "id", "n", "place", "label", "part", "counts", *ranges)
+            further = links(met.repartition(width, "k").sortWithinPartitions("k", "n", "id").mapInArrow(compared, "u long, v long"))
             for end in ("u", "v"):
                 further = further.join(labels, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("u", "v")
             more = materialise(component_labels(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(further.distinct())), "labels", path)

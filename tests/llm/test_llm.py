@@ -257,6 +257,43 @@ def test_similar_documents_takes_candidates_from_fingerprints_and_keeps_unlike_t
     assert sum(pairs) < 60
 
 
+def test_similar_documents_makes_no_pair_of_texts_that_share_most_of_a_list_but_too_little(spark, monkeypatch):
+    """Three hundred words in common of four hundred are no near copies, though counts by few ranges allow them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage, texts, pairs = [word() for _ in range(300)], {}, []
+    for i in range(60):
+        texts[i] = " ".join(passage + [word() for _ in range(100)])
+    texts |= {60 + i: texts[10 * i] + " end" for i in range(6)}
+    materialise = simhash.materialise
+
+    def counted(df, label, path=None):
+        out = materialise(df, label, path)
+        if label == "similar-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    monkeypatch.setattr(simhash, "COMMON_SHINGLES", 1)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "n long, text string"), "n").collect()}
+    assert got == brute_groups(texts) == {i: i if i < 60 else 10 * (i - 60) for i in texts}
+    assert sum(pairs[1:]) < 60
+
+
+def test_possible_pairs_are_the_possibly_similar_ones():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([base[: rng.integers(500, 900)], rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64)])) for _ in range(40)]
+    sets.append(np.full(600, 7, np.uint64))
+    counts = np.empty(len(sets), object)
+    counts[:] = [simhash.bucket_counts(s) for s in sets]
+    a, b = np.triu_indices(len(sets), 1)
+    want = [simhash.possibly_similar(np.frombuffer(counts[i], np.uint8), np.frombuffer(counts[j], np.uint8), 0.8) for i, j in zip(a, b)]
+    assert simhash.possible_pairs(counts, a, b, 0.8).tolist() == [bool(w) for w in want]
+    assert 0 < sum(want) < len(want)
+    assert len(simhash.bucket_counts(sets[0], 5)) == 32 and sum(simhash.bucket_counts(sets[0], 5)) == len(sets[0])
+
+
 def test_fingerprint_of_hashes_is_the_fingerprint():
     for text in (b"", b"a", b"a b c d e f", " ".join(map(str, range(300))).encode(), b"x y " * 40_000):
         hashes = simhash.shingle_hashes(text, 5)
