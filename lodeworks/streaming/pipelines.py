@@ -132,27 +132,33 @@ def activation_batch(events: DataFrame, key: str, time: str, partitions: int | N
     x = events.select(F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at")).where("at IS NOT NULL")
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def stretch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def folded(batches: Iterable[pa.RecordBatch], maps_of: Callable[[pa.RecordBatch], Iterable[tuple]]) -> Iterator[pa.RecordBatch]:
+        """Rows by key and time: one map for each key. What a batch of rows ends goes out together."""
         now, whole, kind = object(), None, None
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], kind), *[pa.array([v]) for v in whole]], names=["key", "first", "last", "a", "b", "c"])
+        rows = lambda done: pa.RecordBatch.from_arrays([pa.array(v, kind if i == 0 else pa.float64()) for i, v in enumerate(zip(*done, strict=True))], names=["key", "first", "last", "a", "b", "c"])
         for batch in batches:
-            kind = batch.schema.field("key").type
-            for name, at in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                use = (at, at, 1.0, AMOUNT, CAP)
+            kind, done = batch.schema.field("key").type, []
+            for name, use in zip(batch.column("key").to_pylist(), maps_of(batch), strict=True):
                 if name != now:
                     if whole:
-                        yield row()
+                        done.append((now, *whole))
                     now, whole = name, None
                 whole = fold_maps((whole, use)) if whole else use
+            if done:
+                yield rows(done)
         if whole:
-            yield row()
+            yield rows([(now, *whole)])
+
+    def stretch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return folded(batches, lambda batch: [(at, at, 1.0, AMOUNT, CAP) for at in batch.column("at").to_pylist()])
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        _, _, _, b, c = fold_maps(frame.sort_values("first")[["first", "last", "a", "b", "c"]].itertuples(index=False))
-        return pd.DataFrame({key: frame["key"].iloc[:1], "activation": [min(b, c)]})
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return folded(batches, lambda batch: zip(*[batch.column(c).to_pylist() for c in ("first", "last", "a", "b", "c")], strict=True))
 
-    maps = x.repartitionByRange(n, "key", "at").sortWithinPartitions("key", "at").mapInArrow(stretch, f"key {kind}, first double, last double, a double, b double, c double")
-    return maps.groupBy("key").applyInPandas(join, f"{key} {kind}, activation double")
+    row = f"key {kind}, first double, last double, a double, b double, c double"
+    maps = x.repartitionByRange(n, "key", "at").sortWithinPartitions("key", "at").mapInArrow(stretch, row)
+    whole = maps.repartition(n, "key").sortWithinPartitions("key", "first").mapInArrow(join, row)
+    return whole.select(F.col("key").alias(key), F.least("b", "c").alias("activation"))
 
 
 def usage_decay(events: DataFrame, key: str, time: str, hours: int = 24, base: float = 0.7) -> DataFrame:

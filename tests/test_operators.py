@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,6 +376,21 @@ def test_idle_activation_is_evicted(spark, tmp_path):
     assert {r["k"]: round(r["activation"], 6) for r in pipelines.activation_batch(events, "k", "t").collect()} == {1: 0.5, 2: 0.995025, 3: 0.5}
 
 
+def test_activation_batch_folds_many_keys_without_a_frame_for_each(spark):
+    rng = random.Random(4)
+    uses = [(rng.choice([None, *range(300)]), rng.randrange(4000) * 1800 if rng.random() < 0.95 else None) for _ in range(5000)]
+    rows = spark.createDataFrame(uses, "k long, s long").select("k", F.timestamp_seconds("s").alias("t"))
+    found = pipelines.activation_batch(rows, "k", "t", 5)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    by_key = {}
+    for k, s in uses:
+        if s is not None:
+            by_key.setdefault(k, []).append(s)
+    got = found.collect()
+    assert len(got) == len(by_key)
+    assert {r["k"]: round(r["activation"], 6) for r in got} == {k: round(pipelines.activation_fold(sorted(v))[0], 6) for k, v in by_key.items()}
+
+
 def test_table_pattern_fits_the_same_texts():
     import itertools
     import re
