@@ -186,3 +186,17 @@ def test_stream_fails_between_batches_and_goes_on(spark, store, tmp_path):
     run()
     assert [r[0] for r in state(store)["parents"]] == [0, 1, 2, 7] and len(seen) == 4
     assert dict((r[0], r[1]) for r in state(store)["parents"])[7] == 2
+
+
+def test_json_postings_of_plain_lists_need_no_python(spark, monkeypatch):
+    texts = ["[1,2,2]", "[3, 4]", "[null]", "[1,null]", "[-0]", "[7,-8]", "[1.0,2]", "[]", "{}", '{"a":[1,{"b":2}]}', "5", "bad", "[01]", "[1,2", "[99999999999999999999]", '["1"]', "[true]", "[[1]]", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, v string")
+    got = sorted(tuple(r[c] for c in ("key", "leaf", "flat", "n")) for r in postings.json_postings(rows, "k", "v").collect())
+    assert got == sorted((k, *r) for k, t in enumerate(texts) if t is not None for r in postings._leaf_rows(t))
+
+    def none(text):
+        raise AssertionError(text)
+
+    monkeypatch.setattr(postings, "_leaf_rows", none)
+    plain = rows.where("v IN ('[1,2,2]', '[7,-8]')")
+    assert sorted(r["leaf"] for r in postings.json_postings(plain, "k", "v").collect()) == ["[]=-8", "[]=1", "[]=2", "[]=7"]
