@@ -7,7 +7,8 @@ depend on how they arrive in micro-batches or on restarts:
 * ``take`` hands out up to ``amount`` jobs that are due, lower tiers first, then the longest due, then by job;
 * ``fail`` brings a job back after a delay that doubles with its attempts, or gives it up as a dead letter after the last.
 
-What a lane holds is its state: the jobs, and the commands that are still ahead of the watermark.
+What a lane holds is its state: the jobs, and the commands that are still ahead of the watermark, by stretches of time. A
+task has one such stretch in memory, or the commands that it is about to put there, however many are ahead.
 """
 
 from __future__ import annotations
@@ -15,16 +16,20 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-COMMANDS = "at bigint, command string, job bigint, tier int, attempts int, amount int"
 OUTCOMES = "lane bigint, at bigint, job bigint, outcome string, attempts int"
 _JOBS = "tier int, due bigint, job bigint, attempts int"
 #: Commands of one instant: what fails or comes is there before something is taken.
 _ORDER = {"fail": 0, "push": 1, "take": 2}
+#: A command as it is kept: its place in the order of commands in place of its name.
+_KEPT = np.dtype([("at", "<i8"), ("command", "<i4"), ("job", "<i8"), ("tier", "<i4"), ("attempts", "<i4"), ("amount", "<i4")])
+#: Milliseconds of a stretch of commands, and commands that are put to their stretches together.
+STRETCH, TOGETHER = 3_600_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -72,29 +77,62 @@ class _Lane(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", _JOBS)
-        self.ahead = handle.getListState("ahead", COMMANDS)
+        self.stretches = handle.getMapState("stretches", "stretch bigint", "pieces int, first bigint")
+        self.ahead = handle.getMapState("ahead", "stretch bigint, piece int", "commands binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for frame in rows for r in frame[["at", "command", "job", "tier", "attempts", "amount"]].itertuples(index=False)]
-        yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs())
+        new, size = [], 0
+        for frame in rows:
+            part = np.empty(len(frame), _KEPT)
+            for name in _KEPT.names:
+                part[name] = frame[name].map(_ORDER) if name == "command" else frame[name]
+            new.append(part)
+            size += len(part)
+            if size >= TOGETHER:
+                self._keep(np.concatenate(new))
+                new, size = [], 0
+        if size:
+            self._keep(np.concatenate(new))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key: tuple, new: list[Command], watermark: int) -> Iterator[pd.DataFrame]:
-        commands = in_order([*(tuple(c) for c in self.ahead.get()), *new])
-        due = [c for c in commands if c[0] <= watermark]
-        left = commands[len(due) :]
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def _keep(self, commands: np.ndarray) -> None:
+        """Each stretch gets its commands as one more piece."""
+        commands = commands[np.argsort(commands["at"], kind="stable")]
+        stretch = commands["at"] // STRETCH
+        for part in np.split(commands, np.flatnonzero(np.diff(stretch)) + 1):
+            at, first = int(part["at"][0]) // STRETCH, int(part["at"][0])
+            pieces, least = self.stretches.getValue((at,)) if self.stretches.containsKey((at,)) else (0, first)
+            self.ahead.updateValue((at, pieces), (part.tobytes(),))
+            self.stretches.updateValue((at,), (pieces + 1, min(first, least)))
+
+    def _advance(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        """The stretches that the watermark has reached, one at a time; what is left of the last one stays."""
+        ahead = sorted(int(s[0]) for s in self.stretches.keys())
+        due = [s for s in ahead if s * STRETCH <= watermark]
         if due:
             held = [tuple(j) for j in self.held.get()]
-            done = [(key[0], *o) for o in apply_commands(held, due, self.rules)]
+            names = list(_ORDER)
+            for stretch in due:
+                pieces = int(self.stretches.getValue((stretch,))[0])
+                commands = np.concatenate([np.frombuffer(bytes(self.ahead.getValue((stretch, p))[0]), _KEPT) for p in range(pieces)])
+                for p in range(pieces):
+                    self.ahead.removeKey((stretch, p))
+                self.stretches.removeKey((stretch,))
+                left = commands[commands["at"] > watermark]
+                if len(left):
+                    self._keep(left)
+                now = in_order((at, names[command], *rest) for at, command, *rest in commands[commands["at"] <= watermark].tolist())
+                done = [(key[0], *o) for o in apply_commands(held, now, self.rules)]
+                if done:
+                    yield pd.DataFrame(done, columns=["lane", "at", "job", "outcome", "attempts"])
             self.held.put(held) if held else self.held.clear()
-            if done:
-                yield pd.DataFrame(done, columns=["lane", "at", "job", "outcome", "attempts"])
-        if due or new:
-            self.ahead.put(left) if left else self.ahead.clear()
-        if left:
-            self.handle.registerTimer(left[0][0])
+        for stretch in ahead:
+            if self.stretches.containsKey((stretch,)):
+                self.handle.registerTimer(int(self.stretches.getValue((stretch,))[1]))
+                break
 
     def close(self) -> None:
         pass

@@ -78,3 +78,40 @@ def test_one_hot_lane_streams(spark):
     rows = [(1, START + datetime.timedelta(seconds=i), "push" if i % 2 else "take", i, 0, 0, 1) for i in range(2000)]
     found = queues.queue_table(spark.createDataFrame(rows, SCHEMA).repartition(4), "ts").groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r["outcome"]: r["n"] for r in found} == {"accepted": 1000, "taken": 999}
+
+
+def test_a_lane_orders_one_stretch_of_its_commands_at_a_time(monkeypatch):
+    """A lane that meets all its commands at once, as from one file, keeps them in its state by stretches of time."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from lodeworks.streaming import queues as Q
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        get, put, clear = (lambda self: iter(self.rows)), (lambda self, rows: setattr(self, "rows", list(rows))), (lambda self: self.rows.clear())
+
+    class Kept(dict):
+        getValue, containsKey, updateValue, removeKey = dict.get, dict.__contains__, dict.__setitem__, dict.__delitem__
+
+    timers, sizes, rng = [], [], random.Random(5)
+    handle = SimpleNamespace(getListState=lambda *a: Held(), getMapState=lambda *a: Kept(), registerTimer=timers.append)
+    commands = [(rng.randrange(200 * 3_600_000), rng.choice(["push", "push", "take", "fail"]), job, job % 3, job % 4, 2) for job in range(4000)]
+    frame = pd.DataFrame(commands, columns=["at", "command", "job", "tier", "attempts", "amount"])
+    ordered = Q.in_order
+    monkeypatch.setattr(Q, "in_order", lambda c: sizes.append(len(x := list(c))) or ordered(x))
+    monkeypatch.setattr(Q, "TOGETHER", 700, raising=False)
+    rules = Q.QueueRules(20, 3, 600_000)
+    lane, got = Q._Lane(rules), []
+    lane.init(handle)
+    for watermark, frames in ((0, [frame[at : at + 300] for at in range(0, 4000, 300)]), (90 * 3_600_000 + 1234, None), (200 * 3_600_000, None)):
+        time = SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w)
+        for out in lane.handleInputRows((3,), iter(frames), time) if frames else lane.handleExpiredTimer((3,), time, None):
+            got += [tuple(r) for r in out.itertuples(index=False)]
+    assert got == [(3, *o) for o in Q.apply_commands([], ordered(commands), rules)]
+    assert max(sizes) < 60
+    assert timers[0] == min(c[0] for c in commands) and timers[1] == min(c[0] for c in commands if c[0] > 90 * 3_600_000 + 1234)
