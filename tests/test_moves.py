@@ -40,3 +40,13 @@ def test_paths_over_distinct_edges(spark, small):
     args = (nodes, edges, nodes.where("id < 2"), nodes.where("id > 5"), 3, 0.6)
     rows = lambda df: sorted((tuple(r["nodes"]), r["hops"], round(r["score"], 9)) for r in df.collect())
     assert rows(graph.paths(*args, once=True)) == rows(graph.paths(*args)) != []
+
+
+def test_distinct_edges_are_not_moved(spark, small):
+    nodes, edges = small
+    more = edges.union(spark.createDataFrame([(3, 3, "supports", 0.9), (9, 1, "supports", 0.9)], edges.schema))
+    added = graph.add_edges(nodes, more.limit(0), more, once=True)
+    assert "Exchange hashpartitioning" not in _plan(added)
+    assert sorted(map(tuple, added.collect())) == sorted(map(tuple, graph.add_edges(nodes, more.limit(0), more).collect()))
+    old = spark.createDataFrame([(1, 2, "supports", 0.1)], edges.schema)
+    assert sorted(map(tuple, graph.add_edges(nodes, old, more, once=True).collect())) == sorted(map(tuple, graph.add_edges(nodes, old, more).collect()))
