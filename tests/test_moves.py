@@ -50,3 +50,14 @@ def test_distinct_edges_are_not_moved(spark, small):
     assert sorted(map(tuple, added.collect())) == sorted(map(tuple, graph.add_edges(nodes, more.limit(0), more).collect()))
     old = spark.createDataFrame([(1, 2, "supports", 0.1)], edges.schema)
     assert sorted(map(tuple, graph.add_edges(nodes, old, more, once=True).collect())) == sorted(map(tuple, graph.add_edges(nodes, old, more).collect()))
+
+
+def test_names_of_any_length_are_scored(spark):
+    """Thousands of capitalised words, or parts of a version, in a row: no stack frame for each."""
+    from pyspark.sql import functions as F
+
+    from lodeworks.functions import scores as S
+
+    long = spark.createDataFrame([(0, "Ab " * 20000 + "is it."), (1, "v" + "1." * 20000 + "2 is it."), (2, "See Bob Lee in v1.2.3 now."), (3, "no names in v1x")], "k int, t string")
+    got = {r["k"]: (r["d"] > 0.6, r["s"]) for r in long.select("k", S.factual_density(F.col("t")).alias("d"), S.technical_specificity(F.col("t")).alias("s")).collect()}
+    assert got == {0: (True, 0.0), 1: (False, 0.4), 2: (True, 0.4), 3: (False, 0.2)}
