@@ -141,11 +141,18 @@ def running_redundancy(atoms: DataFrame, group: str, order: str, signature: str)
 
     ``seen`` before an atom is the number of grams whose first appearance is earlier; so no set is carried along.
     """
-    grams = atoms.select(group, order, F.explode(signature).alias("gram"))
+    # A signature is evaluated once: each atom adds a row of its own, without a gram, that keeps its place and size.
     # Nulls come first in the order. Minima are combined before the shuffle and need no sort of the grams.
-    firsts = grams.groupBy(group, "gram").agg(F.when(F.bool_and(F.col(order).isNotNull()), F.min(order)).alias(order))
-    new = firsts.groupBy(group, order).agg(F.count(F.lit(1)).alias("new"))
-    sizes = atoms.select(group, order, F.size(signature).alias("own")).join(new, [group, order], "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    none = F.lit(None).cast(atoms.schema[order].dataType)
+    gram = atoms.schema[signature].dataType.elementType
+    entry = lambda g, at, own: F.struct(g.alias("gram"), at.alias("at"), own.alias("own"))
+    own = entry(F.lit(None).cast(gram), F.col(order), F.size(signature))
+    entries = F.concat(F.array(own), F.transform(F.coalesce(signature, F.array().cast(atoms.schema[signature].dataType)), lambda g: entry(g, none, F.lit(None).cast("int"))))
+    rows = atoms.select(group, order, F.inline(entries))
+    firsts = rows.groupBy(group, "gram", "at", "own").agg(F.when(F.bool_and(F.col(order).isNotNull()), F.min(order)).alias(order), F.count(F.lit(1)).alias("times"))
+    atom = F.col("own").isNotNull()
+    sizes = firsts.groupBy(group, order).agg(F.count_if(~atom).alias("new"), F.flatten(F.collect_list(F.when(atom, F.array_repeat("own", F.col("times").cast("int"))))).alias("owns"))
+    sizes = sizes.select(group, order, F.explode("owns").alias("own"), F.when(F.col(order).isNull() | F.col(group).isNull(), 0).otherwise(F.col("new")).alias("new"))
     before = F.coalesce(F.sum("new").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = sizes.withColumn("seen", before)
     similarity = (F.col("own") - F.col("new")) / (F.col("seen") + F.col("new"))

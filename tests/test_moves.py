@@ -61,3 +61,16 @@ def test_names_of_any_length_are_scored(spark):
     long = spark.createDataFrame([(0, "Ab " * 20000 + "is it."), (1, "v" + "1." * 20000 + "2 is it."), (2, "See Bob Lee in v1.2.3 now."), (3, "no names in v1x")], "k int, t string")
     got = {r["k"]: (r["d"] > 0.6, r["s"]) for r in long.select("k", S.factual_density(F.col("t")).alias("d"), S.technical_specificity(F.col("t")).alias("s")).collect()}
     assert got == {0: (True, 0.0), 1: (False, 0.4), 2: (True, 0.4), 3: (False, 0.2)}
+
+
+def test_redundancy_evaluates_signatures_once(spark):
+    """Repeated places, null orders and empty signatures as a plain loop has them."""
+    from pyspark.sql import functions as F
+
+    from lodeworks.operators import knowledge
+
+    atoms = spark.createDataFrame([("d", 1, "a b c"), ("d", 2, "b c d"), ("d", 2, "b c d e"), ("d", 3, "f"), ("d", 4, ""), ("e", None, "a"), ("e", 1, "a b")], "g string, pos int, t string")
+    found = knowledge.running_redundancy(atoms.withColumn("sig", F.expr("filter(split(t, ' '), x -> x <> '')")), "g", "pos", "sig")
+    assert _plan(found).count("Join") == 0
+    got = sorted((r["g"], r["pos"] or 0, r["own"], r["new"]) for r in found.collect())
+    assert got == [("d", 1, 3, 3), ("d", 2, 3, 2), ("d", 2, 4, 2), ("d", 3, 1, 1), ("d", 4, 0, 0), ("e", 0, 1, 0), ("e", 1, 2, 1)]
