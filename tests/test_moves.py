@@ -74,3 +74,19 @@ def test_redundancy_evaluates_signatures_once(spark):
     assert _plan(found).count("Join") == 0
     got = sorted((r["g"], r["pos"] or 0, r["own"], r["new"]) for r in found.collect())
     assert got == [("d", 1, 3, 3), ("d", 2, 3, 2), ("d", 2, 4, 2), ("d", 3, 1, 1), ("d", 4, 0, 0), ("e", 0, 1, 0), ("e", 1, 2, 1)]
+
+
+def test_long_vectors_move_in_bundles(spark, monkeypatch):
+    """HDBSCAN of vectors with many components: as in one task, with rows moved to bundles of blocks."""
+    from lodeworks.operators import density
+
+    monkeypatch.setattr(density, "BLOCK", 16)
+    monkeypatch.setattr(density, "BUNDLES", 4)
+    monkeypatch.setattr(density, "_dealt", lambda *a: pytest.fail("moved to each block"))
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(0, 0.1 + 0.1 * (i % 3), (70, 12)) + 3 * rng.normal(size=12) for i in range(4)] + [rng.normal(0, 6, (20, 12))])
+    v = np.concatenate([v, v[:5]])
+    found = {r["k"]: r["cluster"] for r in density.density_clusters(spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "k long, g int, v array<double>"), "g", "k", "v", 4).collect()}
+    labels = density.condensed_labels(len(v), *density.spanning_edges(v, density.core_distances(v, 4)), 4)
+    low = {c: int(np.flatnonzero(labels == c)[0]) for c in set(labels.tolist()) - {-1}}
+    assert found == {i: low[c] for i, c in enumerate(labels.tolist()) if c >= 0} and len(low) >= 4
